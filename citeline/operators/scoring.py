@@ -83,7 +83,8 @@ def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.repeat(np.arange(len(column)), lengths)
 
 
-def _embeddings(column: pa.ListArray, width: int) -> np.ndarray:
+def unit_rows(column: pa.ListArray, width: int) -> np.ndarray:
+    """Vectors of a list column as unit rows; NaN where there is none."""
     values, rows = _lists(column)
     matrix = np.full((len(column), width), np.nan)
     if len(values):
@@ -179,7 +180,7 @@ def score_chunks(
         vectors = None
         if block.vectors is not None:
             width = block.vectors.shape[1]
-            vectors = _embeddings(chunks.column("embedding"), width)
+            vectors = unit_rows(chunks.column("embedding"), width)
         weights = None
         if LEXICAL in rankings:
             weights = _term_weights(chunks.column("tokens"), block)
@@ -197,9 +198,14 @@ def score_chunks(
                     wanted = block.vectors if ranking == VECTOR else block.translated
                     if wanted is None or vectors is None:
                         continue
-                    scores = vectors[first:last] @ wanted.T
+                    scores = np.full((last - first, len(block.ids)), np.nan)
+                    # Questions none of these chunks may answer cost nothing.
+                    asking = slice(None)
+                    if allowed is not None:
+                        asking = np.flatnonzero(allowed[first:last].any(axis=0))
+                    scores[:, asking] = vectors[first:last] @ wanted[asking].T
                 if allowed is not None:
-                    scores = np.where(allowed[first:last], scores, np.nan)
+                    scores[~allowed[first:last]] = np.nan
                 rows, cols = _best(scores, ids[first:last], k)
                 values = scores[rows, cols]
                 near = values
