@@ -119,7 +119,9 @@ def language_smoothing(spark, folder):
     docs = table(spark, folder, "documents").select(
         "source", "doc_id", F.col("lang").alias("language")
     )
-    return pages.smooth_languages(docs, "source", "doc_id").select("source", "doc_id", "smoothed")
+    return pages.smooth_languages(docs, "source", "doc_id").select(
+        "source", "doc_id", F.col("language").alias("smoothed")
+    )
 
 
 BLOCKS = """

@@ -7,6 +7,8 @@ from their lengths alone, in bounded parts whose packing is linked through one
 small summary per part.
 """
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

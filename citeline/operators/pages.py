@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from citeline.config import DEFAULTS
 from citeline.functions import text as fx
 from citeline.operators.ordered import int_bucket, neighbours, running_sums
+from citeline.session import settle
 
 
 def pages_from_texts(docs: DataFrame, doc: str, texts: Column) -> DataFrame:
@@ -40,27 +41,54 @@ def usable(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("reason").isNull()).drop("reason")
 
 
-def smooth_languages(
-    pages: DataFrame, doc: str = "doc_id", page: str = "page", s=DEFAULTS
+def _majority(frame: Column) -> Column:
+    """The strict majority of an array, or NULL. It is unique, so no rule for
+    ties is needed."""
+    often = F.filter(
+        F.array_distinct(frame),
+        lambda lang: F.size(F.filter(frame, lambda x: x == lang)) > F.floor(F.size(frame) / 2),
+    )
+    return F.get(often, F.lit(0))
+
+
+def mark_blocks(
+    pages: DataFrame,
+    doc: str = "doc_id",
+    page: str = "page",
+    smooth: bool = True,
+    s=DEFAULTS,
 ) -> DataFrame:
-    """Replace one-off detections by the strict majority of the pages around.
+    """Replace one-off detections in ``language`` by the majority of the pages
+    around (``smooth``), and mark where a run of one language ``opens``.
 
-    Reads ``language``, adds ``smoothed``. A strict majority is unique, so no
-    rule for ties is needed.
+    One pass: the frame is a page wider than smoothing needs, so that the page
+    before can be smoothed from the same array.
     """
+    width = s.smoothing_window if smooth else 0
     around = neighbours(
-        pages, [doc], page, int_bucket(F.col(page), s), "language",
-        s.smoothing_window, "__around",
+        pages, [doc], page, int_bucket(F.col(page), s), "language", width + 1, "__around"
     )
-    frame = F.col("__around")
-    majority = F.filter(
-        F.array_distinct(frame),
-        lambda lang: F.size(F.filter(frame, lambda x: x == lang))
-        > F.floor(F.size(frame) / 2),
+    frame, before = F.col("__around"), F.col("__around_before")
+
+    def label(place: Column) -> Column:
+        own = F.get(frame, place)
+        if not smooth:
+            return own
+        low = F.greatest(place - width, F.lit(0))
+        return F.coalesce(_majority(F.slice(frame, low + 1, place + width - low + 1)), own)
+
+    mine, previous = label(before), label(before - 1)
+    opens = (before == 0) | (mine != previous)
+    return around.withColumns({"language": mine, "opens": opens.cast("long")}).drop(
+        "__around", "__around_before"
     )
-    return around.withColumn(
-        "smoothed", F.coalesce(F.get(majority, F.lit(0)), F.col("language"))
-    ).drop("__around", "__around_before")
+
+
+def smooth_languages(
+    pages: DataFrame, doc: str = "doc_id", page: str = "page", s=DEFAULTS
+) -> DataFrame:
+    """``language`` with one-off detections replaced by the local majority."""
+    return mark_blocks(pages, doc, page, True, s).drop("opens")
 
 
 def confirm_sections(
@@ -82,43 +110,48 @@ def confirm_sections(
     return pages.join(repeated, [doc, "heading"], "left")
 
 
+def number_blocks(
+    marked: DataFrame, doc: str = "doc_id", page: str = "page", s=DEFAULTS
+) -> DataFrame:
+    """Number marked runs (``block``, from 0) and locate each page in its
+    block: ``offset`` in characters when pages are joined."""
+    width = F.col("chars") + len(s.page_join)
+    opened = F.col("opens")
+    placed = running_sums(
+        marked, [doc], [page], int_bucket(F.col(page), s),
+        {"__cursor": width.cast("long"), "__before": opened},
+    ).withColumn("block", F.col("__before") + opened - 1)
+    # The block's own start: an aggregate, so a block of any length is one row.
+    starts = placed.groupBy(doc, "block").agg(F.min("__cursor").alias("__start"))
+    return (
+        placed.join(starts, [doc, "block"])
+        .withColumn("offset", F.col("__cursor") - F.col("__start"))
+        .drop("__cursor", "__before", "__start", "opens")
+    )
+
+
 def language_blocks(
     pages: DataFrame,
     doc: str = "doc_id",
     page: str = "page",
-    language: str = "language",
+    smooth: bool = False,
     s=DEFAULTS,
 ) -> DataFrame:
-    """Number runs of equal language (``block``, from 0) and locate each page
-    in its block: ``offset`` in characters when pages are joined."""
-    bucket = int_bucket(F.col(page), s)
-    seen = neighbours(pages, [doc], page, bucket, language, 1, "__around")
-    opens = (F.col("__around_before") == 0) | (
-        F.get(F.col("__around"), F.lit(0)) != F.col(language)
-    )
-    seen = seen.withColumn("__opens", opens.cast("long")).drop(
-        "__around", "__around_before"
-    )
-    numbered = running_sums(
-        seen, [doc], [page], bucket, {"__block": F.col("__opens")}, inclusive=True
-    ).withColumn("block", F.col("__block") - 1)
-    numbered = numbered.drop("__opens", "__block")
-    join = len(s.page_join)
-    return running_sums(
-        numbered, [doc, "block"], [page], bucket, {"offset": F.col("chars") + join}
-    )
+    """Blocks of consecutive pages in one language, smoothed first if asked.
+
+    The marked rows are narrow and read by three branches: settled in between.
+    """
+    marked = settle(mark_blocks(pages, doc, page, smooth, s))
+    return number_blocks(marked, doc, page, s)
 
 
 def block_heads(
-    pages: DataFrame,
-    doc: str = "doc_id",
-    page: str = "page",
-    language: str = "language",
+    pages: DataFrame, doc: str = "doc_id", page: str = "page"
 ) -> DataFrame:
     """Per block: language and section of its first page, page range, size."""
-    first = F.struct(page, language, "section")
+    first = F.struct(page, "language", "section")
     return pages.groupBy(doc, "block").agg(
-        F.min(first)[language].alias("language"),
+        F.min(first)["language"].alias("language"),
         F.min(first)["section"].alias("section"),
         F.min(page).alias("first_page"),
         F.max(page).alias("last_page"),

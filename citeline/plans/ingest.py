@@ -26,9 +26,7 @@ def label_pages(raw: DataFrame, detect: Callable[[DataFrame], DataFrame], s=DEFA
     cleaned = pg.usable(pg.clean_pages(raw, s=s))
     detected = settle(detect(cleaned))
     narrow = detected.select("doc_id", "page", "language", "chars", "heading")
-    smoothed = pg.smooth_languages(narrow, s=s)
-    smoothed = smoothed.drop("language").withColumnRenamed("smoothed", "language")
-    blocks = pg.language_blocks(smoothed, s=s)
+    blocks = pg.language_blocks(narrow, smooth=True, s=s)
     labels = pg.confirm_sections(blocks, s=s).select(
         "doc_id", "page", "language", "section", "block", "offset"
     )
