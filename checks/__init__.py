@@ -23,7 +23,9 @@ def check(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from checks import (  # noqa: F401
+        analytics,
         catalogue,
         ingest,
         retrieval,
+        threads,
     )
