@@ -24,7 +24,9 @@ def load() -> None:
     """Import every module that registers queries."""
     from checks import (  # noqa: F401
         analytics,
+        answers,
         catalogue,
+        evaluation,
         ingest,
         retrieval,
         threads,

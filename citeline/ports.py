@@ -221,12 +221,13 @@ def overlap_judge(
 
 
 def note_facts(notes: Column, transcript: Column) -> Column:
-    """Summariser default: append the transcript's lines to the facts."""
-    lines = F.split(transcript, "\n")
-    facts = F.concat(F.coalesce(notes["facts"], F.array().cast("array<string>")), lines)
+    """Summariser default: the first message as the goal, and every code or
+    number said so far (words that hold a digit) as the facts."""
+    none = F.array().cast("array<string>")
+    codes = F.filter(fx.tokens(transcript), lambda w: w.rlike(r"\p{Nd}"))
     return F.struct(
-        F.coalesce(notes["goal"], F.get(lines, F.lit(0))).alias("goal"),
-        F.coalesce(notes["tried"], F.array().cast("array<string>")).alias("tried"),
+        F.coalesce(notes["goal"], F.get(F.split(transcript, "\n"), F.lit(0))).alias("goal"),
+        F.coalesce(notes["tried"], none).alias("tried"),
         notes["outcome"].alias("outcome"),
-        facts.alias("facts"),
+        F.array_union(F.coalesce(notes["facts"], none), codes).alias("facts"),
     )
