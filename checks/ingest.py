@@ -7,7 +7,7 @@ from citeline.functions import text as fx
 from citeline.operators import catalog, chunking, language, pages
 from citeline.plans import ingest
 from citeline.session import settle
-from citeline.sources.tables import document_chunks, line_pages, table
+from citeline.sources.tables import document_chunks, line_pages, spread, table
 
 LINES = """
 texts AS (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents),
@@ -66,7 +66,7 @@ def quality_sql(text: str) -> str:
 SELECT doc_id, text FROM clean""",
 )
 def clean_text(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", fx.clean_text(F.col("text")).alias("text"))
 
 
@@ -275,7 +275,7 @@ SELECT page_id, backend, length(text) AS chars,
 FROM texts""",
 )
 def extractor_report(spark, folder):
-    report = ingest.extraction_report(table(spark, folder, "pages"), "page_id", "html")
+    report = ingest.extraction_report(spread(table(spark, folder, "pages")), "page_id", "html")
     return report.select(
         "page_id", "backend", "chars", F.round("space_pct", 6).alias("space_pct"),
         F.round("control_pct", 6).alias("control_pct"),

@@ -14,11 +14,17 @@ from pyspark.sql import types as T
 
 from citeline.config import DEFAULTS
 
-# The characters Python's str.strip() and \s treat as blanks.
-# Java's \s differs (it knows neither U+001C-U+001F nor, by default, U+00A0).
+# The characters Python's str.strip() and \s treat as blanks, as
+# a pattern and as a string. Java's \s differs: it knows neither U+001C-U+001F
+# nor, by default, U+00A0.
 BLANK = (
     r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+BLANKS = "".join(
+    chr(c)
+    for c in [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+    + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 WORD = r"[\p{L}\p{N}_]"
 
 # Ligatures and marks that become several characters.
@@ -43,13 +49,18 @@ REMOVED = (
 )
 
 # Letters and vowels of the word-shape test (Spanish accents only).
-SHAPE_WORD = "[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]{2,}"
-SHAPE_VOWEL = "[aeiouáéíóúüAEIOUÁÉÍÓÚÜ]"
+SHAPE_LETTER = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
+SHAPE_VOWEL = "aeiouáéíóúüAEIOUÁÉÍÓÚÜ"
+SHAPE_WORD = f"[{SHAPE_LETTER}]{{2,}}"
+# A whole word of consonants.
+MUTE_WORD = (
+    f"(?<![{SHAPE_LETTER}])[{SHAPE_LETTER}&&[^{SHAPE_VOWEL}]]{{2,}}+(?![{SHAPE_LETTER}])"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove blanks at both ends, Unicode blanks included."""
-    return F.regexp_replace(text, rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def fold(text: Column) -> Column:
@@ -70,9 +81,13 @@ def nfc(text: Column) -> Column:
 
 
 def replace_marks(text: Column) -> Column:
-    """Fold ligatures, quotes, dashes and hard spaces; drop zero-width marks."""
+    """Fold ligatures, quotes, dashes and hard spaces; drop zero-width marks.
+
+    One look for any of them first: most texts hold none.
+    """
+    folded = text
     for mark, plain in EXPANSIONS.items():
-        text = F.replace(text, F.lit(mark), F.lit(plain))
+        folded = F.replace(folded, F.lit(mark), F.lit(plain))
     source = SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + HARD_SPACES
     target = (
         "'" * len(SINGLE_QUOTES)
@@ -81,7 +96,10 @@ def replace_marks(text: Column) -> Column:
         + " " * len(HARD_SPACES)
     )
     # translate() removes the characters that have no counterpart.
-    return F.translate(text, source + REMOVED, target)
+    folded = F.translate(folded, source + REMOVED, target)
+    # All the marks lie in these few ranges, which a pattern tests quickly.
+    candidates = r"[\xa0\xad\u2007-\u2212\ufb00-\ufb06\ufeff]"
+    return F.when(text.rlike(candidates), folded).otherwise(text)
 
 
 def mark_bullets(text: Column, paragraphs: str = "bullets") -> Column:
@@ -110,9 +128,10 @@ def join_lines(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Collapse blanks, trim lines, keep at most one empty line."""
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r" *\n *", "\n")
+    """Collapse blanks, trim lines, keep at most one empty line. The patterns
+    match only where something changes."""
+    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
+    text = F.regexp_replace(text, r" \n ?|\n ", "\n")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
@@ -136,19 +155,29 @@ def letter_ratio(text: Column) -> Column:
     return letters / F.nullif(F.length(text), F.lit(0))
 
 
+def shape_words(text: Column) -> Column:
+    """Number of words of two letters or more."""
+    return F.regexp_count(text, F.lit(SHAPE_WORD))
+
+
 def vowelless_ratio(text: Column) -> Column:
     """Share of words without a vowel; NULL when there are no words."""
-    words = F.regexp_extract_all(text, F.lit(SHAPE_WORD), F.lit(0))
-    mute = F.filter(words, lambda w: ~w.rlike(SHAPE_VOWEL))
-    return F.size(mute) / F.nullif(F.size(words), F.lit(0))
+    mute = F.regexp_count(text, F.lit(MUTE_WORD))
+    return mute / F.nullif(shape_words(text), F.lit(0))
 
 
 def is_garbled(text: Column, s=DEFAULTS) -> Column:
-    """Letters that spell nothing: enough words, too many without a vowel."""
-    words = F.regexp_count(text, F.lit(SHAPE_WORD))
-    return (words >= s.garbled_min_words) & F.coalesce(
-        vowelless_ratio(text) > s.garbled_threshold, F.lit(False)
+    """Letters that spell nothing: enough words, too many without a vowel.
+
+    Both together imply a least number of vowelless words, so the words of a
+    readable page need not be counted at all.
+    """
+    mute = F.regexp_count(text, F.lit(MUTE_WORD))
+    garbled = (shape_words(text) >= s.garbled_min_words) & (
+        vowelless_ratio(text) > s.garbled_threshold
     )
+    least = s.garbled_min_words * s.garbled_threshold
+    return F.when(mute > least, F.coalesce(garbled, F.lit(False))).otherwise(F.lit(False))
 
 
 def drop_reason(text: Column, s=DEFAULTS) -> Column:

@@ -7,11 +7,12 @@ from their lengths alone, in bounded parts whose packing is linked through one
 small summary per part.
 """
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +20,12 @@ from citeline.config import DEFAULTS
 from citeline.functions import text as fx
 from citeline.operators.ordered import int_bucket, number_rows, running_sums
 from citeline.operators.splitting import SEPARATORS, packing, split_spans
+from citeline.session import settle
 
 # Characters of a block that one task packs at a time.
 PART_CHARS = 16_000_000
 RUN = ["doc_id", "block", "run"]
+SPAN = ["doc_id", "block", "start", "end", "page_from", "page_to", "page"]
 # Marks in the summaries: wherever a part is entered; behind the run's end.
 ANY, NOWHERE = -1, 2**62
 
@@ -36,27 +39,31 @@ def _with_pieces(pages: DataFrame, s) -> DataFrame:
     """Add ``pieces``: the paragraphs of a page and their place in the block.
 
     A piece carries the separator in front of it (``skip`` characters), unless
-    it opens the block. Pages of one paragraph, the usual kind, need no Python.
+    it opens the block. Only pages of several paragraphs have to be looked
+    into; cleaning leaves few of those.
     """
     join = len(s.page_join)
-    sizes = F.transform(F.split("text", s.page_join), lambda p: F.length(p).cast("long"))
-    several = F.when(F.size("__sizes") > 1, F.transform("__sizes", lambda n: n + join))
-    pages = pages.withColumn("__sizes", sizes)
-    pages = pages.withColumn(
-        "__before", F.coalesce(_sums_before(several), F.array(F.lit(0).cast("long")))
-    )
+    several = F.contains(F.col("text"), F.lit(s.page_join))
 
-    def piece(place):
-        start = F.col("offset") + place["__before"]
+    def piece(start: Column, length: Column) -> Column:
         skip = F.when(start > 0, F.lit(join)).otherwise(F.lit(0)).cast("long")
         return F.struct(
-            (start - skip).alias("start"),
-            (start + place["__sizes"]).alias("end"),
-            skip.alias("skip"),
+            (start - skip).alias("start"), (start + length).alias("end"), skip.alias("skip")
         )
 
-    zipped = F.transform(F.arrays_zip("__sizes", "__before"), piece)
-    return pages.withColumn("pieces", zipped).drop("__sizes", "__before")
+    one = piece(F.col("offset").cast("long"), F.col("chars").cast("long"))
+    whole = pages.where(~several).withColumn("pieces", F.array(one))
+    sizes = F.transform(F.split("text", s.page_join), lambda p: F.length(p).cast("long"))
+    cut = pages.where(several).withColumn("__sizes", sizes)
+    cut = cut.withColumn("__before", _sums_before(F.transform("__sizes", lambda n: n + join)))
+    cut = cut.withColumn(
+        "pieces",
+        F.transform(
+            F.arrays_zip("__sizes", "__before"),
+            lambda p: piece(F.col("offset") + p["__before"], p["__sizes"]),
+        ),
+    )
+    return whole.unionByName(cut.drop("__sizes", "__before"))
 
 
 def _spans_udf(size: int, overlap: int):
@@ -110,7 +117,7 @@ def _exits(size: int, overlap: int):
     """Per part: at which offset of the next part packing arrives, for every
     offset at which it may enter this one."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start")
         starts = rows["start"].to_numpy()
         border = (key[-1] + 1) * PART_CHARS
@@ -130,7 +137,7 @@ def _exits(size: int, overlap: int):
     return run
 
 
-def _link(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _link(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
     """Follow the parts of one run from its first offset."""
     at = int(rows["run_start"].iloc[0])
     parts, entries = [], []
@@ -144,27 +151,44 @@ def _link(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out | {"part": parts, "entry": entries})
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]):
+    """Groups of rows that arrive sorted by ``keys``, whole, one at a time."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        changed = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+        at = np.flatnonzero(changed)
+        for a, b in zip(at[:-1], at[1:]):
+            yield rows.iloc[a:b]
+        held = rows.iloc[at[-1] :]
+    if held is not None:
+        yield held
+
+
 def _pack(size: int, overlap: int):
-    """Chunks that start in one part, one row per chunk and page."""
+    """Chunks that start in each part, one row per chunk and page."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start")
-        starts, ends = rows["start"].to_numpy(), rows["end"].to_numpy()
-        pages, skip = rows["page"].to_numpy(), rows["skip"].to_numpy()
-        stop, follow = packing(starts, int(ends[-1]), size, overlap)
-        border = (key[-1] + 1) * PART_CHARS
-        at = int(np.searchsorted(starts, rows["entry"].iloc[0]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        while at < len(starts) and starts[at] < border:
-            to = int(stop[at])
-            begin, end = starts[at] + skip[at], ends[to - 1]
-            for page in dict.fromkeys(pages[at:to]):
-                out.append((begin, end, pages[at], pages[to - 1], page))
-            at = int(follow[at])
-        frame = pd.DataFrame(out, columns=["start", "end", "page_from", "page_to", "page"])
-        frame.insert(0, "block", key[1])
-        frame.insert(0, "doc_id", key[0])
-        return frame
+        for rows in _whole_groups(batches, [*RUN, "part"]):
+            doc, block, part = rows["doc_id"].iat[0], rows["block"].iat[0], rows["part"].iat[0]
+            starts, ends = rows["start"].to_numpy(), rows["end"].to_numpy()
+            pages, skip = rows["page"].to_numpy(), rows["skip"].to_numpy()
+            stop, follow = packing(starts, int(ends[-1]), size, overlap)
+            border = (part + 1) * PART_CHARS
+            at = int(np.searchsorted(starts, rows["entry"].iat[0]))
+            while at < len(starts) and starts[at] < border:
+                to = int(stop[at])
+                span = (starts[at] + skip[at], ends[to - 1], pages[at], pages[to - 1])
+                out += [(doc, block, *span, page) for page in dict.fromkeys(pages[at:to])]
+                at = int(follow[at])
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=SPAN)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=SPAN)
 
     return run
 
@@ -175,9 +199,11 @@ def _short_spans(pieces: DataFrame, s) -> DataFrame:
     doc, page = pieces.schema["doc_id"].dataType, pieces.schema["page"].dataType
     long = (F.col("end") - F.col("start") >= s.chunk_size).cast("long")
     bucket = int_bucket(F.col("page"), s)
-    runs = running_sums(
-        pieces, ["doc_id", "block"], ["page", "para"], bucket, {"run": long}
-    ).where(F.col("end") - F.col("start") < s.chunk_size)
+    runs = settle(
+        running_sums(
+            pieces, ["doc_id", "block"], ["page", "para"], bucket, {"run": long}
+        ).where(F.col("end") - F.col("start") < s.chunk_size)
+    )
     part = F.floor(F.col("start") / PART_CHARS).cast("long")
     extent = runs.groupBy(*RUN).agg(
         F.min("start").alias("run_start"),
@@ -224,7 +250,8 @@ def _short_spans(pieces: DataFrame, s) -> DataFrame:
     placed = parts.join(entries, [*RUN, "part"], "left").withColumn(
         "entry", F.coalesce("entry", "run_start")
     )
-    packed = placed.groupBy(*RUN, "part").applyInPandas(
+    together = placed.repartition(*RUN, "part").sortWithinPartitions(*RUN, "part", "start")
+    packed = together.mapInPandas(
         _pack(s.chunk_size, s.chunk_overlap),
         T.StructType(
             [T.StructField("doc_id", doc), T.StructField("block", T.LongType())]
@@ -266,7 +293,7 @@ def chunk_pages(pages: DataFrame, s=DEFAULTS) -> DataFrame:
     pieces = pieces.select("doc_id", "block", "page", "para", "p.*")
     short = _short_chunks(pages, pieces, s)
     long = _long_chunks(placed, s)
-    chunks = (
+    chunks = settle(
         short.unionByName(long)
         .withColumn("content", fx.strip(F.col("content")))
         .where(F.length("content") > 0)

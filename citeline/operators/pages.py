@@ -27,9 +27,12 @@ def clean_pages(
     Unusable pages stay as rows with a reason; ``usable`` keeps the others
     under their original numbers.
     """
-    cleaned = pages.withColumn("text", fx.clean_text(F.col("raw"), paragraphs))
-    return cleaned.select(
-        *[c for c in pages.columns if c != "raw"],
+    kept = [c for c in pages.columns if c != "raw"]
+    # Exploding an array of one keeps the optimizer from copying the cleaning
+    # into every expression (and filter) that reads the cleaned text.
+    once = F.explode(F.array(fx.clean_text(F.col("raw"), paragraphs)))
+    return pages.select(*kept, once.alias("text")).select(
+        *kept,
         "text",
         F.length("text").alias("chars"),
         fx.heading_candidate(F.col("text"), s).alias("heading"),

@@ -5,17 +5,17 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from citeline.operators.evals import case_violation
 
-CASE = T.StructType.fromDDL(
+CASE = (
     "id string, question string, brand string, model string, intent string, "
     "answerable boolean, expected_pages array<int>, expected_answer string, "
     "key_facts array<string>"
 )
+CASE_FIELDS = tuple(field.split()[0] for field in CASE.split(", "))
 # Older reports lack some of these; an explicit schema reads them as NULL.
-RESULT = T.StructType.fromDDL(
+RESULT = (
     "id string, question string, product string, answerable boolean, "
     "intent_expected string, intent_actual string, recall boolean, correct boolean, "
     "covers boolean, invents boolean, judge_reason string, attempts int, "
@@ -28,13 +28,9 @@ CONFIG = (
     "pdf_backend", "chunk_size", "chunk_overlap", "embedding_model", "embedding_dimensions",
     "chat_model", "top_k", "min_similarity", "max_attempts",
 )
-REPORT = T.StructType(
-    [
-        T.StructField("run_at", T.StringType()),
-        T.StructField("config", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("summary", T.MapType(T.StringType(), T.DoubleType())),
-        T.StructField("cases", T.ArrayType(RESULT)),
-    ]
+REPORT = (
+    "run_at string, config map<string,string>, summary map<string,double>, "
+    f"cases array<struct<{RESULT}>>"
 )
 
 
@@ -56,7 +52,7 @@ def _checked(cases: DataFrame) -> DataFrame:
             "id",
             F.when(F.col("__n") > 1, F.raise_error(message).cast("string")).otherwise(F.col("id")),
         )
-        .select(*CASE.names)
+        .select(*CASE_FIELDS)
     )
 
 
@@ -85,7 +81,7 @@ def read_yaml_cases(spark: SparkSession, folder: str) -> DataFrame:
     rows = []
     for path in sorted(glob.glob(f"{folder}/*.yaml")):
         for entry in yaml.safe_load(Path(path).read_text()) or []:
-            rows.append(tuple(entry.get(name) for name in CASE.names))
+            rows.append(tuple(entry.get(name) for name in CASE_FIELDS))
     return _checked(_defaults(spark.createDataFrame(rows, CASE)))
 
 
@@ -108,10 +104,9 @@ def write_report(
     results.select(*stamped, "*").write.mode("append").partitionBy("run").json(f"{folder}/cases")
 
 
-def read_results(spark: SparkSession, folder: str, schema: T.StructType = RESULT) -> DataFrame:
+def read_results(spark: SparkSession, folder: str, ddl: str = RESULT) -> DataFrame:
     """Graded cases of all runs, with the run they belong to."""
-    fields = T.StructType(schema.fields + [T.StructField("run", T.StringType())])
-    return spark.read.schema(fields).json(folder)
+    return spark.read.schema(f"{ddl}, run string").json(folder)
 
 
 def latest_run(runs: DataFrame, before: str | None = None) -> DataFrame:
