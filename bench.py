@@ -10,7 +10,7 @@ import os
 import time
 
 import checks
-from citeline.session import local_session
+from citeline.session import local_session, ship
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 HEADLINE = (
@@ -41,6 +41,7 @@ def main() -> None:
     checks.load()
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     checks.QUERIES["vector_topk"](spark, FOLDER).write.format("noop").mode("overwrite").save()
     took = {}
     for name in HEADLINE:

@@ -1,7 +1,10 @@
 """Session helpers: local sessions for tests, and cutting lineage."""
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +53,21 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/citeline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once.
+
+    Needed only where it is not installed on them. The archive is made on the
+    driver, which serves it to the executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    name = os.path.join(tempfile.mkdtemp(prefix="run-citeline-"), package.name)
+    context.addPyFile(shutil.make_archive(name, "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
