@@ -25,6 +25,7 @@ def load() -> None:
     from checks import (  # noqa: F401
         analytics,
         answers,
+        approximate,
         catalogue,
         evaluation,
         ingest,

@@ -135,7 +135,7 @@ def _term_weights(column: pa.ListArray, block: QuestionBlock):
     values, rows = _lists(column)
     found = pc.index_in(values, value_set=block.vocabulary)
     hit = found.is_valid().to_numpy(zero_copy_only=False)
-    size = len(block.vocabulary)
+    size = max(len(block.vocabulary), 1)
     keys = rows[hit] * size + found.drop_null().to_numpy().astype(np.int64)
     pairs, counts = np.unique(keys, return_counts=True)
     longest = int(counts.max()) if len(counts) else 0
@@ -156,7 +156,7 @@ def _lexical_scores(rows, terms, weights, first, last, block) -> np.ndarray:
         np.repeat(rows, times) * width + questions,
         weights=np.repeat(weights, times),
         minlength=(last - first) * width,
-    ).reshape(last - first, width)
+    ).astype(np.float64).reshape(last - first, width)
     sums[sums == 0] = np.nan
     return sums / block.n_terms
 
