@@ -114,7 +114,7 @@ def results_of(spark, folder):
     wanted = cases.where("answerable").join(cited, "id").select(
         "id", "product_id", F.array_union(F.col("expected_pages").cast("array<bigint>"), "cited").alias("pages")
     )
-    sources = evals.source_texts(wanted, evals.product_chunks(chunks, links))
+    sources = evals.source_texts(wanted, chunks, links)
     return evals.case_results(cases, answers, sources, ports.overlap_judge)
 
 
@@ -147,8 +147,7 @@ def eval_results(spark, folder):
 def source_texts(spark, folder):
     cases = evals.resolve_products(cases_of(spark, folder), products_of(spark, folder))
     wanted = cases.select("id", "product_id", F.col("expected_pages").cast("array<bigint>").alias("pages"))
-    scoped = evals.product_chunks(document_chunks(spark, folder), product_links(spark, folder))
-    return evals.source_texts(wanted, scoped)
+    return evals.source_texts(wanted, document_chunks(spark, folder), product_links(spark, folder))
 
 
 def graded_labels(spark, folder):

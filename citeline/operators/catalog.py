@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citeline.config import DEFAULTS
 from citeline.functions.guard import lookup
+from citeline.session import settle
 
 # States and the replies to a claim that was not granted.
 REQUEUEABLE = ("pending", "failed")
@@ -124,10 +125,12 @@ def register_uploads(
         F.sha1(identity).alias("manual_id"), *keys, "title", "storage_key",
         F.lit("pending").alias("status"),
     )
-    of_file = known.select(
-        *keys, F.col("manual_id").cast("string").alias("manual_id")
-    ).unionByName(new_manuals.select(*keys, "manual_id"))
-    of_name = (
+    of_file = settle(
+        known.select(*keys, F.col("manual_id").cast("string").alias("manual_id")).unionByName(
+            new_manuals.select(*keys, "manual_id")
+        )
+    )
+    of_name = settle(
         products.select("product_id", "tenant_id", "brand", "model")
         .withColumn("product_id", F.col("product_id").cast("string"))
         .unionByName(new_products.select("product_id", "tenant_id", "brand", "model"))
@@ -183,27 +186,26 @@ def claim(manuals: DataFrame, requests: DataFrame, now: Column, s=DEFAULTS) -> D
     """Outcome of each request: won, status afterwards, reason when refused.
 
     requests: request_id, manual_id, arrival, force. Of the requests that may
-    claim a manual, the first to arrive wins; all others see it taken.
+    claim a manual, the first to arrive wins; all others see it taken. The
+    winner follows from one row per manual: its state, and its first request
+    with and without force. Only the verdict is joined to the requests.
     """
-    state = manuals.select("manual_id", "status", "processing_started_at", F.lit(True).alias("__known"))
-    asked = requests.join(state, "manual_id", "left").withColumn(
-        "__may",
-        F.coalesce(
-            claimable(F.col("status"), F.col("processing_started_at"), F.col("force"), now, s),
-            F.lit(False),
-        ),
+    order = F.struct("arrival", "request_id")
+    firsts = requests.groupBy("manual_id").agg(
+        F.min_by("request_id", order).alias("__first"),
+        F.min_by("request_id", F.when(F.coalesce("force", F.lit(False)), order)).alias("__forced"),
     )
-    winners = (
-        asked.where("__may")
-        .groupBy("manual_id")
-        .agg(F.min_by("request_id", F.struct("arrival", "request_id")).alias("winner"))
+    status, started = F.col("status"), F.col("processing_started_at")
+    winner = F.when(
+        claimable(status, started, F.lit(False), now, s), F.col("__first")
+    ).when(claimable(status, started, F.lit(True), now, s), F.col("__forced"))
+    verdicts = settle(
+        firsts.join(manuals, "manual_id").select("manual_id", "status", winner.alias("winner"))
     )
-    after = asked.join(winners, "manual_id", "left")
+    after = requests.join(verdicts, "manual_id", "left")
     won = F.coalesce(F.col("winner") == F.col("request_id"), F.lit(False))
     status = F.when(F.col("winner").isNotNull(), "processing").otherwise(F.col("status"))
-    reason = F.when(F.col("__known").isNull(), NOT_FOUND).otherwise(
-        lookup(CONFLICT_REASON, status)
-    )
+    reason = F.when(F.col("status").isNull(), NOT_FOUND).otherwise(lookup(CONFLICT_REASON, status))
     return after.select(
         "request_id", "manual_id", won.alias("won"), status.alias("status_after"),
         F.when(~won, reason).alias("reason"),
@@ -277,7 +279,8 @@ def fold_progress(events: DataFrame, key: str = "manual_id") -> DataFrame:
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
         for c in ("status", "duration_ms", "detail", "error")
     ]
-    state = events.groupBy(key, "step").agg(*latest)
+    state = events.where(F.col("step").isin(*STEPS)).groupBy(key, "step").agg(*latest)
+    # At most one entry per known step.
     found = state.groupBy(key).agg(
         F.map_from_entries(
             F.collect_list(F.struct("step", F.struct("status", "duration_ms", "detail", "error")))
@@ -328,9 +331,13 @@ def list_products(
     products: DataFrame, links: DataFrame, manuals: DataFrame, tenant=None, limit: int | None = None
 ) -> DataFrame:
     """Products with at least one ready manual, by brand and model."""
-    ready = links.join(
-        manuals.where(F.col("status") == "ready").select("manual_id"), "manual_id"
-    ).select("product_id")
+    ready = (
+        links.join(
+            manuals.where(F.col("status") == "ready").select("manual_id"), "manual_id", "left_semi"
+        )
+        .select("product_id")
+        .distinct()
+    )
     if tenant is not None:
         products = products.where(F.col("tenant_id") == tenant)
     listed = products.join(ready, "product_id", "left_semi").orderBy("brand", "model", "product_id")
@@ -396,8 +403,9 @@ def delete_manuals(
     named = manuals.join(wanted.select("manual_id").distinct(), "manual_id", "left_semi")
     busy = F.col("status") == "processing"
     gone = named.where(~busy)
+    ids = settle(gone.select("manual_id"))
     after = {
-        name: df.join(gone.select("manual_id"), "manual_id", "left_anti")
+        name: df.join(ids, "manual_id", "left_anti")
         for name, df in {"manuals": manuals, **children}.items()
     }
     return after | {

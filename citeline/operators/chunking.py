@@ -205,14 +205,16 @@ def _short_spans(pieces: DataFrame, s) -> DataFrame:
         ).where(F.col("end") - F.col("start") < s.chunk_size)
     )
     part = F.floor(F.col("start") / PART_CHARS).cast("long")
-    extent = runs.groupBy(*RUN).agg(
-        F.min("start").alias("run_start"),
-        F.max("end").alias("run_end"),
-        F.min_by("skip", "start").alias("run_skip"),
-        F.min("page").alias("run_from"),
-        F.max("page").alias("run_to"),
-        F.min(part).alias("first_part"),
-        F.max(part).alias("last_part"),
+    extent = settle(
+        runs.groupBy(*RUN).agg(
+            F.min("start").alias("run_start"),
+            F.max("end").alias("run_end"),
+            F.min_by("skip", "start").alias("run_skip"),
+            F.min("page").alias("run_from"),
+            F.max("page").alias("run_to"),
+            F.min(part).alias("first_part"),
+            F.max(part).alias("last_part"),
+        )
     )
     runs = runs.join(extent, RUN)
     whole = F.col("run_end") - F.col("run_start") <= s.chunk_size
@@ -298,7 +300,7 @@ def chunk_pages(pages: DataFrame, s=DEFAULTS) -> DataFrame:
         .withColumn("content", fx.strip(F.col("content")))
         .where(F.length("content") > 0)
     )
-    heads = (
+    heads = settle(
         pages.groupBy("doc_id", "block")
         .agg(F.min(F.struct("page", "language", "section")).alias("head"))
         .select("doc_id", "block", "head.language", "head.section")

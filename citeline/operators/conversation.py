@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from citeline.config import DEFAULTS
 from citeline.functions import text as fx
 from citeline.operators.ordered import int_bucket, number_rows
+from citeline.session import settle
 
 KEY = "conversation_id"
 
@@ -68,7 +69,10 @@ def append_turns(
     """Add turns (conversation_id, seq, question, answer, citations) in order
     of the integer ``seq``: question and answer take the next two ordinals, and
     the first question names an untitled thread. Returns both tables after."""
-    last = messages.groupBy(KEY).agg(F.max("ordinal").alias("__last"))
+    named = turns.select(KEY).distinct()
+    last = settle(
+        messages.join(named, KEY, "left_semi").groupBy(KEY).agg(F.max("ordinal").alias("__last"))
+    )
     numbered = number_rows(turns, [KEY], ["seq"], int_bucket(F.col("seq"), s), "__pos")
     base = F.coalesce(F.col("__last"), F.lit(-1))
     placed = numbered.join(last, KEY, "left").withColumn("__base", base + 2 * F.col("__pos") + 1)
@@ -114,7 +118,7 @@ def summary_ranges(conversations: DataFrame, messages: DataFrame, s=DEFAULTS) ->
 def transcripts(ranges: DataFrame, messages: DataFrame, s=DEFAULTS) -> DataFrame:
     """The messages of each range as text, in segments of a bounded number of
     messages, so that a thread of any length never becomes one value."""
-    within = messages.join(ranges, KEY).where(
+    within = messages.join(settle(ranges), KEY).where(
         (F.col("ordinal") >= F.col("fold_from")) & (F.col("ordinal") < F.col("fold_to"))
     )
     segment = F.floor((F.col("ordinal") - F.col("fold_from")) / s.transcript_segment)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.config import DEFAULTS
+from citeline.session import settle
 
 # Measures of a summary, in report order.
 METRICS = (
@@ -56,18 +57,26 @@ def found_facts(answer: Column, facts: Column) -> Column:
     return F.size(F.filter(facts, lambda f: F.contains(said, F.lower(f))))
 
 
-def source_texts(wanted: DataFrame, chunks: DataFrame, s=DEFAULTS) -> DataFrame:
+def source_texts(
+    wanted: DataFrame, chunks: DataFrame, links: DataFrame, s=DEFAULTS
+) -> DataFrame:
     """Manual text behind a set of pages, per case, cut to the judge's limit.
 
-    wanted: id, product_id, pages. chunks: product_id (scoped, see
-    ``scope``), ordinal, chunk_id, page_from, content. A chunk counts when its
-    first page is wanted, which makes the join an equi-join on product and
-    page. No more parts than could fit the limit are brought together.
+    wanted: id, product_id, pages. chunks: chunk_id, manual_id, ordinal,
+    page_from, content, applies_to. A chunk counts when its first page is
+    wanted, which makes the join an equi-join on manual and page: the pages of
+    a manual with a large share of the chunks spread over all tasks. No more
+    parts than could fill the limit are brought together.
     """
     pages = wanted.select("id", "product_id", F.explode(F.array_distinct("pages")).alias("page_from"))
+    places = settle(pages.join(links.select("manual_id", "product_id").distinct(), "product_id"))
     part = F.concat(F.lit("[page "), F.col("page_from").cast("string"), F.lit("]\n"), "content")
-    rows = chunks.join(pages, ["product_id", "page_from"]).select(
-        "id", "ordinal", "chunk_id", F.left(part, F.lit(s.max_source_chars)).alias("part")
+    applies = F.col("applies_to").isNull() | F.array_contains("applies_to", F.col("product_id"))
+    rows = (
+        chunks.select("manual_id", "page_from", "ordinal", "chunk_id", "content", "applies_to")
+        .join(places, ["manual_id", "page_from"])
+        .where(applies)
+        .select("id", "ordinal", "chunk_id", F.left(part, F.lit(s.max_source_chars)).alias("part"))
     )
     # Each part is at least "[page 1]\n" long, so this many fill the limit.
     most = s.max_source_chars // len("[page 1]\n") + 1
@@ -79,12 +88,6 @@ def source_texts(wanted: DataFrame, chunks: DataFrame, s=DEFAULTS) -> DataFrame:
     )
 
 
-def product_chunks(chunks: DataFrame, links: DataFrame) -> DataFrame:
-    """Chunks once per product they may answer for."""
-    applies = F.col("applies_to").isNull() | F.array_contains("applies_to", F.col("product_id"))
-    return chunks.join(links.select("manual_id", "product_id").distinct(), "manual_id").where(applies)
-
-
 def grade(results: DataFrame, judge) -> DataFrame:
     """Add the judge's verdict: covers, invents, judge_reason, correct.
 

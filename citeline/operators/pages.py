@@ -103,7 +103,7 @@ def confirm_sections(
     the shuffle, and a heading that fills a third of the pages is one row of
     the counted side, so the join may split the other side.
     """
-    repeated = (
+    repeated = settle(
         pages.where(F.col("heading").isNotNull())
         .groupBy(doc, "heading")
         .agg(F.count("*").alias("__n"))
@@ -125,7 +125,7 @@ def number_blocks(
         {"__cursor": width.cast("long"), "__before": opened},
     ).withColumn("block", F.col("__before") + opened - 1)
     # The block's own start: an aggregate, so a block of any length is one row.
-    starts = placed.groupBy(doc, "block").agg(F.min("__cursor").alias("__start"))
+    starts = settle(placed.groupBy(doc, "block").agg(F.min("__cursor").alias("__start")))
     return (
         placed.join(starts, [doc, "block"])
         .withColumn("offset", F.col("__cursor") - F.col("__start"))

@@ -18,6 +18,7 @@ from citeline.operators.scoring import (
     QuestionBlock,
     score_chunks,
 )
+from citeline.session import settle
 
 # Chunks per cell of the blocked join that serves oversized question sets.
 CELL_CHUNKS = 50_000
@@ -52,7 +53,7 @@ def attach_products(
     scoped = F.when(F.col("applies_to").isNull(), F.col("products")).otherwise(
         F.array_intersect("products", "applies_to")
     )
-    return chunks.join(covers, "manual_id", "left").withColumn("products", scoped)
+    return chunks.join(settle(covers), "manual_id", "left").withColumn("products", scoped)
 
 
 def _question_columns(questions: DataFrame, product: T.DataType) -> DataFrame:
@@ -246,13 +247,19 @@ def merge_hits(candidates: DataFrame, top_k: int = DEFAULTS.top_k) -> DataFrame:
 
 
 def fetch_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add the chunk's own columns to ranked ids. Ranking never carries text."""
+    """Add the chunk's own columns to ranked ids. Ranking never carries text.
+
+    The ranked ids are settled first: they are few, and with their size known
+    the chunk table is read where it lies, not shuffled.
+    """
     wanted = [
         c
         for c in ("chunk_id", "manual_id", "content", "page_from", "page_to", "language")
         if c in chunks.columns
     ]
-    return ranked.join(chunks.select(*wanted), "chunk_id")
+    return chunks.select(*wanted).join(settle(ranked), "chunk_id").select(
+        *ranked.columns, *wanted[1:]
+    )
 
 
 def context_text(hits: DataFrame) -> DataFrame:

@@ -49,6 +49,11 @@ def settle(df: DataFrame) -> DataFrame:
     Used where one result feeds several branches and is dear to compute twice
     (model calls, long shuffles). The table outlives any executor, cuts the
     lineage, and keeps column pruning for the branches that read it.
+
+    Also used on the summarised side of a join back to the rows it summarises.
+    Spark then knows its size before it plans (and broadcasts it when small);
+    when it is not, both sides are shuffled for this join alone, which is what
+    lets the adaptive planner split a key that holds a large share of the rows.
     """
     path = f"{shared_folder(df.sparkSession)}/citeline-{uuid.uuid4().hex}"
     df.write.parquet(path)
