@@ -441,17 +441,23 @@ def orphans(stored: DataFrame, manuals: DataFrame) -> DataFrame:
 
 
 def sweep_summary(stored: DataFrame, manuals: DataFrame, dry_run: bool = True) -> DataFrame:
-    """Counts of a sweep in one row. The keys themselves are ``orphans``."""
-    checked = stored.agg(F.countDistinct("storage_key").alias("checked"))
-    referenced = manuals.agg(F.countDistinct("storage_key").alias("referenced"))
-    orphaned = orphans(stored, manuals).agg(F.count("*").alias("orphaned"))
-    one = F.lit(1).alias("__one")
-    joined = checked.select("*", one)
-    for part in (referenced, orphaned):
-        joined = joined.join(part.select("*", one), "__one")
-    return joined.select(
-        "checked", "referenced", "orphaned",
-        F.lit(0).cast("long").alias("deleted") if dry_run else F.col("orphaned").alias("deleted"),
+    """Counts of a sweep in one row. The keys themselves are ``orphans``.
+
+    Both sides meet in one aggregate by key, so each key is counted once and
+    nothing has to be joined.
+    """
+    sides = stored.select("storage_key", F.lit(True).alias("disk")).unionByName(
+        manuals.where("storage_key IS NOT NULL").select("storage_key", F.lit(False).alias("disk"))
+    )
+    keys = sides.groupBy("storage_key").agg(
+        F.max("disk").alias("stored"), F.max(~F.col("disk")).alias("used")
+    )
+    orphaned = F.count_if(F.col("stored") & ~F.col("used"))
+    return keys.agg(
+        F.count_if(F.col("stored")).alias("checked"),
+        F.count_if(F.col("used")).alias("referenced"),
+        orphaned.alias("orphaned"),
+        (F.lit(0).cast("long") if dry_run else orphaned).alias("deleted"),
         F.lit(dry_run).alias("dry_run"),
     )
 
