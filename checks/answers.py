@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import check
+from checks.catalogue import PRODUCTS, products_of
 from checks.ingest import BLANK
 from checks.retrieval import (
     CHUNK_SQL,
@@ -15,10 +16,13 @@ from checks.retrieval import (
     embedded_chunks,
     rank_sql,
 )
+from checks.threads import THREADS, messages_of, threads_of
 from citeline import ports
 from citeline.config import Settings
 from citeline.functions import guard
 from citeline.operators import answer, search
+from citeline.plans import tools
+from citeline.plans.ask import ask
 from citeline.sources.tables import benchmark_questions, product_links, table
 
 assert CHUNK_SQL and FUSED_SQL and SCOPED_JOIN  # pieces of SCOPED_SQL
@@ -132,10 +136,10 @@ def stubborn(hits, conversation, feedback, question):
 
 STRICT = Settings(min_similarity=0.6)
 
-FLOW_SQL = f"""{SCOPED_SQL},
+FLOW = """,
 best AS (SELECT h.*, c.page_from, c.content FROM hits h JOIN chunk c USING (chunk_id) WHERE rank = 1),
 flow AS (
-  SELECT q.question_id, q.question, length(question) AS n, b.chunk_id, b.page_from, b.content, b.similarity,
+  SELECT q.question_id, q.question, q.product_id, length(question) AS n, b.chunk_id, b.page_from, b.content, b.similarity,
     CASE length(question) % 7 WHEN 0 THEN 'safety' WHEN 1 THEN 'out_of_scope' WHEN 2 THEN 'small_talk' ELSE 'how_to' END AS intent
   FROM question q LEFT JOIN best b USING (question_id)
 ),
@@ -143,15 +147,25 @@ state AS (
   SELECT *, CASE WHEN intent <> 'how_to' THEN intent WHEN coalesce(similarity, 0) < 0.6 THEN 'weak'
     WHEN n % 3 <> 0 THEN 'first' WHEN n % 2 = 0 THEN 'second' ELSE 'lost' END AS state FROM flow
 )"""
+FLOW_SQL = SCOPED_SQL + FLOW
 
 
-def flow(spark, folder):
-    asked = benchmark_questions(spark, folder).select("question_id", "question", "product_id")
-    chosen = answer.Ports(
+REPLY = f"""CASE state WHEN 'safety' THEN {sql_text(guard.SAFETY_ANSWER)}
+    WHEN 'out_of_scope' THEN {sql_text(guard.OUT_OF_SCOPE_ANSWER)}
+    WHEN 'small_talk' THEN {sql_text(ports.GREETING)} WHEN 'weak' THEN {sql_text(guard.ESCALATION_ANSWER)}
+    WHEN 'lost' THEN {sql_text(guard.ESCALATION_ANSWER)} ELSE content END"""
+
+
+def chosen_ports():
+    return answer.Ports(
         route=by_length, generate=stubborn, translate=ports.glossary(TO_ENGLISH)
     )
+
+
+def flow(spark, folder):
+    asked = benchmark_questions(spark, folder).select("question_id", "question", "product_id")
     return answer.answer_questions(
-        asked, embedded_chunks(spark, folder), product_links(spark, folder), chosen, STRICT
+        asked, embedded_chunks(spark, folder), product_links(spark, folder), chosen_ports(), STRICT
     )
 
 
@@ -162,9 +176,7 @@ SELECT question_id, intent, state IN ('first', 'second', 'safety', 'out_of_scope
   state IN ('weak', 'lost') AS escalated,
   CASE state WHEN 'first' THEN 1 WHEN 'second' THEN 2 WHEN 'lost' THEN 2 ELSE 0 END AS attempts,
   CASE WHEN state IN ('first', 'second') THEN chunk_id || ':' || page_from ELSE '' END AS cited,
-  CASE state WHEN 'safety' THEN {sql_text(guard.SAFETY_ANSWER)} WHEN 'out_of_scope' THEN {sql_text(guard.OUT_OF_SCOPE_ANSWER)}
-    WHEN 'small_talk' THEN {sql_text(ports.GREETING)} WHEN 'weak' THEN {sql_text(guard.ESCALATION_ANSWER)}
-    WHEN 'lost' THEN {sql_text(guard.ESCALATION_ANSWER)} ELSE content END AS answer
+  {REPLY} AS answer
 FROM state""",
 )
 def answer_questions(spark, folder):
@@ -186,3 +198,118 @@ def log_entries(spark, folder):
     return answer.log_entries(flow(spark, folder)).select(
         "question_id", "normalized_question", "intent", "resolved"
     )
+
+
+def requests_of(spark, folder):
+    """Benchmark items as requests: by turns in a thread, by product, by token,
+    and some that must be refused."""
+    asked = benchmark_questions(spark, folder)
+    number = F.col("question_id")
+    none = F.lit(None)
+    return asked.select(
+        number.alias("request_id"),
+        "question",
+        F.when((number % 2 == 0) & (number % 8 != 0), F.col("product_id")).alias("product_id"),
+        F.when(number % 8 == 0, F.concat(F.lit("token"), number % 16)).alias("product_token"),
+        F.when(number % 2 == 1, number % 7).otherwise(none).alias("conversation_id"),
+    )
+
+
+# The same requests in SQL: token 8 is known, token 0 too; a thread brings its product.
+ASK_SQL = (
+    SCOPED_SQL.replace(
+        "text AS question, label AS product_id",
+        "text AS question, CASE WHEN item_id % 2 = 1 THEN (item_id % 7) % 10"
+        " WHEN item_id % 8 = 0 THEN item_id % 16 ELSE label END AS product_id",
+    )
+    + FLOW
+    + f""", {THREADS}, {PRODUCTS},
+request AS (
+  SELECT s.*, CASE WHEN question_id % 2 = 1 THEN question_id % 7 ELSE 1000000 + question_id END AS conversation_id,
+    {REPLY} AS reply
+  FROM state s
+  WHERE question_id % 2 = 1 OR question_id % 8 <> 0 OR question_id % 16 IN (SELECT product_id FROM product)
+),
+last AS (SELECT conversation_id, max(ordinal) AS last FROM message GROUP BY 1),
+placed AS (
+  SELECT r.*, coalesce(last, -1) + 2 * row_number() OVER (PARTITION BY conversation_id ORDER BY question_id) - 1 AS o
+  FROM request r LEFT JOIN last USING (conversation_id)
+)"""
+)
+
+
+def asked(spark, folder):
+    return ask(
+        requests_of(spark, folder), products_of(spark, folder), threads_of(spark, folder),
+        messages_of(spark, folder), embedded_chunks(spark, folder), product_links(spark, folder),
+        lambda request: request + 1_000_000, chosen_ports(),
+        now=F.lit("2024-02-01").cast("timestamp"), s=STRICT,
+    )
+
+
+@check(
+    "ask_messages",
+    f"""{ASK_SQL}
+SELECT conversation_id, ordinal, role, content FROM message
+UNION ALL SELECT conversation_id, o, 'user', question FROM placed
+UNION ALL SELECT conversation_id, o + 1, 'assistant', reply FROM placed""",
+)
+def ask_messages(spark, folder):
+    return asked(spark, folder)["messages"].select("conversation_id", "ordinal", "role", "content")
+
+
+@check(
+    "ask_threads",
+    f"""{ASK_SQL},
+everything AS (
+  SELECT conversation_id, ordinal FROM message UNION ALL SELECT conversation_id, o FROM placed
+  UNION ALL SELECT conversation_id, o + 1 FROM placed
+),
+total AS (SELECT conversation_id, count(*) AS total FROM everything GROUP BY 1),
+state_after AS (
+  SELECT conversation_id, product_id, summarised_through AS through FROM thread
+  UNION ALL SELECT conversation_id, product_id, 0 FROM placed WHERE conversation_id >= 1000000
+)
+SELECT conversation_id, product_id, CASE WHEN total - through > 6 AND total - 6 > through THEN total - 6 ELSE through END
+  AS summarised_through
+FROM state_after LEFT JOIN total USING (conversation_id)""",
+)
+def ask_threads(spark, folder):
+    return asked(spark, folder)["conversations"].select(
+        "conversation_id", "product_id", "summarised_through"
+    )
+
+
+@check(
+    "search_manual",
+    f"""{SCOPED_SQL}
+SELECT question_id, rank, chunk_id, content, page_from || '-' || page_to AS pages, language,
+  round(round(similarity, 9), 3) AS similarity
+FROM hits JOIN chunk USING (chunk_id)""",
+)
+def search_manual(spark, folder):
+    names = products_of(spark, folder).select("product_id", F.upper("brand").alias("brand"), "model")
+    queries = benchmark_questions(spark, folder).join(names, "product_id", "left").select(
+        "question_id", "question", "brand", "model"
+    )
+    return tools.search_manual(
+        queries, products_of(spark, folder), product_links(spark, folder),
+        embedded_chunks(spark, folder), chosen_ports(),
+    )
+
+
+@check(
+    "ask_manual",
+    f"""{FLOW_SQL}
+SELECT question_id, {REPLY} AS answer, intent, state NOT IN ('weak', 'lost') AS grounded,
+  state IN ('weak', 'lost') AS escalated FROM state""",
+)
+def ask_manual(spark, folder):
+    names = products_of(spark, folder).select("product_id", F.upper("brand").alias("brand"), "model")
+    queries = benchmark_questions(spark, folder).join(names, "product_id", "left").select(
+        "question_id", "question", "brand", "model"
+    )
+    return tools.ask_manual(
+        queries, products_of(spark, folder), product_links(spark, folder),
+        embedded_chunks(spark, folder), chosen_ports(), STRICT,
+    ).drop("citations")

@@ -474,3 +474,18 @@ def progress_totals(spark, folder):
     folded = catalog.fold_progress(step_events(spark, folder))
     totals = catalog.progress_totals(F.col("progress"))
     return folded.select("manual_id", totals.alias("t")).select("manual_id", "t.*")
+
+
+@check(
+    "find_manuals",
+    f"""WITH {MANUALS}
+SELECT v.vec_id AS manual_id, title, status, m.manual_id IS NULL AS is_missing
+FROM (SELECT vec_id FROM embeddings UNION ALL SELECT -1 - event_id FROM events) v
+LEFT JOIN manual m ON m.manual_id = v.vec_id""",
+)
+def find_manuals(spark, folder):
+    wanted = table(spark, folder, "embeddings").select(F.col("vec_id").alias("manual_id")).union(
+        table(spark, folder, "events").select(-1 - F.col("event_id"))
+    )
+    manuals = manuals_of(spark, folder).select("manual_id", "title", "status")
+    return catalog.find(manuals, wanted, "manual_id")

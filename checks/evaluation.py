@@ -8,6 +8,7 @@ from checks.retrieval import SCOPED_SQL, TO_ENGLISH, embedded_chunks
 from citeline import ports
 from citeline.functions import text as fx
 from citeline.operators import answer, evals
+from citeline.plans import evaluate
 from citeline.sources.tables import (
     benchmark_questions,
     document_chunks,
@@ -103,19 +104,11 @@ result AS (
 
 
 def results_of(spark, folder):
-    cases = evals.resolve_products(cases_of(spark, folder), products_of(spark, folder))
-    links, chunks = product_links(spark, folder), document_chunks(spark, folder)
-    asked = cases.select(F.col("id").alias("question_id"), "question", "product_id")
     flow = answer.Ports(route=lambda q: F.lit("how_to"), translate=ports.glossary(TO_ENGLISH))
-    answers = answer.answer_questions(asked, embedded_chunks(spark, folder), links, flow)
-    cited = answers.select(
-        F.col("question_id").alias("id"), F.transform("citations", lambda c: c["page"].cast("long")).alias("cited")
-    )
-    wanted = cases.where("answerable").join(cited, "id").select(
-        "id", "product_id", F.array_union(F.col("expected_pages").cast("array<bigint>"), "cited").alias("pages")
+    return evaluate.run_cases(
+        cases_of(spark, folder), products_of(spark, folder), document_chunks(spark, folder),
+        product_links(spark, folder), flow, embedded=embedded_chunks(spark, folder),
     )
-    sources = evals.source_texts(wanted, chunks, links)
-    return evals.case_results(cases, answers, sources, ports.overlap_judge)
 
 
 @check(

@@ -465,3 +465,14 @@ def sweep_summary(stored: DataFrame, manuals: DataFrame, dry_run: bool = True) -
 def failure(error_type: Column, message: Column, s=DEFAULTS) -> Column:
     """Error text of a failed ingestion, cut to fit."""
     return F.left(F.concat_ws(": ", error_type, message), F.lit(s.max_error_chars))
+
+
+def find(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows by id, one per id asked for; ``is_missing`` where there is none."""
+    found = table.withColumn("__found", F.lit(True))
+    return (
+        wanted.select(key)
+        .join(found, key, "left")
+        .withColumn("is_missing", F.col("__found").isNull())
+        .drop("__found")
+    )
