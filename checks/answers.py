@@ -13,7 +13,7 @@ from checks.retrieval import (
     SCOPED_SQL,
     TO_ENGLISH,
     VECTOR_CHUNKS,
-    embedded_chunks,
+    stored_chunks,
     rank_sql,
 )
 from checks.threads import THREADS, messages_of, threads_of
@@ -165,7 +165,7 @@ def chosen_ports():
 def flow(spark, folder):
     asked = benchmark_questions(spark, folder).select("question_id", "question", "product_id")
     return answer.answer_questions(
-        asked, embedded_chunks(spark, folder), product_links(spark, folder), chosen_ports(), STRICT
+        asked, stored_chunks(spark, folder), product_links(spark, folder), chosen_ports(), STRICT
     )
 
 
@@ -241,7 +241,7 @@ placed AS (
 def asked(spark, folder):
     return ask(
         requests_of(spark, folder), products_of(spark, folder), threads_of(spark, folder),
-        messages_of(spark, folder), embedded_chunks(spark, folder), product_links(spark, folder),
+        messages_of(spark, folder), stored_chunks(spark, folder), product_links(spark, folder),
         lambda request: request + 1_000_000, chosen_ports(),
         now=F.lit("2024-02-01").cast("timestamp"), s=STRICT,
     )
@@ -294,7 +294,7 @@ def search_manual(spark, folder):
     )
     return tools.search_manual(
         queries, products_of(spark, folder), product_links(spark, folder),
-        embedded_chunks(spark, folder), chosen_ports(),
+        stored_chunks(spark, folder), chosen_ports(),
     )
 
 
@@ -311,5 +311,5 @@ def ask_manual(spark, folder):
     )
     return tools.ask_manual(
         queries, products_of(spark, folder), product_links(spark, folder),
-        embedded_chunks(spark, folder), chosen_ports(), STRICT,
+        stored_chunks(spark, folder), chosen_ports(), STRICT,
     ).drop("citations")

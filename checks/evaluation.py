@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import check
 from checks.catalogue import PRODUCTS, products_of
-from checks.retrieval import SCOPED_SQL, TO_ENGLISH, embedded_chunks
+from checks.retrieval import SCOPED_SQL, TO_ENGLISH, stored_chunks
 from citeline import ports
 from citeline.functions import text as fx
 from citeline.operators import answer, evals
@@ -107,7 +107,7 @@ def results_of(spark, folder):
     flow = answer.Ports(route=lambda q: F.lit("how_to"), translate=ports.glossary(TO_ENGLISH))
     return evaluate.run_cases(
         cases_of(spark, folder), products_of(spark, folder), document_chunks(spark, folder),
-        product_links(spark, folder), flow, embedded=embedded_chunks(spark, folder),
+        product_links(spark, folder), flow, embedded=stored_chunks(spark, folder),
     )
 
 

@@ -234,7 +234,7 @@ def chunks_rows(spark, folder):
 @check("ingest_documents")
 def ingest_documents(spark, folder):
     """The whole way, with a detector trained on the given languages."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("text", "lang"))
     model = language.train_detector(docs, "text", "lang")
     raw = line_pages(spark, folder).drop("lang")
     result = ingest.ingest_pages(raw, lambda df: language.detect(df, model))
@@ -246,7 +246,7 @@ def ingest_documents(spark, folder):
 
 @check("detect_language")
 def detect_language(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     model = language.train_detector(docs, "text", "lang")
     return language.detect(docs, model).select("doc_id", "lang", "language")
 

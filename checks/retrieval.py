@@ -6,6 +6,7 @@ from checks import check
 from citeline import ports
 from citeline.functions import text as fx
 from citeline.operators import search
+from citeline.session import settle
 from citeline.sources.tables import (
     benchmark_questions,
     document_chunks,
@@ -163,6 +164,11 @@ def embedded_chunks(spark, folder):
     return ports.embed(document_chunks(spark, folder), "content")
 
 
+def stored_chunks(spark, folder):
+    """The chunk table as ingestion leaves it: vectors computed once."""
+    return settle(embedded_chunks(spark, folder))
+
+
 def embedded_questions(spark, folder):
     """Questions with their vector, terms, translation and its vector."""
     asked = benchmark_questions(spark, folder)

@@ -163,6 +163,7 @@ def rank_candidates(
 def _blocked(chunks, questions, rankings, k, fields, arrow, product_arrow, s):
     """Question blocks x chunk blocks as an equi-join on block numbers: both
     sides of every cell are bounded, and nothing passes the driver."""
+    questions = settle(questions)
     n_q = -(-questions.count() // s.question_block_rows)
     n_c = -(-max(chunks.count(), 1) // CELL_CHUNKS)
     cells = ["cell_c", "cell_q"]

@@ -1,5 +1,6 @@
 """Stored files as tables: bytes, listings, and the chunk sink."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,7 @@ def write_chunks(chunks: DataFrame, path: str, buckets: int = 256) -> None:
     new = chunks.withColumn("part", part)
     try:
         old = spark.read.schema(new.schema).parquet(path)
-        old.isEmpty()
-    except Exception:  # noqa: BLE001 - no table yet
+    except AnalysisException:  # no table yet
         old = None
     if old is not None:
         touched = new.select("part").distinct()
