@@ -7,6 +7,46 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# DuckDB widens sums to HUGEINT and counts positions in BIGINT; the columns
+# below are cast to the types Spark gives them.
+TYPES = {
+    "BIGINT": {
+        "catalogue_products": ("product_id",),
+        "match_products": ("product_id",),
+        "resolve_products": ("product_id",),
+        "sweep_summary": ("deleted",),
+        "progress_totals": ("total_ms",),
+        "language_blocks": ("block", '"offset"'),
+        "block_heads": ("block", "block_chars"),
+        "manual_stats": ("chunks",),
+        "page_languages": ("characters",),
+        "labelled_pages": ("block", '"offset"'),
+    },
+    "INTEGER": {
+        "progress_totals": ("done",),
+        "page_quality": ("page", "chars"),
+        "section_labels": ("page",),
+        "labelled_pages": ("page", "chars"),
+        "extractor_report": ("chars",),
+        "vector_topk": ("rank",),
+        "lexical_topk": ("rank",),
+        "hybrid_rrf": ("rank",),
+        "scoped_search": ("rank",),
+        "merge_semantic": ("rank",),
+        "search_manual": ("rank",),
+        "grounding": ("invented",),
+    },
+}
+
+
+def _typed(name: str, sql: str) -> str:
+    casts = [
+        f"CAST({column} AS {kind}) AS {column}"
+        for kind, queries in TYPES.items()
+        for column in queries.get(name, ())
+    ]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})" if casts else sql
+
 
 def check(name: str, sql: str | None = None):
     """Register a query under ``name``, with the SQL that must agree with it."""
@@ -14,7 +54,7 @@ def check(name: str, sql: str | None = None):
     def keep(function):
         QUERIES[name] = function
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = _typed(name, sql)
         return function
 
     return keep
