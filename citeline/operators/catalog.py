@@ -388,7 +388,7 @@ def page_languages(pages: DataFrame, key: str = "manual_id") -> DataFrame:
 
 def replace_chunks(chunks: DataFrame, new: DataFrame, done: DataFrame) -> DataFrame:
     """All chunks of the documents in ``done`` replaced by those in ``new``."""
-    kept = chunks.join(done.select("manual_id").distinct(), "manual_id", "left_anti")
+    kept = chunks.join(settle(done.select("manual_id").distinct()), "manual_id", "left_anti")
     return kept.unionByName(new)
 
 
@@ -416,8 +416,8 @@ def delete_manuals(
 
 def set_null(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     """Blank a reference to deleted rows, and keep the rows themselves."""
-    keys = gone.select(F.col(gone.columns[0]).alias(column), F.lit(True).alias("__gone"))
-    joined = rows.join(keys.dropDuplicates([column]), column, "left")
+    keys = settle(gone.select(F.col(gone.columns[0]).alias(column)).distinct())
+    joined = rows.join(keys.withColumn("__gone", F.lit(True)), column, "left")
     return joined.withColumn(
         column, F.when(F.col("__gone").isNull(), F.col(column))
     ).select(*rows.columns)

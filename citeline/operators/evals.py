@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.config import DEFAULTS
+from citeline.functions.numbers import round3
 from citeline.session import settle
 
 # Measures of a summary, in report order.
@@ -144,7 +145,7 @@ def case_results(cases: DataFrame, answers: DataFrame, sources: DataFrame, judge
 
 def _ratio(flag: str, among: Column) -> Column:
     truth = F.coalesce(F.col(flag), F.lit(False)).cast("int")
-    return F.round(F.avg(F.when(among, truth)), 3)
+    return F.avg(F.when(among, truth))
 
 
 def summarise(results: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def summarise(results: DataFrame) -> DataFrame:
     one: the element behind the middle, never a mean of two.
     """
     yes, no = F.col("answerable"), ~F.col("answerable")
-    return results.agg(
+    measured = results.agg(
         F.count("*").alias("cases"),
         F.count_if(yes).alias("answerable"),
         F.count_if(no).alias("unanswerable"),
@@ -166,6 +167,7 @@ def summarise(results: DataFrame) -> DataFrame:
         _ratio("escalated", yes).alias("escalation_rate"),
         upper_median("latency_ms").alias("median_latency_ms"),
     )
+    return measured.withColumns({name: round3(F.col(name)) for name in METRICS})
 
 
 def upper_median(column: str) -> Column:
@@ -212,7 +214,7 @@ def consistency(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if(unstable).alias("unstable"),
     ).withColumn(
         "stability",
-        F.round(1 - F.col("unstable") / F.nullif(F.col("cases"), F.lit(0)), 3),
+        round3(1 - F.col("unstable") / F.nullif(F.col("cases"), F.lit(0))),
     )
     return overall, per_case.where(unstable)
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeline import ports
@@ -37,6 +37,7 @@ def ingest_pages(
     raw: DataFrame,
     detect: Callable[[DataFrame], DataFrame],
     embed: Callable[[DataFrame, str, str], DataFrame] = ports.embed,
+    documents: DataFrame | None = None,
     s=DEFAULTS,
 ) -> dict[str, DataFrame]:
     """Pages in, chunk table and document states out.
@@ -45,6 +46,7 @@ def ingest_pages(
     page_to, language, section_path, content, tokens, embedding, applies_to)
     and ``manuals`` (manual_id, status, error, page_count, chunk_count). A
     document without a usable page is a failed row, never a failed job.
+    ``documents`` (doc_id, error) names those that may have no page at all.
     """
     labelled = settle(label_pages(raw, detect, s))
     cut = settle(chunking.chunk_pages(labelled, s))
@@ -61,7 +63,8 @@ def ingest_pages(
         "embedding",
         F.lit(None).cast("array<string>").alias("applies_to"),
     )
-    documents = raw.select("doc_id").distinct()
+    if documents is None:
+        documents = raw.select("doc_id").distinct().withColumn("error", F.lit(None).cast("string"))
     n_pages = labelled.groupBy("doc_id").agg(F.count("*").alias("page_count"))
     n_chunks = cut.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
     empty = F.col("page_count").isNull()
@@ -71,7 +74,9 @@ def ingest_pages(
         .select(
             F.col("doc_id").alias("manual_id"),
             F.when(empty, "failed").otherwise("ready").alias("status"),
-            F.when(empty, SCANNED_MESSAGE).alias("error"),
+            F.when(
+                empty, F.coalesce(F.left("error", F.lit(s.max_error_chars)), F.lit(SCANNED_MESSAGE))
+            ).alias("error"),
             F.coalesce("page_count", F.lit(0)).alias("page_count"),
             F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
         )
@@ -79,6 +84,23 @@ def ingest_pages(
     return {"pages": labelled, "chunks": chunks, "manuals": manuals}
 
 
+def ingest_files(
+    files: DataFrame,
+    detect: Callable[[DataFrame], DataFrame],
+    extract: Callable[[Column], Column] = ports.text_pages,
+    embed: Callable[[DataFrame, str, str], DataFrame] = ports.embed,
+    s=DEFAULTS,
+) -> dict[str, DataFrame]:
+    """Stored files (doc_id, content) in, as ``ingest_pages`` out.
+
+    ``extract`` gives struct(pages, error) per file and runs once per file.
+    """
+    extracted = settle(files.select("doc_id", extract(F.col("content")).alias("x")))
+    raw = pg.pages_from_texts(extracted.select("doc_id", "x.pages"), "doc_id", F.col("pages"))
+    documents = extracted.select("doc_id", "x.error")
+    return ingest_pages(raw, detect, embed, documents, s)
+
+
 def ingest_report(pages: DataFrame, chunks: DataFrame, s=DEFAULTS) -> DataFrame:
     """What each step produced, per document: pages, characters, languages by
     pages, chunks and their mean length (whole numbers, 0 without chunks)."""

@@ -93,6 +93,34 @@ def split_pages(text: Column) -> Column:
     )
 
 
+def page_port(function: Callable[[bytes], list[str]]) -> Callable[[Column], Column]:
+    """Wrap an extractor of files (bytes to page texts) as an Arrow UDF.
+
+    Returns struct(pages, error): a file that breaks the extractor is a row
+    with an error, never a failed job.
+    """
+
+    @F.pandas_udf("pages array<string>, error string")
+    def run(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for content in contents:
+            try:
+                rows.append((list(function(content)), None))
+            except Exception as error:  # noqa: BLE001 - the file's fault
+                rows.append(([], f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(rows, columns=["pages", "error"])
+
+    return run
+
+
+def text_pages(content: Column) -> Column:
+    """Default extractor of files: text, split into pages in the JVM."""
+    return F.struct(
+        split_pages(F.decode(content, "utf-8")).alias("pages"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
 def html_text(html: Column) -> Column:
     """Visible text of an HTML page by pattern: no script, style or tags."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " ")

@@ -9,8 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from citeline import ports
 from citeline.config import DEFAULTS
 from citeline.operators import catalog
-from citeline.operators.pages import pages_from_texts
-from citeline.plans.ingest import ingest_pages
+from citeline.plans.ingest import ingest_files
 from citeline.sources.files import stored_key, write_chunks
 from citeline.streaming.log import BatchLog
 
@@ -31,17 +30,12 @@ def file_stream(spark: SparkSession, folder: str, per_batch: int = 1000) -> Data
     return files.select(stored_key(), "length", "content")
 
 
-def text_pages(content: Column) -> Column:
-    """Default page extractor for files of text: bytes to array of pages."""
-    return ports.split_pages(F.decode(content, "utf-8"))
-
-
 def ingest_stream(
     files: DataFrame,
     chunk_path: str,
     manuals: BatchLog,
     detect: Callable[[DataFrame], DataFrame],
-    extract: Callable[[Column], Column] = text_pages,
+    extract: Callable[[Column], Column] = ports.text_pages,
     embed: Callable[[DataFrame, str, str], DataFrame] = ports.embed,
     buckets: int = 256,
     s=DEFAULTS,
@@ -51,11 +45,10 @@ def ingest_stream(
     redelivered or repeated file rewrites the same rows."""
 
     def run(batch: DataFrame, number: int) -> None:
-        documents = batch.withColumn(
-            "doc_id", catalog.checksum(F.col("content"))
+        files = batch.select(
+            catalog.checksum(F.col("content")).alias("doc_id"), "content"
         ).dropDuplicates(["doc_id"])
-        raw = pages_from_texts(documents, "doc_id", extract(F.col("content")))
-        result = ingest_pages(raw, detect, embed, s)
+        result = ingest_files(files, detect, extract, embed, s)
         write_chunks(result["chunks"], chunk_path, buckets)
         manuals.write(result["manuals"], number)
 

@@ -1,5 +1,6 @@
 """Tables that grow by micro-batch, so that a replayed batch changes nothing."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,14 +30,9 @@ class BatchLog:
             .parquet(self.path)
         )
 
-    def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return path.getFileSystem(conf).exists(path)
-
     def read(self, before: int | None = None) -> DataFrame:
-        if not self.exists():
+        try:
+            rows = self.spark.read.schema(self.schema).parquet(self.path)
+        except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(self.schema).parquet(self.path)
         return rows if before is None else rows.where(F.col("batch") < before)

@@ -100,8 +100,10 @@ def assemble_progress(states: DataFrame) -> DataFrame:
 
 
 def new_contents(uploads: DataFrame) -> DataFrame:
-    """The first upload of each file per tenant; repeats are dropped. Links of
-    the repeats are a matter of ``catalog.register_uploads``."""
+    """The first upload of each file per tenant; repeats are dropped, however
+    late they come. The state holds one entry per file, so run it with the
+    RocksDB state store. Links of the repeats are a matter of
+    ``catalog.register_uploads``."""
     return uploads.dropDuplicates(["tenant_id", "checksum"])
 
 

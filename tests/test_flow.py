@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from citeline import ports
 from citeline.config import Settings
 from citeline.functions import guard
+from citeline.functions.numbers import round3
 from citeline.operators import answer, conversation, evals
+from citeline.plans import ingest
 from citeline.sources import evaluation
 
 # The hashing embedder is rough on texts this short.
@@ -292,3 +294,33 @@ def test_old_report_files_read_with_nulls(spark, folder):
     row = evaluation.read_reports(spark, folder).first()
     assert row.run == "2026-01-01T10-00-00+00-00" and row.summary["recall@5"] == 0.6
     assert row.cases[0].covers is None and row.cases[0].recall is False
+
+
+def test_bad_files_are_rows_not_failures(spark):
+    def extract(content):
+        if content.startswith(b"%broken"):
+            raise ValueError("no xref " + "x" * 3000)
+        return content.decode().split("\f") if content != b"scan" else []
+
+    text = "Clean the air filter every two weeks with warm water.\fDo not use the oven without its door, ever."
+    files = spark.createDataFrame(
+        [("good", bytearray(text.encode())), ("bad", bytearray(b"%broken")), ("scan", bytearray(b"scan"))],
+        "doc_id string, content binary",
+    )
+    result = ingest.ingest_files(
+        files, lambda df: df.withColumn("language", F.lit("en")), ports.page_port(extract)
+    )
+    states = {r.manual_id: r for r in result["manuals"].collect()}
+    assert (states["good"].status, states["good"].page_count, states["good"].error) == ("ready", 2, None)
+    assert states["bad"].status == "failed" and states["bad"].error.startswith("ValueError: no xref")
+    assert len(states["bad"].error) == 2000
+    assert states["scan"].status == "failed" and states["scan"].error == ingest.SCANNED_MESSAGE
+    row = result["chunks"].first()
+    assert (row.manual_id, row.page_from, row.page_to, row.content) == ("good", 1, 2, text.replace("\f", "\n\n"))
+
+
+def test_rounding_as_python(spark):
+    values = [0.0625, 0.1875, 0.0125, 0.0375, 2 / 3, 1.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(round3(F.col("v"))).collect()]
+    assert got == [None if v is None else round(v, 3) for v in values]
