@@ -107,14 +107,33 @@ def _allowed(column: pa.ListArray, block: QuestionBlock) -> np.ndarray | None:
     return covers[:, block.product_of]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+class Held:
+    """The k best scores a task has seen per ranking and question. A chunk
+    below the least of them cannot be among the k best, so the more batches a
+    task has read, the fewer rows it sends on."""
+
+    def __init__(self, block: QuestionBlock, k: int):
+        self.k, self.size = k, len(block.ids)
+        self.scores: dict[int, np.ndarray] = {}
+
+    def of(self, ranking: int) -> np.ndarray:
+        if ranking not in self.scores:
+            self.scores[ranking] = np.full((self.size, self.k), -np.inf)
+        return self.scores[ranking]
+
+
+def _best(
+    scores: np.ndarray, ids: np.ndarray, k: int, held: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Row and question indexes of the k best rows of each column; rows with
-    NaN never count, ties go to the smaller id."""
+    NaN never count, ties go to the smaller id. Updates ``held``."""
     rows_out, cols_out = [], []
     rounded = np.round(scores, DECIMALS)
-    for q in range(scores.shape[1]):
+    with np.errstate(invalid="ignore"):
+        open_rows = rounded >= held.min(axis=1)
+    for q in np.flatnonzero(open_rows.any(axis=0)):
         column = rounded[:, q]
-        rows = np.flatnonzero(~np.isnan(column))
+        rows = np.flatnonzero(open_rows[:, q])
         if len(rows) > k:
             values = column[rows]
             least = np.partition(values, len(values) - k)[len(values) - k]
@@ -122,6 +141,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
             if len(rows) > k:
                 order = np.lexsort((ids[rows], -column[rows]))
                 rows = rows[order[:k]]
+        both = np.concatenate([held[q], column[rows]])
+        held[q] = np.partition(both, len(both) - k)[len(both) - k :]
         rows_out.append(rows)
         cols_out.append(np.full(len(rows), q))
     if not rows_out:
@@ -167,8 +188,11 @@ def score_chunks(
     rankings: tuple[int, ...],
     k: int,
     schema: pa.Schema,
+    held: Held | None = None,
 ) -> pa.RecordBatch:
-    """Best k chunks of one batch per question and ranking."""
+    """Best k chunks of one batch per question and ranking; with ``held``, only
+    those that may still be among the best of all batches so far."""
+    held = held or Held(block, k)
     if isinstance(chunks, pa.Table):
         chunks = chunks.combine_chunks().to_batches()
         chunks = chunks[0] if chunks else None
@@ -206,7 +230,7 @@ def score_chunks(
                     scores[:, asking] = vectors[first:last] @ wanted[asking].T
                 if allowed is not None:
                     scores[~allowed[first:last]] = np.nan
-                rows, cols = _best(scores, ids[first:last], k)
+                rows, cols = _best(scores, ids[first:last], k, held.of(ranking))
                 values = scores[rows, cols]
                 near = values
                 if ranking == LEXICAL:

@@ -15,6 +15,7 @@ from citeline.operators.scoring import (
     LEXICAL,
     TRANSLATED,
     VECTOR,
+    Held,
     QuestionBlock,
     score_chunks,
 )
@@ -122,8 +123,8 @@ def rank_candidates(
     question_id, chunk_id, score, similarity, rank (from 1).
 
     A question set within the block bound is broadcast: chunks are scanned
-    where they lie, and no more than k rows per question and batch are
-    shuffled. A larger set goes through a blocked join on the cluster.
+    where they lie, and a task sends on only what may still be among the k
+    best it has seen. A larger set goes through a blocked join on the cluster.
     """
     wide = _chunk_columns(chunks, rankings)
     product = wide.schema["products"].dataType.elementType
@@ -147,8 +148,9 @@ def rank_candidates(
         shared = chunks.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches):
+            held = Held(shared.value, k)
             for batch in batches:
-                yield score_chunks(batch, shared.value, rankings, k, arrow)
+                yield score_chunks(batch, shared.value, rankings, k, arrow, held)
 
         best = wide.mapInArrow(scan, fields)
     else:

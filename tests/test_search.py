@@ -96,10 +96,12 @@ def same(got, want):
 
 
 @pytest.mark.parametrize("scoped", [False, True])
-@pytest.mark.parametrize("block", [2048, 4])
-def test_rankings_match_brute_force(spark, monkeypatch, scoped, block):
-    """Broadcast block and, with a bound of four questions, the blocked join."""
+@pytest.mark.parametrize("block,batch", [(2048, 10_000), (2048, 7), (4, 10_000)])
+def test_rankings_match_brute_force(spark, monkeypatch, scoped, block, batch):
+    """Broadcast block, in one batch and many, and, with a bound of four
+    questions, the blocked join."""
     monkeypatch.setattr(search, "CELL_CHUNKS", 90)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     rows, chunks = corpus(spark)
     questions, df = asked(spark)
     if scoped:
@@ -108,7 +110,10 @@ def test_rankings_match_brute_force(spark, monkeypatch, scoped, block):
     else:
         df = df.drop("product_id")
     got = search.rank_candidates(chunks, df, s=Settings(question_block_rows=block))
-    same(collected(got), brute(rows, questions, scoped))
+    try:
+        same(collected(got), brute(rows, questions, scoped))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_fusion_keeps_first_seen_order(spark):
@@ -188,3 +193,29 @@ def test_scan_reads_only_what_ranking_needs(spark, folder):
     plan = search.vector_topk(stored, df.drop("product_id", "terms"))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<chunk_id:string,embedding:array<float>>" in plan.replace("...", "")
     assert F is not None and "WindowGroupLimit" in plan
+
+
+def test_a_task_sends_on_less_and_less():
+    """Over many batches, what leaves a task grows far slower than its input."""
+    import pyarrow as pa
+
+    from citeline.operators.scoring import Held, QuestionBlock, score_chunks
+
+    rng = np.random.default_rng(3)
+    asked_rows = [
+        {"question_id": i, "vector": list(rng.normal(size=8)), "terms": [], "translated_vector": None, "product_id": None}
+        for i in range(5)
+    ]
+    block = QuestionBlock.build(asked_rows, pa.int64())
+    schema = pa.schema([("list_idx", pa.int32()), ("question_id", pa.int64()), ("chunk_id", pa.int64()),
+                        ("score", pa.float64()), ("similarity", pa.float64())])
+    held, sent = Held(block, 10), []
+    for b in range(60):
+        vectors = rng.normal(size=(100, 8))
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(b * 100, b * 100 + 100), pa.int64()), pa.array(vectors.tolist(), pa.list_(pa.float32())),
+             pa.nulls(100, pa.list_(pa.string())), pa.nulls(100, pa.list_(pa.int64()))],
+            names=["chunk_id", "embedding", "tokens", "products"],
+        )
+        sent.append(score_chunks(batch, block, (VECTOR,), 10, schema, held).num_rows)
+    assert sent[0] == 50 and sum(sent[30:]) < 5 * 30
