@@ -6,15 +6,12 @@ from checks import check
 from checks.catalogue import PRODUCTS, products_of
 from checks.ingest import BLANK
 from checks.retrieval import (
-    CHUNK_SQL,
-    FUSED_SQL,
     NEAR,
-    SCOPED_JOIN,
     SCOPED_SQL,
     TO_ENGLISH,
     VECTOR_CHUNKS,
-    stored_chunks,
     rank_sql,
+    stored_chunks,
 )
 from checks.threads import THREADS, messages_of, threads_of
 from citeline import ports
@@ -25,8 +22,6 @@ from citeline.plans import tools
 from citeline.plans.ask import ask
 from citeline.sources.tables import benchmark_questions, product_links, table
 
-assert CHUNK_SQL and FUSED_SQL and SCOPED_JOIN  # pieces of SCOPED_SQL
-
 
 def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from checks import check
+from citeline.config import Settings
 from citeline.operators import catalog
-from citeline.sources.tables import document_chunks, product_links, table
+from citeline.sources.tables import document_chunks, table
 
 NOW = "2024-01-15 00:00:00"
 SMALL = 2000  # bytes allowed in the admission check, so that some are refused
@@ -74,8 +75,6 @@ def checksums(spark, folder):
 FROM pages""",
 )
 def admission(spark, folder):
-    from citeline.config import Settings
-
     uploads = table(spark, folder, "pages")
     kind = F.when(F.col("url").startswith("https:"), catalog.PDF).otherwise("text/html")
     reason = catalog.reject_reason(
