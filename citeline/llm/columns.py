@@ -10,31 +10,45 @@ from pyspark.sql import types as T
 from citeline.llm.words import bounded_batches, units
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def add_struct(
     df: DataFrame,
     text: str,
     name: str,
     kind: str,
-    make: Callable[[], Callable[[np.ndarray, np.ndarray], pa.Array]],
+    make: Callable[[], Callable[..., pa.Array]],
+    spent: str | None = None,
 ) -> DataFrame:
-    """``df`` with a struct column ``name`` of DDL type ``kind``, computed from
-    the texts of ``text`` by Arrow tasks.
+    """``df`` with a column ``name`` of DDL type ``kind``, computed from the
+    texts of ``text`` by Arrow tasks.
 
     ``make`` is called once per task and returns a function of the bytes and
-    offsets of some texts. A column that already has the name is replaced; all
+    offsets of some texts, and of the column ``spent`` if one is named, which
+    is used up. A column that already has the name is replaced; all
     others pass through unchanged, whatever they are called.
     """
     rest = df.drop(name)
     fields = T._parse_datatype_string(kind)
-    schema = T.StructType([*rest.schema.fields, T.StructField(name, fields)])
-    names = rest.columns
+    schema = T.StructType(
+        [*(f for f in rest.schema.fields if f.name != spent), T.StructField(name, fields)]
+    )
+    names = [c for c in rest.columns if c != spent]
 
     def run(batches):
         compute = make()
         for batch in batches:
             for rows, data, offsets in units(batch, text):
+                more = [] if spent is None else [rows.column(spent)]
+                result = compute(data, offsets, *more)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, compute(data, offsets)], names=[*names, name]
+                    [*(rows.column(c) for c in names), result], names=[*names, name]
                 )
 
     return bounded_batches(rest).mapInArrow(run, schema)

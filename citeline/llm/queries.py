@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeline.llm import decontaminate, sql, token_counts
+from citeline.llm import decontaminate, passages, simhash, sql, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -29,3 +29,13 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts.digest(token_counts.count_tokens(docs))
+
+
+@query
+def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.digest(passages.strip_repeats(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(simhash.near_groups(table(spark, folder, "documents")))
