@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeline.llm import decontaminate, passages, simhash, sql, token_counts
+from citeline.llm import decontaminate, passages, quality, rules, simhash, sql, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -25,12 +25,22 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.search_items(docs, table(spark, folder, "benchmark")))
 
 
+@query
+def op6_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.digest(rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels")))
+
+
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts.digest(token_counts.count_tokens(docs))
 
 
+@query
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.digest(passages.strip_repeats(table(spark, folder, "documents").select("doc_id", "text")))
