@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeline.llm import decontaminate, passages, quality, rules, simhash, sql, token_counts
+from citeline.llm import decontaminate, language_model, passages, quality, rules, simhash, sql, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -30,6 +30,11 @@ def op6_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.digest(rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels")))
 
 
+@query
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(table(spark, folder, "documents"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
