@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeline.llm import decontaminate, language_model, passages, quality, rules, simhash, sql, token_counts
+from citeline.llm import decontaminate, language_model, mixing, passages, pii, quality, rules, simhash, sql, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -35,6 +35,11 @@ def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_texts(table(spark, folder, "documents"))
 
 
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -46,6 +51,11 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 @query
 def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.digest(passages.strip_repeats(table(spark, folder, "documents").select("doc_id", "text")))

@@ -33,4 +33,32 @@ SQL = {
                coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN places USING (r) LEFT JOIN found USING (r)""",
+    "op9_mixing": """
+        WITH sizes AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
+        sums AS (SELECT sum(n) AS all_rows, CAST(sum(CAST(w AS DECIMAL(38, 9))) AS DOUBLE) AS weight FROM sizes),
+        rates AS (
+            SELECT source, 1.0::DOUBLE * CAST(all_rows AS DOUBLE) * w / weight / n AS mean FROM sizes, sums),
+        rows_ AS (
+            SELECT d.*, mean, greatest(1, CAST(ceil(mean / 4.0) AS INTEGER)) AS draws
+            FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+        parts AS (
+            SELECT *, unnest(range(1, draws + 1)) AS j FROM rows_),
+        drawn AS (
+            SELECT *, mean / draws AS m,
+                   (CAST(('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || j), 1, 13))::UBIGINT AS DOUBLE) + 0.5)
+                   / 4503599627370496.0::DOUBLE AS u
+            FROM parts),
+        counted AS (
+            SELECT doc_id, text, lang, source, n_chars, j,
+                   (SELECT count(*) FROM (
+                       SELECT sum(p) OVER (ORDER BY k) AS cdf FROM (
+                           SELECT k, exp(-m) * pow(m, k) / factorial(CAST(k AS INTEGER)) AS p FROM range(0, 20) t(k)))
+                    WHERE cdf <= u) AS k
+            FROM drawn),
+        total AS (
+            SELECT doc_id, text, lang, source, n_chars, sum(k) AS times
+            FROM counted GROUP BY ALL),
+        repeated AS (
+            SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(0, CAST(times AS BIGINT))) AS INTEGER) AS copy FROM total)
+        SELECT *, md5('20 order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy) AS order_key FROM repeated""",
 }
