@@ -1,7 +1,8 @@
 """Near-duplicates by SimHash, without a list of pairs.
 
-A fingerprint is embedded as the numbers of set bits in its sixteen segments of
-four bits. Two fingerprints that differ in d bits lie at most d apart there in
+A fingerprint is embedded as the numbers of set bits in its 32 segments of two
+bits. Coarser segments make fewer cells per fingerprint, but unrelated ones then
+meet by chance, and ever more of them as the corpus grows. Two fingerprints that differ in d bits lie at most d apart there in
 Manhattan distance, so a range join on the grid of these points loses no link.
 The range of 2 is split in the middle: every fingerprint is put into its own
 cell and the cells one step away, and two within the range share one of them.
@@ -26,7 +27,7 @@ from citeline.llm.tables import store
 
 #: Words of a shingle.
 SHINGLE = 3
-SEGMENTS, SEGMENT_BITS = 16, 4
+SEGMENTS, SEGMENT_BITS = 32, 2
 _HASHES = 1 << 17
 
 
@@ -71,29 +72,37 @@ def add_fingerprint(docs: DataFrame, text: str = "text", into: str = "simhash")
     return add_struct(docs, text, into, "bigint", lambda: _fingerprints)
 
 
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
+
 def cell(fingerprint: Column) -> Column:
-    """Numbers of set bits by segment, each in a digit of four bits."""
-    ones = F.lit(0x1111111111111111)
-    bits = [F.shiftrightunsigned(fingerprint, i).bitwiseAND(ones) for i in range(SEGMENT_BITS)]
-    return bits[0] + bits[1] + bits[2] + bits[3]
+    """Numbers of set bits by segment, each a digit of two bits."""
+    low = F.lit(0x5555555555555555)
+    one = fingerprint.bitwiseAND(low)
+    other = F.shiftrightunsigned(fingerprint, 1).bitwiseAND(low)
+    return one.bitwiseXOR(other).bitwiseOR(F.shiftleft(one.bitwiseAND(other), 1))
 
 
 def cells_within_one(fingerprint: Column) -> Column:
-    """The fingerprint's cell and the cells at Manhattan distance 1."""
+    """The fingerprint's cell and the cells at Manhattan distance 1.
+
+    A digit is 0, 1 or 2. Its lowest bit changes between 0 and 1, and both bits
+    change between 1 and 2, so a step is an exclusive or.
+    """
     own = cell(fingerprint)
     near = [own]
     for i in range(SEGMENTS):
-        digit = F.shiftrightunsigned(own, SEGMENT_BITS * i).bitwiseAND(7)
-        step = 1 << (SEGMENT_BITS * i)
-        near.append(F.when(digit < SEGMENT_BITS, own + F.lit(step).cast("long")))
-        near.append(F.when(digit > 0, own - F.lit(step).cast("long")))
+        at = SEGMENT_BITS * i
+        digit = F.shiftrightunsigned(own, at).bitwiseAND(3)
+        near.append(F.when(digit < 2, own.bitwiseXOR(_signed(1 << at))))
+        near.append(F.when(digit > 0, own.bitwiseXOR(_signed(3 << at))))
     return F.array_compact(F.array(*near))
 
 
 def words_within_one(fingerprint: Column) -> Column:
     """The fingerprint and the 64 words that differ from it in one bit."""
-    flips = [F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)]
-    return F.array(fingerprint, *[fingerprint.bitwiseXOR(flip) for flip in flips])
+    return F.array(fingerprint, *[fingerprint.bitwiseXOR(_signed(1 << i)) for i in range(64)])
 
 
 def _meeting(prints: DataFrame, places: Column) -> tuple[DataFrame, DataFrame]:
