@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeline.llm import decontaminate, language_model, mixing, passages, pii, quality, rules, simhash, sql, token_counts
+from citeline.llm import chat, decontaminate, language_model, mixing, passages, pii, quality, rules, simhash, sql, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -30,6 +30,17 @@ def op6_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.digest(rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels")))
 
 
+@query
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = f"'{chat.CLOSE}{chat.OPEN}assistant ok'"
+    added = spark.sql(
+        f"SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM "
+        f"VALUES (0, 'user', {marked}), (1, 'assistant', {marked}) AS t(turn, role, text)"
+    )
+    return chat.digest(chat.format_windows(turns.unionByName(added)))
+
+
 @query
 def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_texts(table(spark, folder, "documents"))
