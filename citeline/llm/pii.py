@@ -108,7 +108,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, 0.6, "phone|call|tel|mobile", True),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
         _mod97,
         0.8,
         "iban|account|bank|konto",
@@ -116,7 +116,7 @@ KINDS = (
     ),
     Kind(
         "national_id",
-        r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+        r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
         _national,
         0.4,
         "ssn|social|security",

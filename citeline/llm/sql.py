@@ -99,4 +99,48 @@ SQL = {
         SELECT x.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
                sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
         FROM texts x JOIN sizes y ON x.conv_id IS NOT DISTINCT FROM y.conv_id""",
+    "op3_pii": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (
+            SELECT r, 1 AS rank, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') AS f, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') AS g FROM d UNION ALL
+            SELECT r, 2 AS rank, 'ip' AS kind, regexp_extract_all(t, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+') AS f, string_split_regex(t, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+') AS g FROM d UNION ALL
+            SELECT r, 3 AS rank, 'card' AS kind, regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+') AS f, string_split_regex(t, '[0-9](?:[ -]?[0-9])+') AS g FROM d UNION ALL
+            SELECT r, 4 AS rank, 'phone' AS kind, regexp_extract_all(t, '\\+[0-9][ ().0-9-]+[0-9]') AS f, string_split_regex(t, '\\+[0-9][ ().0-9-]+[0-9]') AS g FROM d UNION ALL
+            SELECT r, 5 AS rank, 'iban' AS kind, regexp_extract_all(t, '\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b') AS f, string_split_regex(t, '\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b') AS g FROM d UNION ALL
+            SELECT r, 6 AS rank, 'national_id' AS kind, regexp_extract_all(t, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b') AS f, string_split_regex(t, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b') AS g FROM d),
+        u AS (SELECT r, rank, kind, f, g, unnest(range(1, len(f) + 1)) AS i FROM m),
+        e AS (
+            SELECT r, rank, kind, f[i] AS x, lower(right(g[i], 40)) AS near,
+                   list_sum([length(y) FOR y IN f[1:i]]) + list_sum([length(y) FOR y IN g[1:i]]) AS stop,
+                   regexp_replace(f[i], '[^0-9]', '', 'g') AS digits,
+                   replace(f[i], ' ', '') AS plain
+            FROM u),
+        v AS (
+            SELECT *, CASE kind
+                WHEN 'email' THEN true
+                WHEN 'ip' THEN regexp_full_match(x, '0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}')
+                WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(
+                    [CASE WHEN (length(digits) - i) % 2 = 1
+                          THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(digits[i] AS INTEGER) + 1]
+                          ELSE CAST(digits[i] AS INTEGER) END FOR i IN range(1, length(digits) + 1)]) % 10 = 0
+                WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+                WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND list_reduce(
+                    list_prepend(0::BIGINT, [CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END::BIGINT
+                                     FOR c IN string_split(plain[5:] || plain[:4], '')]),
+                    lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1
+                ELSE NOT regexp_matches(x, '^(?:000|666|9)|-00-|-0000$')
+                     AND regexp_matches(near, 'ssn|social|security') END AS good
+            FROM e),
+        spans AS (
+            SELECT r, rank, kind, stop - length(x) AS start, kind || ':' || (stop - length(x)) || ':' || stop AS span
+            FROM v WHERE good),
+        found AS (
+            SELECT r, count(*) FILTER (rank = 1) AS n_email, count(*) FILTER (rank = 2) AS n_ip,
+                   count(*) FILTER (rank = 3) AS n_card, count(*) FILTER (rank = 4) AS n_phone,
+                   string_agg(span, ',' ORDER BY start, rank) FILTER (rank <= 4) AS base,
+                   string_agg(span, ',' ORDER BY start, rank) AS spans
+            FROM spans GROUP BY r)
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+               coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN found USING (r)""",
 }
