@@ -190,7 +190,7 @@ def train(
     size = known.count()
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, size)))
     features = featured.select(F.col(doc_id).alias("id"), F.col(f"`{into}`.*"))
-    sample = known.where(part).join(features, "id").orderBy("id", *fe.COUNTS).toPandas()
+    sample = known.where(part).join(features, "id").toPandas().sort_values(["id", *fe.COUNTS])
     x = fe.rates({name: sample[name].to_numpy(dtype=np.int64) for name in fe.COUNTS})
     return fit(x, sample["y"].to_numpy(dtype=np.float64))
 

@@ -115,7 +115,7 @@ def sample_rows(counted: DataFrame, rows: int, into: str = "counts") -> np.ndarr
     size = counted.count()
     key = F.xxhash64(*[F.col(f"`{c}`") for c in counted.columns])
     part = F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, size)))
-    held = counted.where(part).select(F.col(f"`{into}`.*")).orderBy(*fe.COUNTS).toPandas()
+    held = counted.where(part).select(F.col(f"`{into}`.*")).toPandas().sort_values(list(fe.COUNTS))
     return _inputs({name: held[name].to_numpy(dtype=np.int64) for name in fe.COUNTS})
 
 
