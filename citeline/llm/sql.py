@@ -68,8 +68,8 @@ SQL = {
             UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
         n AS (
             SELECT *, (length(text) + 3) // 4 + 4 AS t,
-                   24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)))
-                      + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars,
+                   24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\\|'), chr(10), '\' || chr(10)))
+                      + length(replace(replace(text, '\', '\\'), '<|', '<\\|')) AS chars,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos
             FROM c),
         s AS (SELECT conv_id, t AS st, chars AS sc FROM n WHERE pos = 0 AND role = 'system'),

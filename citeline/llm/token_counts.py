@@ -98,7 +98,7 @@ class Counter:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
         sizes = np.diff(offsets)
         cuts = safe_cuts(data, offsets) if self.cuts else np.unique(offsets[:-1][sizes > 0])
-        raw, ends = data.tobytes(), np.append(cuts[1:], len(data))
+        raw, ends = data.tobytes(), np.append(cuts[1:], len(data))[: len(cuts)]
         parts = [raw[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
         if len(self.known) > REMEMBERED:
             self.known = {}
