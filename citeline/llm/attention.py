@@ -19,6 +19,9 @@ STEPS, BATCH, RATE = 2500, 64, 0.01
 _NEAR, _COMPANY = 8, 256
 _SMOOTH = 0.1
 _AT_ONCE = 1 << 14
+#: Exponents within these bounds need no scaling in single precision.
+_FAR = 60
+_OWN = np.arange(SCORED)
 
 
 @dataclass
@@ -196,6 +199,7 @@ class Scorer:
         scale = np.float32(1 / np.sqrt(WIDTH))
         self.query = w["embed"] @ w["query"] * scale  # by code, made once
         self.key, self.value = w["embed"] @ w["key"], w["embed"] @ w["value"]
+        self.direct = w["embed"] @ w["mix"][:WIDTH] + w["mix_bias"]
         ago = (WINDOW - SCORED + np.arange(SCORED))[:, None] - np.arange(WINDOW)
         self.bias = np.where(ago >= 0, w["distance"][np.maximum(ago, 0)], np.float32(-1e9)).astype(np.float32)
 
@@ -230,28 +234,45 @@ class Scorer:
         scored = at[:, None] + np.arange(SCORED)
         live = scored < high[:, None]
         keys = np.concatenate([places, scored], axis=1)
-        seen = (keys >= low[:, None]) & (keys < high[:, None])
         code = given[np.clip(keys, 0, len(given) - 1)]
         a = self.query[code[:, WINDOW - SCORED :]] @ self.key[code].transpose(0, 2, 1)
         a += self.bias
-        a += np.where(seen, np.float32(0), np.float32(-1e9))[:, None, :]
-        context = _softmax(a) @ self.value[code]
-        z = np.concatenate([w["embed"][code[:, WINDOW - SCORED :]][live], context[live]], axis=1)
-        h = np.maximum(z @ w["mix"] + w["mix_bias"], 0)
+        # only windows at the ends of a text reach beyond it
+        edge = np.flatnonzero((keys[:, 0] < low) | (keys[:, -1] >= high))
+        seen = (keys[edge] >= low[edge, None]) & (keys[edge] < high[edge, None])
+        a[edge] += np.where(seen, np.float32(0), np.float32(-1e9))[:, None, :]
+        # every row sees its own token: where that keeps within bounds, the
+        # exponentials need no scaling by the largest value of the row
+        own = a[:, _OWN, _OWN + WINDOW - SCORED]
+        if a.max() > _FAR or own.min() < -_FAR:
+            a -= a.max(axis=-1, keepdims=True)
+        np.exp(a, out=a)
+        total = a @ np.ones(WINDOW, dtype=np.float32)
+        context = a @ self.value[code]
+        context /= total[:, :, None]
+        whole = live.all()
+        h = (context.reshape(-1, WIDTH) if whole else context[live]) @ w["mix"][WIDTH:]
+        given = code[:, WINDOW - SCORED :]
+        h += self.direct[given.reshape(-1) if whole else given[live]]
+        np.maximum(h, 0, out=h)
         scored = scored[live]
         goal = self.codes.code[wanted[scored]]
         kind, slot = goal // SLOTS, goal % SLOTS
-        logits = h @ w["classes"] + w["classes_bias"]
+        logits = h @ w["classes"]
+        logits += w["classes_bias"]
         total = logits[np.arange(len(kind)), kind] - _log_sum(logits)
         for c, own in _by_class(kind):
-            logits = h[own] @ w["slots"][c] + w["slots_bias"][c]
+            logits = h[own] @ w["slots"][c]
+            logits += w["slots_bias"][c]
             total[own] += logits[np.arange(len(own)), slot[own]] - _log_sum(logits)
         out[scored] = total
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Log of the sum of exponentials by row; ``x`` is used up."""
-    top = x.max(axis=1)
-    x -= top[:, None]
+    ones, top = np.ones(x.shape[1], dtype=x.dtype), 0
+    if x.max() > _FAR or x.min() < -_FAR:
+        top = x.max(axis=1)
+        x -= top[:, None]
     np.exp(x, out=x)
-    return np.log(x.sum(axis=1)) + top
+    return np.log(x @ ones) + top
