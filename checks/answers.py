@@ -242,6 +242,55 @@ def asked(spark, folder):
     )
 
 
+@check(
+    "ask_responses",
+    f"""{ASK_SQL}
+SELECT question_id AS request_id, conversation_id, question, reply AS answer, intent,
+  state IN ('first', 'second', 'safety', 'out_of_scope', 'small_talk') AS grounded, state IN ('weak', 'lost') AS escalated
+FROM placed""",
+)
+def ask_responses(spark, folder):
+    return asked(spark, folder)["responses"].select(
+        "request_id", "conversation_id", "question", "answer", "intent", "grounded", "escalated"
+    )
+
+
+@check(
+    "ask_log",
+    f"""{ASK_SQL}
+SELECT question_id, conversation_id,
+  replace(lower(regexp_replace(question, '^{BLANK}+|{BLANK}+$', '', 'g')), 'ß', 'ss') AS normalized_question,
+  CASE WHEN intent <> 'small_talk' THEN intent END AS intent, state NOT IN ('weak', 'lost') AS resolved
+FROM placed""",
+)
+def ask_log(spark, folder):
+    return asked(spark, folder)["query_log"].select(
+        "question_id", "conversation_id", "normalized_question", "intent", "resolved"
+    )
+
+
+@check(
+    "answers_of_failing_ports",
+    f"""{FLOW_SQL}
+SELECT question_id, question_id % 3 = 0 AS routed, true AS answered FROM state""",
+)
+def answers_of_failing_ports(spark, folder):
+    """Router and translator fail on two questions of three: none is lost."""
+    some = F.col("question_id") % 3 == 0
+    broken = answer.Ports(
+        route=lambda q: F.when(some, by_length(q)),
+        translate=lambda q: F.when(some, q),
+        generate=stubborn,
+    )
+    questions = benchmark_questions(spark, folder).select("question_id", "question", "product_id")
+    out = answer.answer_questions(
+        questions, stored_chunks(spark, folder), product_links(spark, folder), broken, STRICT
+    )
+    return out.select(
+        "question_id", F.col("intent").isNotNull().alias("routed"), F.col("answer").isNotNull().alias("answered")
+    )
+
+
 @check(
     "ask_messages",
     f"""{ASK_SQL}

@@ -50,14 +50,15 @@ def prepare_questions(asked: DataFrame, ports: Ports) -> DataFrame:
         ports.translate(F.col("search_question")), F.col("search_question")
     )
     asked = settle(asked.withColumn("translated", translated))
-    asked = ports.embed(asked, "search_question", "vector")
+    # Settled after each embedding: the rankings read the vectors in several jobs.
+    asked = settle(ports.embed(asked, "search_question", "vector"))
     asked = on_rows(
         asked,
         F.col("translated").isNotNull(),
         partial(ports.embed, source="translated", name="translated_vector"),
         {"translated_vector": F.lit(None).cast("array<float>")},
     )
-    return asked.withColumn("terms", fx.query_terms(F.col("search_question")))
+    return settle(asked.withColumn("terms", fx.query_terms(F.col("search_question"))))
 
 
 def hit_lists(hits: DataFrame) -> DataFrame:
@@ -141,7 +142,9 @@ def answer_questions(
     routed = settle(condensed.withColumn("intent", ports.route(F.col("search_question"))))
     refused = routed.where(F.col("intent").isin("safety", "out_of_scope"))
     social = routed.where(F.col("intent") == "small_talk")
-    asked = routed.where(~F.col("intent").isin("safety", "out_of_scope", "small_talk"))
+    # A router that failed gives NULL: the question is answered like any other.
+    aside = F.col("intent").isin("safety", "out_of_scope", "small_talk")
+    asked = routed.where(~F.coalesce(aside, F.lit(False)))
 
     prepared = prepare_questions(asked, ports)
     hits = search.hybrid_search(chunks, prepared, links, s.top_k, s)
@@ -164,8 +167,9 @@ def answer_questions(
             .drop("__draft")
         )
         checked = settle(verify(drafted).withColumn("attempts", F.lit(attempt)))
-        finished.append(_finish(checked.where("grounded"), answer=F.col("answer")))
-        pending = checked.where("NOT grounded")
+        held = F.coalesce("grounded", F.lit(False))
+        finished.append(_finish(checked.where(held), answer=F.col("answer")))
+        pending = checked.where(~held)
     # A draft that failed for good keeps its rejected citations in the record.
     given_up = F.lit(guard.ESCALATION_ANSWER)
     none = F.lit(None).cast(lists.schema["hits"].dataType)

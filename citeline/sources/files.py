@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from citeline.config import DEFAULTS
 from citeline.session import settle
 
+
+def missing_path(error: AnalysisException) -> bool:
+    """Whether a read failed because there is no table yet; any other failure
+    must not be taken for an empty table."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def stored_key() -> Column:
     """Key of a stored file: its name in the folder."""
     return F.element_at(F.split("path", "/"), -1).alias("storage_key")
@@ -42,10 +49,14 @@ def write_chunks(chunks: DataFrame, path: str, buckets: int = 256) -> None:
     """
     spark = chunks.sparkSession
     part = F.pmod(F.xxhash64("manual_id"), F.lit(buckets)).cast("int")
-    new = chunks.withColumn("part", part)
+    # Settled: the rows, their partitions and their documents are all read, and
+    # the embedding behind them must run once.
+    new = settle(chunks.withColumn("part", part))
     try:
         old = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException:  # no table yet
+    except AnalysisException as error:
+        if not missing_path(error):
+            raise
         old = None
     if old is not None:
         touched = new.select("part").distinct()

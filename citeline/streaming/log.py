@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeline.sources.files import missing_path
+
 
 class BatchLog:
     """An append-only table with one partition per micro-batch.
@@ -33,6 +35,8 @@ class BatchLog:
     def read(self, before: int | None = None) -> DataFrame:
         try:
             rows = self.spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException:  # nothing written yet
+        except AnalysisException as error:
+            if not missing_path(error):
+                raise
             return self.spark.createDataFrame([], self.schema)
         return rows if before is None else rows.where(F.col("batch") < before)
