@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from checks import check
 from checks.catalogue import PRODUCTS, products_of
 from citeline import ports
-from citeline.operators import conversation
+from citeline.config import Settings
+from citeline.operators import conversation, ordered
 from citeline.sources.tables import table
 
 START = "2024-01-01 00:00:00"
@@ -191,6 +192,40 @@ def fold_summaries(spark, folder):
     return after.select("conversation_id", "summarised_through", F.col("summary.goal").alias("goal"))
 
 
+@check(
+    "fold_long_threads",
+    """WITH message AS (
+  SELECT event_id % 3 AS conversation_id, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) - 1 AS ordinal,
+    event_type || ' e' || (event_id % 50) AS content FROM events),
+total AS (SELECT conversation_id, count(*) AS total FROM message GROUP BY 1),
+folded AS (SELECT m.*, total FROM message m JOIN total USING (conversation_id) WHERE ordinal < total - 6)
+SELECT conversation_id, max(total) - 6 AS summarised_through, 'user: ' || arg_min(content, ordinal) AS goal,
+  array_to_string(list_sort(list(DISTINCT split_part(content, ' ', 2))), ',') AS facts
+FROM folded GROUP BY 1""",
+)
+def fold_long_threads(spark, folder):
+    """Threads of hundreds or thousands of messages, folded in one call."""
+    events = table(spark, folder, "events")
+    numbered = ordered.number_rows(
+        events.withColumn("conversation_id", F.col("event_id") % 3), ["conversation_id"], ["event_id"],
+        ordered.int_bucket(F.col("event_id")), "ordinal",
+    )
+    messages = numbered.select(
+        "conversation_id", "ordinal", F.lit("user").alias("role"),
+        F.concat_ws(" ", "event_type", F.concat(F.lit("e"), F.col("event_id") % 50)).alias("content"),
+    )
+    threads = messages.select("conversation_id").distinct().select(
+        "conversation_id", F.lit(0).cast("long").alias("summarised_through"),
+        F.lit(None).cast(threads_of(spark, folder).schema["summary"].dataType).alias("summary"),
+    )
+    # One segment holds a thousand messages here: the rounds follow the longest thread.
+    after = conversation.fold_summaries(
+        threads, messages, ports.note_facts, Settings(transcript_segment=1000)
+    )
+    facts = F.array_join(F.array_sort("summary.facts"), ",")
+    return after.select("conversation_id", "summarised_through", F.col("summary.goal").alias("goal"), facts.alias("facts"))
+
+
 @check(
     "resolve_requests",
     f"""WITH {THREADS}, {PRODUCTS}, request AS (

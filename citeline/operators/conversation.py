@@ -3,6 +3,8 @@
 messages: conversation_id, ordinal, role, content[, created_at].
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,25 +138,32 @@ def transcripts(ranges: DataFrame, messages: DataFrame, s=DEFAULTS) -> DataFrame
 def fold_summaries(
     conversations: DataFrame, messages: DataFrame, summarise, s=DEFAULTS
 ) -> DataFrame:
-    """Conversations after one round of note taking.
-
-    ``summarise(notes, transcript) -> notes`` sees one segment per thread and
-    round; a thread with more to fold is taken further by the next round. NULL
-    from the summariser (a failed call) keeps the old notes; either way the
-    segment counts as covered.
+    """Conversations after all that outgrew the window is in the notes.
+
+    ``summarise(notes, transcript) -> notes`` takes the segments of a thread in
+    order, each with the notes that the one before left: a call is bounded, a
+    thread is not. There are as many rounds as the longest thread has segments,
+    and a round sees only the threads that still have one. NULL from the
+    summariser (a failed call) keeps the old notes; either way the segment
+    counts as covered.
     """
-    ranges = summary_ranges(conversations, messages, s)
-    # Only the first segment: the rows beyond it are not read into text.
-    step = ranges.withColumn(
-        "fold_to", F.least("fold_to", F.col("fold_from") + s.transcript_segment)
-    )
-    pending = transcripts(step, messages, s).select(KEY, "transcript", "through")
-    # The port sees only the threads that have something to fold.
-    folded = (
-        conversations.select(KEY, "summary")
-        .join(pending, KEY)
-        .select(KEY, summarise(F.col("summary"), F.col("transcript")).alias("__notes"), "through")
-    )
+    segments = settle(transcripts(summary_ranges(conversations, messages, s), messages, s))
+    longest = segments.agg(F.max("segment").alias("n")).first()["n"]
+    notes = conversations.select(KEY, F.col("summary").alias("__notes")).join(
+        settle(segments.groupBy(KEY).agg(F.max("through").alias("through"))), KEY
+    )
+    notes = settle(notes)
+    done = []
+    for number in range(0 if longest is None else int(longest) + 1):
+        step = segments.where(F.col("segment") == number).select(KEY, "transcript")
+        taken = summarise(F.col("__notes"), F.col("transcript"))
+        read = settle(
+            notes.join(step, KEY).select(KEY, F.coalesce(taken, F.col("__notes")).alias("__notes"), "through")
+        )
+        more = segments.where(F.col("segment") == number + 1).select(KEY)
+        done.append(read.join(more, KEY, "left_anti"))
+        notes = read
+    folded = reduce(DataFrame.unionByName, done, notes.limit(0))
     joined = conversations.join(folded, KEY, "left")
     return joined.select(
         *[
