@@ -66,7 +66,7 @@ def quality_sql(text: str) -> str:
 SELECT doc_id, text FROM clean""",
 )
 def clean_text(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = spread(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", fx.clean_text(F.col("text")).alias("text"))
 
 
@@ -234,7 +234,7 @@ def chunks_rows(spark, folder):
 @check("ingest_documents")
 def ingest_documents(spark, folder):
     """The whole way, with a detector trained on the given languages."""
-    docs = spread(table(spark, folder, "documents").select("text", "lang"))
+    docs = spread(spark, folder, "documents").select("text", "lang")
     model = language.train_detector(docs, "text", "lang")
     raw = line_pages(spark, folder).drop("lang")
     result = ingest.ingest_pages(raw, lambda df: language.detect(df, model))
@@ -246,7 +246,7 @@ def ingest_documents(spark, folder):
 
 @check("detect_language")
 def detect_language(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    docs = spread(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.train_detector(docs, "text", "lang")
     return language.detect(docs, model).select("doc_id", "lang", "language")
 
@@ -275,7 +275,7 @@ SELECT page_id, backend, length(text) AS chars,
 FROM texts""",
 )
 def extractor_report(spark, folder):
-    report = ingest.extraction_report(spread(table(spark, folder, "pages")), "page_id", "html")
+    report = ingest.extraction_report(spread(spark, folder, "pages"), "page_id", "html")
     return report.select(
         "page_id", "backend", "chars", F.round("space_pct", 6).alias("space_pct"),
         F.round("control_pct", 6).alias("control_pct"),

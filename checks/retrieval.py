@@ -226,7 +226,7 @@ def lexical_topk(spark, folder):
 SELECT id AS doc_id, i AS place, round(x, 6) AS value FROM d_vec""",
 )
 def embed_texts(spark, folder):
-    docs = ports.embed(spread(table(spark, folder, "documents").select("doc_id", "text")), "text")
+    docs = ports.embed(spread(spark, folder, "documents").select("doc_id", "text"), "text")
     return (
         docs.select("doc_id", F.posexplode("embedding").alias("place", "value"))
         .where("value <> 0")

@@ -29,15 +29,15 @@ _local_folder = None
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one ``spark.checkpoint.dir`` names.
 
-    Where it is unset, a cluster falls back on its warehouse, which is shared
-    by nature; only a local master gets a temporary folder.
+    A cluster must name one, as no folder of a single machine can hold what all
+    executors write; only a local master gets a temporary folder.
     """
     global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir") + "/_citeline"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="run-citeline-", dir="/tmp")
     return _local_folder

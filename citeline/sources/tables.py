@@ -11,17 +11,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table may arrive in fewer splits than there are cores; work that
-    is heavy per row should still use them all. A table of any size does not
-    pass through here: it has splits enough and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Bytes of a table that may be dealt out anew: one split's worth.
+SMALL_TABLE_BYTES = 128 * 1024 * 1024
+
+
+def spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are heavy to work on. One of at most a split's worth
+    of bytes may be a single file that only one core would read, so its rows are
+    dealt out; a larger one is read in its own splits and never shuffled here."""
+    listed = spark.read.format("binaryFile").load(f"{folder}/{name}.parquet").select("length")
+    size = listed.agg(F.sum("length").alias("n")).first()["n"] or 0
+    rows = table(spark, folder, name)
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_TABLE_BYTES else rows
 
 
 def line_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One page per line of a document: doc_id, lang, page, raw."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    docs = spread(spark, folder, "documents").select("doc_id", "lang", "text")
     return docs.select(
         "doc_id", "lang", F.posexplode(ports.split_pages(F.col("text"))).alias("pos", "raw")
     ).select("doc_id", "lang", (F.col("pos") + 1).alias("page"), "raw")
@@ -34,7 +40,7 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     for the passage's place. A document whose length is odd applies only to
     the product its vector is labelled with, when it has one.
     """
-    docs = spread(table(spark, folder, "documents"))
+    docs = spread(spark, folder, "documents")
     labels = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("label")
     )
