@@ -1,5 +1,7 @@
 """Evaluation: cases, sources, graded results, summaries, comparisons."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import check
@@ -9,6 +11,8 @@ from citeline import ports
 from citeline.functions import text as fx
 from citeline.operators import answer, evals
 from citeline.plans import evaluate
+from citeline.session import shared_folder
+from citeline.sources.evaluation import compare_with_last, read_summaries, write_report
 from citeline.sources.tables import (
     benchmark_questions,
     document_chunks,
@@ -186,6 +190,23 @@ def eval_summary(spark, folder):
     return evals.summarise(graded_labels(spark, folder))
 
 
+def measures_sql(rows: str, latency: str) -> str:
+    return summary_sql("covers AND NOT invents").replace("FROM graded", f"FROM {rows}").replace(
+        "list_sort(list(latency_ms))[count(*) // 2 + 1]", latency
+    )
+
+
+@check(
+    "eval_run_summary",
+    f"{RESULTS_SQL} {measures_sql('result', 'list_sort(list(length(answer)))[count(*) // 2 + 1]')}",
+)
+def eval_run_summary(spark, folder):
+    """A whole run: cases through the flow, graded, measured. The length of an
+    answer stands in for the time it took."""
+    graded = results_of(spark, folder).withColumn("latency_ms", F.length("answer"))
+    return evals.summarise(graded)
+
+
 MEASURES = ", ".join(evals.METRICS)
 
 
@@ -203,6 +224,24 @@ def run_delta(spark, folder):
     return evals.compare_runs(now, old).withColumn("change", F.round("change", 9))
 
 
+@check(
+    "report_delta",
+    f"""WITH {GRADED}, now AS ({summary_sql("correct")}), old AS ({summary_sql("covers")}),
+a AS (UNPIVOT (SELECT {MEASURES} FROM now) ON {MEASURES} INTO NAME metric VALUE value),
+b AS (UNPIVOT (SELECT {MEASURES} FROM old) ON {MEASURES} INTO NAME metric VALUE before)
+SELECT metric, value, before, round(value - before, 9) AS change FROM a LEFT JOIN b USING (metric)""",
+)
+def report_delta(spark, folder):
+    """The same over reports that were written, one of them twice, and read."""
+    graded = graded_labels(spark, folder)
+    kept = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    now = evals.summarise(graded)
+    old = evals.summarise(graded.withColumn("correct", F.col("covers")))
+    for at, summary in (("2024-01-01T00:00", now), ("2024-01-02T00:00", old), ("2024-01-02T00:00", old)):
+        write_report(summary, graded.limit(0), at, {}, kept)
+    return compare_with_last(now, read_summaries(spark, kept)).withColumn("change", F.round("change", 9))
+
+
 @check(
     "eval_failures",
     f"""WITH {GRADED} SELECT id, CASE WHEN recall = false THEN 'no-recall' ELSE '' END AS flag,

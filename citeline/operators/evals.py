@@ -114,10 +114,13 @@ def grade(results: DataFrame, judge) -> DataFrame:
 
 def case_results(cases: DataFrame, answers: DataFrame, sources: DataFrame, judge) -> DataFrame:
     """One graded row per case: cases (with id and question), the flow's
-    answers (question_id = id), and the text behind the pages."""
+    answers (question_id = id), and the text behind the pages. latency_ms is
+    that of the answers where they have one; a batch has none per question."""
+    if "latency_ms" not in answers.columns:
+        answers = answers.withColumn("latency_ms", F.lit(None).cast("int"))
     answered = answers.select(
         F.col("question_id").alias("id"), "answer", "citations", "grounded", "escalated",
-        "attempts", F.col("intent").alias("intent_actual"), "hits",
+        "attempts", F.col("intent").alias("intent_actual"), "hits", "latency_ms",
     )
     joined = cases.join(answered, "id").join(sources, "id", "left")
     graded = grade(joined.withColumn("source", F.coalesce("source", F.lit(""))), judge)
@@ -139,7 +142,7 @@ def case_results(cases: DataFrame, answers: DataFrame, sources: DataFrame, judge
         "grounded", "escalated",
         F.coalesce(best, F.lit(0.0)).alias("best_similarity"),
         retrieved.alias("pages_retrieved"),
-        "answer",
+        "answer", "latency_ms",
     )
 
 

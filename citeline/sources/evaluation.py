@@ -6,7 +6,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeline.operators.evals import case_violation
+from citeline.operators.evals import METRICS, case_violation, compare_runs
 
 CASE = (
     "id string, question string, brand string, model string, intent string, "
@@ -93,15 +93,19 @@ def run_stamp(run_at: Column) -> Column:
 def write_report(
     summary: DataFrame, results: DataFrame, run_at: str, config: dict, folder: str
 ) -> None:
-    """Keep a run: one partition per run with its settings, measures and cases."""
+    """Keep a run: one partition per run with its settings, measures and cases.
+    Writing a run again replaces it and leaves the others alone."""
+
+    def keep(rows: DataFrame, name: str) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("run").json(f"{folder}/{name}")
+
     settings = F.create_map(
         *[F.lit(str(x)) for k in CONFIG for x in (k, config.get(k))]
     ).alias("config")
     stamped = [F.lit(run_at).alias("run_at"), run_stamp(F.lit(run_at)).alias("run")]
-    summary.select(*stamped, settings, "*").write.mode("append").partitionBy("run").json(
-        f"{folder}/summary"
-    )
-    results.select(*stamped, "*").write.mode("append").partitionBy("run").json(f"{folder}/cases")
+    keep(summary.select(*stamped, settings, "*"), "summary")
+    keep(results.select(*stamped, "*"), "cases")
 
 
 def read_results(spark: SparkSession, folder: str, ddl: str = RESULT) -> DataFrame:
@@ -117,6 +121,27 @@ def latest_run(runs: DataFrame, before: str | None = None) -> DataFrame:
     return runs.join(F.broadcast(last), "run", "left_semi")
 
 
+def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of all runs kept by ``write_report``, with the run they belong to."""
+    measures = ", ".join(f"{name} double" for name in METRICS)
+    return spark.read.schema(f"run_at string, {measures}, run string").json(f"{folder}/summary")
+
+
+def report_summaries(reports: DataFrame) -> DataFrame:
+    """The measures of whole reports (see read_reports) as columns. Older
+    reports lack some: they are NULL."""
+    named = {"recall": "recall@5"}
+    measures = [F.col("summary")[named.get(name, name)].alias(name) for name in METRICS]
+    return reports.select("run_at", "run", *measures)
+
+
+def compare_with_last(summary: DataFrame, kept: DataFrame, before: str | None = None) -> DataFrame:
+    """Each measure of ``summary`` beside that of the last run in ``kept`` (from
+    read_summaries or report_summaries), or of the last before a given run.
+    Without an earlier run there is nothing to compare with."""
+    return compare_runs(summary, latest_run(kept, before))
+
+
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Whole-report files, one JSON document each, as one row per report."""
     read = spark.read.schema(REPORT).option("multiLine", True).json(folder)
