@@ -214,16 +214,17 @@ asked AS (
       OR (status = 'processing' AND (started IS NULL OR started < TIMESTAMP '{NOW}' - to_seconds(2700))), false) AS may
   FROM request r LEFT JOIN state s USING (manual_id)
 ),
-winner AS (SELECT manual_id, arg_min(request_id, (arrival, request_id)) AS winner FROM asked WHERE may GROUP BY 1)"""
+winner AS (SELECT manual_id, arg_min(request_id, (arrival, request_id)) AS winner, min((arrival, request_id)) AS since
+  FROM asked WHERE may GROUP BY 1)"""
 
 
 @check(
     "claim",
     f"""WITH {CLAIMS}
 SELECT request_id, manual_id, coalesce(winner = request_id, false) AS won,
-  CASE WHEN winner IS NOT NULL THEN 'processing' ELSE status END AS status_after,
+  CASE WHEN (arrival, request_id) >= since THEN 'processing' ELSE status END AS status_after,
   CASE WHEN coalesce(winner = request_id, false) THEN NULL WHEN NOT known THEN 'Manual not found.'
-    WHEN winner IS NOT NULL OR status = 'processing'
+    WHEN (arrival, request_id) >= since OR status = 'processing'
       THEN 'This manual is being processed right now. Wait for it to finish.'
     WHEN status = 'ready' THEN 'This manual has already been processed and indexed successfully (ready).' END AS reason
 FROM asked LEFT JOIN winner USING (manual_id)""",
@@ -261,31 +262,41 @@ def manual_links(spark, folder):
     )
 
 
+def in_order(listed):
+    """A page as it is ordered, each row with its place."""
+    page = listed.agg(F.collect_list(F.struct(*listed.columns)).alias("rows"))
+    return page.select(F.posexplode("rows").alias("at", "row")).select(
+        (F.col("at") + 1).cast("long").alias("place"), "row.*"
+    )
+
+
 @check(
     "list_manuals",
     f"""WITH {MANUALS}, {LINKS}
-SELECT manual_id, title, status FROM manual WHERE tenant_id = 'en'
-  AND manual_id IN (SELECT manual_id FROM link WHERE product_id = 3)
-ORDER BY created_at DESC, manual_id LIMIT 50""",
+SELECT row_number() OVER (ORDER BY created_at DESC, manual_id) AS place, manual_id, title, status
+FROM manual WHERE tenant_id = 'en' AND manual_id IN (SELECT manual_id FROM link WHERE product_id = 3)
+QUALIFY place <= 20""",
 )
 def list_manuals(spark, folder):
     listed = catalog.list_manuals(
-        manuals_of(spark, folder), "en", manual_links(spark, folder), 3
+        manuals_of(spark, folder), "en", manual_links(spark, folder), 3, limit=20
     )
-    return listed.select("manual_id", "title", "status")
+    return in_order(listed).select("place", "manual_id", "title", "status")
 
 
 @check(
     "catalogue_products",
     f"""WITH {MANUALS}, {LINKS}, {PRODUCTS}
-SELECT product_id, brand, model FROM product WHERE product_id IN (
-  SELECT product_id FROM link JOIN manual USING (manual_id) WHERE status = 'ready')""",
+SELECT row_number() OVER (ORDER BY brand, model, product_id) AS place, product_id, brand, model
+FROM product WHERE product_id IN (
+  SELECT product_id FROM link JOIN manual USING (manual_id) WHERE status = 'ready')
+QUALIFY place <= 7""",
 )
 def catalogue_products(spark, folder):
     listed = catalog.list_products(
-        products_of(spark, folder), manual_links(spark, folder), manuals_of(spark, folder), "en"
+        products_of(spark, folder), manual_links(spark, folder), manuals_of(spark, folder), "en", 7
     )
-    return listed.select("product_id", "brand", "model")
+    return in_order(listed).select("place", "product_id", "brand", "model")
 
 
 @check(
@@ -418,6 +429,7 @@ def step_events(spark, folder):
         F.array(*[F.lit(s) for s in ("read", "extract", "clean", "chunk", "embed", "index", "other")]),
         F.pmod(F.col("event_id"), F.lit(7)).cast("int"),
     )
+    step = F.when(F.col("event_id") % 11 == 0, catalog.RESTART).otherwise(step)
     failed, done = F.col("event_type") == "error", F.col("event_type") == "purchase"
     return events.select(
         F.col("user_id").alias("manual_id"),
@@ -433,7 +445,8 @@ def step_events(spark, folder):
 STEP_SQL = """
 step_event AS (
   SELECT user_id AS manual_id, event_id AS seq,
-    ['read', 'extract', 'clean', 'chunk', 'embed', 'index', 'other'][event_id % 7 + 1] AS step,
+    CASE WHEN event_id % 11 = 0 THEN 'start'
+      ELSE ['read', 'extract', 'clean', 'chunk', 'embed', 'index', 'other'][event_id % 7 + 1] END AS step,
     CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'running' END AS status,
     CASE WHEN event_type IN ('error', 'purchase') THEN CAST(floor(value) AS BIGINT) END AS duration_ms,
     CASE WHEN event_type = 'purchase' THEN props END AS detail,
@@ -446,7 +459,9 @@ folded AS (
     arg_max(duration_ms, seq) FILTER (duration_ms IS NOT NULL) AS duration_ms,
     arg_max(detail, seq) FILTER (detail IS NOT NULL) AS detail,
     arg_max(error, seq) FILTER (error IS NOT NULL) AS error
-  FROM step_event GROUP BY 1, 2
+  FROM step_event e
+  WHERE seq > coalesce((SELECT max(seq) FROM step_event s WHERE s.manual_id = e.manual_id AND s.step = 'start'), -1)
+  GROUP BY 1, 2
 ),
 progress AS (
   SELECT m.manual_id, p.place, p.step, coalesce(f.status, 'pending') AS status, f.duration_ms, f.detail, f.error

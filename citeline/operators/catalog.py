@@ -130,14 +130,13 @@ def register_uploads(
             new_manuals.select(*keys, "manual_id")
         )
     )
+    # Names may exist twice in different case: the largest id stands for them,
+    # as it does for the cases of an evaluation.
+    by_name = ["tenant_id", F.lower("brand").alias("brand_key"), F.lower("model").alias("model_key")]
     of_name = settle(
-        products.select("product_id", "tenant_id", "brand", "model")
-        .withColumn("product_id", F.col("product_id").cast("string"))
-        .unionByName(new_products.select("product_id", "tenant_id", "brand", "model"))
-        .select(
-            "tenant_id", "product_id",
-            F.lower("brand").alias("brand_key"), F.lower("model").alias("model_key"),
-        )
+        products.groupBy(*by_name)
+        .agg(F.max("product_id").cast("string").alias("product_id"))
+        .unionByName(new_products.select(*by_name, "product_id"))
     )
     requests = (
         uploads.withColumn("brand_key", F.lower(F.trim("brand")))
@@ -186,14 +185,15 @@ def claim(manuals: DataFrame, requests: DataFrame, now: Column, s=DEFAULTS) -> D
     """Outcome of each request: won, status afterwards, reason when refused.
 
     requests: request_id, manual_id, arrival, force. Of the requests that may
-    claim a manual, the first to arrive wins; all others see it taken. The
-    winner follows from one row per manual: its state, and its first request
-    with and without force. Only the verdict is joined to the requests.
+    claim a manual, the first to arrive wins. Those after it see it taken, those
+    before it the state that was stored. The winner follows from one row per
+    manual: its state, and its first request with and without force. Only the
+    verdict is joined to the requests.
     """
     order = F.struct("arrival", "request_id")
     firsts = requests.groupBy("manual_id").agg(
-        F.min_by("request_id", order).alias("__first"),
-        F.min_by("request_id", F.when(F.coalesce("force", F.lit(False)), order)).alias("__forced"),
+        F.min(order).alias("__first"),
+        F.min(F.when(F.coalesce("force", F.lit(False)), order)).alias("__forced"),
     )
     status, started = F.col("status"), F.col("processing_started_at")
     winner = F.when(
@@ -203,8 +203,9 @@ def claim(manuals: DataFrame, requests: DataFrame, now: Column, s=DEFAULTS) -> D
         firsts.join(manuals, "manual_id").select("manual_id", "status", winner.alias("winner"))
     )
     after = requests.join(verdicts, "manual_id", "left")
-    won = F.coalesce(F.col("winner") == F.col("request_id"), F.lit(False))
-    status = F.when(F.col("winner").isNotNull(), "processing").otherwise(F.col("status"))
+    won = F.coalesce(F.col("winner.request_id") == F.col("request_id"), F.lit(False))
+    taken = F.coalesce(order >= F.col("winner"), F.lit(False))
+    status = F.when(taken, "processing").otherwise(F.col("status"))
     reason = F.when(F.col("status").isNull(), NOT_FOUND).otherwise(lookup(CONFLICT_REASON, status))
     return after.select(
         "request_id", "manual_id", won.alias("won"), status.alias("status_after"),
@@ -243,6 +244,10 @@ STEPS = {
 }
 
 
+#: Step name of the event with which an ingestion starts again.
+RESTART = "start"
+
+
 def progress_plan() -> Column:
     """Every step, pending, before any work starts."""
     return F.array(
@@ -272,14 +277,26 @@ def update_step(steps: Column, name: Column, **changes: Column) -> Column:
     return F.transform(steps, merged)
 
 
+def since_restart(events: DataFrame, key: str) -> DataFrame:
+    """Events with ``__begun``, the number of the last restart of their key."""
+    begun = events.where(F.col("step") == RESTART).groupBy(key).agg(F.max("seq").alias("__begun"))
+    begun = settle(begun.withColumnRenamed(key, "__key"))
+    return events.join(begun, F.col(key) == F.col("__key"), "left").drop("__key")
+
+
 def fold_progress(events: DataFrame, key: str = "manual_id") -> DataFrame:
     """Current progress from step events (key, seq, step, status, duration_ms,
-    detail, error): what each event names is merged over what came before."""
+    detail, error): what each event names is merged over what came before. An
+    event of the step ``RESTART`` begins a fresh plan: what came before it no
+    longer counts."""
+    events = since_restart(events, key).where(
+        F.col("__begun").isNull() | (F.col("seq") >= F.col("__begun"))
+    )
     latest = [
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
         for c in ("status", "duration_ms", "detail", "error")
     ]
-    state = events.where(F.col("step").isin(*STEPS)).groupBy(key, "step").agg(*latest)
+    state = events.where(F.col("step").isin(*STEPS, RESTART)).groupBy(key, "step").agg(*latest)
     # At most one entry per known step.
     found = state.groupBy(key).agg(
         F.map_from_entries(
@@ -314,11 +331,23 @@ def progress_totals(progress: Column) -> Column:
 
 # --- listings ---------------------------------------------------------------
 
+# The largest page of each listing.
+MAX_MANUALS, MAX_PRODUCTS = 200, 500
+
+
+def bounded(limit: int, most: int) -> int:
+    """A page size as asked for, which must lie between 1 and ``most``."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be between 1 and {most}")
+    return limit
+
 
 def list_manuals(
     manuals: DataFrame, tenant=None, links: DataFrame | None = None, product=None, limit: int = 50
 ) -> DataFrame:
-    """Newest manuals of a tenant, of one product when named."""
+    """Newest manuals of a tenant, of one product when named: a page of at most
+    ``MAX_MANUALS``."""
+    limit = bounded(limit, MAX_MANUALS)
     if tenant is not None:
         manuals = manuals.where(F.col("tenant_id") == tenant)
     if product is not None:
@@ -330,7 +359,8 @@ def list_manuals(
 def list_products(
     products: DataFrame, links: DataFrame, manuals: DataFrame, tenant=None, limit: int | None = None
 ) -> DataFrame:
-    """Products with at least one ready manual, by brand and model."""
+    """Products with at least one ready manual, by brand and model: all, or a
+    page of at most ``MAX_PRODUCTS``."""
     ready = (
         links.join(
             manuals.where(F.col("status") == "ready").select("manual_id"), "manual_id", "left_semi"
@@ -341,7 +371,7 @@ def list_products(
     if tenant is not None:
         products = products.where(F.col("tenant_id") == tenant)
     listed = products.join(ready, "product_id", "left_semi").orderBy("brand", "model", "product_id")
-    return listed if limit is None else listed.limit(limit)
+    return listed if limit is None else listed.limit(bounded(limit, MAX_PRODUCTS))
 
 
 def chunk_counts(manuals: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -33,6 +33,9 @@ NOTES = (
 )
 
 
+PROGRESS = ("status", "duration_ms", "detail", "error")
+
+
 # --- claims -----------------------------------------------------------------
 
 
@@ -81,19 +84,24 @@ def claim_stream(
 
 def progress_stream(events: DataFrame) -> DataFrame:
     """Latest state of every step, updated as events arrive (output mode
-    ``update``); ``assemble_progress`` makes the step list of it."""
-    def latest(column):
-        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias(column)
-
+    ``update``); ``assemble_progress`` makes the step list of it. With each value
+    goes the number of the event that set it, so that a restart can void it."""
+    at = {c: F.when(F.col(c).isNotNull(), F.col("seq")) for c in PROGRESS}
     return events.groupBy("manual_id", "step").agg(
         F.max("seq").alias("seq"),
-        *[latest(c) for c in ("status", "duration_ms", "detail", "error")],
+        *[F.max_by(c, at[c]).alias(c) for c in PROGRESS],
+        *[F.max(at[c]).alias(f"{c}_at") for c in PROGRESS],
     )
 
 
 def assemble_progress(states: DataFrame) -> DataFrame:
     """Progress per manual from the latest row per step."""
-    return catalog.fold_progress(states)
+    begun = catalog.since_restart(states, "manual_id")
+    void = F.col("__begun").isNotNull()
+    kept = begun.withColumns(
+        {c: F.when(~(void & (F.col(f"{c}_at") < F.col("__begun"))), F.col(c)) for c in PROGRESS}
+    )
+    return catalog.fold_progress(kept.select("manual_id", "seq", "step", *PROGRESS))
 
 
 # --- uploads ----------------------------------------------------------------
@@ -131,8 +139,7 @@ def fold_notes(
     spark: SparkSession, conversations: DataFrame, messages: BatchLog, notes: BatchLog,
     summarise, batch: int, s=DEFAULTS,
 ) -> None:
-    """Take one more segment per thread into the notes, where a thread outgrew
-    its window. Call it after each batch of turns; a replay repeats it."""
+    """Take what outgrew the window of a thread into its notes. Call it after each batch of turns; a replay repeats it."""
     before = notes.read(before=batch)
     latest = before.groupBy("conversation_id").agg(
         F.max_by(F.struct("summarised_through", "summary"), "batch").alias("n")

@@ -58,9 +58,44 @@ def test_which_states_may_be_claimed(spark):
 
 
 def test_force_takes_ready_but_not_running(spark):
-    got, _ = claim(spark, [(1, 2, 5, True), (2, 2, 1, False), (3, 3, 0, True)])
-    assert got[1].won and not got[2].won and not got[3].won
-    assert "right now" in got[2].reason
+    got, _ = claim(spark, [(1, 2, 5, True), (2, 2, 1, False), (3, 3, 0, True), (4, 2, 6, False)])
+    assert got[1].won and not got[2].won and not got[3].won and not got[4].won
+    # before the winner the manual was still ready; after it, taken
+    assert "successfully (ready)" in got[2].reason and got[2].status_after == "ready"
+    assert "right now" in got[4].reason and got[4].status_after == "processing"
+
+
+def test_products_that_differ_in_case_take_one_link(spark):
+    products = spark.createDataFrame(
+        [(1, "t", "Acme", "X1"), (2, "t", "ACME", "x1")], "product_id long, tenant_id string, brand string, model string"
+    )
+    uploads = spark.createDataFrame(
+        [(1, "t", "c", "acme", "X1", "other", None, "k")],
+        "upload_id long, tenant_id string, checksum string, brand string, model string, type string, title string, storage_key string",
+    )
+    manuals = spark.createDataFrame([], "manual_id string, tenant_id string, checksum string, created_at int")
+    links = spark.createDataFrame([], "manual_id string, product_id string")
+    out = catalog.register_uploads(uploads, manuals, products, links)
+    assert out["requests"].count() == 1
+    assert [r.product_id for r in out["links"].collect()] == ["2"]
+
+
+def test_a_restart_clears_what_came_before(spark):
+    events = spark.createDataFrame(
+        [(1, 1, "read", "done", 5, None, None), (1, 2, "extract", "failed", 7, None, "broken"),
+         (1, 3, catalog.RESTART, None, None, None, None), (1, 4, "read", "running", None, None, None),
+         (2, 9, catalog.RESTART, None, None, None, None)],
+        "manual_id long, seq long, step string, status string, duration_ms long, detail string, error string",
+    )
+    got = {r.manual_id: r.progress for r in catalog.fold_progress(events).collect()}
+    assert [p.status for p in got[1]] == ["running"] + ["pending"] * 5
+    assert all(p.error is None and p.duration_ms is None for p in got[1])
+    assert [p.status for p in got[2]] == ["pending"] * 6
+
+
+def test_page_sizes_are_bounded(spark):
+    with pytest.raises(ValueError, match="200"):
+        catalog.list_manuals(manuals(spark), limit=201)
 
 
 def test_admission(spark):

@@ -13,7 +13,10 @@ from citeline.functions import guard
 from citeline.functions.numbers import round3
 from citeline.operators import answer, conversation, evals
 from citeline.plans import ingest
-from citeline.sources import evaluation
+from citeline import session
+from citeline.session import settle
+from citeline.sources import evaluation, files
+from citeline.sources import evaluation as stored
 
 # The hashing embedder is rough on texts this short.
 LENIENT = Settings(min_similarity=0.15)
@@ -61,15 +64,110 @@ def test_a_failed_summary_keeps_the_notes_and_moves_on(spark):
     assert row.summary is None and row.summarised_through == 4
 
 
+class Counted:
+    """Counts the rows that reach a model, over all tasks."""
+
+    def __init__(self, spark):
+        self.rows = spark.sparkContext.accumulator(0)
+        self.embedder = ports.hash_embedder(8)
+
+    def embed(self, df, source, name="embedding"):
+        seen, inner = self.rows, self.embedder
+
+        def embedder(tokens):
+            seen.add(len(tokens))
+            return inner(tokens)
+
+        return ports.embed(df, source, name, embedder)
+
+
+def small_catalogue(spark, counted):
+    chunks = spark.createDataFrame(
+        [(i, "m1", i, 1, 1, "en", f"text number {i} about E{i}", None) for i in range(6)],
+        "chunk_id long, manual_id string, ordinal long, page_from int, page_to int, language string, content string, applies_to array<long>",
+    )
+    return settle(counted.embed(chunks, "content"))
+
+
+def test_no_question_is_lost_and_each_is_embedded_once(spark):
+    counted = Counted(spark)
+    chunks = small_catalogue(spark, counted)
+    questions = spark.createDataFrame(
+        [(i, f"what does E{i % 6} mean here") for i in range(12)], "question_id long, question string"
+    )
+    some = F.col("question_id") % 2 == 0
+    null = lambda kind: F.lit(None).cast(kind)
+    draft = "struct<answer:string,citations:array<struct<chunk_id:string,page:int>>>"
+    flows = {
+        "none": answer.Ports(embed=counted.embed),
+        "router": answer.Ports(embed=counted.embed, route=lambda q: F.when(some, "how_to")),
+        "all routes": answer.Ports(embed=counted.embed, route=lambda q: null("string")),
+        "translator": answer.Ports(embed=counted.embed, translate=lambda q: null("string")),
+        "generator": answer.Ports(embed=counted.embed, generate=lambda *a: null(draft)),
+        "condenser": answer.Ports(embed=counted.embed, condense=lambda c, q: null("string")),
+        "chat": answer.Ports(embed=counted.embed, route=lambda q: F.lit("small_talk"), chat=lambda q: null("string")),
+    }
+    for name, flow in flows.items():
+        before = counted.rows.value
+        out = settle(answer.answer_questions(questions, chunks, ports=flow))
+        assert sorted(r.question_id for r in out.collect()) == list(range(12)), name
+        assert counted.rows.value - before == (0 if name == "chat" else 12), name
+        assert answer.log_entries(out).count() == 12
+
+
+def test_the_sink_embeds_each_chunk_once(spark, folder):
+    counted = Counted(spark)
+    rows = spark.createDataFrame([(f"m{i % 2}", i, f"text {i}") for i in range(3)], "manual_id string, ordinal int, content string")
+    for expected in (3, 6):  # at the first write, and again over the table
+        files.write_chunks(counted.embed(rows, "content"), f"{folder}/chunks", 4)
+        assert counted.rows.value == expected
+    assert files.read_chunks(spark, f"{folder}/chunks").count() == 3
+
+
+def test_a_read_error_is_not_taken_for_an_empty_table(spark, folder):
+    rows = spark.createDataFrame([("m", 1)], "manual_id string, ordinal int")
+    with open(f"{folder}/broken", "w") as file:
+        file.write("this is no table")
+    with pytest.raises(Exception, match="(?i)parquet|file"):
+        files.write_chunks(rows, f"{folder}/broken")
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Elsewhere)
+
+
+def test_reports_are_replaced_and_compared(spark, folder):
+    graded = spark.createDataFrame(
+        [(1, True, True, True, True, False, False, 10), (2, False, None, True, True, False, False, 20)],
+        "id long, answerable boolean, recall boolean, correct boolean, covers boolean, invents boolean, escalated boolean, latency_ms int",
+    )
+    summary = evals.summarise(graded)
+    worse = evals.summarise(graded.withColumn("correct", F.lit(False)))
+    for at, s in (("2024-01-01", summary), ("2024-01-02", worse), ("2024-01-02", worse)):
+        stored.write_report(s, graded, at, {}, folder)
+    kept = stored.read_summaries(spark, folder)
+    assert kept.count() == 2 and stored.read_results(spark, f"{folder}/cases").count() == 4
+    changes = {r.metric: r.change for r in stored.compare_with_last(summary, kept).collect()}
+    assert changes["correctness"] == 1.0 and changes["recall"] == 0.0
+    earlier = {r.metric: r.change for r in stored.compare_with_last(worse, kept, "2024-01-02").collect()}
+    assert earlier["correctness"] == -1.0
+    whole = spark.createDataFrame([("t", "t", {"recall@5": 0.5, "correctness": 1.0})], "run_at string, run string, summary map<string,double>")
+    row = stored.report_summaries(whole).first()
+    assert (row.recall, row.correctness, row.coverage) == (0.5, 1.0, None)
+
+
 def test_a_long_backlog_folds_segment_by_segment(spark):
-    df, rounds = state(spark), 0
     messages = thread(spark, 150)
-    while conversation.summary_ranges(df, messages).count():
-        rows = conversation.fold_summaries(df, messages, ports.note_facts).collect()
-        df = spark.createDataFrame(rows, df.schema)
-        rounds += 1
-    row = df.first()
-    assert (rounds, row.summarised_through) == (3, 144)
+    row = conversation.fold_summaries(state(spark), messages, ports.note_facts).first()
+    assert row.summarised_through == 144
     assert row.summary.goal == "user: m0" and len(row.summary.facts) == 144
 
 

@@ -80,6 +80,9 @@ def test_progress_stream_equals_batch(spark, folder):
             (2, 0, "read", "running", None, None, None),
             (1, 3, "extract", "failed", 7, None, "ValueError: x"),
             (2, 1, "unknown", "done", 1, None, None),
+            (3, 0, "read", "failed", 9, None, "broken"),
+            (3, 1, catalog.RESTART, None, None, None, None),
+            (3, 2, "read", "done", None, None, None),
         ],
         state.STEP,
     )
@@ -93,6 +96,8 @@ def test_progress_stream_equals_batch(spark, folder):
     first = {p.step: p for p in batch.where("manual_id = 1").first().progress}
     assert first["read"].status == "done" and first["read"].duration_ms == 12
     assert first["extract"].error == "ValueError: x" and first["index"].status == "pending"
+    again = {p.step: p for p in batch.where("manual_id = 3").first().progress}
+    assert (again["read"].status, again["read"].error, again["read"].duration_ms) == ("done", None, None)
 
 
 def test_turn_stream_equals_batch(spark, folder):
