@@ -21,6 +21,9 @@ TYPES = {
         "manual_stats": ("chunks",),
         "page_languages": ("characters",),
         "labelled_pages": ("block", '"offset"'),
+        "ingest_states": ("characters",),
+        "chunk_texts": ("chars",),
+        "chunk_places": ("first_page", "last_page"),
     },
     "INTEGER": {
         "progress_totals": ("done",),

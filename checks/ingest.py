@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import check
+from citeline.config import Settings
 from citeline.functions import text as fx
 from citeline.operators import catalog, chunking, language, pages
 from citeline.plans import ingest
@@ -226,6 +227,69 @@ def labelled_pages(spark, folder):
     )
 
 
+USABLE = f"""{LINES}, {clean_sql("lines")},
+usable AS (SELECT doc_id, page, text FROM clean WHERE ({quality_sql("text")}) IS NULL)"""
+
+
+@check(
+    "chunk_texts",
+    f"""WITH {USABLE}
+SELECT doc_id, length(t) AS chars, sha256(t) AS text FROM (
+  SELECT doc_id, regexp_replace(string_agg(text, '' ORDER BY page), '{BLANK}+', '', 'g') AS t FROM usable GROUP BY 1)""",
+)
+def chunk_texts(spark, folder):
+    """Chunks without overlap, put together again, are the document's text."""
+    cut = chunking.chunk_pages(settle(known_languages(spark, folder)), Settings(chunk_overlap=0))
+    joined = cut.groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", "content")))["content"], "").alias("t")
+    )
+    text = F.regexp_replace("t", f"[{fx.BLANK}]+", "")
+    return joined.select("doc_id", F.length(text).cast("long").alias("chars"), F.sha2(text, 256).alias("text"))
+
+
+@check(
+    "chunk_places",
+    f"""WITH {USABLE}
+SELECT doc_id, true AS dense, min(page) AS first_page, max(page) AS last_page, true AS rising, true AS bounded
+FROM usable GROUP BY 1""",
+)
+def chunk_places(spark, folder):
+    """Ordinals are dense, and the pages of the chunks rise and leave none out."""
+    cut = chunking.chunk_pages(settle(known_languages(spark, folder)))
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "page_from", "page_to")))
+    steps = F.zip_with(
+        F.slice("rows", F.lit(1), F.size("rows") - 1), F.slice("rows", F.lit(2), F.size("rows") - 1),
+        lambda a, b: (a["page_from"] <= b["page_from"]) & (a["page_to"] <= b["page_to"]),
+    )
+    found = cut.groupBy("doc_id").agg(
+        rows.alias("rows"),
+        (F.count_distinct("ordinal") == F.max("ordinal") + 1).alias("dense"),
+        F.min("page_from").cast("long").alias("first_page"),
+        F.max("page_to").cast("long").alias("last_page"),
+        (F.max(F.length("content")) <= Settings().chunk_size).alias("bounded"),
+    )
+    return found.select(
+        "doc_id", "dense", "first_page", "last_page", F.forall(steps, lambda x: x).alias("rising"), "bounded"
+    )
+
+
+@check(
+    "ingest_states",
+    f"""WITH {USABLE}
+SELECT d.doc_id AS manual_id, CASE WHEN count(u.page) = 0 THEN 'failed' ELSE 'ready' END AS status,
+  count(u.page) AS page_count, coalesce(sum(length(u.text)), 0) AS characters
+FROM documents d LEFT JOIN usable u USING (doc_id) GROUP BY 1""",
+)
+def ingest_states(spark, folder):
+    """Ingestion with the given languages: states, pages and characters."""
+    raw = line_pages(spark, folder)
+    result = ingest.ingest_pages(raw, lambda df: df.withColumnRenamed("lang", "language"))
+    chars = result["pages"].groupBy(F.col("doc_id").alias("manual_id")).agg(F.sum("chars").alias("characters"))
+    return result["manuals"].join(chars, "manual_id", "left").select(
+        "manual_id", "status", "page_count", F.coalesce("characters", F.lit(0)).cast("long").alias("characters")
+    )
+
+
 @check("chunks_rows")
 def chunks_rows(spark, folder):
     return chunking.chunk_pages(settle(known_languages(spark, folder)))

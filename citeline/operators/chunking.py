@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 
 from citeline.config import DEFAULTS
 from citeline.functions import text as fx
-from citeline.operators.ordered import int_bucket, number_rows, running_sums
+from citeline.operators.ordered import number_rows, running_sums
 from citeline.operators.splitting import SEPARATORS, packing, split_spans
 from citeline.session import settle
 
 # Characters of a block that one task packs at a time.
 PART_CHARS = 16_000_000
+# Characters of a block that make one bucket of its ordered computations.
+BUCKET_CHARS = 4_000_000
 RUN = ["doc_id", "block", "run"]
 SPAN = ["doc_id", "block", "start", "end", "page_from", "page_to", "page"]
 # Marks in the summaries: wherever a part is entered; behind the run's end.
@@ -67,17 +69,32 @@ def _with_pieces(pages: DataFrame, s) -> DataFrame:
 
 
 def _spans_udf(size: int, overlap: int):
-    @F.pandas_udf("array<struct<start:long,end:long>>")
+    """Chunks of a paragraph. The text comes back with its place: cutting it
+    by position in the JVM would walk from the paragraph's start each time."""
+
+    @F.pandas_udf("array<struct<start:long,content:string>>")
     def spans(paragraphs: pd.Series) -> pd.Series:
         return paragraphs.map(
             lambda p: [
-                {"start": a, "end": b} for a, b in split_spans(p, size, overlap, SEPARATORS[1:])
+                {"start": a, "content": p[a:b]}
+                for a, b in split_spans(p, size, overlap, SEPARATORS[1:])
             ]
         )
 
     return spans
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _slices(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    """The parts of each text between the given positions, in one walk."""
+    return pd.Series(
+        [
+            [text[a:b] for a, b in zip(begin, end, strict=True)]
+            for text, begin, end in zip(texts, begins, ends, strict=True)
+        ]
+    )
+
+
 def _long_chunks(pages: DataFrame, s) -> DataFrame:
     """Chunks of the paragraphs that are too long on their own."""
     start, end, skip = F.col("piece.start"), F.col("piece.end"), F.col("piece.skip")
@@ -94,14 +111,13 @@ def _long_chunks(pages: DataFrame, s) -> DataFrame:
         .select("doc_id", "block", "page", start.alias("base"), "body")
     )
     spans = _spans_udf(s.chunk_size, s.chunk_overlap)
-    at, to = F.col("span.start"), F.col("span.end")
     return rows.withColumn("span", F.explode(spans("body"))).select(
         "doc_id",
         "block",
         F.col("page").alias("page_from"),
         F.col("page").alias("page_to"),
-        (F.col("base") + at).alias("start"),
-        F.substring("body", (at + 1).cast("int"), (to - at).cast("int")).alias("content"),
+        (F.col("base") + F.col("span.start")).alias("start"),
+        "span.content",
     )
 
 
@@ -193,12 +209,18 @@ def _pack(size: int, overlap: int):
     return run
 
 
+def _place_bucket(start: Column) -> Column:
+    """Bucket of an offset in a block. Offsets rise with pages and paragraphs,
+    so a block is cut alike whether it is many pages or a single huge one."""
+    return F.floor(start / BUCKET_CHARS).cast("long")
+
+
 def _short_spans(pieces: DataFrame, s) -> DataFrame:
     """Pack rows of short paragraphs: doc_id, block, start, end, page_from,
     page_to and one row per page the chunk takes text from."""
     doc, page = pieces.schema["doc_id"].dataType, pieces.schema["page"].dataType
     long = (F.col("end") - F.col("start") >= s.chunk_size).cast("long")
-    bucket = int_bucket(F.col("page"), s)
+    bucket = _place_bucket(F.col("start"))
     runs = settle(
         running_sums(
             pieces, ["doc_id", "block"], ["page", "para"], bucket, {"run": long}
@@ -266,14 +288,23 @@ def _short_spans(pieces: DataFrame, s) -> DataFrame:
 
 def _short_chunks(pages: DataFrame, pieces: DataFrame, s) -> DataFrame:
     spans = _short_spans(pieces, s)
+    # A page meets its spans once, however many chunks take text from it.
+    span = F.struct("block", "start", "end", "page_from", "page_to")
+    wanted = settle(spans.groupBy("doc_id", "page").agg(F.collect_list(span).alias("spans")))
     text = pages.select("doc_id", "page", "offset", "chars", "text")
-    begin = F.greatest("start", "offset")
-    length = F.least(F.col("end"), F.col("offset") + F.col("chars")) - begin
-    part = F.substring(
-        F.col("text"), (begin - F.col("offset") + 1).cast("int"), length.cast("int")
-    )
-    parts = spans.join(text, ["doc_id", "page"]).select(
-        "doc_id", "block", "start", "page_from", "page_to", "page", part.alias("part")
+
+    def inside(place):
+        place = F.greatest(F.least(place, F.col("offset") + F.col("chars")), F.col("offset"))
+        return (place - F.col("offset")).cast("int")
+
+    begins = F.transform("spans", lambda x: inside(x["start"]))
+    ends = F.transform("spans", lambda x: inside(x["end"]))
+    cut = text.join(wanted, ["doc_id", "page"]).withColumn("cut", _slices("text", begins, ends))
+    parts = cut.select(
+        "doc_id", "page", F.explode(F.arrays_zip("spans", "cut")).alias("x")
+    ).select(
+        "doc_id", "x.spans.block", "x.spans.start", "x.spans.page_from", "x.spans.page_to",
+        "page", F.col("x.cut").alias("part"),
     )
     pieces = F.sort_array(F.collect_list(F.struct("page", "part")))
     whole = parts.groupBy("doc_id", "block", "start", "page_from", "page_to").agg(
@@ -305,11 +336,14 @@ def chunk_pages(pages: DataFrame, s=DEFAULTS) -> DataFrame:
         .agg(F.min(F.struct("page", "language", "section")).alias("head"))
         .select("doc_id", "block", "head.language", "head.section")
     )
+    # Numbered without their texts; blocks and offsets rise with the pages.
     numbered = number_rows(
-        chunks, ["doc_id"], ["page_from", "block", "start"],
-        int_bucket(F.col("page_from"), s), "ordinal",
+        chunks.select("doc_id", "block", "start", "page_from"), ["doc_id"],
+        ["page_from", "block", "start"],
+        F.struct("block", _place_bucket(F.col("start")).alias("place")), "ordinal",
     )
-    return numbered.join(heads, ["doc_id", "block"]).select(
+    numbered = settle(numbered.join(heads, ["doc_id", "block"]).drop("page_from"))
+    return chunks.join(numbered, ["doc_id", "block", "start"]).select(
         "doc_id", F.col("ordinal").cast("int").alias("ordinal"),
         "page_from", "page_to", "language", "section", "content",
     )
