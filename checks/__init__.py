@@ -34,6 +34,7 @@ TYPES = {
         "vector_topk": ("rank",),
         "lexical_topk": ("rank",),
         "hybrid_rrf": ("rank",),
+        "hybrid_blocks": ("rank",),
         "scoped_search": ("rank",),
         "merge_semantic": ("rank",),
         "search_manual": ("rank",),

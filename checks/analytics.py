@@ -9,6 +9,7 @@ from citeline.functions import guard
 from citeline.functions import text as fx
 from citeline.operators import analytics
 from citeline.sources.tables import table
+from citeline.streaming.state import intents_by_window as intents_by_window_of
 
 
 def query_log(spark, folder):
@@ -97,6 +98,22 @@ def intent_mix(spark, folder):
     return mix.withColumns(rounded | {"cost_usd": F.col("cost_usd").cast("double")})
 
 
+@check(
+    "intents_by_window",
+    f"""WITH {LOG} SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H') AS start, intent,
+  count(*) AS questions, round(avg(resolved::INT), 6) AS resolution_rate,
+  round(avg(latency_ms), 6) AS mean_latency_ms, max(latency_ms) AS max_latency_ms
+FROM query_log GROUP BY ALL""",
+)
+def intents_by_window(spark, folder):
+    found = intents_by_window_of(query_log(spark, folder))
+    return found.select(
+        F.date_format("start", "yyyy-MM-dd HH").alias("start"), "intent", "questions",
+        F.round("resolution_rate", 6).alias("resolution_rate"),
+        F.round("mean_latency_ms", 6).alias("mean_latency_ms"), "max_latency_ms",
+    )
+
+
 @check(
     "monthly_usage",
     f"""WITH {LOG}, used AS (SELECT tenant_id, date_trunc('month', created_at) AS month, count(*) AS used

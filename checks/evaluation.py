@@ -11,7 +11,7 @@ from citeline import ports
 from citeline.functions import text as fx
 from citeline.operators import answer, evals
 from citeline.plans import evaluate
-from citeline.session import shared_folder
+from citeline.session import settle, shared_folder
 from citeline.sources.evaluation import compare_with_last, read_summaries, write_report
 from citeline.sources.tables import (
     benchmark_questions,
@@ -242,6 +242,20 @@ def report_delta(spark, folder):
     return compare_with_last(now, read_summaries(spark, kept)).withColumn("change", F.round("change", 9))
 
 
+@check(
+    "judge_consistency",
+    f"{RESULTS_SQL} SELECT count(*) AS cases, CAST(0 AS BIGINT) AS unstable, 1.0::DOUBLE AS stability FROM result",
+)
+def judge_consistency(spark, folder):
+    """Stored answers graded three times by a judge that does not waver."""
+    stored = settle(results_of(spark, folder).select("id", "answer", "cited_pages"))
+    overall, _ = evaluate.judge_consistency(
+        stored, cases_of(spark, folder), products_of(spark, folder), document_chunks(spark, folder),
+        product_links(spark, folder),
+    )
+    return overall
+
+
 @check(
     "eval_failures",
     f"""WITH {GRADED} SELECT id, CASE WHEN recall = false THEN 'no-recall' ELSE '' END AS flag,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import check
 from citeline import ports
+from citeline.config import Settings
 from citeline.functions import text as fx
 from citeline.operators import search
 from citeline.session import settle
@@ -251,6 +252,24 @@ def hybrid_rrf(spark, folder):
     )
 
 
+@check(
+    "hybrid_blocks",
+    f"""{HYBRID_SQL}
+SELECT question_id, rank, chunk_id, round(score, 9) AS score, round(similarity, 6) AS similarity
+FROM hits""",
+)
+def hybrid_blocks(spark, folder):
+    """The same with the questions in blocks of at most twenty."""
+    hits = search.hybrid_search(
+        embedded_chunks(spark, folder), embedded_questions(spark, folder).drop("product_id"),
+        s=Settings(question_block_rows=20),
+    )
+    return hits.select(
+        "question_id", "rank", "chunk_id",
+        F.round("score", 9).alias("score"), F.round("similarity", 6).alias("similarity"),
+    )
+
+
 @check(
     "scoped_search",
     f"""{SCOPED_SQL}

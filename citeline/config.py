@@ -46,8 +46,8 @@ class Settings:
     judge_rounds: int = 3
 
     # Ours: physical bounds. A bucket is the largest slice of one ordered group
-    # that a single task sorts; the block bounds what a question set may take
-    # in an executor's memory before the blocked join takes over.
+    # that a single task sorts; the block bounds how many questions, and how many
+    # bytes of them, are scored in one scan.
     order_bucket: int = 4096
     question_block_rows: int = 2048
     question_block_bytes: int = 64 * 1024 * 1024

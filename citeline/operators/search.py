@@ -2,7 +2,6 @@
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +20,6 @@ from citeline.operators.scoring import (
 )
 from citeline.session import settle
 
-# Chunks per cell of the blocked join that serves oversized question sets.
-CELL_CHUNKS = 50_000
-
 
 def scope_to_product(
     chunks: DataFrame, links: DataFrame, product_id, manual: str = "manual_id"
@@ -100,12 +96,37 @@ def _chunk_columns(chunks: DataFrame, rankings) -> DataFrame:
     )
 
 
-def _block_bytes(rows: list) -> int:
-    return sum(
-        8 * (len(r["vector"] or ()) + len(r["translated_vector"] or ()))
-        + sum(len(t) + 8 for t in r["terms"] or ())
-        for r in rows
+def _size() -> Column:
+    """Bytes that a question takes in a block, about."""
+    vectors = [8 * F.coalesce(F.size(c), F.lit(0)) for c in ("vector", "translated_vector")]
+    terms = F.aggregate(
+        F.coalesce("terms", F.array().cast("array<string>")), F.lit(0), lambda n, t: n + F.octet_length(t) + 8
     )
+    return (vectors[0] + vectors[1] + terms).cast("long")
+
+
+def question_blocks(asked: DataFrame, s=DEFAULTS) -> tuple[DataFrame, int]:
+    """Questions with their ``__block``, and the number of blocks.
+
+    Blocks are dealt by a hash; there are so many that the largest keeps the
+    bounds in rows and bytes, both measured. A question that exceeds the bytes
+    alone cannot be divided and shares its block with few others.
+    """
+    asked = settle(asked.withColumn("__size", _size()))
+    total = asked.agg(
+        F.count("*").alias("rows"), F.sum("__size").alias("bytes"), F.max("__size").alias("most")
+    ).first()
+    most = max(s.question_block_bytes, total["most"] or 0)
+    n = max(1, -(-total["rows"] // s.question_block_rows), -(-(total["bytes"] or 0) // most))
+    while True:
+        placed = asked.withColumn("__block", F.pmod(F.xxhash64("question_id"), F.lit(n)).cast("int"))
+        fullest = placed.groupBy("__block").agg(F.count("*").alias("rows"), F.sum("__size").alias("bytes")).agg(
+            F.max("rows").alias("rows"), F.max("bytes").alias("bytes")
+        ).first()
+        within = (fullest["rows"] or 0) <= s.question_block_rows and (fullest["bytes"] or 0) <= 2 * most
+        if within or n > 8 * total["rows"]:
+            return placed, n
+        n += max(1, n // 4)
 
 
 def rank_candidates(
@@ -122,9 +143,11 @@ def rank_candidates(
     tokens, and ``products`` when questions are scoped. Returns list_idx,
     question_id, chunk_id, score, similarity, rank (from 1).
 
-    A question set within the block bound is broadcast: chunks are scanned
-    where they lie, and a task sends on only what may still be among the k
-    best it has seen. A larger set goes through a blocked join on the cluster.
+    Questions are taken in blocks, bounded in rows and bytes, and every block is
+    broadcast: chunks are scanned where they lie, once per block, and never
+    shuffled or copied. A task sends on only what may still be among the k best
+    it has seen. The results of several blocks are tables of their own, so that
+    the driver and the workers hold one block at a time.
     """
     wide = _chunk_columns(chunks, rankings)
     product = wide.schema["products"].dataType.elementType
@@ -140,51 +163,31 @@ def rank_candidates(
     )
     arrow = to_arrow_schema(fields)
     product_arrow = to_arrow_type(product)
-
-    # At most one row more than the bound ever reaches the driver.
-    head = asked.limit(s.question_block_rows + 1).collect()
-    if len(head) <= s.question_block_rows and _block_bytes(head) <= s.question_block_bytes:
-        block = QuestionBlock.build([r.asDict() for r in head], product_arrow)
-        shared = chunks.sparkSession.sparkContext.broadcast(block)
-
-        def scan(batches):
+    order = Window.partitionBy("list_idx", "question_id").orderBy(
+        F.round("score", DECIMALS).desc(), "chunk_id"
+    )
+    placed, blocks = question_blocks(asked, s)
+    found = []
+    for number in range(blocks):
+        rows = placed.where(F.col("__block") == number).drop("__block", "__size").collect()
+        if not rows and found:
+            continue
+        shared = chunks.sparkSession.sparkContext.broadcast(
+            QuestionBlock.build([r.asDict() for r in rows], product_arrow)
+        )
+
+        def scan(batches, shared=shared):
             held = Held(shared.value, k)
             for batch in batches:
                 yield score_chunks(batch, shared.value, rankings, k, arrow, held)
 
         best = wide.mapInArrow(scan, fields)
-    else:
-        best = _blocked(wide, asked, rankings, k, fields, arrow, product_arrow, s)
-
-    order = Window.partitionBy("list_idx", "question_id").orderBy(
-        F.round("score", DECIMALS).desc(), "chunk_id"
-    )
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _blocked(chunks, questions, rankings, k, fields, arrow, product_arrow, s):
-    """Question blocks x chunk blocks as an equi-join on block numbers: both
-    sides of every cell are bounded, and nothing passes the driver."""
-    questions = settle(questions)
-    n_q = -(-questions.count() // s.question_block_rows)
-    n_c = -(-max(chunks.count(), 1) // CELL_CHUNKS)
-    cells = ["cell_c", "cell_q"]
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = chunks.withColumn(
-        "cell_c", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).cast("int")
-    ).withColumn("cell_q", every(n_q))
-    right = questions.withColumn(
-        "cell_q", F.pmod(F.xxhash64("question_id"), F.lit(n_q)).cast("int")
-    ).withColumn("cell_c", every(n_c))
-
-    def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        block = QuestionBlock.build(asked.to_pylist(), product_arrow)
-        return pa.Table.from_batches([score_chunks(rows, block, rankings, k, arrow)])
-
-    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, fields)
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if blocks > 1:
+            best = settle(best)
+            shared.unpersist()
+        found.append(best)
+    return reduce(DataFrame.unionByName, found)
 
 
 def vector_topk(chunks, questions, k=DEFAULTS.candidates, s=DEFAULTS) -> DataFrame:

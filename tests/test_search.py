@@ -98,9 +98,8 @@ def same(got, want):
 @pytest.mark.parametrize("scoped", [False, True])
 @pytest.mark.parametrize("block,batch", [(2048, 10_000), (2048, 7), (4, 10_000)])
 def test_rankings_match_brute_force(spark, monkeypatch, scoped, block, batch):
-    """Broadcast block, in one batch and many, and, with a bound of four
-    questions, the blocked join."""
-    monkeypatch.setattr(search, "CELL_CHUNKS", 90)
+    """One block, in one batch and many, and several blocks of at most four
+    questions."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     rows, chunks = corpus(spark)
     questions, df = asked(spark)
