@@ -1,27 +1,47 @@
-"""Approximate neighbours: the recall against the exact search."""
+"""Approximate neighbours: what is found beside the exact search."""
+
+import uuid
 
 from pyspark.sql import functions as F
 
 from checks import check
 from citeline.operators import ann, search
-from citeline.session import settle
+from citeline.session import shared_folder
 from citeline.sources.tables import table
 
+CELLS_SQL = """
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+mean AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY ALL),
+centre AS (SELECT label, list(m ORDER BY i) AS c FROM mean GROUP BY label),
+placed AS (SELECT vec_id, any_value(e) AS e, arg_max(c.label, list_cosine_similarity(e, c)) AS cell FROM v, centre c GROUP BY vec_id),
+asked AS (SELECT item_id AS question_id, e AS q FROM benchmark JOIN v ON vec_id = item_id),
+probe AS (SELECT question_id, q, label AS cell FROM asked, centre
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY list_cosine_similarity(q, c) DESC) <= 4),
+found AS (SELECT question_id, vec_id AS chunk_id, list_cosine_similarity(q, e) AS similarity FROM probe JOIN placed USING (cell)
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(similarity, 9) DESC, vec_id) <= 20),
+exact AS (SELECT question_id, vec_id AS chunk_id, list_cosine_similarity(q, e) AS similarity FROM asked, v
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(similarity, 9) DESC, vec_id) <= 20)"""
+
 
-@check("ann_topk")
+@check(
+    "ann_topk",
+    f"""WITH {CELLS_SQL}
+SELECT question_id, chunk_id, round(f.similarity, 6) AS similarity, x.chunk_id IS NOT NULL AS exact
+FROM found f LEFT JOIN exact x USING (question_id, chunk_id)""",
+)
 def ann_topk(spark, folder):
-    """Top 20 from the nearest quarter of the cells, beside the exact rank."""
+    """Top 20 from the nearest four of the label cells, and which of them the
+    exact search finds too."""
     vectors = table(spark, folder, "embeddings")
-    chunks = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    chunks = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
     asked = table(spark, folder, "benchmark").select("item_id").join(
         vectors, F.col("item_id") == F.col("vec_id")
     ).select(F.col("item_id").alias("question_id"), F.col("embedding").alias("vector"))
-    cells = ann.fit_cells(chunks, 16)
-    placed = settle(ann.assign_cells(chunks, cells))
+    cells = ann.label_cells(chunks)
+    placed = ann.write_cells(chunks, cells, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}")
     found = ann.ann_topk(placed, asked, cells, 4, 20)
-    exact = search.vector_topk(chunks, asked, 20).select(
-        "question_id", "chunk_id", F.col("rank").alias("exact_rank")
-    )
+    exact = search.vector_topk(chunks, asked, 20).select("question_id", "chunk_id", F.lit(True).alias("exact"))
     return found.join(exact, ["question_id", "chunk_id"], "left").select(
-        "question_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"), "exact_rank"
+        "question_id", "chunk_id", F.round("similarity", 6).alias("similarity"),
+        F.coalesce("exact", F.lit(False)).alias("exact"),
     )

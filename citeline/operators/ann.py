@@ -25,6 +25,27 @@ def fit_cells(chunks: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
     return centres / np.linalg.norm(centres, axis=1, keepdims=True)
 
 
+def label_cells(chunks: DataFrame, label: str = "label") -> np.ndarray:
+    """Unit centroids as the mean vectors of known groups, in the order of their
+    labels: one aggregate over all chunks. Bounded by labels x dimensions."""
+    means = (
+        chunks.select(label, F.posexplode("embedding").alias("at", "value"))
+        .groupBy(label, "at")
+        .agg(F.avg(F.col("value").cast("double")).alias("mean"))
+        .groupBy(label)
+        .agg(F.array_sort(F.collect_list(F.struct("at", "mean")))["mean"].alias("centre"))
+    )
+    rows = sorted((r[label], r["centre"]) for r in means.where(F.col(label).isNotNull()).collect())
+    centres = np.array([centre for _, centre in rows])
+    return centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+
+def write_cells(chunks: DataFrame, centroids: np.ndarray, path: str) -> DataFrame:
+    """The chunk table partitioned by cell, for searches that read few cells."""
+    assign_cells(chunks, centroids).write.mode("overwrite").partitionBy("cell").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
 def nearest_cells(df: DataFrame, vector: str, centroids: np.ndarray, n: int, name: str) -> DataFrame:
     """Add ``name``: the n cells nearest to the vector, nearest first."""
     shared = df.sparkSession.sparkContext.broadcast(centroids)
@@ -58,14 +79,14 @@ def ann_topk(
     """Top k within the probed cells. chunks: chunk_id, embedding, cell.
 
     A probed cell acts as the scope of a question, so this is the exact search
-    on fewer chunks. On a table partitioned by cell, the semi-join with the
-    probed cells (no more than there are centroids) prunes the others.
+    on fewer chunks. The probed cells, no more than there are centroids, become
+    a filter: a table partitioned by cell (``write_cells``) reads only those.
     """
     asked = nearest_cells(
         questions.select("question_id", "vector"), "vector", centroids, probes, "__cells"
     ).select("question_id", "vector", F.explode("__cells").alias("product_id"))
-    probed = F.broadcast(asked.select(F.col("product_id").alias("cell")).distinct())
-    near = chunks.join(probed, "cell", "left_semi").withColumn("products", F.array("cell"))
+    probed = sorted(r[0] for r in asked.select("product_id").distinct().collect())
+    near = chunks.where(F.col("cell").isin(probed)).withColumn("products", F.array("cell"))
     return rank_candidates(near, asked, (VECTOR,), k).drop("list_idx", "score")
 
 

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import checks
 from citeline.config import Settings
-from citeline.operators import catalog, conversation, ordered, pages
+from citeline.operators import ann, catalog, conversation, ordered, pages, search
 from citeline.session import ship
 
 checks.load()
@@ -179,6 +180,19 @@ def test_no_query_multiplies_rows(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
+def test_a_table_by_cell_is_read_only_where_it_is_probed(spark, folder):
+    rows = [(i, [float(np.cos(i)), float(np.sin(i))], i % 5) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, label int")
+    cells = ann.label_cells(chunks)
+    placed = ann.write_cells(chunks, cells, f"{folder}/cells")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, vector array<float>")
+    found = ann.ann_topk(placed, asked, cells, 2, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    exact = search.vector_topk(chunks, asked, 5)
+    assert ann.recall_against(found, exact).first().recall >= 0.6
+
+
 def test_every_query_has_sql_or_a_reason():
     no_sql = set(checks.QUERIES) - set(checks.SQL)
-    assert no_sql == {"chunks_rows", "ingest_documents", "detect_language", "ann_topk"}
+    assert no_sql == {"chunks_rows", "ingest_documents", "detect_language"}
