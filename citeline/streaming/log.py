@@ -40,3 +40,45 @@ class BatchLog:
                 raise
             return self.spark.createDataFrame([], self.schema)
         return rows if before is None else rows.where(F.col("batch") < before)
+
+
+class KeyedState:
+    """What a stream must remember of its past: one row per key, not the past.
+
+    The state after a batch is written whole, into one of two slots by turns, so
+    that a replayed batch finds the state before it untouched. Reading it costs
+    as much as there are keys, however old the stream is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ddl: str):
+        self.spark, self.path = spark, path
+        fields = T.StructType.fromDDL(ddl).fields
+        self.names = [f.name for f in fields]
+        self.schema = T.StructType(
+            [*fields, T.StructField("batch", T.LongType()), T.StructField("slot", T.IntegerType())]
+        )
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        """The state after ``batch``; ``rows`` may be derived from ``read``."""
+        (
+            rows.select(*self.names, F.lit(batch).cast("long").alias("batch"), F.lit(batch % 2).alias("slot"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("slot")
+            .parquet(self.path)
+        )
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The state before a batch, or the latest."""
+        try:
+            rows = self.spark.read.schema(self.schema).parquet(self.path)
+        except AnalysisException as error:
+            if not missing_path(error):
+                raise
+            return self.spark.createDataFrame([], self.schema).select(*self.names)
+        if before is None:
+            last = rows.agg(F.max("batch").alias("n")).first()["n"]
+        else:
+            last = before - 1
+        at = F.col("slot") == (last or 0) % 2
+        return rows.where(at & (F.col("batch") == last)).select(*self.names)

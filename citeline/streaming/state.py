@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from citeline.config import DEFAULTS
 from citeline.operators import analytics, catalog, conversation
 from citeline.session import settle
-from citeline.streaming.log import BatchLog
+from citeline.streaming.log import BatchLog, KeyedState
 
 CLAIM = (
     "request_id long, manual_id long, won boolean, status_after string, reason string, "
@@ -67,14 +67,24 @@ def claim_stream(
     """Grant each manual to one request at a time, across micro-batches.
 
     requests: as ``catalog.claim``. A claim of an earlier batch counts as
-    running until it is stale. Outcomes of all requests go to the log.
+    running until it is stale. Outcomes of all requests go to the log; a batch
+    reads the last claim of each manual, never the log.
     """
+    held = KeyedState(log.spark, f"{log.path}-held", "manual_id long, won boolean, claimed_at timestamp")
 
     def grant(batch: DataFrame, number: int) -> None:
         at = F.current_timestamp() if now is None else now
-        state = claimed_state(manuals, log.read(before=number))
-        outcomes = catalog.claim(state, batch, at, s)
-        log.write(outcomes.withColumn("claimed_at", F.when(F.col("won"), at)), number)
+        before = held.read(before=number)
+        outcomes = settle(
+            catalog.claim(claimed_state(manuals, before), batch, at, s).withColumn(
+                "claimed_at", F.when(F.col("won"), at)
+            )
+        )
+        log.write(outcomes, number)
+        won = before.unionByName(outcomes.where("won").select(*before.columns))
+        held.write(
+            won.groupBy("manual_id").agg(F.lit(True).alias("won"), F.max("claimed_at").alias("claimed_at")), number
+        )
 
     return requests.writeStream.foreachBatch(grant)
 
@@ -121,20 +131,49 @@ def new_contents(uploads: DataFrame) -> DataFrame:
 def turn_stream(
     turns: DataFrame, conversations: DataFrame, messages: BatchLog, s=DEFAULTS
 ) -> DataStreamWriter:
-    """Append turns to their threads; ordinals go on from the log."""
+    """Append turns to their threads. A batch reads the last ordinal and the
+    title of each thread that has turns, never the messages; see
+    ``titled_threads`` for the titles."""
+    held = thread_state(messages)
 
     def append(batch: DataFrame, number: int) -> None:
-        held = messages.read(before=number).drop("batch")
-        none = held.limit(0)
-        # Only the last ordinal per thread is needed of what is held.
-        last = held.groupBy("conversation_id").agg(F.max("ordinal").alias("ordinal"))
-        last = none.unionByName(last, allowMissingColumns=True).withColumn("role", F.lit("last"))
-        _, after = conversation.append_turns(conversations, last, batch, s)
-        messages.write(after.where(F.col("role") != "last"), number)
+        before = settle(held.read(before=number))
+        known = conversations.join(
+            before.select("conversation_id", F.col("title").alias("__title")), "conversation_id", "left"
+        ).withColumn("title", F.coalesce("title", "__title")).drop("__title")
+        last = before.select("conversation_id", "ordinal", F.lit("last").alias("role"))
+        none = messages.spark.createDataFrame([], messages.schema).drop("batch")
+        last = none.unionByName(last, allowMissingColumns=True)
+        titled, after = conversation.append_turns(known, last, batch, s)
+        added = settle(after.where(F.col("role") != "last"))
+        messages.write(added, number)
+        ends = (
+            added.select("conversation_id", "ordinal")
+            .unionByName(before.select("conversation_id", "ordinal"))
+            .groupBy("conversation_id")
+            .agg(F.max("ordinal").alias("ordinal"))
+        )
+        titles = titled.select("conversation_id", "title")
+        held.write(ends.join(titles, "conversation_id", "left"), number)
 
     return turns.writeStream.foreachBatch(append)
 
 
+def thread_state(messages: BatchLog) -> KeyedState:
+    """Last ordinal and title of each thread that a turn stream has seen."""
+    return KeyedState(
+        messages.spark, f"{messages.path}-threads", "conversation_id long, ordinal long, title string"
+    )
+
+
+def titled_threads(conversations: DataFrame, messages: BatchLog) -> DataFrame:
+    """Conversations with the titles that a turn stream gave them."""
+    given = thread_state(messages).read().select("conversation_id", F.col("title").alias("__title"))
+    return conversations.join(given, "conversation_id", "left").select(
+        *[F.coalesce("title", "__title").alias(c) if c == "title" else F.col(c) for c in conversations.columns]
+    )
+
+
 def fold_notes(
     spark: SparkSession, conversations: DataFrame, messages: BatchLog, notes: BatchLog,
     summarise, batch: int, s=DEFAULTS,

@@ -8,7 +8,7 @@ from citeline import ports
 from citeline.operators import catalog, conversation
 from citeline.sources.files import read_chunks
 from citeline.streaming import ingest, state
-from citeline.streaming.log import BatchLog
+from citeline.streaming.log import BatchLog, KeyedState
 
 NOW = "2024-01-15 00:00:00"
 
@@ -60,6 +60,21 @@ def test_one_claim_wins_across_batches(spark, folder):
     batch = catalog.claim(manuals(spark), requests, now)
     same = {r.request_id: (r.won, r.reason) for r in batch.collect()}
     assert {r.request_id: (r.won, r.reason) for r in got.collect()} == same
+    # what a batch reads of the past is a row per manual, not the log
+    assert KeyedState(spark, f"{folder}/claims-held", "manual_id long, won boolean, claimed_at timestamp").read().count() == 3
+
+
+def test_a_replay_finds_the_state_before_it(spark, folder):
+    kept = KeyedState(spark, f"{folder}/state", "k long, n long")
+
+    def step(number):
+        rows = kept.read(before=number).unionByName(spark.createDataFrame([(number % 3, number)], "k long, n long"))
+        kept.write(rows.groupBy("k").agg(F.max("n").alias("n")), number)
+
+    for number in (0, 1, 2, 3, 3, 4, 4, 4):
+        step(number)
+    assert {(r.k, r.n) for r in kept.read().collect()} == {(0, 3), (1, 4), (2, 2)}
+    assert {(r.k, r.n) for r in kept.read(before=4).collect()} == {(0, 3), (1, 1), (2, 2)}
 
 
 def test_replayed_batch_changes_nothing(spark, folder):
@@ -116,6 +131,9 @@ def test_turn_stream_equals_batch(spark, folder):
     assert live.orderBy(*key).collect() == batch.select(*live.columns).orderBy(*key).collect()
     assert [r.ordinal for r in live.where("conversation_id = 1").orderBy("ordinal").collect()] == list(range(12))
 
+    titles = {r.conversation_id: r.title for r in state.titled_threads(threads, log).collect()}
+    assert titles == {1: "q0", 2: "kept"}
+    assert state.thread_state(log).read().count() == 2
     notes = BatchLog(spark, f"{folder}/notes", state.NOTES)
     for number in range(2):
         state.fold_notes(spark, threads, log, notes, ports.note_facts, number)
