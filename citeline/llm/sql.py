@@ -143,4 +143,21 @@ SQL = {
         SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
                coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN found USING (r)""",
+    "op4_passages": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        k AS (
+            SELECT r, p, array_to_string(w[p:p + 34], ' ') AS key
+            FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+        again AS (SELECT key FROM k GROUP BY key HAVING count(*) > 1),
+        gone AS (
+            SELECT DISTINCT r, i FROM (SELECT r, unnest(range(p, p + 35)) AS i FROM k SEMI JOIN again USING (key))),
+        words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+        kept AS (
+            SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
+            FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
 }
