@@ -1,17 +1,21 @@
 """A small causal self-attention model over subword ids, in numpy.
 
-Ids are sorted into classes of slots: the frequent ones by the company they
-keep, the others into the last slot of each class, where they share its
-probability by their counts. The model attends over the codes of the tokens
-before and gives a probability to the class of the next one and to the slot
-within that class; both start from the counts of the whole corpus.
+Ids are sorted into a tree of three levels with sixteen branches each: the
+frequent ones by the company they keep, a leaf for each; the others share some
+leaves in proportion to their counts. The model attends over the leaves of the
+tokens before and gives probabilities to the branches that lead to the next one;
+they start from the counts of the whole corpus. A token costs three choices among
+sixteen, not one among thousands.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 
-CLASSES, SLOTS = 64, 64
+BRANCH, LEVELS = 16, 3
+LEAVES = BRANCH**LEVELS
+#: Parts of the tree with a leaf for other ids, and leaves of such a part.
+PARTS, PART = 64, 64
 WIDTH, HIDDEN = 16, 32
 #: Tokens of a context window; each window scores its last SCORED tokens.
 WINDOW, SCORED = 32, 16
@@ -26,12 +30,12 @@ _OWN = np.arange(SCORED)
 
 @dataclass
 class Codes:
-    """By id: its code (class * SLOTS + slot), and the log share of its slot.
-    The last id is the end of a text."""
+    """By id: its leaf, and the log of its share of that leaf. ``mass`` is the
+    corpus count of each leaf. The last id is the end of a text."""
 
     code: np.ndarray
     share: np.ndarray
-    bias: np.ndarray
+    mass: np.ndarray
 
     @property
     def end(self) -> int:
@@ -57,7 +61,7 @@ def build_codes(counts: np.ndarray, tokens: np.ndarray) -> Codes:
     end = len(counts) - 1
     weight = counts.copy()
     weight[end] = np.inf
-    top = np.argsort(-weight, kind="stable")[: CLASSES * (SLOTS - 1)]
+    top = np.argsort(-weight, kind="stable")[: PARTS * (PART - 1)]
     place = np.full(len(counts), -1)
     place[top] = np.arange(len(top))
     at = place[tokens]
@@ -70,15 +74,18 @@ def build_codes(counts: np.ndarray, tokens: np.ndarray) -> Codes:
     mean = company.sum(axis=1, keepdims=True) * company.sum(axis=0) / max(1.0, company.sum())
     x = np.log1p(company / (mean + 0.5))
     _, vectors = np.linalg.eigh(x.T @ x)
+    vectors = x @ vectors[:, -WIDTH:]
     code = np.empty(len(counts), dtype=np.int64)
     share = np.zeros(len(counts))
-    for i, part in enumerate(_bisect(top, x @ vectors[:, -WIDTH:], CLASSES)):
-        code[part] = i * SLOTS + np.arange(len(part))
+    # The first of the four groups of a part is one leaf short: that is for others.
+    groups = _bisect(top, vectors, PARTS * PART // BRANCH)
+    for i, group in enumerate(groups):
+        code[group] = i * BRANCH + np.arange(len(group))
     rest = np.flatnonzero(place < 0)
-    code[rest] = rest % CLASSES * SLOTS + SLOTS - 1
-    mass = np.bincount(code, counts + _SMOOTH, minlength=CLASSES * SLOTS)
+    code[rest] = rest % PARTS * PART + BRANCH - 1
+    mass = np.bincount(code, counts + _SMOOTH, minlength=LEAVES)
     share[rest] = np.log((counts[rest] + _SMOOTH) / mass[code[rest]])
-    return Codes(code.astype(np.int32), share.astype(np.float32), np.log(mass + 1e-6).reshape(CLASSES, SLOTS))
+    return Codes(code.astype(np.int32), share.astype(np.float32), mass + 1e-6)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -94,27 +101,30 @@ def start_weights(codes: Codes, seed: int = 11) -> dict[str, np.ndarray]:
     def small(*shape):
         return (random.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
 
-    whole = np.log(np.exp(codes.bias).sum(axis=1))
-    return {
-        "embed": (0.3 * random.standard_normal((CLASSES * SLOTS, WIDTH))).astype(np.float32),
+    w = {
+        "embed": (0.3 * random.standard_normal((LEAVES, WIDTH))).astype(np.float32),
         "query": small(WIDTH, WIDTH),
         "key": small(WIDTH, WIDTH),
         "value": small(WIDTH, WIDTH),
         "distance": np.zeros(WINDOW, dtype=np.float32),
         "mix": small(2 * WIDTH, HIDDEN),
         "mix_bias": np.zeros(HIDDEN, dtype=np.float32),
-        "classes": 0.1 * small(HIDDEN, CLASSES),
-        "classes_bias": whole.astype(np.float32),
-        "slots": 0.1 * small(CLASSES, HIDDEN, SLOTS),
-        "slots_bias": (codes.bias - whole[:, None]).astype(np.float32),
     }
+    for level in range(LEVELS):
+        # the last row goes with a constant input: the log of the corpus share
+        mass = codes.mass.reshape(BRANCH ** (level + 1), -1).sum(axis=1).reshape(-1, BRANCH)
+        share = np.log(mass / mass.sum(axis=1, keepdims=True))
+        weights = 0.1 * small(len(mass), HIDDEN, BRANCH)
+        w[f"level{level}"] = np.concatenate([weights, share[:, None, :]], axis=1).astype(np.float32)
+    return w
 
 
-def _by_class(classes: np.ndarray):
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(edges)):
-        yield c, order[edges[c] : edges[c + 1]]
+def _steps(code: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(node, branch taken) at each level on the way to a leaf."""
+    return [
+        (code // BRANCH ** (LEVELS - level), code // BRANCH ** (LEVELS - 1 - level) % BRANCH)
+        for level in range(LEVELS)
+    ]
 
 
 def _gradients(w: dict[str, np.ndarray], tokens: np.ndarray, end: int) -> tuple[float, dict]:
@@ -131,21 +141,22 @@ def _gradients(w: dict[str, np.ndarray], tokens: np.ndarray, end: int) -> tuple[
     a = _softmax(np.where(seen, a, np.float32(-1e9)))
     z = np.concatenate([x, a @ v], axis=2).reshape(-1, 2 * WIDTH)
     h = np.maximum(z @ w["mix"] + w["mix_bias"], 0)
-    kind, slot = wanted // SLOTS, wanted % SLOTS
-    rows = np.arange(len(wanted))
-    p = _softmax(h @ w["classes"] + w["classes_bias"])
-    loss = -np.log(p[rows, kind] + 1e-12).sum()
-    p[rows, kind] -= 1
-    out = {"classes": h.T @ p, "classes_bias": p.sum(axis=0)}
-    dh = p @ w["classes"].T
-    out["slots"], out["slots_bias"] = np.zeros_like(w["slots"]), np.zeros_like(w["slots_bias"])
-    for c, own in _by_class(kind):
-        p = _softmax(h[own] @ w["slots"][c] + w["slots_bias"][c])
-        loss -= np.log(p[np.arange(len(own)), slot[own]] + 1e-12).sum()
-        p[np.arange(len(own)), slot[own]] -= 1
-        out["slots"][c] = h[own].T @ p
-        out["slots_bias"][c] = p.sum(axis=0)
-        dh[own] += p @ w["slots"][c].T
+    order = np.argsort(wanted, kind="stable")  # by leaf, so by node at every level
+    sorted_h = np.concatenate([h[order], np.ones((len(order), 1), dtype=h.dtype)], axis=1)
+    rows, loss, out = np.arange(len(order)), 0.0, {}
+    back = np.zeros_like(sorted_h)
+    for level, (node, branch) in enumerate(_steps(wanted[order])):
+        weights = w[f"level{level}"]
+        p = _softmax((sorted_h[:, None, :] @ weights[node])[:, 0])
+        loss -= np.log(p[rows, branch] + 1e-12).sum()
+        p[rows, branch] -= 1
+        back += (p[:, None, :] @ weights[node].transpose(0, 2, 1))[:, 0]
+        heads = np.flatnonzero(np.diff(node, prepend=-1))
+        grads = np.zeros_like(weights)
+        grads[node[heads]] = np.add.reduceat(sorted_h[:, :, None] * p[:, None, :], heads, axis=0)
+        out[f"level{level}"] = grads
+    dh = np.empty_like(h)
+    dh[order] = back[:, :-1]
     dh[h <= 0] = 0
     out["mix"], out["mix_bias"] = z.T @ dh, dh.sum(axis=0)
     dz = (dh @ w["mix"].T).reshape(b, n, 2 * WIDTH)
@@ -173,8 +184,8 @@ def train(codes: Codes, tokens: np.ndarray, steps: int = STEPS, seed: int = 13)
     w = start_weights(codes)
     stream = codes.code[tokens]
     if len(stream) < WINDOW + 2:
-        w["classes"][:] = 0
-        w["slots"][:] = 0
+        for level in range(LEVELS):
+            w[f"level{level}"][:, :-1] = 0
         return w
     random = np.random.default_rng(seed)
     first = {name: np.zeros_like(x) for name, x in w.items()}
@@ -257,15 +268,20 @@ class Scorer:
         np.maximum(h, 0, out=h)
         scored = scored[live]
         goal = self.codes.code[wanted[scored]]
-        kind, slot = goal // SLOTS, goal % SLOTS
-        logits = h @ w["classes"]
-        logits += w["classes_bias"]
-        total = logits[np.arange(len(kind)), kind] - _log_sum(logits)
-        for c, own in _by_class(kind):
-            logits = h[own] @ w["slots"][c]
-            logits += w["slots_bias"][c]
-            total[own] += logits[np.arange(len(own)), slot[own]] - _log_sum(logits)
-        out[scored] = total
+        order = np.argsort(goal.astype(np.uint16), kind="stable")  # by node at every level
+        rows = np.arange(len(order))
+        sorted_h = np.ones((len(order), HIDDEN + 1), dtype=np.float32)
+        np.take(h, order, axis=0, out=sorted_h[:, :-1])
+        total, logits = np.zeros(len(order), dtype=np.float32), np.empty((len(order), BRANCH), dtype=np.float32)
+        for level, (node, branch) in enumerate(_steps(goal[order])):
+            weights = w[f"level{level}"]
+            heads = np.flatnonzero(np.diff(node, prepend=-1))
+            ends = np.append(heads[1:], len(node)).tolist()
+            for i, j, n in zip(heads.tolist(), ends, node[heads].tolist(), strict=True):
+                np.matmul(sorted_h[i:j], weights[n], out=logits[i:j])
+            total += logits[rows, branch]
+            total -= _log_sum(logits)
+        out[scored[order]] = total
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:

@@ -72,13 +72,13 @@ def trained(size=6000, steps=60):
     return tokens, counts, codes, A.train(codes, tokens, steps)
 
 
-def test_codes_are_unique_for_frequent_ids_and_shares_sum_to_one():
+def test_frequent_ids_have_leaves_of_their_own_and_shares_sum_to_one():
     _, counts, codes, _ = trained(steps=1)
-    alone = codes.code[np.flatnonzero(counts)]
-    assert len(set(alone.tolist())) == len(alone)
-    rest = np.flatnonzero(codes.code % A.SLOTS == A.SLOTS - 1)
-    mass = np.bincount(codes.code[rest], np.exp(codes.share[rest]), minlength=A.CLASSES * A.SLOTS)
-    assert np.allclose(mass[np.unique(codes.code[rest])], 1, atol=1e-4)
+    used = codes.code[np.flatnonzero(counts)]
+    assert len(set(used.tolist())) == len(used)
+    assert codes.code.min() >= 0 and codes.code.max() < A.LEAVES
+    sums = np.bincount(codes.code, np.exp(codes.share), minlength=A.LEAVES)
+    assert np.allclose(sums[np.unique(codes.code)], 1, atol=1e-4)
 
 
 def test_probabilities_of_the_next_token_sum_to_one():
@@ -106,10 +106,11 @@ def _last_token(scorer, texts):
         a = (x[-1] @ w["query"]) @ (x @ w["key"]).T / np.sqrt(A.WIDTH) + w["distance"][np.arange(len(given))[::-1]]
         a = np.exp(a - a.max())
         h = np.maximum(np.concatenate([x[-1], (a / a.sum()) @ (x @ w["value"])]) @ w["mix"] + w["mix_bias"], 0)
-        goal = codes.code[codes.end]
-        kinds = h @ w["classes"] + w["classes_bias"]
-        slots = h @ w["slots"][goal // A.SLOTS] + w["slots_bias"][goal // A.SLOTS]
-        out.append(kinds[goal // A.SLOTS] - np.log(np.exp(kinds).sum()) + slots[goal % A.SLOTS] - np.log(np.exp(slots).sum()))
+        total, h = 0.0, np.append(h, 1.0)
+        for level, (node, branch) in enumerate(A._steps(np.array([codes.code[codes.end]]))):
+            logits = h @ w[f"level{level}"][node[0]]
+            total += logits[branch[0]] - np.log(np.exp(logits).sum())
+        out.append(total)
     return np.array(out)
 
 
@@ -135,7 +136,7 @@ def test_gradients_match_differences():
     windows = codes.code[tokens][np.arange(4)[:, None] * 37 + np.arange(A.WINDOW + 1)]
     end = int(codes.code[codes.end])
     _, grads = A._gradients(w, windows, end)
-    for name in ("query", "key", "value", "distance", "mix", "mix_bias", "classes", "slots_bias"):
+    for name in ("query", "key", "value", "distance", "mix", "mix_bias", "level0", "level1", "level2"):
         at = np.unravel_index(np.abs(grads[name]).argmax(), w[name].shape)
         step = 1e-4
         w[name][at] += step
