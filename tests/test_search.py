@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import checks
 from citeline import ports
 from citeline.config import Settings
 from citeline.operators import ann, search
@@ -174,6 +175,24 @@ def test_ann_recall(spark):
     assert every.select(*key, "chunk_id").orderBy(*key).collect() == exact.select(*key, "chunk_id").orderBy(*key).collect()
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_wide_search_finds_nine_tenths_on_the_given_tables(spark, sf):
+    checks.load()
+    folder = f"/root/testdata/{sf}"
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    chunks = vectors.selectExpr("vec_id AS chunk_id", "embedding")
+    asked_rows = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id").join(
+        chunks, F.col("item_id") == F.col("chunk_id")
+    ).selectExpr("item_id AS question_id", "embedding AS vector")
+    exact = search.vector_topk(chunks, asked_rows, 20)
+    found = checks.QUERIES["ann_topk_wide"](spark, folder)
+    assert ann.recall_against(found, exact).first().recall >= 0.9
+    # finer cells need a smaller share of the table for as much
+    cells = ann.fit_cells(chunks, 64)
+    fine = ann.ann_topk(ann.assign_cells(chunks, cells), asked_rows, cells, 40, 20)
+    assert ann.recall_against(fine, exact).first().recall >= 0.9
+
+
 def test_context(spark):
     hits = spark.createDataFrame(
         [(1, 2, "b", 7, 8, "two"), (1, 1, "a", 3, 3, "one")],
