@@ -54,23 +54,46 @@ def _bisect(ids: np.ndarray, x: np.ndarray, parts: int) -> list[np.ndarray]:
     return _bisect(ids[low], x[low], parts // 2) + _bisect(ids[high], x[high], parts // 2)
 
 
-def build_codes(counts: np.ndarray, tokens: np.ndarray) -> Codes:
-    """Codes from the corpus counts of all ids (the end of text last) and a
-    sample of running text."""
-    counts = counts.astype(np.float64)
-    end = len(counts) - 1
-    weight = counts.copy()
-    weight[end] = np.inf
+def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with a leaf of their own, most frequent first and the end of text
+    before all; place of each id among them, -1 for others)."""
+    weight = counts.astype(np.float64)
+    weight[-1] = np.inf
     top = np.argsort(-weight, kind="stable")[: PARTS * (PART - 1)]
     place = np.full(len(counts), -1)
     place[top] = np.arange(len(top))
-    at = place[tokens]
-    company = np.zeros((len(top), _COMPANY))
+    return top, place
+
+
+def company_of(counts: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """How often each frequent id stands near the most frequent ones in some
+    texts (ids, with their end marks). Sums over parts of a corpus are that of
+    the corpus."""
+    top, place = _places(counts)
+    found = np.zeros((len(top), _COMPANY))
+    gap = np.full(_NEAR, -1)  # keeps texts apart
+    at = np.concatenate([gap, *(x for t in texts for x in (place[t], gap))])
+    common = np.flatnonzero((at >= 0) & (at < _COMPANY))
+    column = at[common]
     for step in range(1, _NEAR + 1):
-        for one, other in ((at[:-step], at[step:]), (at[step:], at[:-step])):
-            good = (one >= 0) & (other >= 0) & (other < _COMPANY)
-            flat = np.bincount(one[good] * _COMPANY + other[good], minlength=company.size)
-            company += flat.reshape(company.shape)
+        for to in (-step, step):
+            near = at[common + to]
+            good = near >= 0
+            flat = near[good] * _COMPANY + column[good]
+            found += np.bincount(flat, minlength=found.size).reshape(found.shape)
+    return found
+
+
+def build_codes(counts: np.ndarray, tokens: np.ndarray) -> Codes:
+    """Codes from the corpus counts of all ids (the end of text last) and
+    running text."""
+    return codes_from(counts, company_of(counts, [tokens]))
+
+
+def codes_from(counts: np.ndarray, company: np.ndarray) -> Codes:
+    """Codes from the corpus counts of all ids and the company they keep."""
+    counts = counts.astype(np.float64)
+    top, place = _places(counts)
     mean = company.sum(axis=1, keepdims=True) * company.sum(axis=0) / max(1.0, company.sum())
     x = np.log1p(company / (mean + 0.5))
     _, vectors = np.linalg.eigh(x.T @ x)
@@ -147,13 +170,18 @@ def _gradients(w: dict[str, np.ndarray], tokens: np.ndarray, end: int) -> tuple[
     back = np.zeros_like(sorted_h)
     for level, (node, branch) in enumerate(_steps(wanted[order])):
         weights = w[f"level{level}"]
-        p = _softmax((sorted_h[:, None, :] @ weights[node])[:, 0])
+        heads = np.flatnonzero(np.diff(node, prepend=-1))
+        parts = list(zip(heads.tolist(), np.append(heads[1:], len(node)).tolist(), node[heads].tolist(), strict=True))
+        p = np.empty((len(order), BRANCH), dtype=h.dtype)
+        for i, j, m in parts:
+            np.matmul(sorted_h[i:j], weights[m], out=p[i:j])
+        p = _softmax(p)
         loss -= np.log(p[rows, branch] + 1e-12).sum()
         p[rows, branch] -= 1
-        back += (p[:, None, :] @ weights[node].transpose(0, 2, 1))[:, 0]
-        heads = np.flatnonzero(np.diff(node, prepend=-1))
         grads = np.zeros_like(weights)
-        grads[node[heads]] = np.add.reduceat(sorted_h[:, :, None] * p[:, None, :], heads, axis=0)
+        for i, j, m in parts:
+            back[i:j] += p[i:j] @ weights[m].T
+            np.matmul(sorted_h[i:j].T, p[i:j], out=grads[m])
         out[f"level{level}"] = grads
     dh = np.empty_like(h)
     dh[order] = back[:, :-1]
@@ -174,32 +202,76 @@ def _gradients(w: dict[str, np.ndarray], tokens: np.ndarray, end: int) -> tuple[
         out[name] = flat.T @ d.reshape(-1, WIDTH)
         dx += d @ w[name].T
     out["embed"] = np.zeros_like(w["embed"])
-    np.add.at(out["embed"], given.reshape(-1), dx.reshape(-1, WIDTH))
+    order = np.argsort(given, axis=None, kind="stable")
+    flat = given.reshape(-1)[order]
+    heads = np.flatnonzero(np.diff(flat, prepend=-1))
+    out["embed"][flat[heads]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], heads, axis=0)
     return float(loss) / len(wanted), {name: g / np.float32(len(wanted)) for name, g in out.items()}
 
 
-def train(codes: Codes, tokens: np.ndarray, steps: int = STEPS, seed: int = 13) -> dict[str, np.ndarray]:
-    """Weights fitted by Adam on running text (ids, each text begun by the end
-    mark). Too little text for one window leaves the corpus counts alone."""
+def blank_weights(codes: Codes) -> dict[str, np.ndarray]:
+    """Weights that leave the corpus counts alone."""
     w = start_weights(codes)
+    for level in range(LEVELS):
+        w[f"level{level}"][:, :-1] = 0
+    return w
+
+
+class Fitter:
+    """Steps of Adam from some weights over running codes."""
+
+    def __init__(self, w: dict[str, np.ndarray], end: int, seed=13):
+        self.w, self.end = {name: x.copy() for name, x in w.items()}, end
+        self.first = {name: np.zeros_like(x) for name, x in w.items()}
+        self.second = {name: np.zeros_like(x) for name, x in w.items()}
+        self.random, self.step = np.random.default_rng(seed), 0
+
+    def walk(self, stream: np.ndarray, rate) -> None:
+        """Fit on windows that cover the stream: each of its codes but the first
+        is to be told from those before it. ``rate`` gives the rate after a share
+        of the stream."""
+        if len(stream) <= WINDOW:  # so short a stream is gone through again
+            stream = np.resize(stream, WINDOW + 1)
+        at = np.arange(0, len(stream) - WINDOW, WINDOW)
+        if at[-1] + WINDOW + 1 < len(stream):
+            at = np.append(at, len(stream) - WINDOW - 1)
+        at = self.random.permutation(at)
+        for i in range(0, len(at), BATCH):
+            self.adjust(stream[at[i : i + BATCH, None] + np.arange(WINDOW + 1)], rate(i / len(at)))
+
+    def adjust(self, windows: np.ndarray, rate: float) -> None:
+        _, grads = _gradients(self.w, windows, self.end)
+        self.step += 1
+        rate *= min(1.0, self.step / 50)
+        for name, g in grads.items():
+            first, second = self.first[name], self.second[name]
+            first += 0.1 * (g - first)
+            second += 0.01 * (g * g - second)
+            self.w[name] -= rate * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + 1e-6)
+
+
+def rate_after(share: float) -> float:
+    """Rate after a share of the whole way."""
+    return RATE * (1 - 0.95 * min(1.0, share))
+
+
+def passes_over(tokens: int, steps: int) -> int:
+    """How often a text is gone through: once, more often if that is fewer than
+    ``steps`` steps."""
+    return max(1, -(-steps * BATCH * WINDOW // max(1, tokens)))
+
+
+def train(codes: Codes, tokens: np.ndarray, steps: int = STEPS, seed: int = 13) -> dict[str, np.ndarray]:
+    """Weights fitted by Adam on all of some running text (ids, each text begun
+    by the end mark), in ``steps`` steps at least. Too little text for one window
+    leaves the corpus counts alone."""
     stream = codes.code[tokens]
     if len(stream) < WINDOW + 2:
-        for level in range(LEVELS):
-            w[f"level{level}"][:, :-1] = 0
-        return w
-    random = np.random.default_rng(seed)
-    first = {name: np.zeros_like(x) for name, x in w.items()}
-    second = {name: np.zeros_like(x) for name, x in w.items()}
-    end = int(codes.code[codes.end])
-    for step in range(1, steps + 1):
-        at = random.integers(0, len(stream) - WINDOW, BATCH)
-        _, grads = _gradients(w, stream[at[:, None] + np.arange(WINDOW + 1)], end)
-        rate = RATE * min(1.0, step / 50) * (1 - 0.95 * step / steps)
-        for name, g in grads.items():
-            first[name] += 0.1 * (g - first[name])
-            second[name] += 0.01 * (g * g - second[name])
-            w[name] -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)
-    return w
+        return blank_weights(codes)
+    fitter, n = Fitter(start_weights(codes), int(codes.code[codes.end]), seed), passes_over(len(stream), steps)
+    for i in range(n):
+        fitter.walk(stream, lambda x, i=i: rate_after((i + x) / n))
+    return fitter.w
 
 
 class Scorer:

@@ -2,16 +2,17 @@
 
 Three passes. The first counts the words of all training texts; every distinct
 word is then cut into subword ids once, which gives the corpus counts of all
-ids. The attention model takes its codes and starting probabilities from those
-counts, and its weights are fitted on a bounded sample of training texts. The
-last pass scores every text: words that are frequent in the corpus (at most
+ids. The second writes all training texts as ids; the attention model takes its
+codes from the company that ids keep in all of them, its starting probabilities
+from the counts, and its weights are fitted on every token, in rounds: tasks go on
+from the same weights, each over its part, and the mean of theirs begins the next.
+The last pass scores every text: words that are frequent in the corpus (at most
 ``FREQUENT``) have their counts and ids in a table that is sent to the workers;
 for all other words the counts are joined, so the base score is exact whatever
 the size of the vocabulary.
 """
 
 import os
-import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +27,11 @@ from citeline.llm.token_counts import file_path
 
 #: Words whose counts and ids are sent to every worker, at most.
 FREQUENT = 1 << 19
-#: Bytes of training text that the weights are fitted on, about, and of one text.
-FIT_BYTES, FIT_TEXT_BYTES = 6_000_000, 1 << 16
+#: Rounds that the training tokens are dealt to, where they are more than one
+#: task is to go through, and tokens that a task holds at a time, about.
+ROUNDS, HELD = 4, 1 << 23
+#: Numbers of a vector that are summed in one row.
+BLOCK = 1 << 12
 FOLDS = 10
 TOKENIZER = "byte_bpe_50k.json"
 SMOOTH = 0.1
@@ -146,6 +150,43 @@ class Frequent:
     first: np.ndarray
     ids: np.ndarray
 
+    def cut(self, words: W.Words, tokenizer: str) -> "Cut":
+        """The ids of all words; those that are not in the table are cut here."""
+        at, index, _ = _distinct(words)
+        keys = words.hash[at]
+        place = np.searchsorted(self.hashes, keys)
+        place[place == len(self.hashes)] = 0
+        known = self.hashes[place] == keys if len(self.hashes) else np.zeros(len(keys), dtype=bool)
+        rare = np.flatnonzero(~known)
+        raw = _texts(words, at[rare])
+        cut = pieces(tokenizer)(raw)
+        # ids of the distinct words, one after the other: the frequent ones' and the others'
+        begin = np.where(known, self.first[place] if len(self.hashes) else 0, 0)
+        size = np.where(known, (self.first[place + 1] - self.first[place]) if len(self.hashes) else 0, 0)
+        size[rare] = [len(x) for x in cut]
+        begin[rare] = len(self.ids) + np.cumsum(size[rare]) - size[rare]
+        flat = np.concatenate([self.ids, np.array([i for x in cut for i in x], dtype=np.int32)])
+        n = size[index]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[index] - ends + n, n) + np.arange(n.sum())]
+        first = np.concatenate([[0], ends])[words.first]
+        return Cut(ids, first, index, place, known, rare, raw)
+
+
+@dataclass
+class Cut:
+    """Ids of some texts, those of text i at first[i] .. first[i + 1]; and for
+    the distinct words their place in the table, whether they are in it, and the
+    bytes of those that are not."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    index: np.ndarray
+    place: np.ndarray
+    known: np.ndarray
+    rare: np.ndarray
+    raw: list[bytes]
+
 
 def _frequent(cut: DataFrame, most: int) -> tuple[Frequent, int]:
     """The words from the least count with which there are at most ``most``."""
@@ -166,38 +207,143 @@ def _frequent(cut: DataFrame, most: int) -> tuple[Frequent, int]:
     return found, least
 
 
-def _sample(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """Training texts to fit on: about FIT_BYTES in all, chosen by a hash, each
-    cut to FIT_TEXT_BYTES (fitting only: every text is counted and scored whole)."""
-    share = min(1.0, FIT_BYTES / max(1, size))
-    key = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30))
-    return docs.where(key < int(share * (1 << 30))).select(
-        key.alias("key"), F.substring(F.col(text), 1, FIT_TEXT_BYTES // 4).alias("text")
+def _running(training: DataFrame, text: str, frequent: Frequent, tokenizer: str) -> DataFrame:
+    """(ids): every training text, whole, as uint32 bytes."""
+    sent = training.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in W.units(batch, text):
+                cut = sent.value.cut(W.split(data, offsets, W.SPACED_LOWER), tokenizer)
+                raw = cut.ids.astype(np.uint32)
+                packed = [raw[a:b].tobytes() for a, b in zip(cut.first[:-1].tolist(), cut.first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["ids"])
+
+    return W.bounded_batches(training.select(text)).mapInArrow(run, "ids binary")
+
+
+def _marked(batch: pa.RecordBatch, end: int) -> list[np.ndarray]:
+    """The texts of a batch of ``_running``, each begun by the end mark."""
+    data, offsets = W.buffers(batch.column("ids"))
+    ids = data.view(np.uint32).astype(np.int64) if len(data) else np.empty(0, dtype=np.int64)
+    at = (offsets // 4).tolist()
+    return [np.concatenate([[end], ids[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _blocks(vector: np.ndarray, weight: float):
+    """A vector as rows (block, values, n) of bounded size."""
+    at = range(0, len(vector), BLOCK)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(range(len(at)), pa.int32()),
+            pa.array([(vector[i : i + BLOCK] * weight).tobytes() for i in at], pa.binary()),
+            pa.array([float(weight)] * len(at)),
+        ],
+        names=["block", "values", "n"],
     )
 
 
-def _fit(sample: DataFrame, ids: np.ndarray, tokenizer: str, steps: int) -> attention.Scorer:
-    """The model fitted on ``sample`` in one task, which has one core and needs
-    no more than the sample in memory."""
+def _summed(parts: DataFrame, size: int) -> tuple[np.ndarray, float]:
+    """(sum of vectors, sum of their weights) from rows of ``_blocks``. What one
+    task holds, and what reaches the driver, is the size of one vector."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for block, values, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.frombuffer(values)
+                if block in held:
+                    held[block][0] += values
+                    held[block][1] += n
+                else:
+                    held[block] = [values.copy(), n]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(held), pa.int32()),
+                pa.array([x.tobytes() for x, _ in held.values()], pa.binary()),
+                pa.array([n for _, n in held.values()], pa.float64()),
+            ],
+            names=["block", "values", "n"],
+        )
+
+    schema = "block int, values binary, n double"
+    out, weight = np.zeros(size), 0.0
+    for r in parts.repartition("block").mapInArrow(run, schema).collect():
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["values"])
+        weight = r["n"]
+    return out, weight
+
+
+def _company(running: DataFrame, ids: np.ndarray) -> np.ndarray:
+    """Company counts of the frequent ids over all training texts."""
+    shape = attention.company_of(ids, []).shape
+    sent = running.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches):
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        cut, running = pieces(tokenizer), []
-        for row in sorted(rows, key=lambda r: (r["key"], r["text"] or "")):
-            data = np.frombuffer((row["text"] or "").encode(), dtype=np.uint8)
-            words = W.split(data, np.array([0, len(data)]), W.SPACED_LOWER)
-            at, index, _ = _distinct(words)
-            own = cut(_texts(words, at))
-            running.append(np.array([cut.size], dtype=np.int32))
-            running += [np.array(own[i], dtype=np.int32) for i in index.tolist()]
-        tokens = np.concatenate(running) if running else np.empty(0, dtype=np.int32)
-        codes = attention.build_codes(ids, tokens)
-        fitted = pickle.dumps((codes, attention.train(codes, tokens, steps)))
-        yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], names=["model"])
-
-    made = [r["model"] for r in sample.coalesce(1).mapInArrow(run, "model binary").collect()]
-    made = made or [x.as_py() for batch in run([]) for x in batch.column("model")]
-    return attention.Scorer(*pickle.loads(made[0]))
+        total = np.zeros(shape)
+        for batch in batches:
+            texts = _marked(batch, len(ids) - 1)
+            total += attention.company_of(sent.value, [np.append(t, len(ids) - 1) for t in texts])
+        yield from _blocks(total.reshape(-1), 1.0)
+
+    rows = W.bounded_batches(running).mapInArrow(run, "block int, values binary, n double")
+    return _summed(rows, shape[0] * shape[1])[0].reshape(shape)
+
+
+def _fit(running: DataFrame, ids: np.ndarray, steps: int) -> attention.Scorer:
+    """The model fitted on all training texts, every token of which some task is
+    to tell from those before it.
+
+    There are as many tasks as have ``steps`` steps each, or as the table has
+    parts. A corpus that is less than that for one task is gone through by it
+    again, until it is; others in rounds, a part of the texts in each.
+    """
+    codes = attention.codes_from(ids, _company(running, ids))
+    tokens, end = int(ids.sum()), int(codes.code[codes.end])
+    w = attention.start_weights(codes) if tokens >= attention.WINDOW + 2 else attention.blank_weights(codes)
+    if tokens < attention.WINDOW + 2:
+        return attention.Scorer(codes, w)
+    passes = attention.passes_over(tokens, steps)
+    tasks = max(1, tokens // (steps * attention.BATCH * attention.WINDOW))
+    rounds = 1 if passes > 1 else ROUNDS
+    fewer = running.coalesce(tasks)
+    share = tokens / (rounds * min(tasks, fewer.rdd.getNumPartitions()))
+    shapes = {name: x.shape for name, x in w.items()}
+    for turn in range(rounds):
+        sent = running.sparkSession.sparkContext.broadcast((codes, w))
+        at = F.pmod(F.xxhash64("ids"), F.lit(rounds)) == turn
+
+        def run(batches, sent=sent, turn=turn):
+            codes, start = sent.value
+            fitter, held, size, done = attention.Fitter(start, end, (13, turn)), [], 0, 0
+
+            def go():
+                stream = np.append(codes.code[np.concatenate(held)], end)
+                for i in range(passes):
+                    fitter.walk(
+                        stream,
+                        lambda x: attention.rate_after((turn + (i + x) / passes * len(stream) / share + done / share) / rounds),
+                    )
+                return len(stream)
+
+            for batch in batches:
+                for t in _marked(batch, codes.end):
+                    held.append(t)
+                    size += len(t)
+                    if size >= HELD:
+                        done += go()
+                        held, size = [], 0
+            done += go() if held else 0
+            if done:
+                yield from _blocks(np.concatenate([x.reshape(-1) for x in fitter.w.values()]).astype(np.float64), done)
+
+        rows = W.bounded_batches(running.where(at).coalesce(tasks)).mapInArrow(run, "block int, values binary, n double")
+        total, n = _summed(rows, sum(x.size for x in w.values()))
+        sent.unpersist()
+        if n:
+            flat, cuts = (total / n).astype(np.float32), np.cumsum([x.size for x in w.values()])[:-1]
+            w = {name: x.reshape(shapes[name]) for name, x in zip(shapes, np.split(flat, cuts), strict=True)}
+    return attention.Scorer(codes, w)
 
 
 @dataclass
@@ -214,31 +360,16 @@ class Model:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
         words = W.split(data, offsets, W.SPACED_LOWER)
-        at, index, _ = _distinct(words)
-        keys, table = words.hash[at], self.frequent
-        place = np.searchsorted(table.hashes, keys)
-        place[place == len(table.hashes)] = 0
-        known = table.hashes[place] == keys if len(table.hashes) else np.zeros(len(keys), dtype=bool)
-        rare = np.flatnonzero(~known)
-        raw = _texts(words, at[rare])
-        cut = pieces(self.tokenizer)(raw)
-        # ids of the distinct words, one after the other: the frequent ones' and the others'
-        begin = np.where(known, table.first[place] if len(table.hashes) else 0, 0)
-        size = np.where(known, (table.first[place + 1] - table.first[place]) if len(table.hashes) else 0, 0)
-        size[rare] = [len(x) for x in cut]
-        begin[rare] = len(table.ids) + np.cumsum(size[rare]) - size[rare]
-        flat = np.concatenate([table.ids, np.array([i for x in cut for i in x], dtype=np.int32)])
-        n = size[index]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[index] - ends + n, n) + np.arange(n.sum())]
-        first = np.concatenate([[0], ends])[words.first]
-        model = self.scorer.score(ids, first) / np.log(10)
+        table = self.frequent
+        cut = table.cut(words, self.tokenizer)
+        index, place, known, rare, raw = cut.index, cut.place, cut.known, cut.rare, cut.raw
+        model = self.scorer.score(cut.ids, cut.first) / np.log(10)
         c = np.where(known, table.counts[place] if len(table.hashes) else 0, 0)
         logs = np.where(known, self.log10(c), 0.0)[index]
         held = known[index]
         texts = np.diff(words.first)
         others = np.flatnonzero(~held)
-        name = np.zeros(len(at), dtype=np.int64)
+        name = np.zeros(len(known), dtype=np.int64)
         name[rare] = np.arange(len(rare))
         rest = pa.array(raw, pa.binary()).cast(pa.string()).take(pa.array(name[index[others]]))
         return pa.StructArray.from_arrays(
@@ -264,13 +395,13 @@ def learn(
     """The model of the rows that are not held out, and the table (word, c) of
     all their words."""
     training = docs.where(~held_out(doc_id)).select(doc_id, text)
-    sizes = training.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
+    sizes = training.agg(F.count("*").alias("n")).first()
     counted = store(_with_pieces(count_words(training, text), tokenizer))
     sums = counted.agg(F.count("*").alias("n"), F.sum("c").alias("c")).first()
     cut = pieces(tokenizer)
     ids = np.append(_id_counts(counted, cut.size), float(sizes["n"]))
-    scorer = _fit(store(_sample(training, doc_id, text, sizes["b"] or 0)), ids, tokenizer, steps)
     table, _ = _frequent(counted, frequent)
+    scorer = _fit(store(_running(training, text, table, tokenizer)), ids, steps)
     total, distinct = (sums["c"] or 0) + sizes["n"], sums["n"] + int(sizes["n"] > 0)
     return Model(table, scorer, total, distinct, sizes["n"], tokenizer), counted.select("word", "c")
 

@@ -156,3 +156,52 @@ def test_training_uses_the_context():
     assert scorer.score(text, first)[0] > untrained.score(text, first)[0] + 20
     other = np.array([x for a in range(20) for x in (a, 100 + (a + 7) % 30)])
     assert scorer.score(text, first)[0] > scorer.score(other, first)[0] + 20
+
+
+def test_all_tokens_are_fitted_wherever_they_stand(spark, monkeypatch):
+    """Far into a long text, and in a corpus that many tasks go through."""
+    rng = random.Random(6)
+    pairs = [(f"w{i}", f"v{i}") for i in range(20)]
+    long = " ".join(["filler"] * 6000 + [w for _ in range(4000) for w in rng.choice(pairs)])
+    training = [i for i in range(100) if not held_out(i)]
+    rows = [(training[0], long, "x")] + [(i, "short text", "x") for i in training[1:10]]
+    tested = [i for i in range(100) if held_out(i)][:2]
+    rng = random.Random(7)
+    good = [rng.choice(pairs) for _ in range(60)]
+    shifted = [v for _, v in good[7:] + good[:7]]
+    rows += [(tested[0], " ".join(w for p in good for w in p), "x")]
+    rows += [(tested[1], " ".join(w for (a, _), b in zip(good, shifted, strict=True) for w in (a, b)), "x")]
+    found = {r["doc_id"]: r["score"] for r in L.score_texts(table(spark, rows, DOCS), steps=300).collect()}
+    assert found[tested[0]] > found[tested[1]] + 10
+
+
+def test_company_and_windows_cover_every_token(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(i % 90)), "x") for i in range(300)]
+    docs = table(spark, rows, DOCS)
+    training = docs.where(~L.held_out("doc_id"))
+    counted = L._with_pieces(L.count_words(training, "text"), L.TOKENIZER)
+    size = L.pieces(L.TOKENIZER).size
+    ids = np.append(L._id_counts(counted, size), float(training.count()))
+    frequent, _ = L._frequent(counted, 20)
+    running = L._running(training, "text", frequent, L.TOKENIZER)
+    texts = [np.frombuffer(r["ids"], dtype=np.uint32).astype(int) for r in running.collect()]
+    assert len(texts) == training.count() and sum(map(len, texts)) + len(texts) == ids.sum()
+    end = size
+    whole = A.company_of(ids, [np.concatenate([[end], t, [end]]) for t in texts])
+    assert whole.sum() > 0 and np.array_equal(L._company(running, ids), whole)
+    seen = np.zeros(1000, dtype=int)
+    fitter = A.Fitter({"a": np.zeros(1)}, 0)
+    monkeypatch.setattr(fitter, "adjust", lambda windows, rate: np.add.at(seen, windows[:, 1:], 1))
+    fitter.walk(np.arange(1000), A.rate_after)
+    assert seen[0] == 0 and (seen[1:] >= 1).all() and seen.sum() < 1040
+
+
+def test_more_text_is_more_fitted_on(monkeypatch):
+    assert A.passes_over(10, 2) > 1 and A.passes_over(10**9, A.STEPS) == 1
+    widths = []
+    monkeypatch.setattr(A.Fitter, "adjust", lambda self, windows, rate: widths.append(len(windows)))
+    tokens, counts, codes, _ = trained(steps=1)
+    for n in (40_000, 80_000):
+        widths.clear()
+        A.train(codes, np.resize(tokens, n), 5)
+        assert sum(widths) == -(-(n - 1) // A.WINDOW)
