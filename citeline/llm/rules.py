@@ -29,8 +29,9 @@ LEAST_WORDS, REPEAT_PERCENT = 10, 20
 
 #: Rates that do not grow with the length of a text and that good texts share:
 #: the more inputs a forest has on which good texts differ among themselves, the
-#: more of them it takes for anomalies.
-USED = ("word_length", "symbols", "repeats", "bangs", "bars", "twins")
+#: more of them it takes for anomalies. Repeated lines are among them as the hard
+#: rules only see those of five words or more.
+USED = ("word_length", "symbols", "dup_lines", "repeats", "bangs", "bars", "twins")
 
 
 def _expected(n: float) -> float:

@@ -119,3 +119,14 @@ def test_mean_path_length_of_a_small_sample():
     assert R._expected(1) == 0 and R._expected(2) == 1
     assert abs(R._expected(256) - 10.244) < 0.01
     assert len(fe.RATES) == len(set(fe.RATES))
+
+
+def test_short_repeated_lines_count_against_a_text(spark):
+    def text(i, short):
+        return "\n".join(f"w{i:02}{j:02}a w{i:02}{j:02}b w{i:02}{j:02}c\n{short(j)}" for j in range(12))
+
+    rows = [(i, text(i, lambda j: f"ab c{j:02}"), "x", "x") for i in range(60)]
+    rows.append((60, text(60, lambda j: "ab c00"), "x", "x"))
+    found = {r["doc_id"]: r for r in R.judge(table(spark, rows, DOCS), spark.createDataFrame([], LABELS)).collect()}
+    assert found[60]["counts"]["n_dup_lines"] == 11 and not found[60]["base_failed"]
+    assert found[60]["anomaly"] > max(found[i]["anomaly"] for i in range(60))
