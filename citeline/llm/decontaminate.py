@@ -7,10 +7,11 @@ zero, the hash of the block selects the windows that end in it, and their bytes
 are compared with the text.
 
 The test items are the stated query set: they are taken in blocks of a bounded
-size, and every document is searched for each block.
+size, and every document is searched for each block before the next is made.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeline.llm import words as W
-from citeline.llm.columns import add_struct, lists
+from citeline.llm.columns import add_struct, fresh, lists
+from citeline.llm.tables import store
 
 #: Consecutive words of an item that make a window.
 WINDOW = 10
@@ -193,20 +195,32 @@ def _pieces(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame
     return W.bounded_batches(named).mapInArrow(cut, "item string, piece string")
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int = WINDOW) -> list[Patterns]:
+class Blocks:
+    """Search tables for all items, made one block after the other: the driver
+    holds the block that is asked for and no other."""
+
+    def __init__(self, pieces: DataFrame, count: int, window: int):
+        self.pieces, self.count, self.window = pieces, count, window
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self):
+        block = F.pmod(F.xxhash64("item", "piece"), F.lit(self.count))
+        for i in range(self.count):
+            yield Patterns([tuple(r) for r in self.pieces.where(block == i).collect()], self.window)
+
+
+def item_blocks(items: DataFrame, item_id: str, text: str, window: int = WINDOW) -> Blocks:
     """Search tables for all items, in blocks of about ``BLOCK_BYTES`` of text.
 
-    The number of blocks follows from the measured size, so what the driver
-    holds and sends at a time is bounded whatever the size of the item table.
+    The items are cut into pieces once. The number of blocks follows from the
+    measured size, so what the driver holds and sends at a time is bounded
+    whatever the size of the item table.
     """
-    pieces = _pieces(items, item_id, text, window).distinct()
-    block = F.xxhash64("item", "piece")
+    pieces = store(_pieces(items, item_id, text, window).distinct())
     size = pieces.agg(F.sum(F.octet_length("piece")).alias("n")).first()["n"] or 0
-    count = max(1, math.ceil(2 * size / BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    return [
-        Patterns([tuple(r) for r in pieces.where(F.pmod(block, F.lit(count)) == i).collect()], window)
-        for i in range(count)
-    ]
+    return Blocks(pieces, max(1, math.ceil(2 * size / BLOCK_BYTES)) if size > BLOCK_BYTES else 1, window)
 
 
 def search_items(
@@ -228,19 +242,34 @@ def search_items(
     ``docs`` called ``into`` is replaced, others pass through.
     """
     context = docs.sparkSession.sparkContext
-    out = docs
+    blocks = item_blocks(items, item_id, item_text, window)
+    if len(blocks) == 1:
+        sent = context.broadcast(next(iter(blocks)))
+        return add_struct(docs, text, into, RESULT, lambda: sent.value)
+    row = fresh(docs, "__row")
+    rows = whole = None
     parts = []
-    for i, patterns in enumerate(item_blocks(items, item_id, item_text, window)):
+    for patterns in blocks:
         sent = context.broadcast(patterns)
-        part = into if i == 0 else f"{into}__{i}"
-        out = add_struct(out, text, part, RESULT, lambda sent=sent: sent.value)
-        parts.append(part)
-    return out if len(parts) == 1 else _merged(out, parts, into)
+        del patterns  # before the next is made
+        if whole is None:  # has a row for every document, the others for those with hits
+            rows = store(docs.withColumn(row, F.monotonically_increasing_id()))
+            whole = store(add_struct(rows, text, into, RESULT, lambda sent=sent: sent.value))
+        else:
+            found = add_struct(rows.select(row, text), text, "__hits", RESULT, lambda sent=sent: sent.value)
+            parts.append(store(found.where(F.col("__hits.n_hit") > 0).select(row, "__hits")))
+        sent.unpersist()
+    more = reduce(DataFrame.unionAll, parts).groupBy(row).agg(F.collect_list("__hits").alias("__more"))
+    return _merged(whole.join(store(more), row, "left"), into).drop(row, "__more").select(
+        *[F.col(f"`{c}`") for c in [*docs.drop(into).columns, into]]
+    )
 
 
-def _merged(df: DataFrame, parts: list[str], into: str) -> DataFrame:
-    """One struct from those of several blocks of items: spans are united."""
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"`{p}`.spans") for p in parts])))
+def _merged(df: DataFrame, into: str) -> DataFrame:
+    """One struct from that of the first block of items and those of others, in
+    the array ``__more``: spans are united."""
+    every = F.concat(F.array(F.col(f"`{into}`")), F.coalesce("__more", F.array().cast(f"array<{RESULT}>")))
+    spans = F.array_sort(F.flatten(F.transform(every, lambda x: x["spans"])))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     united = F.aggregate(
         spans,
@@ -260,14 +289,14 @@ def _merged(df: DataFrame, parts: list[str], into: str) -> DataFrame:
     )
     out = df.withColumn("__united", united)
     length = F.aggregate("__united", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"`{p}`.items") for p in parts]))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(every, lambda x: x["items"]))))
     merged = F.struct(
-        F.col(f"`{parts[0]}`.n_words").alias("n_words"),
+        F.col(f"`{into}`.n_words").alias("n_words"),
         length.alias("n_hit"),
         items.alias("items"),
         F.col("__united").alias("spans"),
     )
-    return out.withColumn(into, merged).drop("__united", *parts[1:])
+    return out.withColumn(into, merged).drop("__united")
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id", into: str = "benchmark_hits") -> DataFrame:

@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import random
+import weakref
 
 import pytest
 
@@ -78,3 +80,26 @@ def test_spans_cover_the_hits_and_other_columns_stay(spark, case):
         hits = r["benchmark_hits"]
         assert sum(s["end"] - s["start"] for s in hits["spans"]) == hits["n_hit"]
         assert r["n_hit"] in ("x", None)
+
+
+def test_one_block_of_items_is_held_at_a_time(spark, case, monkeypatch):
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(D.Patterns):
+        def __init__(self, items, window):
+            super().__init__(items, window)
+            alive.add(self)
+            gc.collect()
+            most.append(len(alive))
+
+    monkeypatch.setattr(D, "BLOCK_BYTES", 600)
+    made = D.item_blocks(table(spark, case[1], ITEMS), "item_id", "text")
+    monkeypatch.setattr(D, "Patterns", Counted)
+    for _ in made:
+        pass
+    assert len(made) > 2 and len(most) == len(made) and max(most) <= 2
+    monkeypatch.undo()
+    monkeypatch.setattr(D, "BLOCK_BYTES", 600)
+    found = D.search_items(table(spark, case[0], DOCS), table(spark, case[1], ITEMS))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
