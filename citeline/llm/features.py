@@ -72,7 +72,8 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     lines = W.split(data, offsets, LINES)
     held = np.searchsorted(words.start, lines.end) > np.searchsorted(words.start, lines.start)
     line_owner = lines.owner()[held]
-    later, _ = _again(W.mix(lines.hash[held] + line_owner.astype(np.uint64) * _PAIR))
+    number, distinct = lines.codes
+    later, _ = _again(number[held] + line_owner * len(distinct))
     texts = len(offsets) - 1
     out["n_lines"] = np.bincount(line_owner, minlength=texts)
     out["n_dup_lines"] = np.bincount(line_owner[later], minlength=texts)
@@ -82,11 +83,12 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = W.per_text(W.covered(n, start[other], 5), words.first)
     last = data[words.end - 1]
     out["n_ends"] = W.per_text(np.isin(last, list(b".!?")), words.first)
+    number, distinct = words.codes
     twin = np.zeros(n, dtype=bool)
     if n > 1:
-        twin[1:] = (words.hash[1:] == words.hash[:-1]) & (owner[1:] == owner[:-1])
+        twin[1:] = (number[1:] == number[:-1]) & (owner[1:] == owner[:-1])
     out["n_twins"] = W.per_text(twin, words.first)
-    later, _ = _again(W.mix(words.hash + owner.astype(np.uint64) * _PAIR))
+    later, _ = _again(number + owner * len(distinct))
     out["n_distinct"] = W.per_text(~later, words.first)
     out["n_capitals"] = W.per_text(_UPPER[data[words.start]], words.first)
     return {name: np.asarray(out[name], dtype=np.int64) for name in COUNTS}

@@ -160,4 +160,44 @@ SQL = {
         SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (r)""",
+    "op11_runs": """
+        WITH t AS (
+            SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS name,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        bytes AS (
+            SELECT name, 4294967295::BIGINT AS init, [ascii(c) FOR c IN string_split(name, '')] AS b
+            FROM (SELECT DISTINCT name FROM t WHERE name IS NOT NULL)),
+        sums AS (
+            SELECT name, xor(list_reduce(list_prepend(init, b::BIGINT[]),
+                       lambda x, y: list_reduce([xor(x, y), 1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[],
+                           lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), init) AS h
+            FROM bytes),
+        d AS (
+            SELECT r, doc_id, w, len(w) AS n, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a,
+                   3 + (h // 10) % 8 AS parts
+            FROM t LEFT JOIN sums USING (name)),
+        v AS (
+            SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+                       [w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END + 1] FOR i IN range(0, n)] END AS w
+            FROM d),
+        word AS (SELECT r, unnest(w) AS x, unnest(range(0, n)) AS i FROM v),
+        same AS (
+            SELECT p.r, p.i, q.i - p.i AS q FROM word p JOIN word q ON p.r = q.r AND p.x = q.x AND q.i > p.i
+            JOIN v ON v.r = p.r WHERE 3 * (q.i - p.i) <= v.n),
+        stretch AS (
+            SELECT r, q, min(i) AS s, max(i) + 1 + q AS e
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same)
+            GROUP BY r, q, island HAVING count(*) >= greatest(24 - q, 2 * q)),
+        run AS (SELECT r, s, e - s AS n, min(q) AS q FROM stretch GROUP BY r, s, e),
+        best AS (
+            SELECT r, s, n, q FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY n / q DESC, s, q) = 1),
+        listed AS (
+            SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+            FROM run GROUP BY r),
+        gone AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM run),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period,
+               1000 * b.n // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+               sha256(coalesce(t, '')) AS collapsed_sha256
+        FROM v LEFT JOIN best b USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)""",
 }

@@ -1,17 +1,20 @@
 """Words of many texts at once, as numpy arrays, inside Arrow tasks.
 
-A batch of texts stays one byte buffer. Words are found and hashed by passes
-over that buffer, so the cost per byte is a few machine operations; memory is
-bounded because texts are taken in units of at most ``UNIT`` bytes, and a text
-that is longer alone is walked in parts cut between words.
+A batch of texts stays one byte buffer. Words are found by passes over that
+buffer, so the cost per byte is a few machine operations; memory is bounded
+because texts are taken in units of at most ``UNIT`` bytes, or one text. Within
+a unit words are told apart by their bytes (``Words.codes``); across units they
+are named by the XXH64 of their bytes, made once for each different word.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 #: Bytes of text that one numpy pass works on.
@@ -19,8 +22,7 @@ UNIT = 1 << 20
 #: Rows of an Arrow batch: with documents of a few kB, a few MB.
 BATCH_ROWS = 1000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SEED = 0x9E3779B97F4A7C15
 _powers = {}
 
 
@@ -82,12 +84,38 @@ class Words:
     offsets: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
     first: np.ndarray
 
     def __len__(self) -> int:
         return len(self.start)
 
+    @cached_property
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
+        """(a number per word, the words by number): equal words have equal numbers."""
+        size = self.end - self.start
+        to = np.cumsum(size)
+        at = np.zeros(len(size) + 1, dtype=np.int64)
+        at[1:] = to
+        packed = self.data[self._inside()]
+        held = pa.Array.from_buffers(
+            pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(packed))]
+        ).dictionary_encode()
+        return held.indices.to_numpy(zero_copy_only=False).astype(np.int64), held.dictionary
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """XXH64 of each word."""
+        number, distinct = self.codes
+        names = [xxhash.xxh64_intdigest(x, _SEED) for x in distinct.to_pylist()]
+        return np.array(names, dtype=np.uint64)[number] if names else np.empty(0, dtype=np.uint64)
+
+    def _inside(self) -> np.ndarray:
+        """Which bytes belong to a word."""
+        change = np.zeros(len(self.data) + 1, dtype=np.int8)
+        change[self.start] = 1
+        change[self.end] -= 1
+        return np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+
     def owner(self) -> np.ndarray:
         """Index of the text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -98,13 +126,9 @@ class Words:
         to = np.cumsum(size + 1) - 1
         at = to - size
         out = np.full(int(to[-1]) if len(to) else 0, 32, dtype=np.uint8)
-        keep = np.zeros(len(self.data) + 1, dtype=np.int8)
-        np.add.at(keep, self.start, 1)
-        np.add.at(keep, self.end, -1)
-        inside = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
         place = np.ones(len(out), dtype=bool)
         place[to[:-1]] = False
-        out[place] = self.data[inside]
+        out[place] = self.data[self._inside()]
         return out.tobytes(), at, to
 
 
@@ -122,22 +146,8 @@ def split(data: np.ndarray, offsets: np.ndarray, letters: tuple[np.ndarray, np.n
         closes[n] = inside[-1]
         closes[cuts] |= inside[cuts - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes)
-    hashes = np.empty(len(start), dtype=np.uint64)
-    a = 0
-    while a < len(start):
-        low = start[a]
-        b = max(a + 1, int(np.searchsorted(end, low + UNIT, side="right")))
-        high = end[b - 1]
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(
-            (stands[low:high].astype(np.uint64) + np.uint64(1)) * powers(_BASE, high - low),
-            out=sums[1:],
-        )
-        s = start[a:b] - low
-        hashes[a:b] = (sums[end[a:b] - low] - sums[s]) * powers(_BASE_INVERSE, high - low)[s]
-        a = b
     first = np.searchsorted(start, offsets, side="left")
-    return Words(stands, offsets, start, end, mix(hashes), first)
+    return Words(stands, offsets, start, end, first)
 
 
 def rolling(hashes: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
