@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeline.llm import chat, decontaminate, language_model, mixing, passages, pii, quality, rules, runs, simhash, sql, token_counts
+from citeline.llm import chat, decontaminate, language_model, mixing, passages, pii, quality, repeats, rules, runs, simhash, sql, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -81,3 +81,8 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = runs.with_planted_runs(table(spark, folder, "documents").select("doc_id", "text"))
     return runs.digest(runs.find_runs(docs))
+
+
+@query
+def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(repeats.strip_repeats(table(spark, folder, "documents").select("doc_id", "text")))
