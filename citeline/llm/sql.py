@@ -200,4 +200,29 @@ SQL = {
                1000 * b.n // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
                sha256(coalesce(t, '')) AS collapsed_sha256
         FROM v LEFT JOIN best b USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)""",
+    "op12_repeats": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x,
+                   octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        k AS (
+            SELECT r, 400 * b + i AS p, md5_number(substr(y, 2 * i + 1, 800)) AS key
+            FROM (SELECT r, b, y, unnest(range(0, least(400, n - 399 - 400 * b))) AS i
+                  FROM (SELECT r, n, b, substr(x, 800 * b + 1, 1600) AS y
+                        FROM (SELECT r, x, n, unnest(range(0, n // 400)) AS b FROM d WHERE n >= 400)))),
+        again AS (SELECT key FROM k GROUP BY key HAVING count(*) > 1),
+        found AS (SELECT r, p FROM k SEMI JOIN again USING (key)),
+        marked AS (
+            SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS opens FROM found),
+        runs AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
+        spans AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY r, run),
+        edges AS (
+            SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+            UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r),
+        kept AS (
+            SELECT r, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS t
+            FROM edges JOIN d USING (r) GROUP BY r),
+        sums AS (SELECT r, sum(b - a) AS removed, count(*) AS n_spans FROM spans GROUP BY r)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+               coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, x))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)""",
 }
