@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeline.llm import chat, decontaminate, language_model, mixing, passages, pii, quality, repeats, rules, runs, simhash, sql, token_counts
+from citeline.llm import chat, decontaminate, language_model, mixing, passages, pii, quality, repeats, rules, runs, simhash, sql, token_counts, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -86,3 +86,8 @@ def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digest(repeats.strip_repeats(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(trie.sequences(table(spark, folder, "conversations"))))

@@ -225,4 +225,38 @@ SQL = {
         SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
                coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, x))) AS kept_sha256
         FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)""",
+    "op13_trie": """
+        WITH t AS (
+            SELECT conv_id, turn, length(coalesce(text, '')) AS size,
+                   substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS k
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (
+            SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(size ORDER BY turn NULLS FIRST, k) AS ls
+            FROM t GROUP BY conv_id),
+        bytes AS (SELECT conv_id, 4294967295::BIGINT AS init, [ascii(x) FOR x IN string_split(conv_id::VARCHAR, '')] AS b FROM c),
+        sums AS (
+            SELECT conv_id, xor(list_reduce(list_prepend(init, b::BIGINT[]),
+                       lambda x, y: list_reduce([xor(x, y), 1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[],
+                           lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), init) % 6 AS h
+            FROM bytes),
+        r AS (
+            SELECT c.conv_id, list_concat(coalesce(d.ks, [])[1:h], c.ks[h + 1:]) AS ks,
+                   list_concat(coalesce(d.ls, [])[1:h], c.ls[h + 1:]) AS ls
+            FROM c JOIN sums USING (conv_id) LEFT JOIN c d ON d.conv_id = c.conv_id - c.conv_id % 100),
+        p AS (
+            SELECT conv_id, d, array_to_string(ks[1:d], ',') AS key, array_to_string(ks[1:d - 1], ',') AS up,
+                   coalesce(ls[d], 0) AS size, d = len(ks) AS ends
+            FROM (SELECT conv_id, ks, ls, unnest(range(0, len(ks) + 1)) AS d FROM r)),
+        node AS (
+            SELECT d, key, min(conv_id) AS conv_id, min(CASE WHEN d > 0 THEN up END) AS up, count(*) AS n, min(size) AS size,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends
+            FROM p GROUP BY d, key),
+        kids AS (SELECT d - 1 AS d, up AS key, count(*) AS children FROM node WHERE d > 0 GROUP BY ALL),
+        whole AS (SELECT n.*, coalesce(children, 0) AS children FROM node n LEFT JOIN kids USING (d, key)),
+        below AS (
+            SELECT a.d, a.key, sum((w.children = 0)::INTEGER) AS leaves, sum((w.n - 1) * w.size) AS saved
+            FROM whole w JOIN p a ON a.conv_id = w.conv_id AND a.d <= w.d GROUP BY a.d, a.key)
+        SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.n AS n_convs, w.children AS n_children,
+               leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+        FROM whole w JOIN below USING (d, key) LEFT JOIN node q ON q.d = w.d - 1 AND q.key = w.up""",
 }
