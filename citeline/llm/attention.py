@@ -8,7 +8,10 @@ they start from the counts of the whole corpus. A token costs three choices amon
 sixteen, not one among thousands.
 """
 
+import ctypes
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 
@@ -18,8 +21,11 @@ LEAVES = BRANCH**LEVELS
 PARTS, PART = 64, 64
 WIDTH, HIDDEN = 16, 32
 #: Tokens of a context window; each window scores its last SCORED tokens.
-WINDOW, SCORED = 32, 16
-STEPS, BATCH, RATE = 2500, 64, 0.01
+WINDOW, SCORED = 16, 8
+#: Windows of a step, and of the part of it whose attention is worked out at a time.
+BATCH, MICRO, RATE = 1024, 64, 0.04
+#: Tokens of a part of the corpus, and that a part sees in its fitting, at least.
+SEEN = 1 << 23
 _NEAR, _COMPANY = 8, 256
 _SMOOTH = 0.1
 _AT_ONCE = 1 << 14
@@ -111,11 +117,28 @@ def codes_from(counts: np.ndarray, company: np.ndarray) -> Codes:
     return Codes(code.astype(np.int32), share.astype(np.float32), mass + 1e-6)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+@cache
+def one_thread() -> None:
+    """Hold matrix products to the one core that a task has, once per process.
+    The linear algebra library would else spread small products over all cores
+    of the executor, and its threads wait by spinning."""
+    folder = Path(np.__file__).resolve().parent.parent / "numpy.libs"
+    for path in folder.glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
+def _softmax(x: np.ndarray) -> None:
+    """In place, over the last axis. Rows need no scaling by their largest value
+    where all of them keep within bounds."""
+    rows = x.reshape(-1, x.shape[-1])
+    top = rows.max()
+    if top > _FAR or top < -_FAR or (rows.min() < -_FAR and rows.max(axis=1).min() < -_FAR):
+        rows -= rows.max(axis=1)[:, None]
+    np.exp(rows, out=rows)
+    rows /= (rows @ np.ones(rows.shape[1], dtype=rows.dtype))[:, None]
 
 
 def start_weights(codes: Codes, seed: int = 11) -> dict[str, np.ndarray]:
@@ -150,63 +173,105 @@ def _steps(code: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     ]
 
 
-def _gradients(w: dict[str, np.ndarray], tokens: np.ndarray, end: int) -> tuple[float, dict]:
-    """Mean loss and gradients over windows of WINDOW + 1 codes."""
-    given, wanted = tokens[:, :-1], tokens[:, 1:].reshape(-1)
-    b, n = given.shape
+_AGO = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
+
+
+def _attend(w: dict[str, np.ndarray], given: np.ndarray, end: int) -> tuple[np.ndarray, ...]:
+    """(x, q, k, v, a): inputs, queries, keys, values and attention of windows."""
     x = w["embed"][given]
-    q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
-    texts = np.cumsum(given == end, axis=1)
-    ago = np.arange(n)[:, None] - np.arange(n)
-    seen = (ago >= 0) & (texts[:, :, None] == texts[:, None, :])
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    a = (q @ k.transpose(0, 2, 1)) * scale + w["distance"][np.maximum(ago, 0)]
-    a = _softmax(np.where(seen, a, np.float32(-1e9)))
-    z = np.concatenate([x, a @ v], axis=2).reshape(-1, 2 * WIDTH)
-    h = np.maximum(z @ w["mix"] + w["mix_bias"], 0)
-    order = np.argsort(wanted, kind="stable")  # by leaf, so by node at every level
-    sorted_h = np.concatenate([h[order], np.ones((len(order), 1), dtype=h.dtype)], axis=1)
+    rows = x.reshape(-1, WIDTH)
+    q, k, v = (
+        (rows @ m).reshape(x.shape) for m in (w["query"] * np.float32(1 / np.sqrt(WIDTH)), w["key"], w["value"])
+    )
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(_AGO >= 0, w["distance"][np.maximum(_AGO, 0)], np.float32(-1e9))
+    marks = given == end
+    for i in np.flatnonzero(marks[:, 1:].any(axis=1)).tolist():  # windows with parts of several texts
+        text = np.cumsum(marks[i])
+        a[i][text[:, None] != text] = -1e9
+    _softmax(a)
+    return x, q, k, v, a
+
+
+def _tree(w: dict[str, np.ndarray], h: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray, dict]:
+    """(loss, gradient by ``h``, gradients of the tree) of the ways to ``wanted``."""
+    order = np.argsort(wanted.astype(np.uint16), kind="stable")  # by leaf, so by node at every level
+    sorted_h = np.ones((len(order), HIDDEN + 1), dtype=h.dtype)
+    np.take(h, order, axis=0, out=sorted_h[:, :-1])
     rows, loss, out = np.arange(len(order)), 0.0, {}
-    back = np.zeros_like(sorted_h)
+    back, p = np.zeros_like(sorted_h), np.empty((len(order), BRANCH), dtype=h.dtype)
+    part = np.empty_like(back)
     for level, (node, branch) in enumerate(_steps(wanted[order])):
         weights = w[f"level{level}"]
+        turned = np.ascontiguousarray(weights.transpose(0, 2, 1))
         heads = np.flatnonzero(np.diff(node, prepend=-1))
-        parts = list(zip(heads.tolist(), np.append(heads[1:], len(node)).tolist(), node[heads].tolist(), strict=True))
-        p = np.empty((len(order), BRANCH), dtype=h.dtype)
-        for i, j, m in parts:
+        groups = list(zip(heads.tolist(), np.append(heads[1:], len(node)).tolist(), node[heads].tolist(), strict=True))
+        for i, j, m in groups:
             np.matmul(sorted_h[i:j], weights[m], out=p[i:j])
-        p = _softmax(p)
+        _softmax(p)
         loss -= np.log(p[rows, branch] + 1e-12).sum()
         p[rows, branch] -= 1
         grads = np.zeros_like(weights)
-        for i, j, m in parts:
-            back[i:j] += p[i:j] @ weights[m].T
+        for i, j, m in groups:
+            np.matmul(p[i:j], turned[m], out=part[i:j])
             np.matmul(sorted_h[i:j].T, p[i:j], out=grads[m])
+        back += part
         out[f"level{level}"] = grads
     dh = np.empty_like(h)
     dh[order] = back[:, :-1]
-    dh[h <= 0] = 0
-    out["mix"], out["mix_bias"] = z.T @ dh, dh.sum(axis=0)
-    dz = (dh @ w["mix"].T).reshape(b, n, 2 * WIDTH)
-    dx, dc = dz[:, :, :WIDTH].copy(), dz[:, :, WIDTH:]
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-    out["distance"] = np.bincount(
-        np.maximum(ago, 0).reshape(-1), ds.sum(axis=0).reshape(-1), minlength=WINDOW
-    ).astype(np.float32)
-    ds *= scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    flat = x.reshape(-1, WIDTH)
-    for name, d in (("query", dq), ("key", dk), ("value", dv)):
-        out[name] = flat.T @ d.reshape(-1, WIDTH)
-        dx += d @ w[name].T
-    out["embed"] = np.zeros_like(w["embed"])
-    order = np.argsort(given, axis=None, kind="stable")
-    flat = given.reshape(-1)[order]
-    heads = np.flatnonzero(np.diff(flat, prepend=-1))
-    out["embed"][flat[heads]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], heads, axis=0)
-    return float(loss) / len(wanted), {name: g / np.float32(len(wanted)) for name, g in out.items()}
+    return float(loss), dh, out
+
+
+def _back(w: dict[str, np.ndarray], held: tuple[np.ndarray, ...], dz: np.ndarray, out: dict, ago: np.ndarray) -> np.ndarray:
+    """Gradient by the inputs of some windows; those of their weights are added."""
+    x, q, k, v, a = held
+    dc = np.ascontiguousarray(dz[:, :, WIDTH:])
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= ((a * ds).reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=ds.dtype)).reshape(*ds.shape[:2], 1)
+    ds *= a
+    ago += np.ones(len(ds), dtype=ds.dtype) @ ds.reshape(len(ds), -1)
+    own, rows = dz[:, :, :WIDTH].reshape(-1, WIDTH), x.reshape(-1, WIDTH)
+    scale = np.float32(1 / np.sqrt(WIDTH))
+    for name, d in (("query", (ds @ k) * scale), ("key", ds.transpose(0, 2, 1) @ q), ("value", a.transpose(0, 2, 1) @ dc)):
+        d = d.reshape(-1, WIDTH)
+        out[name] += rows.T @ d
+        own = own + d @ w[name].T
+    return own
+
+
+def _summed_rows(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows by place."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at = at[order]
+    heads = np.flatnonzero(np.diff(at, prepend=-1))
+    out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
+    out[at[heads]] = np.add.reduceat(rows[order], heads, axis=0)
+    return out
+
+
+def _gradients(w: dict[str, np.ndarray], tokens: np.ndarray, end: int) -> tuple[float, dict]:
+    """Mean loss and gradients over windows of WINDOW + 1 codes."""
+    given, wanted = tokens[:, :-1], tokens[:, 1:].reshape(-1)
+    parts = [slice(i, i + MICRO) for i in range(0, len(given), MICRO)]
+    held = [_attend(w, given[p], end) for p in parts]
+    z = np.empty((*given.shape, 2 * WIDTH), dtype=w["embed"].dtype)
+    for p, (x, _, _, v, a) in zip(parts, held, strict=True):
+        z[p, :, :WIDTH] = x
+        np.matmul(a, v, out=z[p, :, WIDTH:])
+    flat = z.reshape(-1, 2 * WIDTH)
+    h = flat @ w["mix"]
+    h += w["mix_bias"]
+    np.maximum(h, 0, out=h)
+    loss, dh, out = _tree(w, h, wanted)
+    dh *= h > 0
+    out["mix"], out["mix_bias"] = flat.T @ dh, np.ones(len(dh), dtype=dh.dtype) @ dh
+    dz = (dh @ w["mix"].T).reshape(z.shape)
+    ago = np.zeros(WINDOW * WINDOW, dtype=z.dtype)
+    out |= {name: np.zeros_like(w[name]) for name in ("query", "key", "value")}
+    dx = np.concatenate([_back(w, x, dz[p], out, ago) for p, x in zip(parts, held, strict=True)])
+    out["distance"] = np.bincount(np.maximum(_AGO, 0).reshape(-1), ago, minlength=WINDOW).astype(z.dtype)
+    out["embed"] = _summed_rows(LEAVES, given.reshape(-1), dx)
+    return loss / len(wanted), {name: g / np.float32(len(wanted)) for name, g in out.items()}
 
 
 def blank_weights(codes: Codes) -> dict[str, np.ndarray]:
@@ -221,23 +286,26 @@ class Fitter:
     """Steps of Adam from some weights over running codes."""
 
     def __init__(self, w: dict[str, np.ndarray], end: int, seed=13):
+        one_thread()
         self.w, self.end = {name: x.copy() for name, x in w.items()}, end
         self.first = {name: np.zeros_like(x) for name, x in w.items()}
         self.second = {name: np.zeros_like(x) for name, x in w.items()}
         self.random, self.step = np.random.default_rng(seed), 0
 
-    def walk(self, stream: np.ndarray, rate) -> None:
-        """Fit on windows that cover the stream: each of its codes but the first
-        is to be told from those before it. ``rate`` gives the rate after a share
-        of the stream."""
+    def walk(self, stream: np.ndarray, rate, passes: int = 1, turn: int = 0, turns: int = 1) -> None:
+        """Fit on windows that cover the stream, ``passes`` times: each of its
+        codes but the first is to be told from those before it. ``rate`` gives the
+        rate after a share of the way. The way may be taken in ``turns``, by
+        fitters of the same seed."""
         if len(stream) <= WINDOW:  # so short a stream is gone through again
             stream = np.resize(stream, WINDOW + 1)
         at = np.arange(0, len(stream) - WINDOW, WINDOW)
         if at[-1] + WINDOW + 1 < len(stream):
             at = np.append(at, len(stream) - WINDOW - 1)
-        at = self.random.permutation(at)
-        for i in range(0, len(at), BATCH):
-            self.adjust(stream[at[i : i + BATCH, None] + np.arange(WINDOW + 1)], rate(i / len(at)))
+        at = np.concatenate([self.random.permutation(at) for _ in range(passes)])
+        for i in range(len(at) * turn // turns, stop := len(at) * (turn + 1) // turns, BATCH):
+            windows = at[i : min(stop, i + BATCH), None] + np.arange(WINDOW + 1)
+            self.adjust(stream[windows], rate(i / len(at)))
 
     def adjust(self, windows: np.ndarray, rate: float) -> None:
         _, grads = _gradients(self.w, windows, self.end)
@@ -255,22 +323,20 @@ def rate_after(share: float) -> float:
     return RATE * (1 - 0.95 * min(1.0, share))
 
 
-def passes_over(tokens: int, steps: int) -> int:
-    """How often a text is gone through: once, more often if that is fewer than
-    ``steps`` steps."""
-    return max(1, -(-steps * BATCH * WINDOW // max(1, tokens)))
+def passes_over(tokens: int, least: int) -> int:
+    """How often a text is gone through, so that ``least`` tokens are seen."""
+    return max(1, -(-least // max(1, tokens)))
 
 
-def train(codes: Codes, tokens: np.ndarray, steps: int = STEPS, seed: int = 13) -> dict[str, np.ndarray]:
+def train(codes: Codes, tokens: np.ndarray, least: int = SEEN, seed: int = 13) -> dict[str, np.ndarray]:
     """Weights fitted by Adam on all of some running text (ids, each text begun
-    by the end mark), in ``steps`` steps at least. Too little text for one window
-    leaves the corpus counts alone."""
+    by the end mark), until ``least`` tokens have been seen. Too little text for
+    one window leaves the corpus counts alone."""
     stream = codes.code[tokens]
     if len(stream) < WINDOW + 2:
         return blank_weights(codes)
-    fitter, n = Fitter(start_weights(codes), int(codes.code[codes.end]), seed), passes_over(len(stream), steps)
-    for i in range(n):
-        fitter.walk(stream, lambda x, i=i: rate_after((i + x) / n))
+    fitter = Fitter(start_weights(codes), int(codes.code[codes.end]), seed)
+    fitter.walk(stream, rate_after, passes_over(len(stream), least))
     return fitter.w
 
 
@@ -290,6 +356,7 @@ class Scorer:
         """Natural log probability of each text ids[first[i]:first[i + 1]] and
         its end. Every token is scored once, in the window that ends with it and
         at most SCORED - 1 others; what stands further back gives context."""
+        one_thread()
         size = np.diff(first) + 1
         begin = np.concatenate([[0], np.cumsum(size)])
         stream = np.full(begin[-1] + 1, self.codes.end, dtype=np.int64)

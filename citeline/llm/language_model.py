@@ -4,8 +4,8 @@ Three passes. The first counts the words of all training texts; every distinct
 word is then cut into subword ids once, which gives the corpus counts of all
 ids. The second writes all training texts as ids; the attention model takes its
 codes from the company that ids keep in all of them, its starting probabilities
-from the counts, and its weights are fitted on every token, in rounds: tasks go on
-from the same weights, each over its part, and the mean of theirs begins the next.
+from the counts, and its weights are fitted on every token, in rounds: parts of
+the corpus go on from the same weights, and the mean of theirs begins the next.
 The last pass scores every text: words that are frequent in the corpus (at most
 ``FREQUENT``) have their counts and ids in a table that is sent to the workers;
 for all other words the counts are joined, so the base score is exact whatever
@@ -27,9 +27,8 @@ from citeline.llm.token_counts import file_path
 
 #: Words whose counts and ids are sent to every worker, at most.
 FREQUENT = 1 << 19
-#: Rounds that the training tokens are dealt to, where they are more than one
-#: task is to go through, and tokens that a task holds at a time, about.
-ROUNDS, HELD = 4, 1 << 23
+#: Rounds that the way over the training texts is taken in.
+ROUNDS = 4
 #: Numbers of a vector that are summed in one row.
 BLOCK = 1 << 12
 FOLDS = 10
@@ -69,19 +68,6 @@ def pieces(tokenizer: str) -> Pieces:
     return _pieces[tokenizer]
 
 
-def _distinct(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a place of each distinct word, index of each word among them, counts)."""
-    _, at, index, counts = np.unique(
-        words.hash, return_index=True, return_inverse=True, return_counts=True
-    )
-    return at, index, counts
-
-
-def _texts(words: W.Words, at: np.ndarray) -> list[bytes]:
-    raw = words.data
-    return [raw[a:b].tobytes() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
-
-
 def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word, hash, c): how often each word occurs, and the number that stands
     for it in Arrow tasks. Words are lower-cased in A-Z."""
@@ -90,12 +76,12 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for _, data, offsets in W.units(batch, text):
                 words = W.split(data, offsets, W.SPACED_LOWER)
-                at, _, counts = _distinct(words)
+                number, distinct = words.codes
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_texts(words, at), pa.binary()).cast(pa.string()),
-                        pa.array(words.hash[at].view(np.int64)),
-                        pa.array(counts),
+                        distinct.cast(pa.binary()).cast(pa.string()),
+                        pa.array(words.names.view(np.int64)),
+                        pa.array(np.bincount(number, minlength=len(distinct))),
                     ],
                     names=["word", "hash", "c"],
                 )
@@ -152,13 +138,13 @@ class Frequent:
 
     def cut(self, words: W.Words, tokenizer: str) -> "Cut":
         """The ids of all words; those that are not in the table are cut here."""
-        at, index, _ = _distinct(words)
-        keys = words.hash[at]
+        index, distinct = words.codes
+        keys = words.names
         place = np.searchsorted(self.hashes, keys)
         place[place == len(self.hashes)] = 0
         known = self.hashes[place] == keys if len(self.hashes) else np.zeros(len(keys), dtype=bool)
         rare = np.flatnonzero(~known)
-        raw = _texts(words, at[rare])
+        raw = distinct.take(pa.array(rare)).to_pylist()
         cut = pieces(tokenizer)(raw)
         # ids of the distinct words, one after the other: the frequent ones' and the others'
         begin = np.where(known, self.first[place] if len(self.hashes) else 0, 0)
@@ -207,50 +193,64 @@ def _frequent(cut: DataFrame, most: int) -> tuple[Frequent, int]:
     return found, least
 
 
-def _running(training: DataFrame, text: str, frequent: Frequent, tokenizer: str) -> DataFrame:
-    """(ids): every training text, whole, as uint32 bytes."""
+def _kind(size: int) -> type:
+    """The least unsigned type that holds the ids of a vocabulary."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def _running(training: DataFrame, doc_id: str, text: str, frequent: Frequent, tokenizer: str) -> DataFrame:
+    """(h, ids): every training text, whole, as the bytes of its ids, and a
+    number by which it is dealt out."""
     sent = training.sparkSession.sparkContext.broadcast(frequent)
+    kind = _kind(pieces(tokenizer).size)
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets in W.units(batch, text):
+            for rows, data, offsets in W.units(batch, "text"):
                 cut = sent.value.cut(W.split(data, offsets, W.SPACED_LOWER), tokenizer)
-                raw = cut.ids.astype(np.uint32)
+                raw = cut.ids.astype(kind)
                 packed = [raw[a:b].tobytes() for a, b in zip(cut.first[:-1].tolist(), cut.first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["ids"])
+                yield pa.RecordBatch.from_arrays([rows.column("h"), pa.array(packed, pa.binary())], names=["h", "ids"])
 
-    return W.bounded_batches(training.select(text)).mapInArrow(run, "ids binary")
+    keyed = training.select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("text"))
+    return W.bounded_batches(keyed).mapInArrow(run, "h bigint, ids binary")
 
 
 def _marked(batch: pa.RecordBatch, end: int) -> list[np.ndarray]:
     """The texts of a batch of ``_running``, each begun by the end mark."""
     data, offsets = W.buffers(batch.column("ids"))
-    ids = data.view(np.uint32).astype(np.int64) if len(data) else np.empty(0, dtype=np.int64)
-    at = (offsets // 4).tolist()
+    kind = np.dtype(_kind(end))
+    ids = data.view(kind).astype(np.int64) if len(data) else np.empty(0, dtype=np.int64)
+    at = (offsets // kind.itemsize).tolist()
     return [np.concatenate([[end], ids[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _blocks(vector: np.ndarray, weight: float):
-    """A vector as rows (block, values, n) of bounded size."""
+_BLOCK = "block int, values binary, n double, part int"
+
+
+def _blocks(vector: np.ndarray, weight: float, part: int):
+    """A part's vector as rows (block, values, n, part) of bounded size."""
     at = range(0, len(vector), BLOCK)
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(range(len(at)), pa.int32()),
             pa.array([(vector[i : i + BLOCK] * weight).tobytes() for i in at], pa.binary()),
             pa.array([float(weight)] * len(at)),
+            pa.array([part] * len(at), pa.int32()),
         ],
-        names=["block", "values", "n"],
+        names=["block", "values", "n", "part"],
     )
 
 
 def _summed(parts: DataFrame, size: int) -> tuple[np.ndarray, float]:
-    """(sum of vectors, sum of their weights) from rows of ``_blocks``. What one
-    task holds, and what reaches the driver, is the size of one vector."""
+    """(sum of vectors, sum of their weights) from rows of ``_blocks``, added in
+    the order of the parts. What one task holds, and what reaches the driver, is
+    the size of one vector."""
 
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for block, values, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, values, n, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = np.frombuffer(values)
                 if block in held:
                     held[block][0] += values
@@ -266,9 +266,9 @@ def _summed(parts: DataFrame, size: int) -> tuple[np.ndarray, float]:
             names=["block", "values", "n"],
         )
 
-    schema = "block int, values binary, n double"
     out, weight = np.zeros(size), 0.0
-    for r in parts.repartition("block").mapInArrow(run, schema).collect():
+    ordered = parts.repartition("block").sortWithinPartitions("block", "part")
+    for r in ordered.mapInArrow(run, "block int, values binary, n double").collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["values"])
         weight = r["n"]
     return out, weight
@@ -284,65 +284,62 @@ def _company(running: DataFrame, ids: np.ndarray) -> np.ndarray:
         for batch in batches:
             texts = _marked(batch, len(ids) - 1)
             total += attention.company_of(sent.value, [np.append(t, len(ids) - 1) for t in texts])
-        yield from _blocks(total.reshape(-1), 1.0)
+        yield from _blocks(total.reshape(-1), 1.0, 0)  # whole numbers: their order does not matter
 
-    rows = W.bounded_batches(running).mapInArrow(run, "block int, values binary, n double")
+    rows = W.bounded_batches(running.select("ids")).mapInArrow(run, _BLOCK)
     return _summed(rows, shape[0] * shape[1])[0].reshape(shape)
 
 
-def _fit(running: DataFrame, ids: np.ndarray, steps: int) -> attention.Scorer:
-    """The model fitted on all training texts, every token of which some task is
+def _fit(running: DataFrame, ids: np.ndarray, least: int) -> attention.Scorer:
+    """The model fitted on all training texts, every token of which some part is
     to tell from those before it.
 
-    There are as many tasks as have ``steps`` steps each, or as the table has
-    parts. A corpus that is less than that for one task is gone through by it
-    again, until it is; others in rounds, a part of the texts in each.
+    The corpus is dealt by hashes of its rows to parts of about ``least`` tokens.
+    A part's way leads over all its windows, shuffled, again and again until it has
+    seen ``least`` tokens. It is taken in ``ROUNDS``: in each, every part goes on
+    from the same weights, and the mean of the parts' weights begins the next. What
+    a part sees, and in which order, depends on the rows alone, not on the files
+    or tasks that they came in.
     """
     codes = attention.codes_from(ids, _company(running, ids))
     tokens, end = int(ids.sum()), int(codes.code[codes.end])
-    w = attention.start_weights(codes) if tokens >= attention.WINDOW + 2 else attention.blank_weights(codes)
     if tokens < attention.WINDOW + 2:
-        return attention.Scorer(codes, w)
-    passes = attention.passes_over(tokens, steps)
-    tasks = max(1, tokens // (steps * attention.BATCH * attention.WINDOW))
-    rounds = 1 if passes > 1 else ROUNDS
-    fewer = running.coalesce(tasks)
-    share = tokens / (rounds * min(tasks, fewer.rdd.getNumPartitions()))
-    shapes = {name: x.shape for name, x in w.items()}
-    for turn in range(rounds):
+        return attention.Scorer(codes, attention.blank_weights(codes))
+    w, parts = attention.start_weights(codes), max(1, tokens // least)
+    shapes, cuts = {name: x.shape for name, x in w.items()}, np.cumsum([x.size for x in w.values()])
+    dealt = running.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).select("part", "h", "ids")
+    for turn in range(ROUNDS):
         sent = running.sparkSession.sparkContext.broadcast((codes, w))
-        at = F.pmod(F.xxhash64("ids"), F.lit(rounds)) == turn
 
         def run(batches, sent=sent, turn=turn):
             codes, start = sent.value
-            fitter, held, size, done = attention.Fitter(start, end, (13, turn)), [], 0, 0
 
-            def go():
-                stream = np.append(codes.code[np.concatenate(held)], end)
-                for i in range(passes):
-                    fitter.walk(
-                        stream,
-                        lambda x: attention.rate_after((turn + (i + x) / passes * len(stream) / share + done / share) / rounds),
-                    )
-                return len(stream)
+            def fitted(part, texts):
+                """Blocks of the weights of one part."""
+                stream = np.append(codes.code[np.concatenate(texts)], end)
+                fitter = attention.Fitter(start, end, (13, part))
+                passes = attention.passes_over(len(stream), least)
+                fitter.walk(stream, attention.rate_after, passes, turn, ROUNDS)
+                flat = np.concatenate([x.reshape(-1) for x in fitter.w.values()]).astype(np.float64)
+                return _blocks(flat, float(len(stream)), part)
 
+            held, now = [], None
             for batch in batches:
-                for t in _marked(batch, codes.end):
-                    held.append(t)
-                    size += len(t)
-                    if size >= HELD:
-                        done += go()
-                        held, size = [], 0
-            done += go() if held else 0
-            if done:
-                yield from _blocks(np.concatenate([x.reshape(-1) for x in fitter.w.values()]).astype(np.float64), done)
-
-        rows = W.bounded_batches(running.where(at).coalesce(tasks)).mapInArrow(run, "block int, values binary, n double")
-        total, n = _summed(rows, sum(x.size for x in w.values()))
+                for part, text in zip(batch.column("part").to_pylist(), _marked(batch, codes.end), strict=True):
+                    if part != now:
+                        if held:
+                            yield from fitted(now, held)
+                        held, now = [], part
+                    held.append(text)
+            if held:
+                yield from fitted(now, held)
+
+        own = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "h")
+        total, n = _summed(W.bounded_batches(own).mapInArrow(run, _BLOCK), int(cuts[-1]))
         sent.unpersist()
         if n:
-            flat, cuts = (total / n).astype(np.float32), np.cumsum([x.size for x in w.values()])[:-1]
-            w = {name: x.reshape(shapes[name]) for name, x in zip(shapes, np.split(flat, cuts), strict=True)}
+            flat = (total / n).astype(np.float32)
+            w = {name: x.reshape(shapes[name]) for name, x in zip(shapes, np.split(flat, cuts[:-1]), strict=True)}
     return attention.Scorer(codes, w)
 
 
@@ -390,7 +387,7 @@ def learn(
     text: str = "text",
     tokenizer: str = TOKENIZER,
     frequent: int = FREQUENT,
-    steps: int = attention.STEPS,
+    least: int = attention.SEEN,
 ) -> tuple[Model, DataFrame]:
     """The model of the rows that are not held out, and the table (word, c) of
     all their words."""
@@ -401,7 +398,7 @@ def learn(
     cut = pieces(tokenizer)
     ids = np.append(_id_counts(counted, cut.size), float(sizes["n"]))
     table, _ = _frequent(counted, frequent)
-    scorer = _fit(store(_running(training, text, table, tokenizer)), ids, steps)
+    scorer = _fit(store(_running(training, doc_id, text, table, tokenizer)), ids, least)
     total, distinct = (sums["c"] or 0) + sizes["n"], sums["n"] + int(sizes["n"] > 0)
     return Model(table, scorer, total, distinct, sizes["n"], tokenizer), counted.select("word", "c")
 
@@ -412,7 +409,7 @@ def score_texts(
     text: str = "text",
     tokenizer: str = TOKENIZER,
     frequent: int = FREQUENT,
-    steps: int = attention.STEPS,
+    least: int = attention.SEEN,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probabilities of the whole text).
@@ -422,7 +419,7 @@ def score_texts(
     itself. Without training rows all words are unknown and the model is uniform
     but for its random start; an empty table gives no rows.
     """
-    model, counts = learn(docs, doc_id, text, tokenizer, frequent, steps)
+    model, counts = learn(docs, doc_id, text, tokenizer, frequent, least)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     scored = columns.add_struct(docs.select(doc_id, text), text, "lm", RESULT, lambda: sent.value)
     held = store(

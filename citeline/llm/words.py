@@ -102,12 +102,15 @@ class Words:
         ).dictionary_encode()
         return held.indices.to_numpy(zero_copy_only=False).astype(np.int64), held.dictionary
 
+    @cached_property
+    def names(self) -> np.ndarray:
+        """XXH64 of the different words, by number."""
+        return np.array([xxhash.xxh64_intdigest(x, _SEED) for x in self.codes[1].to_pylist()], dtype=np.uint64)
+
     @cached_property
     def hash(self) -> np.ndarray:
         """XXH64 of each word."""
-        number, distinct = self.codes
-        names = [xxhash.xxh64_intdigest(x, _SEED) for x in distinct.to_pylist()]
-        return np.array(names, dtype=np.uint64)[number] if names else np.empty(0, dtype=np.uint64)
+        return self.names[self.codes[0]]
 
     def _inside(self) -> np.ndarray:
         """Which bytes belong to a word."""

@@ -29,7 +29,7 @@ def held_out(doc):
 @pytest.mark.parametrize("frequent", [0, 3, 1000])
 def test_base_scores_match_brute_force_whatever_is_sent_to_workers(spark, frequent):
     rows = docs()
-    found = L.score_texts(table(spark, rows, DOCS), frequent=frequent, steps=5).collect()
+    found = L.score_texts(table(spark, rows, DOCS), frequent=frequent, least=10_000).collect()
     assert len(found) == len(rows)
     counts = collections.Counter()
     for doc, text, _ in rows:
@@ -51,14 +51,14 @@ def test_base_scores_match_brute_force_whatever_is_sent_to_workers(spark, freque
 
 
 def test_no_training_rows_and_empty_table(spark):
-    assert L.score_texts(spark.createDataFrame([], DOCS), steps=2).count() == 0
+    assert L.score_texts(spark.createDataFrame([], DOCS), least=4_000).count() == 0
     only = [(i, "held out text", "x") for i in range(200) if held_out(i)][:3]
-    found = L.score_texts(table(spark, only, DOCS), steps=2).collect()
+    found = L.score_texts(table(spark, only, DOCS), least=4_000).collect()
     assert len(found) == 3 and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in found)
     assert all(np.isfinite([r["base_score"], r["score"]]).all() for r in found)
 
 
-def trained(size=6000, steps=60):
+def trained(size=6000, least=120_000):
     rng = np.random.default_rng(2)
     tokens, end = [], 5000
     for _ in range(size // 40):  # the second of two ids follows from the first
@@ -69,11 +69,11 @@ def trained(size=6000, steps=60):
     tokens = np.array(tokens)
     counts = np.bincount(tokens, minlength=end + 1).astype(float)
     codes = A.build_codes(counts, tokens)
-    return tokens, counts, codes, A.train(codes, tokens, steps)
+    return tokens, counts, codes, A.train(codes, tokens, least)
 
 
 def test_frequent_ids_have_leaves_of_their_own_and_shares_sum_to_one():
-    _, counts, codes, _ = trained(steps=1)
+    _, counts, codes, _ = trained(least=1)
     used = codes.code[np.flatnonzero(counts)]
     assert len(set(used.tolist())) == len(used)
     assert codes.code.min() >= 0 and codes.code.max() < A.LEAVES
@@ -129,7 +129,7 @@ def test_windows_score_every_token_once_with_its_context(monkeypatch):
 
 
 def test_gradients_match_differences():
-    tokens, _, codes, _ = trained(steps=1)
+    tokens, _, codes, _ = trained(least=1)
     w = {k: v.astype(np.float64) for k, v in A.start_weights(codes).items()}
     rng = np.random.default_rng(0)
     w["distance"] = rng.normal(size=A.WINDOW)
@@ -148,7 +148,7 @@ def test_gradients_match_differences():
 
 
 def test_training_uses_the_context():
-    tokens, counts, codes, weights = trained(12_000, 200)
+    tokens, counts, codes, weights = trained(12_000, 1_600_000)
     scorer = A.Scorer(codes, weights)
     untrained = A.Scorer(codes, A.train(codes, tokens[:1], 1))
     first = np.array([0, 40])
@@ -171,7 +171,7 @@ def test_all_tokens_are_fitted_wherever_they_stand(spark, monkeypatch):
     shifted = [v for _, v in good[7:] + good[:7]]
     rows += [(tested[0], " ".join(w for p in good for w in p), "x")]
     rows += [(tested[1], " ".join(w for (a, _), b in zip(good, shifted, strict=True) for w in (a, b)), "x")]
-    found = {r["doc_id"]: r["score"] for r in L.score_texts(table(spark, rows, DOCS), steps=300).collect()}
+    found = {r["doc_id"]: r["score"] for r in L.score_texts(table(spark, rows, DOCS), least=2_000_000).collect()}
     assert found[tested[0]] > found[tested[1]] + 10
 
 
@@ -183,8 +183,8 @@ def test_company_and_windows_cover_every_token(spark, monkeypatch):
     size = L.pieces(L.TOKENIZER).size
     ids = np.append(L._id_counts(counted, size), float(training.count()))
     frequent, _ = L._frequent(counted, 20)
-    running = L._running(training, "text", frequent, L.TOKENIZER)
-    texts = [np.frombuffer(r["ids"], dtype=np.uint32).astype(int) for r in running.collect()]
+    running = L._running(training, "doc_id", "text", frequent, L.TOKENIZER)
+    texts = [np.frombuffer(r["ids"], dtype=np.uint16).astype(int) for r in running.collect()]
     assert len(texts) == training.count() and sum(map(len, texts)) + len(texts) == ids.sum()
     end = size
     whole = A.company_of(ids, [np.concatenate([[end], t, [end]]) for t in texts])
@@ -197,11 +197,36 @@ def test_company_and_windows_cover_every_token(spark, monkeypatch):
 
 
 def test_more_text_is_more_fitted_on(monkeypatch):
-    assert A.passes_over(10, 2) > 1 and A.passes_over(10**9, A.STEPS) == 1
+    assert A.passes_over(10, 20) == 2 and A.passes_over(10**9, A.SEEN) == 1
     widths = []
     monkeypatch.setattr(A.Fitter, "adjust", lambda self, windows, rate: widths.append(len(windows)))
-    tokens, counts, codes, _ = trained(steps=1)
+    tokens, counts, codes, _ = trained(least=1)
     for n in (40_000, 80_000):
         widths.clear()
-        A.train(codes, np.resize(tokens, n), 5)
+        A.train(codes, np.resize(tokens, n), 10_000)
         assert sum(widths) == -(-(n - 1) // A.WINDOW)
+
+
+def test_scores_do_not_depend_on_files(spark, folder):
+    """The same rows in one file and in eight, dealt to several parts."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(80)), "x") for i in range(120)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{folder}/one")
+    spark.createDataFrame(rows[::-1], DOCS).repartition(8).write.parquet(f"{folder}/eight")
+    one, eight = (
+        {r["doc_id"]: r["score"] for r in L.score_texts(spark.read.parquet(f"{folder}/{n}"), least=4_000).collect()} for n in ("one", "eight")
+    )
+    assert one.keys() == eight.keys()
+    assert all(one[k] == pytest.approx(eight[k], rel=1e-5) for k in one)
+
+
+def test_words_that_simple_hashes_confuse(spark):
+    one, other = "a", "b"
+    while len(one) < 2048:
+        one, other = one + other, other + one
+    free = [i for i in range(20) if not held_out(i)]
+    rows = [(free[0], one, "x"), (free[1], f"{one} {one}", "x"), (free[2], other, "x")]
+    found = {r["doc_id"]: r for r in L.score_texts(table(spark, rows, DOCS), least=1_000).collect()}
+    scale = 7 + 0.1 * 4
+    assert found[free[0]]["base_score"] == pytest.approx(math.log10(3.1 / scale) + math.log10(3.1 / scale))
+    assert found[free[2]]["base_score"] == pytest.approx(math.log10(1.1 / scale) + math.log10(3.1 / scale))
