@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from citeline.llm import attention, columns
 from citeline.llm import words as W
-from citeline.llm.tables import store
+from citeline.llm.tables import freed_shuffles, store
 from citeline.llm.token_counts import file_path
 
 #: Words whose counts and ids are sent to every worker, at most.
@@ -268,7 +268,9 @@ def _summed(parts: DataFrame, size: int) -> tuple[np.ndarray, float]:
 
     out, weight = np.zeros(size), 0.0
     ordered = parts.repartition("block").sortWithinPartitions("block", "part")
-    for r in ordered.mapInArrow(run, "block int, values binary, n double").collect():
+    with freed_shuffles(parts.sparkSession):
+        rows = ordered.mapInArrow(run, "block int, values binary, n double").collect()
+    for r in rows:
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["values"])
         weight = r["n"]
     return out, weight

@@ -16,11 +16,13 @@ The verdicts (a bit per window of a segment) are joined back to the source
 coordinates of every occurrence, and words are removed by those coordinates.
 What is shuffled is one narrow row per segment, about one for every thirteen
 words, and the texts themselves where single windows or the results are made.
-Windows are compared by two independent hashes, 128 bits in all.
+Rolling hashes choose the minimizers only. Whether segments and windows are equal
+is decided by their bytes: read at their source coordinates, 128 bits of XXH3 each.
 """
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,6 @@ WINDOW = 35
 #: Words of the runs among which the minimizer of a window is chosen.
 ANCHOR = 10
 
-_SECOND = 0x8CB92BA72F3D8DD7
 
 
 def _least(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -49,25 +50,31 @@ def _least(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _segments(words: W.Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, minimizer, path) of the segments."""
+    """(text, first window by text, windows, minimizer, first window, minimizer's
+    place in the segment) of the segments."""
     runs = W.rolling(words.hash, anchor)
-    edges = W.rolling(words.hash, window, _SECOND)
     starts = np.flatnonzero(W.inside_one(words, window))
     if not len(starts):
-        return (np.empty(0, dtype=np.int64),) * 5
+        return (np.empty(0, dtype=np.int64),) * 6
     least = _least(runs, window - anchor + 1)[starts]
     fresh = np.ones(len(starts), dtype=bool)
     fresh[1:] = (np.diff(starts) != 1) | (np.diff(least) != 0)
     head = np.flatnonzero(fresh)
     size = np.diff(np.append(head, len(starts)))
     first, least = starts[head], least[head]
-    path = W.mix(
-        edges[first] * np.uint64(_SECOND)
-        + edges[first + size - 1]
-        + (size * 64 + least - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    )
     owner = words.owner()[first]
-    return owner, first - words.first[owner], size, runs[least], path
+    return owner, first - words.first[owner], size, runs[least], first, least - first
+
+
+def _digests(words: W.Words, first: np.ndarray, last: np.ndarray, seed: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two numbers for the bytes of the words first .. last, joined by one space."""
+    joined, start, end = words.joined()
+    digests = [
+        xxhash.xxh3_128_digest(joined[i:j], k)
+        for i, j, k in zip(start[first].tolist(), end[last].tolist(), seed.tolist(), strict=True)
+    ]
+    both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
 
 
 def _keys(doc_id: str, text: str) -> list[Column]:
@@ -79,13 +86,14 @@ def _keys(doc_id: str, text: str) -> list[Column]:
 
 
 def _segment_rows(docs: DataFrame, doc_id: str, text: str, window: int, anchor: int) -> DataFrame:
-    """(k1, k2, at, n, anchor, path): the path segments of all documents."""
+    """(k1, k2, at, n, anchor, path, path2): the path segments of all documents."""
     keyed = docs.select(*_keys(doc_id, text), F.col(text).alias("text"))
 
     def cut(batches):
         for batch in batches:
             for rows, data, offsets in W.units(batch, "text"):
-                owner, at, n, least, path = _segments(W.split(data, offsets, W.SPACED), window, anchor)
+                words = W.split(data, offsets, W.SPACED)
+                owner, at, n, least, first, place = _segments(words, window, anchor)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("k1").take(pa.array(owner)),
@@ -93,21 +101,21 @@ def _segment_rows(docs: DataFrame, doc_id: str, text: str, window: int, anchor:
                         pa.array(at.astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                         pa.array(least.astype(np.uint64).view(np.int64)),
-                        pa.array(path.astype(np.uint64).view(np.int64)),
+                        *_digests(words, first, first + n + window - 2, place),
                     ],
-                    names=["k1", "k2", "at", "n", "anchor", "path"],
+                    names=["k1", "k2", "at", "n", "anchor", "path", "path2"],
                 )
 
-    schema = "k1 bigint, k2 bigint, at int, n int, anchor bigint, path bigint"
+    schema = "k1 bigint, k2 bigint, at int, n int, anchor bigint, path bigint, path2 bigint"
     return W.bounded_batches(keyed).mapInArrow(cut, schema)
 
 
 def _windows(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, window: int) -> DataFrame:
-    """(anchor, path, i, edge, c): the single windows of the segments of
-    ``wanted`` (k1, k2, at, n, anchor, path, c), read from their documents."""
+    """(anchor, path, path2, i, edge, edge2, c): the single windows of the segments
+    of ``wanted`` (k1, k2, at, n, anchor, path, path2, c), read from their documents."""
     listed = store(
         wanted.groupBy("k1", "k2").agg(
-            F.collect_list(F.struct("at", "n", "anchor", "path", "c")).alias("segments")
+            F.collect_list(F.struct("at", "n", "anchor", "path", "path2", "c")).alias("segments")
         )
     )
     texts = docs.select(*_keys(doc_id, text), F.col(text).alias("text"))
@@ -117,28 +125,29 @@ def _windows(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, window:
         for batch in batches:
             for rows, data, offsets in W.units(batch, "text"):
                 words = W.split(data, offsets, W.SPACED)
-                edges = W.rolling(words.hash, window, _SECOND)
                 column = rows.column("segments")
                 flat = column.flatten()
                 size = np.diff(column.offsets.to_numpy())
-                at, n, anchor, path, c = (
-                    flat.field(name).to_numpy(zero_copy_only=False) for name in ("at", "n", "anchor", "path", "c")
+                at, n, anchor, path, path2, c = (
+                    flat.field(name).to_numpy(zero_copy_only=False) for name in ("at", "n", "anchor", "path", "path2", "c")
                 )
                 first = np.repeat(words.first[:-1], size) + at
                 i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                edge = np.repeat(first, n) + i
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(anchor, n)),
                         pa.array(np.repeat(path, n)),
+                        pa.array(np.repeat(path2, n)),
                         pa.array(i.astype(np.int32)),
-                        pa.array(edges[np.repeat(first, n) + i].view(np.int64)),
+                        *_digests(words, edge, edge + window - 1, np.zeros(len(edge), dtype=np.int64)),
                         pa.array(np.repeat(c, n)),
                     ],
-                    names=["anchor", "path", "i", "edge", "c"],
+                    names=["anchor", "path", "path2", "i", "edge", "edge2", "c"],
                 )
 
     return W.bounded_batches(source).mapInArrow(
-        cut, "anchor bigint, path bigint, i int, edge bigint, c bigint"
+        cut, "anchor bigint, path bigint, path2 bigint, i int, edge bigint, edge2 bigint, c bigint"
     )
 
 
@@ -156,7 +165,7 @@ def repeated_windows(
         rows.groupBy("anchor")
         .agg(
             F.count("*").alias("c"),
-            (F.min("path") != F.max("path")).alias("branches"),
+            ((F.min("path") != F.max("path")) | (F.min("path2") != F.max("path2"))).alias("branches"),
         )
         .where(F.col("c") > 1)
         .select("anchor", "branches")
@@ -164,25 +173,25 @@ def repeated_windows(
     rows = store(rows.join(anchors, "anchor"))
     # All rows of a path hold the same words, so any of them may stand for it.
     paths = store(
-        rows.groupBy("anchor", "path").agg(
+        rows.groupBy("anchor", "path", "path2").agg(
             F.count("*").alias("c"),
             *[F.first(x).alias(x) for x in ("k1", "k2", "at", "n", "branches")],
         )
     )
     whole = paths.where(F.col("c") > 1).select(
-        "anchor", "path", (F.expr("shiftleft(1L, n)") - 1).alias("mask")
+        "anchor", "path", "path2", (F.expr("shiftleft(1L, n)") - 1).alias("mask")
     )
     single = store(_windows(docs, doc_id, text, paths.where("branches"), window))
     again = store(
-        single.groupBy("anchor", "edge").agg(F.sum("c").alias("t")).where("t > 1").select("anchor", "edge")
+        single.groupBy("anchor", "edge", "edge2").agg(F.sum("c").alias("t")).where("t > 1").drop("t")
     )
-    partly = single.join(again, ["anchor", "edge"]).groupBy("anchor", "path").agg(
+    partly = single.join(again, ["anchor", "edge", "edge2"]).groupBy("anchor", "path", "path2").agg(
         F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")
     )
     verdicts = store(
-        whole.union(partly).groupBy("anchor", "path").agg(F.bit_or("mask").alias("mask"))
+        whole.union(partly).groupBy("anchor", "path", "path2").agg(F.bit_or("mask").alias("mask"))
     )
-    found = rows.join(verdicts, ["anchor", "path"])
+    found = rows.join(verdicts, ["anchor", "path", "path2"])
     return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
 
 
@@ -233,6 +242,8 @@ def strip_repeats(
     and text repeat each other like any two documents. A column called ``into``
     is replaced, others pass through. Empty tables give no rows.
     """
+    if not anchor <= window < anchor + 63:
+        raise ValueError("a segment has at most 63 windows: the mask of one is a number")
     spans = store(repeated_windows(docs, doc_id, text, window, anchor))
     k1, k2, mark = fresh(docs, "__k1"), fresh(docs, "__k2"), fresh(docs, "__spans")
     one, two = _keys(doc_id, text)

@@ -28,6 +28,8 @@ from citeline.llm.tables import store
 #: Words of a shingle.
 SHINGLE = 3
 SEGMENTS, SEGMENT_BITS = 32, 2
+#: Prints that one task spreads over their cells, about.
+PRINTS = 50_000
 _HASHES = 1 << 17
 
 
@@ -108,7 +110,9 @@ def words_within_one(fingerprint: Column) -> Column:
 def _meeting(prints: DataFrame, places: Column) -> tuple[DataFrame, DataFrame]:
     """(all, shared): the places of each print, and the places where two or
     more different ones meet, with the least of them."""
-    spread = prints.select("fp", F.explode(places).alias("place"))
+    # 65 rows per print: dealt out first, as a scan's task may hold millions of them
+    parts = max(1, -(-prints.count() // PRINTS))
+    spread = prints.repartition(parts, "fp").select("fp", F.explode(places).alias("place"))
     shared = (
         spread.groupBy("place")
         .agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
@@ -123,7 +127,8 @@ def link(prints: DataFrame) -> DataFrame:
     the least of its group, with the least one. Groups are the components under
     links of at most 2 differing bits."""
     spread, dense = _meeting(prints, cells_within_one(F.col("fp")))
-    close = store(spread.join(dense.select("place"), "place", "left_semi").select("fp").distinct())
+    # the cells that meet grow with the corpus: never sent whole to every task
+    close = store(spread.join(dense.select("place").hint("merge"), "place", "left_semi").select("fp").distinct())
     spread, shared = _meeting(close, words_within_one(F.col("fp")))
     stars = spread.join(shared, "place").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     return components(stars)

@@ -1,22 +1,31 @@
 """Intermediate tables of long jobs."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from citeline.session import settle
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs run here free their shuffle files as soon as they end."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The table outlives any executor. The shuffle files that made it are freed
     as soon as it is written, so a job of many steps holds those of one step.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
+    with freed_shuffles(df.sparkSession):
         return settle(df)
-    finally:
-        conf.set(_CLEANUP, before)

@@ -60,3 +60,20 @@ def test_the_production_window(spark):
 
 def test_empty_table(spark):
     assert got(spark, [], 6, 2) == []
+
+
+def test_words_that_simple_hashes_confuse(spark):
+    """Documents alike but for two words that sums of powers take for one."""
+    one, other = "a", "b"
+    while len(one) < 2048:
+        one, other = one + other, other + one
+    rest = [f"w{i}" for i in range(39)]
+    docs = [(1, " ".join([*rest[:20], one, *rest[20:]]), 0), (2, " ".join([*rest[:20], other, *rest[20:]]), 0)]
+    docs += [(3, f"{one} x y {other} z t", 0), (4, f"{other} x y {other} z t", 0)]
+    assert got(spark, docs, P.WINDOW, P.ANCHOR) == expected(docs, P.WINDOW)
+    assert got(spark, docs, 5, 2) == expected(docs, 5)
+
+
+def test_windows_that_no_mask_holds_are_refused(spark):
+    with pytest.raises(ValueError, match="63 windows"):
+        P.strip_repeats(table(spark, [], DOCS), window=100, anchor=10)
