@@ -1,13 +1,15 @@
 """Retrieval queries: vector, lexical, fused, merged, scoped."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import check
 from citeline import ports
 from citeline.config import Settings
 from citeline.functions import text as fx
-from citeline.operators import search
-from citeline.session import settle
+from citeline.operators import search, term_index
+from citeline.session import settle, shared_folder
 from citeline.sources.tables import (
     benchmark_questions,
     document_chunks,
@@ -221,6 +223,45 @@ def lexical_topk(spark, folder):
     )
 
 
+INDEXED_SQL = f"""WITH {CHUNK_SQL}
+SELECT question_id, chunk_id, rank, round(similarity, 6) AS score FROM ({rank_sql(
+  "(SELECT question_id, chunk_id, score AS similarity FROM lexical_scores)", NEAR, 20, 1)})"""
+
+
+def term_index_of(spark, folder):
+    path = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
+    return term_index.write_index(document_chunks(spark, folder).select("chunk_id", "content"), path)
+
+
+@check("indexed_topk", INDEXED_SQL)
+def indexed_topk(spark, folder):
+    """The ranking of ``lexical_topk``, from the term index."""
+    asked = benchmark_questions(spark, folder).select("question_id", "question")
+    found = term_index.ranked(term_index_of(spark, folder), asked)
+    return found.select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@check(
+    "bm25_topk",
+    f"""WITH {CHUNK_SQL},
+lengths AS (SELECT id AS chunk_id, len(regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}_]+')) AS n FROM docs),
+corpus AS (SELECT count(*)::DOUBLE AS n, avg(n) AS mean FROM lengths),
+dfs AS (SELECT tok, count(*)::DOUBLE AS df FROM postings GROUP BY tok),
+scores AS (
+  SELECT t.question_id, p.chunk_id,
+         sum(ln(1 + (c.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.n / c.mean))) AS similarity
+  FROM lexical_terms t JOIN postings p USING (tok) JOIN dfs USING (tok) JOIN lengths l USING (chunk_id), corpus c
+  GROUP BY 1, 2
+)
+SELECT question_id, chunk_id, rank, round(similarity, 6) AS score FROM ({rank_sql("scores", NEAR, 20, 1)})""",
+)
+def bm25_topk(spark, folder):
+    """BM25 from the term index."""
+    asked = benchmark_questions(spark, folder).select("question_id", "question")
+    found = term_index.ranked(term_index_of(spark, folder), asked, score=term_index.bm25)
+    return found.select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @check(
     "embed_texts",
     f"""WITH docs AS (SELECT doc_id AS id, text AS txt FROM documents), {hashed("d", "docs")}
