@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import check
 from citeline.operators import ann, search
-from citeline.session import shared_folder
+from citeline.session import settle, shared_folder
 from citeline.sources.tables import table
 
 #: Label cells, of ten, that hold nine tenths of the true neighbours: seven hold
@@ -31,11 +31,25 @@ exact AS (SELECT question_id, vec_id AS chunk_id, list_cosine_similarity(q, e) A
     "ann_topk",
     f"""WITH {CELLS_SQL}
 SELECT question_id, chunk_id, round(f.similarity, 6) AS similarity, x.chunk_id IS NOT NULL AS exact
-FROM found f LEFT JOIN exact x USING (question_id, chunk_id)""",
+FROM exact f LEFT JOIN exact x USING (question_id, chunk_id)""",
 )
 def ann_topk(spark, folder):
-    """Top 20 from the nearest four of the label cells, and which of them the
-    exact search finds too. Quick rather than whole: see ``ann_topk_wide``."""
+    """Top 20 from codes of one byte per number, three times as many looked up by
+    their vectors, and which of them the exact search finds too."""
+    chunks, asked = _chunks_and_questions(spark, folder)
+    codes = settle(ann.add_codes(chunks).select("chunk_id", "code", "code_scale"))
+    return _beside_exact(ann.coded_topk(codes, asked, chunks), chunks, asked)
+
+
+@check(
+    "ann_topk_cells",
+    f"""WITH {CELLS_SQL}
+SELECT question_id, chunk_id, round(f.similarity, 6) AS similarity, x.chunk_id IS NOT NULL AS exact
+FROM found f LEFT JOIN exact x USING (question_id, chunk_id)""",
+)
+def ann_topk_cells(spark, folder):
+    """The same from the nearest four of the label cells, which hold six tenths of
+    the true neighbours: quick rather than whole."""
     return _probed(spark, folder, 4)
 
 
@@ -55,17 +69,24 @@ def ann_topk_wide(spark, folder):
     return _probed(spark, folder, WIDE)
 
 
-def _probed(spark, folder, probes):
+def _chunks_and_questions(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    chunks = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
     asked = table(spark, folder, "benchmark").select("item_id").join(
         vectors, F.col("item_id") == F.col("vec_id")
     ).select(F.col("item_id").alias("question_id"), F.col("embedding").alias("vector"))
-    cells = ann.label_cells(chunks)
-    placed = ann.write_cells(chunks, cells, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}")
-    found = ann.ann_topk(placed, asked, cells, probes, 20)
+    return vectors.select(F.col("vec_id").alias("chunk_id"), "embedding", "label"), asked
+
+
+def _beside_exact(found, chunks, asked):
     exact = search.vector_topk(chunks, asked, 20).select("question_id", "chunk_id", F.lit(True).alias("exact"))
     return found.join(exact, ["question_id", "chunk_id"], "left").select(
         "question_id", "chunk_id", F.round("similarity", 6).alias("similarity"),
         F.coalesce("exact", F.lit(False)).alias("exact"),
     )
+
+
+def _probed(spark, folder, probes):
+    chunks, asked = _chunks_and_questions(spark, folder)
+    cells = ann.label_cells(chunks)
+    placed = ann.write_cells(chunks, cells, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}")
+    return _beside_exact(ann.ann_topk(placed, asked, cells, probes, 20), chunks, asked)

@@ -3,18 +3,23 @@
 Centroids are fitted by k-means on unit vectors. Each chunk belongs to its
 nearest centroid, so a partitioned table of cells lets a question read only
 the ``probes`` cells nearest to it; within those, scoring is exact.
+
+Vectors without clusters have their neighbours in most cells. For those there are
+codes: all are read, at a quarter of the bytes, and vectors only of a shortlist.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeline.operators.scoring import VECTOR, unit_rows
-from citeline.operators.search import rank_candidates
+from citeline.config import DEFAULTS
+from citeline.operators.scoring import DECIMALS, VECTOR, unit_rows
+from citeline.operators.search import rank_candidates, vector_topk
+from citeline.session import settle
 
 
 def fit_cells(chunks: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
@@ -97,3 +102,48 @@ def recall_against(approximate: DataFrame, exact: DataFrame) -> DataFrame:
         ["question_id", "chunk_id"], "left",
     )
     return found.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+#: Steps on either side of zero that a number of a code may take.
+CODE_STEPS = 127
+
+
+def add_codes(chunks: DataFrame, into: str = "code") -> DataFrame:
+    """Chunks with a code of one byte per number of the unit vector: a quarter of
+    the bytes, so a table of codes is read in place of the vectors. Each code is
+    scaled by the vector's largest number; a null or zero vector has no code."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    scaled = F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("__most") * CODE_STEPS).cast("tinyint"))
+    held = chunks.withColumns({"__norm": norm, "__most": most})
+    good = F.col("__norm") > 0
+    return held.withColumns(
+        {into: F.when(good, scaled), f"{into}_scale": F.when(good, F.col("__most") / F.col("__norm") / CODE_STEPS).cast("float")}
+    ).drop("__norm", "__most")
+
+
+def coded_topk(
+    coded: DataFrame, questions: DataFrame, vectors: DataFrame, k: int = 20, shortlist: int = 3, s=DEFAULTS
+) -> DataFrame:
+    """(question_id, chunk_id, similarity, rank): nearest chunks, found by their
+    codes and ranked by their vectors.
+
+    ``coded`` holds chunk_id, code and code_scale (``add_codes``), ``vectors``
+    chunk_id and embedding. Every code is scored in one pass; the best
+    ``shortlist`` * k of each question are looked up in ``vectors`` by id and scored
+    exactly, so full vectors are read for those alone. The similarity is exact;
+    a true neighbour is missed only if its code ranks beyond the shortlist.
+    """
+    approximate = F.transform("code", lambda x: x.cast("float") * F.col("code_scale"))
+    codes = coded.select("chunk_id", F.when(F.col("code").isNotNull(), approximate).alias("embedding"))
+    near = vector_topk(codes, questions, k * shortlist, s).select("question_id", "chunk_id")
+    asked = questions.select("question_id", "vector")
+    product = lambda a, b: F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda held, x: held + x
+    )
+    # few pairs per question against the table of vectors, by id
+    pairs = settle(near).join(vectors.select("chunk_id", "embedding"), "chunk_id").join(asked, "question_id")
+    similarity = product("embedding", "vector") / F.sqrt(product("embedding", "embedding")) / F.sqrt(product("vector", "vector"))
+    order = Window.partitionBy("question_id").orderBy(F.round("similarity", DECIMALS).desc(), "chunk_id")
+    ranked = pairs.select("question_id", "chunk_id", similarity.alias("similarity")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k)

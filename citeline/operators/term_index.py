@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeline.functions import text as fx
 from citeline.operators.scoring import DECIMALS
@@ -36,12 +37,13 @@ class TermIndex:
     """Where the blocks lie, and what scores need of the whole corpus."""
 
     path: str
+    schema: T.StructType
     terms: DataFrame
     chunks: int
     mean_length: float
 
     def blocks(self, spark) -> DataFrame:
-        return spark.read.parquet(self.path)
+        return spark.read.schema(self.schema).parquet(self.path)
 
 
 def _part(term: Column) -> Column:
@@ -60,7 +62,7 @@ def write_index(chunks: DataFrame, path: str, block: int = BLOCK) -> TermIndex:
     size = words.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("w")).first()
     # a block's number is a hash, dealt over as many as hold the postings of the level
     number = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("chunks") / block))
-    (
+    blocks = (
         postings.withColumn("level", level)
         .join(levels, ["term", "level"])
         .select("term", "level", number.alias("number"), F.struct("chunk_id", "tf", "length").alias("p"))
@@ -74,10 +76,9 @@ def write_index(chunks: DataFrame, path: str, block: int = BLOCK) -> TermIndex:
         .withColumn("part", _part(F.col("term")))
         .repartition("part")
         .sortWithinPartitions("part", "term")
-        .write.partitionBy("part")
-        .parquet(path)
     )
-    return TermIndex(path, terms, size["n"], (size["w"] or 0) / max(1, size["n"]))
+    blocks.write.partitionBy("part").parquet(path)
+    return TermIndex(path, blocks.schema, terms, size["n"], (size["w"] or 0) / max(1, size["n"]))
 
 
 def _mean_reciprocals(index: TermIndex) -> Callable[..., Column]:

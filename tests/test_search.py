@@ -185,14 +185,24 @@ def test_wide_search_finds_nine_tenths_on_the_given_tables(spark, sf):
         chunks, F.col("item_id") == F.col("chunk_id")
     ).selectExpr("item_id AS question_id", "embedding AS vector")
     exact = search.vector_topk(chunks, asked_rows, 20)
-    found = checks.QUERIES["ann_topk_wide"](spark, folder)
-    assert ann.recall_against(found, exact).first().recall >= 0.9
+    for name in ("ann_topk", "ann_topk_wide"):
+        found = checks.QUERIES[name](spark, folder)
+        assert ann.recall_against(found, exact).first().recall >= 0.9, name
     # finer cells need a smaller share of the table for as much
     cells = ann.fit_cells(chunks, 64)
     fine = ann.ann_topk(ann.assign_cells(chunks, cells), asked_rows, cells, 40, 20)
     assert ann.recall_against(fine, exact).first().recall >= 0.9
 
 
+def test_codes_of_zero_and_null_vectors_are_left_out(spark):
+    rows = [(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.1]), (4, [-1.0, 5.0]), (5, [2.0, 0.2])]
+    chunks = spark.createDataFrame(rows, "chunk_id int, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "question_id int, vector array<float>")
+    found = ann.coded_topk(ann.add_codes(chunks), asked, chunks, 2, 1).orderBy("rank").collect()
+    assert [(r.chunk_id, r["rank"]) for r in found] == [(3, 1), (5, 2)]
+    assert found[0].similarity == pytest.approx(1 / 1.01**0.5, abs=1e-6)
+
+
 def test_context(spark):
     hits = spark.createDataFrame(
         [(1, 2, "b", 7, 8, "two"), (1, 1, "a", 3, 3, "one")],
