@@ -38,3 +38,27 @@ def running_sums(values: Column) -> Column:
         )
 
     return F.when(size > 0, let(blocks, joined)).otherwise(none)
+
+
+def running_most(values: Column) -> Column:
+    """The largest of the elements up to and with each, in blocks as
+    ``running_sums``. ``values`` must be a column or a bound variable of ints."""
+    size = F.size(values)
+    none = F.array().cast("array<int>")
+
+    def more(held, v):
+        return F.concat(held, F.array(F.greatest(F.try_element_at(held, F.lit(-1)), v)))
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((size - 1) / _BLOCK).cast("int")),
+        lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), none, more),
+    )
+
+    def joined(blocks):
+        upto = F.aggregate(F.transform(blocks, lambda b: F.element_at(b, -1)), none, more)
+        raised = lambda upto: F.transform(
+            blocks, lambda b, i: let(F.get(upto, i - 1), lambda t: F.transform(b, lambda v: F.greatest(v, t)))
+        )
+        return F.flatten(let(upto, raised))
+
+    return F.when(size > 0, let(blocks, joined)).otherwise(none)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeline.llm.arrays import let, running_sums
+from citeline.llm.arrays import let, running_most, running_sums
 from citeline.llm.columns import fresh
 
 #: Score from which a span of a further kind is reported.
@@ -204,32 +204,25 @@ def _cut(pieces: Column, start: Column, end: Column) -> Column:
 
 
 def redacted(value: Column, pii: Column) -> Column:
-    """The text ``value`` with every span of ``pii`` replaced by its kind in
-    brackets. Where spans overlap, the first counts and the others go with it.
-    A null text stays null."""
-    none = F.array().cast("array<struct<from:int,upto:int,mark:string>>")
-
-    def step(held, s):
-        at = F.coalesce(F.try_element_at(held, F.lit(-1))["upto"], F.lit(0))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        one = F.struct(s["start"].alias("from"), s["end"].alias("upto"), mark.alias("mark"))
-        return F.when(s["start"] >= at, F.concat(held, F.array(one))).otherwise(held)
-
-    def marked(pieces):
-        def filled(chosen):
-            before = F.concat(F.array(F.lit(0)), F.transform(chosen, lambda c: c["upto"]))
-            parts = F.zip_with(
-                chosen,
-                F.slice(before, F.lit(1), F.size(chosen)),
-                lambda c, at: F.concat(_cut(pieces, at, c["from"]), c["mark"]),
-            )
-            tail = _cut(pieces, F.element_at(before, -1), F.length(value))
-            return F.concat(F.array_join(parts, ""), tail)
-
-        return let(F.aggregate(pii, none, step), filled)
+    """The text ``value`` with every span of ``pii`` (by start) replaced by its
+    kind in brackets. Spans that overlap go together: the kind of the first
+    stands for all that they cover. A null text stays null. The time is in
+    proportion to the text and the spans."""
+
+    def marked(pieces, most):
+        place = lambda s, i: F.struct(
+            s["start"].alias("from"),
+            F.coalesce(F.get(most, i - 1), F.lit(0)).alias("before"),
+            F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark"),
+        )
+        heads = F.filter(F.transform(pii, place), lambda h: h["from"] >= h["before"])
+        parts = F.transform(heads, lambda h: F.concat(_cut(pieces, h["before"], h["from"]), h["mark"]))
+        return F.concat(F.array_join(parts, ""), _cut(pieces, F.element_at(most, -1), F.length(value)))
 
     pieces = F.regexp_extract_all(value, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
-    return F.when(F.size(pii) > 0, let(pieces, marked)).otherwise(value)
+    ends = F.transform(pii, lambda s: s["end"].cast("int"))
+    most = let(ends, running_most)
+    return F.when(F.size(pii) > 0, let(pieces, lambda p: let(most, lambda m: marked(p, m)))).otherwise(value)
 
 
 def _listed(spans_: Column) -> Column:

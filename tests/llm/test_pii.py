@@ -99,6 +99,23 @@ def test_long_texts_take_time_in_proportion(spark, piece):
     assert took(200_000) < 30
 
 
+def test_overlapping_spans_go_together(spark):
+    spans = [("email", 1, 4), ("ip", 3, 9), ("card", 5, 6), ("phone", 9, 10), ("email", 12, 13)]
+    rows = [(1, "0123456789abcdef", [(k, a, b, 1.0) for k, a, b in spans]), (2, "x", []), (3, None, [])]
+    kind = "doc_id long, text string, pii array<struct<kind:string,start:int,end:int,score:double>>"
+    out = spark.createDataFrame(rows, kind).select("doc_id", pii.redacted(F.col("text"), F.col("pii")).alias("t")).collect()
+    assert {r.doc_id: r.t for r in out} == {1: "0[EMAIL][PHONE]ab[EMAIL]def", 2: "x", 3: None}
+
+
+def test_redaction_takes_time_in_proportion(spark):
+    """Two hundred thousand addresses in one text."""
+    rows = spark.range(1).select(F.expr("repeat('a@b.c ', 200000)").alias("text"))
+    started = time.perf_counter()
+    out = pii.find(rows).select(pii.redacted(F.col("text"), F.col("pii")).alias("t")).first().t
+    assert out == "[EMAIL] " * 200_000
+    assert time.perf_counter() - started < 30
+
+
 def test_empty_table(spark):
     assert got(spark, []) == {}
 
