@@ -8,6 +8,7 @@ from checks.threads import THREADS, threads_of
 from citeline.functions import guard
 from citeline.functions import text as fx
 from citeline.operators import analytics
+from citeline.session import settle
 from citeline.sources.tables import table
 from citeline.streaming.state import intents_by_window as intents_by_window_of
 
@@ -129,3 +130,35 @@ def monthly_usage(spark, folder):
     )
     used = analytics.monthly_usage(query_log(spark, folder), tenants)
     return used.withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
+@check(
+    "latency_rollup",
+    f"""WITH {LOG},
+timed AS (SELECT date_trunc('month', created_at)::TIMESTAMP AS period, intent, latency_ms FROM query_log WHERE latency_ms IS NOT NULL),
+cut AS (SELECT period, intent, n, unnest([0.5, 0.9, 0.99])::DOUBLE AS share, unnest(v) AS value FROM (
+  SELECT period, intent, count(*) AS n, quantile_disc(latency_ms, [0.5, 0.9, 0.99]) AS v FROM timed GROUP BY period, intent)),
+placed AS (
+  SELECT c.period, c.intent, c.share, c.n, count(*) FILTER (latency_ms < value) / c.n AS low, count(*) FILTER (latency_ms <= value) / c.n AS high
+  FROM cut c JOIN timed t ON t.period = c.period AND t.intent IS NOT DISTINCT FROM c.intent GROUP BY ALL)
+SELECT period, intent, share, n, low - 0.02 <= share AND high + 0.02 >= share AS within FROM placed""",
+)
+def latency_rollup(spark, folder):
+    """Monthly latency percentiles from hourly sketches, and whether the rank of
+    each is within the stated error."""
+    log = query_log(spark, folder).select("created_at", "intent", "latency_ms")
+    months = analytics.roll_up(analytics.roll_up(analytics.latency_sketches(log), "day"), "month")
+    found = settle(analytics.latency_percentiles(months))
+    timed = log.where("latency_ms IS NOT NULL").select(
+        F.date_trunc("month", "created_at").alias("period"), F.col("intent").alias("kind"), F.col("latency_ms").alias("took")
+    )
+    # a row of the log meets the few shares of its own month and intent
+    ranks = timed.join(found, (timed["period"] == found["period"]) & timed["kind"].eqNullSafe(found["intent"])).groupBy(
+        found["period"], "intent", "share", "n"
+    ).agg(
+        (F.count_if(F.col("took") < F.col("latency_ms")) / F.col("n")).alias("low"),
+        (F.count_if(F.col("took") <= F.col("latency_ms")) / F.col("n")).alias("high"),
+    )
+    error = analytics.RANK_ERROR
+    within = (F.col("low") - error <= F.col("share")) & (F.col("high") + error >= F.col("share"))
+    return ranks.select(F.col("period").cast("timestamp_ntz").alias("period"), "intent", "share", "n", within.alias("within"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import check
 from checks.catalogue import PRODUCTS, products_of
-from checks.retrieval import SCOPED_SQL, TO_ENGLISH, stored_chunks
+from checks.retrieval import CHUNK_SQL, SCOPED_SQL, TO_ENGLISH, stored_chunks
 from citeline import ports
 from citeline.functions import text as fx
 from citeline.operators import answer, evals
@@ -147,6 +147,23 @@ def source_texts(spark, folder):
     return evals.source_texts(wanted, document_chunks(spark, folder), product_links(spark, folder))
 
 
+@check("page_overlaps", f"""WITH {CHUNK_SQL},
+wanted AS (
+  SELECT question_id AS id, manual_id, question_id % 50 + 1 AS page_from, question_id % 50 + 1 + question_id % 11 AS page_to
+  FROM question JOIN link USING (product_id))
+SELECT id, w.manual_id, chunk_id, greatest(w.page_from, c.page_from) AS first, least(w.page_to, c.page_to) AS last
+FROM wanted w JOIN chunk c ON c.manual_id = w.manual_id AND c.page_from <= w.page_to AND w.page_from <= c.page_to""")
+def page_overlaps(spark, folder):
+    """Chunks that meet a range of pages of any manual about a question's product."""
+    number = F.col("question_id")
+    asked = benchmark_questions(spark, folder).join(product_links(spark, folder), "product_id")
+    wanted = asked.select(
+        number.alias("id"), "manual_id", (number % 50 + 1).alias("page_from"),
+        (number % 50 + 1 + number % 11).alias("page_to"),
+    )
+    return evals.page_overlaps(wanted, document_chunks(spark, folder))
+
+
 def graded_labels(spark, folder):
     """Labels as graded cases: quality is coverage, toxicity invention."""
     rows = table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id")

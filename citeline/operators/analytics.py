@@ -74,3 +74,40 @@ def monthly_usage(log: DataFrame, tenants: DataFrame) -> DataFrame:
     return used.join(
         tenants.select("tenant_id", "monthly_query_limit"), "tenant_id", "left"
     ).withColumn("over_limit", F.col("used") > F.col("monthly_query_limit"))
+
+
+#: Values a sketch keeps at its widest. The rank of what it gives for a share is
+#: within ``RANK_ERROR`` of that share, however many sketches were merged.
+SKETCH_K, RANK_ERROR = 400, 0.02
+
+
+def latency_sketches(log: DataFrame, unit: str = "hour") -> DataFrame:
+    """(period, intent, n, sketch): quantile sketches of the latencies of each
+    intent, of a size that does not grow with the log."""
+    return (
+        log.where("latency_ms IS NOT NULL")
+        .groupBy(F.date_trunc(unit, "created_at").alias("period"), "intent")
+        .agg(
+            F.count("*").alias("n"),
+            F.kll_sketch_agg_bigint(F.col("latency_ms").cast("bigint"), F.lit(SKETCH_K)).alias("sketch"),
+        )
+    )
+
+
+def roll_up(sketches: DataFrame, unit: str) -> DataFrame:
+    """Sketches of longer periods, from those of shorter ones alone."""
+    return sketches.groupBy(F.date_trunc(unit, "period").alias("period"), "intent").agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_K)).alias("sketch")
+    )
+
+
+def latency_percentiles(sketches: DataFrame, shares=(0.5, 0.9, 0.99)) -> DataFrame:
+    """(period, intent, n, share, latency_ms): one row per share."""
+    each = [
+        F.struct(
+            F.lit(float(x)).alias("share"),
+            F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(x))).alias("latency_ms"),
+        )
+        for x in shares
+    ]
+    return sketches.select("period", "intent", "n", F.inline(F.array(*each)))

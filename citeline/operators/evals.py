@@ -89,6 +89,39 @@ def source_texts(
     )
 
 
+#: Pages of a bin that ranges are dealt to.
+BIN = 8
+
+
+def page_overlaps(wanted: DataFrame, chunks: DataFrame, width: int = BIN) -> DataFrame:
+    """(id, manual_id, chunk_id, first, last): every chunk whose pages meet a
+    wanted range of its manual, and the pages they share.
+
+    wanted: id, manual_id, page_from, page_to; chunks: chunk_id, manual_id,
+    page_from, page_to. Ranges are cut into bins of ``width`` pages, so that the
+    join is one on manual and bin: a manual with a large share of all chunks is
+    many keys. A pair that meets in several bins counts in the first of them.
+    A range that is null or ends before it begins meets nothing; rows that are
+    repeated are met as often.
+    """
+
+    def binned(rows: DataFrame, prefix: str) -> DataFrame:
+        low, high = (F.floor((F.col(c) - 1) / width) for c in ("page_from", "page_to"))
+        kept = rows.where(F.col("page_from") <= F.col("page_to"))
+        return kept.withColumn("bin", F.explode(F.sequence(low, high))).withColumnsRenamed(
+            {"page_from": f"{prefix}_from", "page_to": f"{prefix}_to"}
+        )
+
+    asked = binned(wanted.select("id", "manual_id", "page_from", "page_to"), "asked")
+    held = binned(chunks.select("chunk_id", "manual_id", "page_from", "page_to"), "held")
+    first, last = F.greatest("asked_from", "held_from"), F.least("asked_to", "held_to")
+    return (
+        held.join(asked, ["manual_id", "bin"])
+        .where((first <= last) & (F.col("bin") == F.floor((first - 1) / width)))
+        .select("id", "manual_id", "chunk_id", first.alias("first"), last.alias("last"))
+    )
+
+
 def grade(results: DataFrame, judge) -> DataFrame:
     """Add the judge's verdict: covers, invents, judge_reason, correct.
 
