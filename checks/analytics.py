@@ -140,7 +140,8 @@ cut AS (SELECT period, intent, n, unnest([0.5, 0.9, 0.99])::DOUBLE AS share, unn
   SELECT period, intent, count(*) AS n, quantile_disc(latency_ms, [0.5, 0.9, 0.99]) AS v FROM timed GROUP BY period, intent)),
 placed AS (
   SELECT c.period, c.intent, c.share, c.n, count(*) FILTER (latency_ms < value) / c.n AS low, count(*) FILTER (latency_ms <= value) / c.n AS high
-  FROM cut c JOIN timed t ON t.period = c.period AND t.intent IS NOT DISTINCT FROM c.intent GROUP BY ALL)
+  FROM cut c JOIN timed t ON t.period = c.period AND t.intent IS NOT DISTINCT FROM c.intent
+  GROUP BY c.period, c.intent, c.share, c.n, c.value)
 SELECT period, intent, share, n, low - 0.02 <= share AND high + 0.02 >= share AS within FROM placed""",
 )
 def latency_rollup(spark, folder):
