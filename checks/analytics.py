@@ -163,3 +163,37 @@ def latency_rollup(spark, folder):
     error = analytics.RANK_ERROR
     within = (F.col("low") - error <= F.col("share")) & (F.col("high") + error >= F.col("share"))
     return ranks.select(F.col("period").cast("timestamp_ntz").alias("period"), "intent", "share", "n", within.alias("within"))
+
+
+@check(
+    "most_asked_daily",
+    f"""WITH {LOG}, counted AS (
+  SELECT date_trunc('day', created_at) AS day, normalized_question, count(*) AS asked FROM query_log GROUP BY ALL)
+SELECT strftime(day, '%Y-%m-%d') AS day, normalized_question, asked,
+  CAST(row_number() OVER (PARTITION BY day ORDER BY asked DESC, normalized_question) AS INTEGER) AS place
+FROM counted QUALIFY place <= 20""",
+)
+def most_asked_daily(spark, folder):
+    """The most frequent questions of every day: candidates from a summary of the
+    day, counted anew in the log."""
+    log = query_log(spark, folder).select("created_at", "normalized_question")
+    found = analytics.most_asked_by_window(log, analytics.question_summaries(log))
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "normalized_question", "asked", "place")
+
+
+@check(
+    "unanswered_monthly",
+    f"""WITH {LOG}, counted AS (
+  SELECT date_diff('day', TIMESTAMP '1970-01-01', created_at) // 30 AS period, normalized_question, count(*) AS asked
+  FROM query_log WHERE NOT resolved GROUP BY ALL)
+SELECT strftime(TIMESTAMP '1970-01-01' + to_days(CAST(period * 30 AS INTEGER)), '%Y-%m-%d') AS day, normalized_question, asked,
+  CAST(row_number() OVER (PARTITION BY period ORDER BY asked DESC, normalized_question) AS INTEGER) AS place
+FROM counted QUALIFY place <= 20""",
+)
+def unanswered_monthly(spark, folder):
+    """What most often found no answer in every 30 days, from the summaries of
+    single days merged."""
+    log = query_log(spark, folder).where("NOT resolved").select("created_at", "normalized_question")
+    months = analytics.merge_summaries(analytics.question_summaries(log), "30 days")
+    found = analytics.most_asked_by_window(log, months, "30 days")
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "normalized_question", "asked", "place")

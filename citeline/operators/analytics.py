@@ -5,9 +5,11 @@ feedback, latency_ms, token_cost_usd, created_at. Everything is an aggregate
 that combines before the shuffle.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeline.session import settle
+
 
 def most_asked(log: DataFrame, n: int = 20) -> DataFrame:
     """The n most frequent questions."""
@@ -111,3 +113,77 @@ def latency_percentiles(sketches: DataFrame, shares=(0.5, 0.9, 0.99)) -> DataFra
         for x in shares
     ]
     return sketches.select("period", "intent", "n", F.inline(F.array(*each)))
+
+
+#: Questions that a summary of one window keeps at most.
+TRACKED = 10_000
+
+
+def frequent_share(tracked: int) -> float:
+    """No question with a larger share of a window's rows can be absent from its
+    summary. The summary counts in a table of a power of two that is filled to three
+    quarters; what it loses of a count is at most 3.5 parts of that table's size,
+    and it lists what surely exceeds this loss: twice the loss is always listed."""
+    size = 1 << (-(-tracked * 4 // 3) - 1).bit_length()
+    return 2 * 3.5 / size
+
+
+def question_summaries(log: DataFrame, window: str = "1 day", tracked: int = TRACKED) -> DataFrame:
+    """(start, end, n, summary): the frequent questions of each window, in a summary
+    whose size does not grow with the log. Works on streams too."""
+    return (
+        log.groupBy(F.window("created_at", window))
+        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate(normalized_question, {tracked})").alias("summary"))
+        .select("window.start", "window.end", "n", "summary")
+    )
+
+
+def merge_summaries(summaries: DataFrame, window: str, tracked: int = TRACKED) -> DataFrame:
+    """Summaries of longer windows, from those of shorter ones alone."""
+    return (
+        summaries.groupBy(F.window("start", window))
+        .agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
+        .select("window.start", "window.end", "n", "summary")
+    )
+
+
+def most_asked_by_window(
+    log: DataFrame, summaries: DataFrame, window: str = "1 day", n: int = 20, tracked: int = TRACKED
+) -> DataFrame:
+    """(start, end, normalized_question, asked, place): exactly the n most frequent
+    questions of each window that has a summary; ties go to the smaller text, a null
+    question is one like any other and comes last among equals.
+
+    The questions a summary lists are counted anew in the log, so only their rows
+    are grouped. An unlisted question has at most ``frequent_share`` of the rows the
+    summary saw, and the rows it did not see (too late for a stream). Where the n-th
+    count does not exceed that, or fewer than n are listed, all questions of the
+    window are counted.
+    """
+    known = settle(summaries)
+    spans = known.select("start", "end", "n")
+    listed = settle(
+        known.select("start", F.inline(F.expr(f"approx_top_k_estimate(summary, {tracked})"))).select(
+            F.col("start").alias("__start"), F.col("item").alias("__item")
+        )
+    )
+    ends = spans.agg(F.min("start").alias("first"), F.max("end").alias("last")).first()
+    at, question = F.col("created_at"), F.col("normalized_question")
+    recent = log.where((at >= F.lit(ends["first"])) & (at < F.lit(ends["last"])))
+    rows = recent.select(F.window(at, window)["start"].alias("start"), question).join(spans.select("start", "end"), "start")
+    asked = rows.join(listed, (F.col("start") == F.col("__start")) & question.eqNullSafe(F.col("__item")), "left_semi")
+    counted = settle(_top(asked, n))
+    least = counted.where(F.col("place") == n).select("start", F.col("asked").alias("least"))
+    totals = rows.groupBy("start").agg(F.count("*").alias("total"))
+    unlisted = F.col("n") * frequent_share(tracked) + F.greatest(F.col("total") - F.col("n"), F.lit(0))
+    proven = settle(
+        spans.join(least, "start").join(totals, "start").where(F.col("least") > unlisted).select("start")
+    )
+    rest = _top(rows.join(proven, "start", "left_anti"), n)
+    return counted.join(proven, "start", "left_semi").unionByName(rest)
+
+
+def _top(rows: DataFrame, n: int) -> DataFrame:
+    order = Window.partitionBy("start").orderBy(F.col("asked").desc(), F.col("normalized_question").asc_nulls_last())
+    counted = rows.groupBy("start", "end", "normalized_question").agg(F.count("*").alias("asked"))
+    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

@@ -31,6 +31,7 @@ NOTES = (
     "conversation_id long, summarised_through long, "
     "summary struct<goal:string,tried:array<string>,outcome:string,facts:array<string>>"
 )
+ASKED = "start timestamp, end timestamp, normalized_question string, asked long, place int"
 
 
 PROGRESS = ("status", "duration_ms", "detail", "error")
@@ -218,3 +219,22 @@ def intents_by_window(log: DataFrame, window: str = "1 hour") -> DataFrame:
         .select("window.start", "window.end", "intent", "questions", "resolution_rate",
                 "mean_latency_ms", "max_latency_ms", "mean_feedback", "cost_usd")
     )
+
+
+def live_questions(log: DataFrame, window: str = "1 day", late: str = "10 minutes", tracked=analytics.TRACKED) -> DataFrame:
+    """Summaries of the questions of each window, final once the watermark passes
+    it. The state of a window is one summary, however many questions it has."""
+    return analytics.question_summaries(log.withWatermark("created_at", late), window, tracked)
+
+
+def most_asked_stream(
+    summaries: DataFrame, log, kept: BatchLog, window: str = "1 day", n: int = 20, tracked=analytics.TRACKED
+) -> DataStreamWriter:
+    """Write the n most frequent questions of every finished window, counted in the
+    log that ``log()`` reads: of it, only the finished windows and the questions
+    that their summaries list."""
+
+    def recount(batch: DataFrame, number: int) -> None:
+        kept.write(analytics.most_asked_by_window(log(), batch, window, n, tracked), number)
+
+    return summaries.writeStream.foreachBatch(recount)
