@@ -315,6 +315,28 @@ def detect_language(spark, folder):
     return language.detect(docs, model).select("doc_id", "lang", "language")
 
 
+@check(
+    "detect_by_weights",
+    """WITH heads AS (SELECT doc_id, lang, text, unnest(range(1, least(length(text), 1500) - 1)) AS pos FROM documents),
+spread AS (SELECT doc_id, lang, substr(text, pos, 3) AS gram FROM heads),
+n AS (SELECT gram, lang, count(*) AS n FROM spread WHERE lang IS NOT NULL GROUP BY ALL),
+size AS (SELECT lang, count(*) AS docs, (SELECT coalesce(sum(n), 0) FROM n WHERE n.lang = d.lang) + (SELECT count(DISTINCT gram) FROM n) + 1 AS mass
+  FROM documents d WHERE lang IS NOT NULL GROUP BY lang),
+known AS (SELECT lang, mass, round(ln(docs / sum(docs) OVER ()) * 1000000)::BIGINT AS prior, round(ln(1 / mass) * 1000000)::BIGINT AS unseen FROM size),
+weight AS (SELECT gram, lang, round(ln((n + 1) / mass) * 1000000)::BIGINT - unseen AS gain FROM n JOIN known USING (lang)),
+gains AS (SELECT s.doc_id, w.lang, sum(gain) AS gain FROM spread s JOIN weight w USING (gram) GROUP BY ALL),
+total AS (SELECT d.doc_id, d.lang, k.lang AS language, prior + coalesce(greatest(least(length(d.text), 1500) - 2, 0), 0) * unseen + coalesce(gain, 0) AS score
+  FROM documents d CROSS JOIN known k LEFT JOIN gains g ON g.doc_id = d.doc_id AND g.lang = k.lang)
+SELECT doc_id, lang, language FROM total QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) = 1""",
+)
+def detect_by_weights(spark, folder):
+    """The language of every document by trigram weights learned from all of them."""
+    docs = spread(spark, folder, "documents").select("doc_id", "text", "lang")
+    languages, weights = language.fit_weights(docs, "text", "lang")
+    found = language.detect_by_weights(docs, "doc_id", languages, weights)
+    return docs.select("doc_id", "lang").join(found, "doc_id")
+
+
 HTML = """
 bare AS (SELECT page_id, html, regexp_replace(html, '(?is)<(script)\\b.*?</script>|<(style)\\b.*?</style>', ' ', 'g') AS t
   FROM pages),

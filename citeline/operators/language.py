@@ -1,12 +1,14 @@
-"""Language detection: character trigrams and naive Bayes from MLlib."""
+"""Language detection: character trigrams and naive Bayes, from MLlib or as a table
+of weights that is fitted and applied by joins and aggregates."""
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.config import DEFAULTS
+from citeline.session import settle
 
 FEATURES = 1 << 14
 
@@ -41,3 +43,72 @@ def detect(
     plenty and keep long pages cheap."""
     head = df.withColumn("__text", F.left(F.col(text), F.lit(s.detection_chars)))
     return model.transform(head).select(*df.columns, "language")
+
+
+#: Weights are whole millionths of a natural logarithm, so that a sum does not
+#: depend on its order.
+WEIGHT_STEPS = 1_000_000
+
+
+def _log(share: Column) -> Column:
+    return F.round(F.log(share) * WEIGHT_STEPS).cast("long")
+
+
+def trigrams(df: DataFrame, keep: list[str], text: str = "text", s=DEFAULTS) -> DataFrame:
+    """``keep`` and ``gram``: one row per three characters in a row of the first
+    characters of the text; a shorter text has none."""
+    chars = F.split(F.left(F.col(text), F.lit(s.detection_chars)), "")
+    grams = F.when(
+        F.size("__c") >= 3,
+        F.transform(F.sequence(F.lit(0), F.size("__c") - 3), lambda i: F.array_join(F.slice("__c", i + 1, 3), "")),
+    )
+    return df.select(*keep, chars.alias("__c")).select(*keep, F.explode(grams).alias("gram"))
+
+
+def fit_weights(texts: DataFrame, text: str = "text", language: str = "language", s=DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(languages, weights) of texts of known language; rows without one are left out.
+
+    languages: language, prior, unseen (the weight of a trigram that the language
+    never showed), one row each. weights: gram, language, gain (what a trigram that
+    it did show weighs above that). Counts combine before the shuffle, so both grow
+    with the trigrams that exist, not with the texts.
+    """
+    known = texts.where(F.col(language).isNotNull()).select(F.col(language).alias("language"), F.col(text).alias("text"))
+    counts = settle(trigrams(known, ["language"], s=s).groupBy("gram", "language").agg(F.count("*").alias("n")))
+    vocabulary = counts.agg(F.count_distinct("gram").alias("v")).first()["v"]
+    shown = counts.groupBy("language").agg(F.sum("n").alias("shown"))
+    docs = known.groupBy("language").agg(F.count("*").alias("docs"))
+    mass = F.coalesce("shown", F.lit(0)) + F.lit(vocabulary + 1)
+    # one row per language, so the window over all of them is small
+    share = F.col("docs") / F.sum("docs").over(Window.partitionBy())
+    sizes = docs.join(shown, "language", "left").withColumn("mass", mass)
+    languages = settle(sizes.select("language", "mass", _log(share).alias("prior"), _log(1 / F.col("mass")).alias("unseen")))
+    gain = _log((F.col("n") + 1) / F.col("mass")) - F.col("unseen")
+    weights = settle(counts.join(languages, "language").select("gram", "language", gain.alias("gain")))
+    return languages.drop("mass"), weights
+
+
+def detect_by_weights(
+    df: DataFrame, key: str, languages: DataFrame, weights: DataFrame, text: str = "text", s=DEFAULTS
+) -> DataFrame:
+    """(key, language): the likeliest language of each text; among equals the first
+    by name. A text without trigrams, null included, gets the most frequent language.
+
+    ``key`` must be unique. Trigrams are counted per text first, so a text sends
+    each of its trigrams once; weights are joined by trigram. The languages, one
+    row each, are collected; where none is known, no text has one.
+    """
+    known = [
+        F.struct(F.lit(r["language"]).alias("language"), F.lit(r["prior"]).alias("prior"), F.lit(r["unseen"]).alias("unseen"))
+        for r in languages.collect()
+    ]
+    if not known:
+        return df.select(key, F.lit(None).cast("string").alias("language"))
+    counts = settle(trigrams(df, [key], text, s).groupBy(key, "gram").agg(F.count("*").alias("n")))
+    gains = counts.join(weights, "gram").groupBy(key, "language").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    sizes = counts.groupBy(key).agg(F.sum("n").alias("n"))
+    start = df.select(key).join(sizes, key, "left").select(key, "n", F.inline(F.array(*known)))
+    held = start.join(gains, [key, "language"], "left")
+    total = F.col("prior") + F.coalesce("n", F.lit(0)) * F.col("unseen") + F.coalesce("gain", F.lit(0))
+    best = F.min(F.struct((-total).alias("cost"), "language"))
+    return held.groupBy(key).agg(best.alias("best")).select(key, "best.language")
