@@ -1,12 +1,10 @@
 """Approximate neighbours: what is found beside the exact search."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from checks import check
 from citeline.operators import ann, search
-from citeline.session import settle, shared_folder
+from citeline.session import settle, shared_path
 from citeline.sources.tables import table
 
 #: Label cells, of ten, that hold nine tenths of the true neighbours: seven hold
@@ -88,5 +86,5 @@ def _beside_exact(found, chunks, asked):
 def _probed(spark, folder, probes):
     chunks, asked = _chunks_and_questions(spark, folder)
     cells = ann.label_cells(chunks)
-    placed = ann.write_cells(chunks, cells, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}")
+    placed = ann.write_cells(chunks, cells, shared_path(spark, "cells"))
     return _beside_exact(ann.ann_topk(placed, asked, cells, probes, 20), chunks, asked)

@@ -1,6 +1,5 @@
 """Evaluation: cases, sources, graded results, summaries, comparisons."""
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from citeline import ports
 from citeline.functions import text as fx
 from citeline.operators import answer, evals
 from citeline.plans import evaluate
-from citeline.session import settle, shared_folder
+from citeline.session import settle, shared_path
 from citeline.sources.evaluation import compare_with_last, read_summaries, write_report
 from citeline.sources.tables import (
     benchmark_questions,
@@ -251,7 +250,7 @@ SELECT metric, value, before, round(value - before, 9) AS change FROM a LEFT JOI
 def report_delta(spark, folder):
     """The same over reports that were written, one of them twice, and read."""
     graded = graded_labels(spark, folder)
-    kept = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    kept = shared_path(spark, "reports")
     now = evals.summarise(graded)
     old = evals.summarise(graded.withColumn("correct", F.col("covers")))
     for at, summary in (("2024-01-01T00:00", now), ("2024-01-02T00:00", old), ("2024-01-02T00:00", old)):

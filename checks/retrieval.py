@@ -1,6 +1,5 @@
 """Retrieval queries: vector, lexical, fused, merged, scoped."""
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,7 +8,7 @@ from citeline import ports
 from citeline.config import Settings
 from citeline.functions import text as fx
 from citeline.operators import search, term_index
-from citeline.session import settle, shared_folder
+from citeline.session import settle, shared_path
 from citeline.sources.tables import (
     benchmark_questions,
     document_chunks,
@@ -229,7 +228,7 @@ SELECT question_id, chunk_id, rank, round(similarity, 6) AS score FROM ({rank_sq
 
 
 def term_index_of(spark, folder):
-    path = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
+    path = shared_path(spark, "terms")
     return term_index.write_index(document_chunks(spark, folder).select("chunk_id", "content"), path)
 
 

@@ -14,7 +14,7 @@ import time
 import duckdb
 
 import checks
-from citeline.session import local_session
+from citeline.session import local_session, scratch
 
 DATA = "/root/testdata"
 
@@ -42,8 +42,9 @@ def rows_of(names, rows):
 
 def compare(spark, name, folder):
     started = time.time()
-    df = checks.QUERIES[name](spark, folder)
-    mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    with scratch(spark):
+        df = checks.QUERIES[name](spark, folder)
+        mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - started
     if name not in checks.SQL:
         return f"rows only   {len(mine):>7} rows {took:6.1f}s"

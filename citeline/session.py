@@ -3,7 +3,10 @@
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +46,39 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+_scopes = threading.local()
+
+
+def shared_path(spark: SparkSession, kind: str = "citeline") -> str:
+    """A new path in the shared folder, which the innermost ``scratch`` removes."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    for paths in getattr(_scopes, "open", [])[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made within are removed at its end, also after a failure.
+
+    What reads them must have been written or collected by then: a DataFrame that
+    leaves the scope unread finds its tables gone. Scopes nest, each removes its own
+    tables; each thread has its own, as micro-batches run in threads of their own.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back. It stays until
+    the ``scratch`` around it ends, or for good where there is none.
 
     Used where one result feeds several branches and is dear to compute twice
     (model calls, long shuffles). The table outlives any executor, cuts the
@@ -55,7 +89,7 @@ def settle(df: DataFrame) -> DataFrame:
     when it is not, both sides are shuffled for this join alone, which is what
     lets the adaptive planner split a key that holds a large share of the rows.
     """
-    path = f"{shared_folder(df.sparkSession)}/citeline-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

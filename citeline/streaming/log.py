@@ -69,16 +69,24 @@ class KeyedState:
         )
 
     def read(self, before: int | None = None) -> DataFrame:
-        """The state before a batch, or the latest."""
+        """The state before a batch, or the latest.
+
+        A batch may be run again, so the state may be its own; one of a later batch
+        belongs to another run of the stream, whose numbers this one does not follow.
+        """
         try:
             rows = self.spark.read.schema(self.schema).parquet(self.path)
         except AnalysisException as error:
             if not missing_path(error):
                 raise
             return self.spark.createDataFrame([], self.schema).select(*self.names)
-        if before is None:
-            last = rows.agg(F.max("batch").alias("n")).first()["n"]
-        else:
-            last = before - 1
+        earlier = F.lit(True) if before is None else F.col("batch") < before
+        found = rows.agg(F.max("batch").alias("newest"), F.max(F.when(earlier, F.col("batch"))).alias("last")).first()
+        if before is not None and found["newest"] is not None and found["newest"] > before:
+            raise ValueError(
+                f"{self.path} holds the state after batch {found['newest']}, but the stream is at batch {before}: "
+                "go on from the checkpoint of that state, or give the stream a path of its own"
+            )
+        last = found["last"]
         at = F.col("slot") == (last or 0) % 2
         return rows.where(at & (F.col("batch") == last)).select(*self.names)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from citeline.config import DEFAULTS
 from citeline.operators import analytics, catalog, conversation
-from citeline.session import settle
+from citeline.session import scratch, settle
 from citeline.streaming.log import BatchLog, KeyedState
 
 CLAIM = (
@@ -74,18 +74,19 @@ def claim_stream(
     held = KeyedState(log.spark, f"{log.path}-held", "manual_id long, won boolean, claimed_at timestamp")
 
     def grant(batch: DataFrame, number: int) -> None:
-        at = F.current_timestamp() if now is None else now
-        before = held.read(before=number)
-        outcomes = settle(
-            catalog.claim(claimed_state(manuals, before), batch, at, s).withColumn(
-                "claimed_at", F.when(F.col("won"), at)
+        with scratch(log.spark):
+            at = F.current_timestamp() if now is None else now
+            before = held.read(before=number)
+            outcomes = settle(
+                catalog.claim(claimed_state(manuals, before), batch, at, s).withColumn(
+                    "claimed_at", F.when(F.col("won"), at)
+                )
+            )
+            log.write(outcomes, number)
+            won = before.unionByName(outcomes.where("won").select(*before.columns))
+            held.write(
+                won.groupBy("manual_id").agg(F.lit(True).alias("won"), F.max("claimed_at").alias("claimed_at")), number
             )
-        )
-        log.write(outcomes, number)
-        won = before.unionByName(outcomes.where("won").select(*before.columns))
-        held.write(
-            won.groupBy("manual_id").agg(F.lit(True).alias("won"), F.max("claimed_at").alias("claimed_at")), number
-        )
 
     return requests.writeStream.foreachBatch(grant)
 
@@ -138,24 +139,25 @@ def turn_stream(
     held = thread_state(messages)
 
     def append(batch: DataFrame, number: int) -> None:
-        before = settle(held.read(before=number))
-        known = conversations.join(
-            before.select("conversation_id", F.col("title").alias("__title")), "conversation_id", "left"
-        ).withColumn("title", F.coalesce("title", "__title")).drop("__title")
-        last = before.select("conversation_id", "ordinal", F.lit("last").alias("role"))
-        none = messages.spark.createDataFrame([], messages.schema).drop("batch")
-        last = none.unionByName(last, allowMissingColumns=True)
-        titled, after = conversation.append_turns(known, last, batch, s)
-        added = settle(after.where(F.col("role") != "last"))
-        messages.write(added, number)
-        ends = (
-            added.select("conversation_id", "ordinal")
-            .unionByName(before.select("conversation_id", "ordinal"))
-            .groupBy("conversation_id")
-            .agg(F.max("ordinal").alias("ordinal"))
-        )
-        titles = titled.select("conversation_id", "title")
-        held.write(ends.join(titles, "conversation_id", "left"), number)
+        with scratch(messages.spark):
+            before = settle(held.read(before=number))
+            known = conversations.join(
+                before.select("conversation_id", F.col("title").alias("__title")), "conversation_id", "left"
+            ).withColumn("title", F.coalesce("title", "__title")).drop("__title")
+            last = before.select("conversation_id", "ordinal", F.lit("last").alias("role"))
+            none = messages.spark.createDataFrame([], messages.schema).drop("batch")
+            last = none.unionByName(last, allowMissingColumns=True)
+            titled, after = conversation.append_turns(known, last, batch, s)
+            added = settle(after.where(F.col("role") != "last"))
+            messages.write(added, number)
+            ends = (
+                added.select("conversation_id", "ordinal")
+                .unionByName(before.select("conversation_id", "ordinal"))
+                .groupBy("conversation_id")
+                .agg(F.max("ordinal").alias("ordinal"))
+            )
+            titles = titled.select("conversation_id", "title")
+            held.write(ends.join(titles, "conversation_id", "left"), number)
 
     return turns.writeStream.foreachBatch(append)
 
@@ -180,20 +182,21 @@ def fold_notes(
     summarise, batch: int, s=DEFAULTS,
 ) -> None:
     """Take what outgrew the window of a thread into its notes. Call it after each batch of turns; a replay repeats it."""
-    before = notes.read(before=batch)
-    latest = before.groupBy("conversation_id").agg(
-        F.max_by(F.struct("summarised_through", "summary"), "batch").alias("n")
-    )
-    state = conversations.select("conversation_id").join(latest, "conversation_id", "left").select(
-        "conversation_id",
-        F.coalesce("n.summarised_through", F.lit(0).cast("long")).alias("summarised_through"),
-        F.col("n.summary").alias("summary"),
-    )
-    state = settle(state)
-    after = conversation.fold_summaries(state, messages.read().drop("batch"), summarise, s)
-    old = state.select("conversation_id", F.col("summarised_through").alias("__old"))
-    moved = after.join(old, "conversation_id").where(F.col("summarised_through") > F.col("__old"))
-    notes.write(moved, batch)
+    with scratch(spark):
+        before = notes.read(before=batch)
+        latest = before.groupBy("conversation_id").agg(
+            F.max_by(F.struct("summarised_through", "summary"), "batch").alias("n")
+        )
+        state = conversations.select("conversation_id").join(latest, "conversation_id", "left").select(
+            "conversation_id",
+            F.coalesce("n.summarised_through", F.lit(0).cast("long")).alias("summarised_through"),
+            F.col("n.summary").alias("summary"),
+        )
+        state = settle(state)
+        after = conversation.fold_summaries(state, messages.read().drop("batch"), summarise, s)
+        old = state.select("conversation_id", F.col("summarised_through").alias("__old"))
+        moved = after.join(old, "conversation_id").where(F.col("summarised_through") > F.col("__old"))
+        notes.write(moved, batch)
 
 
 # --- analytics --------------------------------------------------------------
@@ -235,6 +238,7 @@ def most_asked_stream(
     that their summaries list."""
 
     def recount(batch: DataFrame, number: int) -> None:
-        kept.write(analytics.most_asked_by_window(log(), batch, window, n, tracked), number)
+        with scratch(kept.spark):
+            kept.write(analytics.most_asked_by_window(log(), batch, window, n, tracked), number)
 
     return summaries.writeStream.foreachBatch(recount)
