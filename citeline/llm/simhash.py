@@ -110,8 +110,10 @@ def words_within_one(fingerprint: Column) -> Column:
 def _meeting(prints: DataFrame, places: Column) -> tuple[DataFrame, DataFrame]:
     """(all, shared): the places of each print, and the places where two or
     more different ones meet, with the least of them."""
-    # 65 rows per print: dealt out first, as a scan's task may hold millions of them
-    parts = max(1, -(-prints.count() // PRINTS))
+    # 65 rows per print: dealt out first, as a scan's task may hold millions of them,
+    # and to all cores at any size; a single part would make the next steps one task's
+    cores = prints.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-prints.count() // PRINTS))
     spread = prints.repartition(parts, "fp").select("fp", F.explode(places).alias("place"))
     shared = (
         spread.groupBy("place")
