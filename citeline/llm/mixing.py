@@ -10,6 +10,8 @@ inversion short. The repeated rows are then dealt out in the order of another
 hash, which mixes all sources everywhere.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ EPOCHS = 1.0
 #: Largest mean that is inverted in one go, and the values tried; the chance of
 #: a larger one is below 1e-18.
 STEP_MEAN, STEP_VALUES = 4.0, 40
+#: Copies of a row that are listed at once, and rows out per partition on average.
+COPY_BLOCK, PART_ROWS = 1024, 100_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -53,10 +57,12 @@ def poisson(mean: Column, u: Column) -> Column:
 def copies(mean: Column, seed: int, row_id: Column) -> Column:
     """Poisson number of copies of a row, as a sum of draws of small mean."""
     draws = F.greatest(F.lit(1), F.ceil(mean / STEP_MEAN).cast("int"))
-    each = F.transform(
-        F.sequence(F.lit(1), draws), lambda j: poisson(mean / draws, uniform(seed, row_id, j))
+    total = F.aggregate(
+        F.sequence(F.lit(1), draws),
+        F.lit(0),
+        lambda n, j: n + poisson(mean / draws, uniform(seed, row_id, j)),
     )
-    return F.when(mean > 0, F.aggregate(each, F.lit(0), lambda n, k: n + k)).otherwise(0)
+    return F.when(mean > 0, total).otherwise(0)
 
 
 def means(
@@ -66,7 +72,7 @@ def means(
     epochs: float = EPOCHS,
     flatten: float = FLATTEN,
 ) -> DataFrame:
-    """(source, mean): how often a row of each source is repeated on average.
+    """(source, n, mean): rows of each source and how often one is repeated on average.
 
     ``weights`` (source, weight) names the target shares, up to a factor; a
     source that it does not list has weight 0, a negative or null weight is 0.
@@ -88,7 +94,7 @@ def means(
     )
     mean = F.lit(float(epochs)) * F.col("rows") * F.col("w") / F.nullif("weight", F.lit(0.0)) / F.col("n")
     one = target.join(F.broadcast(sums))  # a single row of sums
-    return one.select("source", F.coalesce(mean, F.lit(0.0)).alias("mean"))
+    return one.select("source", "n", F.coalesce(mean, F.lit(0.0)).alias("mean"))
 
 
 def mix(
@@ -101,6 +107,7 @@ def mix(
     seed: int = SEED,
     copy: str = "copy",
     order: str = "order_key",
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """``docs``, each row repeated by its draw, in a global random order.
 
@@ -114,17 +121,22 @@ def mix(
     rate, number = fresh(rest, "__mean"), fresh(rest, "__of")
     # a table, so that Spark knows its size: few sources are broadcast, and with
     # many the join can split a source that holds a large share of the rows
-    rates = store(
-        means(rest, source, weights, epochs, flatten).select(
-            F.col("source").alias(number), F.col("mean").alias(rate)
-        )
-    )
+    rates = store(means(rest, source, weights, epochs, flatten))
+    expected = rates.agg(F.sum(F.col("n") * F.col("mean")).alias("rows")).first()["rows"] or 0.0
+    named = rates.select(F.col("source").alias(number), F.col("mean").alias(rate))
     row_id = F.col(doc_id)
-    drawn = rest.join(rates, F.col(source).eqNullSafe(F.col(number)), "left")
+    drawn = rest.join(named, F.col(source).eqNullSafe(F.col(number)), "left")
     times = copies(F.coalesce(F.col(rate), F.lit(0.0)), seed, row_id)
-    repeated = drawn.withColumn(
-        copy, F.explode(F.slice(F.sequence(F.lit(0), times), F.lit(1), times))
-    ).drop(rate, number)
+    count, block = fresh(drawn, "__times"), fresh(drawn, "__block")
+    first = F.col(block) * COPY_BLOCK
+    size = F.least(F.lit(COPY_BLOCK), F.col(count) - first)
+    repeated = (
+        drawn.withColumn(count, times)
+        .where(F.col(count) > 0)
+        .withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / COPY_BLOCK).cast("int"))))
+        .withColumn(copy, F.explode(F.sequence(first, first + size - 1)))
+        .drop(rate, number, count, block)
+    )
     key = F.md5(
         F.concat_ws(
             ":", F.lit(f"{seed} order"), F.coalesce(row_id.cast("string"), F.lit("null")), F.col(copy).cast("string")
@@ -132,7 +144,8 @@ def mix(
     )
     # the key is uniform, so equal ranges of its leading digits are equal shares of
     # the rows: no sample of the rows is needed to find the borders
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, math.ceil(expected / part_rows))
     lead = F.conv(F.left(F.col(order), F.lit(8)), 16, 10).cast("long")
     place = F.floor(lead * parts / (1 << 32)).cast("int")
     return repeated.withColumn(order, key).repartitionById(parts, place).sortWithinPartitions(order, doc_id)

@@ -79,3 +79,14 @@ def test_edge_rows_and_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     plan = mixing.mix(table(spark, rows, DOCS))._jdf.queryExecution().toString()
     assert "Python" not in plan.replace("ExistingRDD", "") or "ArrowEval" not in plan
+
+
+def test_a_rare_source_of_large_weight_and_the_number_of_parts(spark):
+    rows = [(1, "rare", "rare", "x")] + [(i, "t", "common", "x") for i in range(2, 5002)]
+    weights = spark.createDataFrame([("rare", 9.0), ("common", 1.0)], "source string, weight double")
+    out = mixing.mix(table(spark, rows, DOCS), weights=weights, part_rows=250)
+    held = [(r["doc_id"], r["copy"], r["order_key"]) for r in out.collect()]
+    rare = sorted(copy for doc_id, copy, _ in held if doc_id == 1)
+    assert len(rare) > 4 * mixing.COPY_BLOCK and rare == list(range(len(rare)))
+    assert [k for _, _, k in held] == sorted(k for _, _, k in held)
+    assert out.rdd.getNumPartitions() == 21  # 5,001 rows are expected
