@@ -8,8 +8,8 @@ later window begins with the conversation's system turn and with the turns that
 start at most ``history`` tokens before it. These are repeats and carry no loss;
 each assistant text is a target exactly once.
 
-Conversations of any length are spread over tasks: the sums are made in buckets
-of turns, a turn meets only the windows of its own and the next cell, and what
+Conversations of any length are spread over tasks: the sums are made in ranges of
+one global sort, so also turns with equal numbers spread; a turn meets only the windows of its own and the next cell, and what
 is gathered in one place is a window.
 
 A turn is written as <|im_start|>role, a line break, the text, <|im_end|>, a line
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeline.llm.arrays import let, running_sums
+from citeline.llm.prefix import running_sums as running_sums_by
 from citeline.llm.tables import store
-from citeline.operators import ordered
 
 #: Tokens of a window and of the history repeated in it (at most a quarter).
 BUDGET, HISTORY = 1024, 256
@@ -60,13 +60,7 @@ def _placed(turns: DataFrame, conv_id: str, budget: int, history: int) -> tuple[
     )
     size = tokens(F.col("text"))
     numbered = store(
-        ordered.running_sums(
-            rows,
-            ["key"],
-            ["turn", "role", "text"],
-            ordered.int_bucket(F.col("turn")),
-            {"pos": F.lit(1).cast("long"), "before": size},
-        )
+        running_sums_by(rows, "key", ["turn", "role", "text"], {"pos": F.lit(1), "before": size})
     )
     system = store(
         numbered.where((F.col("pos") == 0) & (F.col("role") == "system")).select(
