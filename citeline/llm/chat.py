@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from citeline.llm.arrays import let, running_sums
 from citeline.llm.prefix import running_sums as running_sums_by
-from citeline.llm.tables import store
+from citeline.llm.tables import place, store
+from citeline.session import scratch
 
 #: Tokens of a window and of the history repeated in it (at most a quarter).
 BUDGET, HISTORY = 1024, 256
@@ -59,29 +60,31 @@ def _placed(turns: DataFrame, conv_id: str, budget: int, history: int) -> tuple[
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     size = tokens(F.col("text"))
-    numbered = store(
-        running_sums_by(rows, "key", ["turn", "role", "text"], {"pos": F.lit(1), "before": size})
-    )
-    system = store(
-        numbered.where((F.col("pos") == 0) & (F.col("role") == "system")).select(
-            "key", F.col("text").alias("system"), size.alias("system_size")
+    spark = turns.sparkSession
+    system_at, placed_at = place(spark), place(spark)
+    with scratch(spark):  # what only these two tables need goes with them
+        numbered = running_sums_by(rows, "key", ["turn", "role", "text"], {"pos": F.lit(1), "before": size})
+        system = store(
+            numbered.where((F.col("pos") == 0) & (F.col("role") == "system")).select(
+                "key", F.col("text").alias("system"), size.alias("system_size")
+            ),
+            system_at,
         )
-    )
-    taken = F.coalesce(F.col("system_size"), F.lit(0))
-    lead = (F.col("pos") == 0) & F.col("system_size").isNotNull()
-    at = F.when(lead, F.lit(0)).otherwise(F.col("before") - taken)
-    cell = F.floor(F.col("at") / F.col("step"))
-    last = F.floor((F.col("at") + size - 1) / F.col("step"))
-    placed = (
-        numbered.join(system.select("key", "system_size"), "key", "left")
-        .withColumns(
-            {"lead": lead, "at": at, "step": F.greatest(F.lit(budget // 4), F.lit(budget - history) - taken)}
+        taken = F.coalesce(F.col("system_size"), F.lit(0))
+        lead = (F.col("pos") == 0) & F.col("system_size").isNotNull()
+        at = F.when(lead, F.lit(0)).otherwise(F.col("before") - taken)
+        cell = F.floor(F.col("at") / F.col("step"))
+        last = F.floor((F.col("at") + size - 1) / F.col("step"))
+        placed = (
+            numbered.join(system.select("key", "system_size"), "key", "left")
+            .withColumns(
+                {"lead": lead, "at": at, "step": F.greatest(F.lit(budget // 4), F.lit(budget - history) - taken)}
+            )
+            .withColumn("cell", cell)
+            .withColumn("window", 2 * cell + F.when(~F.col("lead") & (last > cell), 1).otherwise(0))
+            .drop("system_size", "before")
         )
-        .withColumn("cell", cell)
-        .withColumn("window", 2 * cell + F.when(~F.col("lead") & (last > cell), 1).otherwise(0))
-        .drop("system_size", "before")
-    )
-    return store(placed), system
+        return store(placed, placed_at), system
 
 
 def _parts(placed: DataFrame, system: DataFrame, history: int) -> DataFrame:

@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeline.session import settle
+from citeline.session import settle, shared_path
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -21,11 +21,21 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The table outlives any executor. The shuffle files that made it are freed
     as soon as it is written, so a job of many steps holds those of one step.
+    A table at a ``place`` taken before a ``scratch`` outlives that scope too.
     """
-    with freed_shuffles(df.sparkSession):
-        return settle(df)
+    spark = df.sparkSession
+    with freed_shuffles(spark):
+        if path is None:
+            return settle(df)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+
+def place(spark: SparkSession) -> str:
+    """A path for ``store``, which belongs to the scope that is open now."""
+    return shared_path(spark)
