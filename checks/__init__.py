@@ -73,6 +73,7 @@ def load() -> None:
         catalogue,
         evaluation,
         ingest,
+        lexemes,
         retrieval,
         threads,
     )

@@ -41,6 +41,7 @@ class TermIndex:
     terms: DataFrame
     chunks: int
     mean_length: float
+    cut_question: Callable[[Column], Column] = fx.query_terms
 
     def blocks(self, spark) -> DataFrame:
         return spark.read.schema(self.schema).parquet(self.path)
@@ -50,10 +51,17 @@ def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
-def write_index(chunks: DataFrame, path: str, block: int = BLOCK) -> TermIndex:
+def write_index(
+    chunks: DataFrame,
+    path: str,
+    block: int = BLOCK,
+    cut: Callable[[Column], Column] = fx.tokens,
+    cut_question: Callable[[Column], Column] = fx.query_terms,
+) -> TermIndex:
     """Index chunk_id and content. The folder must be new; ``terms`` of the
-    result holds (term, df). Null contents have no terms."""
-    words = chunks.select("chunk_id", fx.tokens(F.coalesce("content", F.lit(""))).alias("words"))
+    result holds (term, df). Null contents have no terms. ``cut`` makes the tokens of
+    a content, ``cut_question`` the different ones of a question."""
+    words = chunks.select("chunk_id", cut(F.coalesce("content", F.lit(""))).alias("words"))
     each = words.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term"))
     postings = settle(each.groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length")))
     level = F.least(F.col("tf"), F.lit(LEVELS)).alias("level")
@@ -78,7 +86,9 @@ def write_index(chunks: DataFrame, path: str, block: int = BLOCK) -> TermIndex:
         .sortWithinPartitions("part", "term")
     )
     blocks.write.partitionBy("part").parquet(path)
-    return TermIndex(path, blocks.schema, terms, size["n"], (size["w"] or 0) / max(1, size["n"]))
+    return TermIndex(
+        path, blocks.schema, terms, size["n"], (size["w"] or 0) / max(1, size["n"]), cut_question
+    )
 
 
 def _mean_reciprocals(index: TermIndex) -> Callable[..., Column]:
@@ -99,9 +109,9 @@ def bm25(index: TermIndex, k1: float = 1.2, b: float = 0.75) -> Callable[..., Co
     return score
 
 
-def asked_terms(questions: DataFrame) -> DataFrame:
+def asked_terms(questions: DataFrame, cut: Callable[[Column], Column] = fx.query_terms) -> DataFrame:
     """(question_id, term, n): the different terms of each question."""
-    listed = questions.select("question_id", fx.query_terms(F.col("question")).alias("terms"))
+    listed = questions.select("question_id", cut(F.col("question")).alias("terms"))
     return listed.select("question_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
 
 
@@ -164,7 +174,7 @@ def ranked(index: TermIndex, questions: DataFrame, k: int = 20, score=None) -> D
     Questions without a known term have no rows. Only blocks that may hold a
     result are read, from the partitions of the questions' terms."""
     made = (score or _mean_reciprocals)(index)
-    wanted = settle(needed_blocks(index, asked_terms(questions), made, k))
+    wanted = settle(needed_blocks(index, asked_terms(questions, index.cut_question), made, k))
     parts = [r["part"] for r in wanted.select("part").distinct().collect()]
     blocks = index.blocks(questions.sparkSession).where(F.col("part").isin(parts))
     sums = _scored(blocks, wanted, made).groupBy("question_id", "chunk_id").agg(F.sum("score").alias("score"))
