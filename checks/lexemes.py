@@ -23,8 +23,8 @@ def tokens_sql(text: str) -> str:
 def vectors_sql(key: str, text: str, table: str) -> str:
     return f"""WITH cut AS (SELECT {key}, {tokens_sql(text)} AS toks FROM {table}),
 each AS (SELECT {key}, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM cut),
-held AS (SELECT {key}, t, t || ':' || string_agg(i, ',' ORDER BY i) AS shown FROM each GROUP BY ALL),
-vectors AS (SELECT {key}, count(*) AS n, string_agg(shown, ' ' ORDER BY t) AS v FROM held GROUP BY ALL)
+held AS (SELECT {key}, t, t || ':' || string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS shown FROM each GROUP BY {key}, t),
+vectors AS (SELECT {key}, count(*) AS n, string_agg(shown, ' ' ORDER BY t) AS v FROM held GROUP BY {key})
 SELECT c.{key}, CAST(coalesce(len(toks), 0) AS BIGINT) AS n_tokens, coalesce(n, 0) AS n_lexemes,
        md5(coalesce(v, '')) AS vector_md5
 FROM cut c LEFT JOIN vectors USING ({key})"""
