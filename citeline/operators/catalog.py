@@ -5,7 +5,7 @@ which rows win is decided by aggregates that combine before the shuffle, so a
 key that a third of the rows share costs one row per task.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -471,7 +471,8 @@ def orphans(stored: DataFrame, manuals: DataFrame) -> DataFrame:
 
 
 def sweep_summary(stored: DataFrame, manuals: DataFrame, dry_run: bool = True) -> DataFrame:
-    """Counts of a sweep in one row. The keys themselves are ``orphans``.
+    """Counts of a sweep in one row. The keys themselves are ``orphans``. Nothing is
+    deleted here: ``deleted`` is what a sweep would delete; ``sweep`` does it.
 
     Both sides meet in one aggregate by key, so each key is counted once and
     nothing has to be joined.
@@ -492,6 +493,26 @@ def sweep_summary(stored: DataFrame, manuals: DataFrame, dry_run: bool = True) -
     )
 
 
+def sweep(
+    stored: DataFrame, manuals: DataFrame, unlink: Callable[[Column], Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Delete what no manual points at: (keys in order, counts in one row).
+
+    ``unlink(storage_key)`` deletes a file and says whether it is gone; without it the
+    sweep is a dry run. Its answers are a table before they are counted, so it is asked
+    once for each key; a task that runs again asks again, so a file that is gone
+    already must count as deleted. keys: storage_key, deleted. ``orphaned`` counts
+    them all, ``deleted`` those that are gone; a null answer is none.
+    """
+    gone = F.lit(False) if unlink is None else F.coalesce(unlink(F.col("storage_key")), F.lit(False))
+    stored = settle(stored.select("storage_key").distinct())  # as listed before the first deletion
+    keys = settle(orphans(stored, manuals).withColumn("deleted", gone))
+    counts = sweep_summary(stored, manuals, dry_run=unlink is None)
+    done = keys.agg(F.count_if("deleted").alias("deleted"))
+    both = counts.drop("deleted").unionByName(done, allowMissingColumns=True)
+    return keys.orderBy("storage_key"), both.agg(*[F.max(c).alias(c) for c in counts.columns])
+
+
 def failure(error_type: Column, message: Column, s=DEFAULTS) -> Column:
     """Error text of a failed ingestion, cut to fit."""
     return F.left(F.concat_ws(": ", error_type, message), F.lit(s.max_error_chars))

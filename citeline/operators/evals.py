@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.config import DEFAULTS
+from citeline.functions import text as fx
 from citeline.functions.numbers import round3
 from citeline.session import settle
 
@@ -26,11 +27,11 @@ def resolve_products(cases: DataFrame, products: DataFrame, strict: bool = True)
     """Cases with the product their brand and model name, without regard to
     case. ``strict`` fails the job on a case that names none."""
     catalogue = products.groupBy(
-        F.lower("brand").alias("__brand"), F.lower("model").alias("__model")
+        fx.fold(F.col("brand")).alias("__brand"), fx.fold(F.col("model")).alias("__model")
     ).agg(F.max("product_id").alias("product_id"))
     joined = (
-        cases.withColumn("__brand", F.lower("brand"))
-        .withColumn("__model", F.lower("model"))
+        cases.withColumn("__brand", fx.fold(F.col("brand")))
+        .withColumn("__model", fx.fold(F.col("model")))
         .join(catalogue, ["__brand", "__model"], "left")
         .drop("__brand", "__model")
     )
@@ -54,8 +55,8 @@ def recall(expected: Column, retrieved: Column) -> Column:
 
 def found_facts(answer: Column, facts: Column) -> Column:
     """Key facts the answer contains, without regard to case."""
-    said = F.lower(F.coalesce(answer, F.lit("")))
-    return F.size(F.filter(facts, lambda f: F.contains(said, F.lower(f))))
+    said = fx.fold(F.coalesce(answer, F.lit("")))
+    return F.size(F.filter(facts, lambda f: F.contains(said, fx.fold(f))))
 
 
 def source_texts(

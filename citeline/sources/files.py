@@ -1,8 +1,12 @@
 """Stored files as tables: bytes, listings, and the chunk sink."""
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeline.config import DEFAULTS
 from citeline.session import settle
@@ -40,6 +44,34 @@ def list_sweepable(spark: SparkSession, folder: str, now: Column, s=DEFAULTS) ->
     return list_keys(spark, folder, now, s.orphan_min_age_seconds)
 
 
+def unlinker(folder: str) -> Callable[[Column], Column]:
+    """For ``catalog.sweep``: deletes the file of a key from a folder (a path or URI
+    that every executor can reach) and says whether it is gone. A file that is not
+    there is gone; a key that is not a plain name, or a failure, deletes nothing."""
+
+    @F.pandas_udf(T.BooleanType())
+    def gone(keys: pd.Series) -> pd.Series:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+        def delete(key):
+            if not key or "/" in key or "\\" in key or key in (".", ".."):
+                return False
+            at = f"{root.rstrip('/')}/{key}"
+            try:
+                kind = store.get_file_info(at).type
+                if kind == fs.FileType.File:
+                    store.delete_file(at)
+                return kind in (fs.FileType.File, fs.FileType.NotFound)
+            except OSError:
+                return False
+
+        return keys.map(delete).astype(bool)
+
+    return gone
+
+
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 256) -> None:
     """Replace the chunks of the documents in ``chunks``; leave others alone.
 
