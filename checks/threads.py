@@ -218,7 +218,7 @@ def fold_long_threads(spark, folder):
         "conversation_id", F.lit(0).cast("long").alias("summarised_through"),
         F.lit(None).cast(threads_of(spark, folder).schema["summary"].dataType).alias("summary"),
     )
-    # One segment holds a thousand messages here: the rounds follow the longest thread.
+    # One segment holds a thousand messages here.
     after = conversation.fold_summaries(
         threads, messages, ports.note_facts, Settings(transcript_segment=1000)
     )

@@ -3,6 +3,7 @@
 messages: conversation_id, ordinal, role, content[, created_at].
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from citeline.operators.ordered import int_bucket, number_rows
 from citeline.session import settle
 
 KEY = "conversation_id"
+#: Notes of consecutive segments that are merged at a time.
+FAN = 64
 
 
 def recent_messages(messages: DataFrame, limit: int = DEFAULTS.conversation_window) -> DataFrame:
@@ -135,35 +138,77 @@ def transcripts(ranges: DataFrame, messages: DataFrame, s=DEFAULTS) -> DataFrame
     )
 
 
+def _merged(parts: DataFrame, merge: Callable[[Column, Column], Column], longest: int) -> DataFrame:
+    """One row per thread of (conversation_id, segment, notes), segment at most
+    ``longest``: runs of at most ``FAN`` neighbours are merged in order, then the
+    runs, so a thread takes as many steps as its segments have digits."""
+    blank = F.lit(None).cast(parts.schema["notes"].dataType)
+
+    def both(held: Column, following: Column) -> Column:
+        return F.when(held.isNull(), following).when(following.isNull(), held).otherwise(merge(held, following))
+
+    while True:
+        run = F.floor(F.col("segment") / FAN).cast("long").alias("segment")
+        rows = F.sort_array(F.collect_list(F.struct("segment", "notes"))).alias("rows")
+        parts = parts.groupBy(KEY, run).agg(rows).select(
+            KEY, "segment", F.aggregate("rows", blank, lambda held, r: both(held, r["notes"])).alias("notes")
+        )
+        longest //= FAN
+        if not longest:
+            return parts.drop("segment")
+
+
+def _in_turn(segments: DataFrame, notes: DataFrame, summarise, longest: int) -> DataFrame:
+    """Notes of each thread after its segments, each taken with the notes that the
+    one before left: a round per segment of the longest thread."""
+    done = []
+    for number in range(longest + 1):
+        step = segments.where(F.col("segment") == number).select(KEY, "transcript")
+        taken = summarise(F.col("__notes"), F.col("transcript"))
+        read = settle(
+            notes.join(step, KEY).select(KEY, F.coalesce(taken, F.col("__notes")).alias("__notes"), "through")
+        )
+        more = segments.where(F.col("segment") == number + 1).select(KEY)
+        done.append(read.join(more, KEY, "left_anti"))
+        notes = read
+    return reduce(DataFrame.unionByName, done, notes.limit(0))
+
+
 def fold_summaries(
     conversations: DataFrame, messages: DataFrame, summarise, s=DEFAULTS
 ) -> DataFrame:
     """Conversations after all that outgrew the window is in the notes.
 
-    ``summarise(notes, transcript) -> notes`` takes the segments of a thread in
-    order, each with the notes that the one before left: a call is bounded, a
-    thread is not. There are as many rounds as the longest thread has segments,
-    and a round sees only the threads that still have one. NULL from the
-    summariser (a failed call) keeps the old notes; either way the segment
-    counts as covered.
+    ``summarise(notes, transcript) -> notes`` takes a segment of a thread: a call is
+    bounded, a thread is not. NULL from the summariser (a failed call) keeps the old
+    notes; either way the segment counts as covered.
+
+    A summariser that has a ``merge(notes, notes) -> notes``, an expression by which
+    the notes of what came first take in those of what followed, reads all segments
+    at once, each without notes; theirs are merged in order. ``merge`` must be
+    associative, and merging what a segment alone gives must equal summarising it.
+    Any other reads the segments of a thread in order, each with the notes that the
+    one before left: as many rounds as the longest thread has segments, and a round
+    sees only the threads that still have one.
     """
     segments = settle(transcripts(summary_ranges(conversations, messages, s), messages, s))
     longest = segments.agg(F.max("segment").alias("n")).first()["n"]
+    longest = 0 if longest is None else int(longest)
     notes = conversations.select(KEY, F.col("summary").alias("__notes")).join(
         settle(segments.groupBy(KEY).agg(F.max("through").alias("through"))), KEY
     )
     notes = settle(notes)
-    done = []
-    for number in range(0 if longest is None else int(longest) + 1):
-        step = segments.where(F.col("segment") == number).select(KEY, "transcript")
-        taken = summarise(F.col("__notes"), F.col("transcript"))
-        read = settle(
-            notes.join(step, KEY).select(KEY, F.coalesce(taken, F.col("__notes")).alias("__notes"), "through")
+    merge = getattr(summarise, "merge", None)
+    if merge is None:
+        folded = _in_turn(segments, notes, summarise, longest)
+    else:
+        kind = conversations.schema["summary"].dataType
+        own = summarise(F.lit(None).cast(kind), F.col("transcript")).cast(kind)
+        first = notes.select(KEY, F.lit(0).cast("long").alias("segment"), F.col("__notes").alias("notes"))
+        rest = segments.select(KEY, (F.col("segment") + 1).alias("segment"), own.alias("notes"))
+        folded = notes.select(KEY, "through").join(
+            _merged(first.unionByName(rest), merge, longest + 1).withColumnRenamed("notes", "__notes"), KEY
         )
-        more = segments.where(F.col("segment") == number + 1).select(KEY)
-        done.append(read.join(more, KEY, "left_anti"))
-        notes = read
-    folded = reduce(DataFrame.unionByName, done, notes.limit(0))
     joined = conversations.join(folded, KEY, "left")
     return joined.select(
         *[

@@ -171,6 +171,30 @@ def test_a_long_backlog_folds_segment_by_segment(spark):
     assert row.summary.goal == "user: m0" and len(row.summary.facts) == 144
 
 
+def test_summaries_that_merge_take_no_round_per_segment(spark):
+    """The same notes as segment by segment, over several levels, with one call of
+    the summariser however long the thread is."""
+    rows = [(c, i, "user", f"m{i} {'e' * (i % 7 > 3)}{i % 90}") for c, n in ((1, 420), (2, 9), (3, 5)) for i in range(n)]
+    messages = spark.createDataFrame(rows, "conversation_id int, ordinal int, role string, content string")
+    held = ("old goal", None, "done", ["e4", "x1", "e4"])
+    threads = spark.createDataFrame(
+        [(1, 0, held), (2, 1, None), (3, 0, held), (4, 0, None)],
+        f"conversation_id int, summarised_through int, summary {NOTES}",
+    )
+    calls = []
+
+    def summarise(notes, transcript):
+        calls.append(1)
+        return ports.note_facts(notes, transcript)
+
+    s = Settings(transcript_segment=5)
+    in_turn = conversation.fold_summaries(threads, messages, lambda n, t: ports.note_facts(n, t), s)
+    summarise.merge = ports.merge_facts
+    merged = conversation.fold_summaries(threads, messages, summarise, s)
+    assert merged.orderBy("conversation_id").collect() == in_turn.orderBy("conversation_id").collect()
+    assert len(calls) == 1
+
+
 def test_requests(spark):
     products = spark.createDataFrame([(1, "tok")], "product_id int, public_token string")
     threads = spark.createDataFrame([(5, 1), (6, None)], "conversation_id int, product_id int")
