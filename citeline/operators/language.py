@@ -45,6 +45,9 @@ def detect(
     return model.transform(head).select(*df.columns, "language")
 
 
+#: Trigrams whose weights are sent to every task; they are tens of thousands in
+#: alphabets, and more only in scripts of many characters.
+SENT = 1_000_000
 #: Weights are whole millionths of a natural logarithm, so that a sum does not
 #: depend on its order.
 WEIGHT_STEPS = 1_000_000
@@ -57,12 +60,9 @@ def _log(share: Column) -> Column:
 def trigrams(df: DataFrame, keep: list[str], text: str = "text", s=DEFAULTS) -> DataFrame:
     """``keep`` and ``gram``: one row per three characters in a row of the first
     characters of the text; a shorter text has none."""
-    chars = F.split(F.left(F.col(text), F.lit(s.detection_chars)), "")
-    grams = F.when(
-        F.size("__c") >= 3,
-        F.transform(F.sequence(F.lit(0), F.size("__c") - 3), lambda i: F.array_join(F.slice("__c", i + 1, 3), "")),
-    )
-    return df.select(*keep, chars.alias("__c")).select(*keep, F.explode(grams).alias("gram"))
+    head = F.left(F.col(text), F.lit(s.detection_chars))
+    # one character is taken at a time, and the two behind it are looked at
+    return df.select(*keep, F.explode(F.regexp_extract_all(head, F.lit("(?s)(?=(...))."), F.lit(1))).alias("gram"))
 
 
 def fit_weights(texts: DataFrame, text: str = "text", language: str = "language", s=DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -94,21 +94,35 @@ def detect_by_weights(
     """(key, language): the likeliest language of each text; among equals the first
     by name. A text without trigrams, null included, gets the most frequent language.
 
-    ``key`` must be unique. Trigrams are counted per text first, so a text sends
-    each of its trigrams once; weights are joined by trigram. The languages, one
-    row each, are collected; where none is known, no text has one.
+    ``key`` must be unique. The languages, one row each, are collected; where none is
+    known, no text has one. A trigram's gains are one row with a column per language.
+    Up to ``SENT`` such rows are sent to the tasks, so that the trigrams of a text meet
+    them where they are cut, and a text is one row before it is shuffled. More of them
+    are joined by trigram, which each text then sends once.
     """
-    known = [
-        F.struct(F.lit(r["language"]).alias("language"), F.lit(r["prior"]).alias("prior"), F.lit(r["unseen"]).alias("unseen"))
-        for r in languages.collect()
-    ]
+    known = sorted(languages.collect(), key=lambda r: r["language"])
     if not known:
         return df.select(key, F.lit(None).cast("string").alias("language"))
-    counts = settle(trigrams(df, [key], text, s).groupBy(key, "gram").agg(F.count("*").alias("n")))
-    gains = counts.join(weights, "gram").groupBy(key, "language").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    sizes = counts.groupBy(key).agg(F.sum("n").alias("n"))
-    start = df.select(key).join(sizes, key, "left").select(key, "n", F.inline(F.array(*known)))
-    held = start.join(gains, [key, "language"], "left")
-    total = F.col("prior") + F.coalesce("n", F.lit(0)) * F.col("unseen") + F.coalesce("gain", F.lit(0))
-    best = F.min(F.struct((-total).alias("cost"), "language"))
-    return held.groupBy(key).agg(best.alias("best")).select(key, "best.language")
+    gains = [
+        F.coalesce(F.sum(F.when(F.col("language") == r["language"], F.col("gain"))), F.lit(0)).alias(f"__g{i}")
+        for i, r in enumerate(known)
+    ]
+    by_gram = settle(weights.groupBy("gram").agg(*gains))
+    grams = trigrams(df, [key], text, s)
+    if by_gram.count() <= SENT:
+        grams, by_gram = grams.withColumn("n", F.lit(1).cast("long")), F.broadcast(by_gram)
+    else:
+        grams = grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
+    total = [F.sum(F.col("n") * F.coalesce(f"__g{i}", F.lit(0))).alias(f"__g{i}") for i in range(len(known))]
+    held = grams.join(by_gram, "gram", "left").groupBy(key).agg(F.sum("n").alias("n"), *total)
+    n = F.coalesce("n", F.lit(0))
+    costs = [
+        F.struct(
+            (-(F.lit(r["prior"]) + n * F.lit(r["unseen"]) + F.coalesce(f"__g{i}", F.lit(0)))).alias("cost"),
+            F.lit(r["language"]).alias("language"),
+        )
+        for i, r in enumerate(known)
+    ]
+    # the least cost, among equals the first by name
+    best = F.array_min(F.array(*costs))["language"]
+    return df.select(key).join(held, key, "left").select(key, best.alias("language"))

@@ -61,3 +61,17 @@ def test_no_known_language(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == {}
+
+
+def test_a_text_is_one_row_before_it_is_shuffled(spark):
+    """Trigrams meet their weights where they are cut, and are taken by character."""
+    rows = [(i, "ab\n" * 9 + "\U0001f600xy" * i) for i in range(4)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = [r.gram for r in language.trigrams(texts.where("id = 2"), ["id"]).collect()]
+    assert got == [rows[2][1][i : i + 3] for i in range(len(rows[2][1]) - 2)]
+    languages = spark.createDataFrame([("x", -1, -9), ("y", -1, -9)], "language string, prior long, unseen long")
+    weights = spark.createDataFrame([("ab\n", "x", 3), ("xy\U0001f600", "y", 50)], "gram string, language string, gain long")
+    found = language.detect_by_weights(texts, "id", languages, weights)
+    assert {r.id: r.language for r in found.collect()} == {0: "x", 1: "x", 2: "y", 3: "y"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "gram#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
