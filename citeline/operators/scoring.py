@@ -150,14 +150,27 @@ def _best(
     return np.concatenate(rows_out), np.concatenate(cols_out)
 
 
-def _term_weights(column: pa.ListArray, block: QuestionBlock):
+class Words:
+    """The tokens of a batch by number, each different one looked at once."""
+
+    def __init__(self, column: pa.ListArray):
+        values, self.rows = _lists(column)
+        coded = values.dictionary_encode()
+        self.different, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+    def known(self, vocabulary: pa.Array) -> np.ndarray:
+        """Place of each token in the vocabulary, or -1."""
+        found = pc.fill_null(pc.index_in(self.different, value_set=vocabulary), -1)
+        return found.to_numpy(zero_copy_only=False)[self.codes]
+
+
+def _term_weights(words: Words, block: QuestionBlock):
     """(row, term, weight) for the question terms each chunk holds; the weight
     of a term seen n times is 1 + 1/4 + ... + 1/n^2."""
-    values, rows = _lists(column)
-    found = pc.index_in(values, value_set=block.vocabulary)
-    hit = found.is_valid().to_numpy(zero_copy_only=False)
+    found = words.known(block.vocabulary)
+    hit = np.flatnonzero(found >= 0)
     size = max(len(block.vocabulary), 1)
-    keys = rows[hit] * size + found.drop_null().to_numpy().astype(np.int64)
+    keys = words.rows[hit] * size + found[hit].astype(np.int64)
     pairs, counts = np.unique(keys, return_counts=True)
     longest = int(counts.max()) if len(counts) else 0
     saturation = np.cumsum(1.0 / np.arange(1, longest + 1) ** 2)
@@ -189,9 +202,11 @@ def score_chunks(
     k: int,
     schema: pa.Schema,
     held: Held | None = None,
+    words: Words | None = None,
 ) -> pa.RecordBatch:
     """Best k chunks of one batch per question and ranking; with ``held``, only
-    those that may still be among the best of all batches so far."""
+    those that may still be among the best of all batches so far. ``words`` are the
+    batch's tokens, where several blocks are scored against it."""
     held = held or Held(block, k)
     if isinstance(chunks, pa.Table):
         chunks = chunks.combine_chunks().to_batches()
@@ -207,7 +222,7 @@ def score_chunks(
             vectors = unit_rows(chunks.column("embedding"), width)
         weights = None
         if LEXICAL in rankings:
-            weights = _term_weights(chunks.column("tokens"), block)
+            weights = _term_weights(words or Words(chunks.column("tokens")), block)
         step = max(1, _CELLS // len(block.ids))
         if weights is not None:
             times = np.diff(block.term_start)[weights[1]]

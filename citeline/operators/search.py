@@ -9,6 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from citeline.config import DEFAULTS
 from citeline.functions import text as fx
+from citeline.functions.arrow import pieces
 from citeline.operators.scoring import (
     DECIMALS,
     LEXICAL,
@@ -16,6 +17,7 @@ from citeline.operators.scoring import (
     VECTOR,
     Held,
     QuestionBlock,
+    Words,
     score_chunks,
 )
 from citeline.session import settle
@@ -143,11 +145,11 @@ def rank_candidates(
     tokens, and ``products`` when questions are scoped. Returns list_idx,
     question_id, chunk_id, score, similarity, rank (from 1).
 
-    Questions are taken in blocks, bounded in rows and bytes, and every block is
-    broadcast: chunks are scanned where they lie, once per block, and never
-    shuffled or copied. A task sends on only what may still be among the k best
-    it has seen. The results of several blocks are tables of their own, so that
-    the driver and the workers hold one block at a time.
+    Questions are taken in blocks, bounded in rows and bytes, and as many blocks as
+    keep the bound in bytes together are broadcast for one scan: chunks are read
+    where they lie and never shuffled or copied. A task sends on only what may still
+    be among the k best it has seen. The results of several scans are tables of their
+    own, so that the driver and the workers hold the blocks of one scan at a time.
     """
     wide = _chunk_columns(chunks, rankings)
     product = wide.schema["products"].dataType.elementType
@@ -167,29 +169,46 @@ def rank_candidates(
         F.round("score", DECIMALS).desc(), "chunk_id"
     )
     placed, blocks = question_blocks(asked, s)
+    scans = _scans(placed, s) if blocks > 1 else [[0]]
     found = []
-    for number in range(blocks):
-        rows = placed.where(F.col("__block") == number).drop("__block", "__size").collect()
-        if not rows and found:
-            continue
+    for numbers in scans:
+        rows = placed.where(F.col("__block").isin(numbers)).drop("__size").collect()
+        by_block = {}
+        for r in rows:
+            by_block.setdefault(r["__block"], []).append(r.asDict())
         shared = chunks.sparkSession.sparkContext.broadcast(
-            QuestionBlock.build([r.asDict() for r in rows], product_arrow)
+            [QuestionBlock.build(by_block[n], product_arrow) for n in sorted(by_block)]
         )
 
         def scan(batches, shared=shared):
-            held = Held(shared.value, k)
-            for batch in batches:
-                yield score_chunks(batch, shared.value, rankings, k, arrow, held)
+            held = [Held(block, k) for block in shared.value]
+            for batch in (piece for whole in batches for piece in pieces(whole, "tokens")):
+                words = Words(batch.column("tokens")) if LEXICAL in rankings else None
+                for block, best in zip(shared.value, held):
+                    yield score_chunks(batch, block, rankings, k, arrow, best, words)
 
         best = wide.mapInArrow(scan, fields)
         best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if blocks > 1:
+        if len(scans) > 1:
             best = settle(best)
             shared.unpersist()
         found.append(best)
     return reduce(DataFrame.unionByName, found)
 
 
+def _scans(placed: DataFrame, s=DEFAULTS) -> list[list[int]]:
+    """Numbers of the blocks that share a scan."""
+    sizes = placed.groupBy("__block").agg(F.sum("__size").alias("bytes")).orderBy("__block").collect()
+    scans, held = [], 0
+    for number, size in sizes:
+        if not scans or held + size > s.question_block_bytes:
+            scans.append([])
+            held = 0
+        scans[-1].append(number)
+        held += size
+    return scans
+
+
 def vector_topk(chunks, questions, k=DEFAULTS.candidates, s=DEFAULTS) -> DataFrame:
     """Nearest chunks by cosine similarity, closest first."""
     return rank_candidates(chunks, questions, (VECTOR,), k, s).drop("list_idx", "score")

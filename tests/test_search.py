@@ -116,6 +116,31 @@ def test_rankings_match_brute_force(spark, monkeypatch, scoped, block, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_blocks_share_a_scan(spark):
+    """Several blocks of questions read the chunks once; only their bytes part them."""
+    _, chunks = corpus(spark)
+    _, df = asked(spark)
+    few = Settings(question_block_rows=4)
+    plan = search.rank_candidates(chunks, df.drop("product_id"), s=few)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    parted = Settings(question_block_rows=4, question_block_bytes=300)
+    key = ["list_idx", "question_id", "rank"]
+    one, many = (search.rank_candidates(chunks, df.drop("product_id"), s=s).orderBy(*key).collect() for s in (few, parted))
+    assert [(*r[:3], r["rank"]) for r in one] == [(*r[:3], r["rank"]) for r in many]
+
+
+def test_batches_are_cut_by_what_they_hold():
+    import pyarrow as pa
+
+    from citeline.functions.arrow import pieces
+
+    for texts in (["a" * n for n in (5, 0, 90, 3, 3)], [["w"] * n for n in (5, 0, 90, 3, 3)], [None, "x"], []):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["t", "i"])
+        cut = list(pieces(batch, "t", 10 if texts and isinstance(texts[0], list) else 2))
+        assert [t for p in cut for t in p.column("t").to_pylist()] == texts
+        assert max((p.num_rows for p in cut), default=0) <= 2
+
+
 def test_fusion_keeps_first_seen_order(spark):
     lists = {0: ["a", "b", "c"], 1: ["c", "d"], 2: ["b"]}
     rows = [(i, 1, c, r, r / 10 + i) for i, cs in lists.items() for r, c in enumerate(cs, 1)]
