@@ -13,9 +13,11 @@ possible score reaches it. What is dropped cannot be in the result, so rankings
 are exact.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,13 @@ from citeline.session import settle
 
 #: Partitions of the table, and postings of a block, about.
 PARTS, BLOCK = 64, 256
+#: Blocks of one term and level that are written together, and bytes of a row group,
+#: so that the blocks of a frequent term are read by many tasks.
+RUN, GROUP_BYTES = 64, 8 * 1024 * 1024
+#: Sums of a question and a chunk that one task holds, about.
+SUMS = 1_000_000
+#: Frequencies whose score is looked up rather than summed up.
+LISTED = 256
 #: Frequencies above which blocks are not parted by frequency any more.
 LEVELS = 8
 #: What two sums of the same terms may differ by, added in different orders.
@@ -51,6 +60,50 @@ def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of postings that arrive sorted by block. No more than a
+    batch and a block is held."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        first = _firsts(rows)
+        if len(first):
+            yield _blocks(rows.slice(0, first[-1]), first[:-1])
+            held = rows.slice(first[-1])
+    if held is not None:
+        yield _blocks(held, _firsts(held))
+
+
+def _firsts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where a block begins."""
+    if not rows.num_rows:
+        return np.empty(0, np.int64)
+    keys = [rows.column("term").dictionary_encode().indices, rows.column("level"), rows.column("number")]
+    changed = np.zeros(rows.num_rows, bool)
+    changed[0] = True
+    for key in keys:
+        changed[1:] |= np.diff(key.to_numpy(zero_copy_only=False)) != 0
+    return np.flatnonzero(changed)
+
+
+def _blocks(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(first)
+    tf, length = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("tf", "length"))
+    offsets = np.append(first, rows.num_rows).astype(np.int32)
+    each = pa.StructArray.from_arrays([rows.column(c) for c in ("chunk_id", "tf", "length")], ["chunk_id", "tf", "length"])
+    return pa.RecordBatch.from_arrays(
+        [
+            *(rows.column(c).take(at) for c in ("term", "level", "number")),
+            pa.array(np.maximum.reduceat(tf, first) if len(first) else tf[:0], pa.int32()),
+            pa.array(np.minimum.reduceat(length, first) if len(first) else length[:0], pa.int32()),
+            pa.array(np.diff(offsets), pa.int64()),
+            pa.ListArray.from_arrays(pa.array(offsets), each),
+            rows.column("part").take(at),
+        ],
+        names=["term", "level", "number", "most_tf", "least_length", "n", "postings", "part"],
+    )
+
+
 def write_index(
     chunks: DataFrame,
     path: str,
@@ -70,32 +123,35 @@ def write_index(
     size = words.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("w")).first()
     # a block's number is a hash, dealt over as many as hold the postings of the level
     number = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("chunks") / block))
-    blocks = (
+    place = ["part", "term", "level", "number"]
+    rows = (
         postings.withColumn("level", level)
         .join(levels, ["term", "level"])
-        .select("term", "level", number.alias("number"), F.struct("chunk_id", "tf", "length").alias("p"))
-        .groupBy("term", "level", "number")
-        .agg(
-            F.max("p.tf").alias("most_tf"),
-            F.min("p.length").alias("least_length"),
-            F.count("*").alias("n"),
-            F.collect_list("p").alias("postings"),
-        )
-        .withColumn("part", _part(F.col("term")))
-        .repartition("part")
-        .sortWithinPartitions("part", "term")
+        .select(_part(F.col("term")).alias("part"), "term", "level", number.alias("number"), "chunk_id", "tf", "length")
+        .repartition("part", "level", F.floor(F.col("number") / RUN))
+        .sortWithinPartitions(F.xxhash64("term", "level", "number"), *place)
     )
-    blocks.write.partitionBy("part").parquet(path)
+    schema = T._parse_datatype_string(
+        "term string, level int, number long, most_tf int, least_length int, n long,"
+        " postings array<struct<chunk_id: long, tf: int, length: int>>, part int"
+    )
+    schema["postings"].dataType.elementType["chunk_id"].dataType = chunks.schema["chunk_id"].dataType
+    blocks = rows.mapInArrow(_packed, schema)
+    blocks.write.partitionBy("part").option("parquet.block.size", GROUP_BYTES).parquet(path)
     return TermIndex(
-        path, blocks.schema, terms, size["n"], (size["w"] or 0) / max(1, size["n"]), cut_question
+        path, schema, terms, size["n"], (size["w"] or 0) / max(1, size["n"]), cut_question
     )
 
 
 def _mean_reciprocals(index: TermIndex) -> Callable[..., Column]:
     """The engine's lexical score: 1 + 1/4 + ... + 1/tf^2, over the question's terms."""
-    return lambda tf, length, df, n: F.aggregate(
-        F.sequence(F.lit(1), tf), F.lit(0.0), lambda held, i: held + F.lit(1.0) / (i * i)
-    ) / n
+    first = F.array(*[F.lit(float(x)) for x in np.cumsum(1.0 / np.arange(1, LISTED + 1) ** 2)])
+
+    def score(tf, length, df, n):
+        summed = F.aggregate(F.sequence(F.lit(1), tf), F.lit(0.0), lambda held, i: held + F.lit(1.0) / (i * i))
+        return F.when(tf <= LISTED, F.get(first, tf - 1)).otherwise(summed) / n
+
+    return score
 
 
 def bm25(index: TermIndex, k1: float = 1.2, b: float = 0.75) -> Callable[..., Column]:
@@ -172,12 +228,30 @@ def ranked(index: TermIndex, questions: DataFrame, k: int = 20, score=None) -> D
     ties by chunk id. ``score`` is made of the index; the engine's own by default.
 
     Questions without a known term have no rows. Only blocks that may hold a
-    result are read, from the partitions of the questions' terms."""
+    result are read, from the partitions of the questions' terms, each once. Their
+    postings are dealt by chunk before they meet the questions, so what is shuffled
+    does not grow with these, and a task sums up all of its chunks. A question may
+    meet a posting that only another one needs: its sums are whole then, too.
+    """
     made = (score or _mean_reciprocals)(index)
-    wanted = settle(needed_blocks(index, asked_terms(questions, index.cut_question), made, k))
+    asked = asked_terms(questions, index.cut_question)
+    wanted = settle(needed_blocks(index, asked, made, k))
+    place = ["part", "term", "level", "number"]
     parts = [r["part"] for r in wanted.select("part").distinct().collect()]
     blocks = index.blocks(questions.sparkSession).where(F.col("part").isin(parts))
-    sums = _scored(blocks, wanted, made).groupBy("question_id", "chunk_id").agg(F.sum("score").alias("score"))
+    terms = settle(wanted.select("question_id", "term", "df", "n_terms").distinct())
+    many = terms.select("question_id").distinct().count()
+    tasks = max(questions.sparkSession.sparkContext.defaultParallelism, -(-index.chunks * many // SUMS))
+    postings = (
+        blocks.select(*place, "postings")
+        .join(settle(wanted.select(*place).distinct()), place, "left_semi")
+        .select("term", F.inline("postings"))
+        .repartition(tasks, "chunk_id")
+    )
+    scored = postings.join(F.broadcast(terms), "term").select(
+        "question_id", "chunk_id", made(F.col("tf"), F.col("length"), F.col("df"), F.col("n_terms")).alias("score")
+    )
+    sums = scored.groupBy("question_id", "chunk_id").agg(F.sum("score").alias("score"))
     order = Window.partitionBy("question_id").orderBy(F.round("score", DECIMALS).desc(), "chunk_id")
     best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("question_id", "chunk_id", "rank", "score")
