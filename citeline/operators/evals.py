@@ -67,23 +67,41 @@ def source_texts(
     wanted: id, product_id, pages. chunks: chunk_id, manual_id, ordinal,
     page_from, content, applies_to. A chunk counts when its first page is
     wanted, which makes the join an equi-join on manual and page: the pages of
-    a manual with a large share of the chunks spread over all tasks. No more
-    parts than could fill the limit are brought together.
+    a manual with a large share of the chunks spread over all tasks. Lengths alone
+    are ranked, and no more parts than fill the limit are brought together.
     """
     pages = wanted.select("id", "product_id", F.explode(F.array_distinct("pages")).alias("page_from"))
     places = settle(pages.join(links.select("manual_id", "product_id").distinct(), "product_id"))
-    part = F.concat(F.lit("[page "), F.col("page_from").cast("string"), F.lit("]\n"), "content")
+    mark = F.concat(F.lit("[page "), F.col("page_from").cast("string"), F.lit("]\n"))
     applies = F.col("applies_to").isNull() | F.array_contains("applies_to", F.col("product_id"))
-    rows = (
-        chunks.select("manual_id", "page_from", "ordinal", "chunk_id", "content", "applies_to")
-        .join(places, ["manual_id", "page_from"])
-        .where(applies)
-        .select("id", "ordinal", "chunk_id", F.left(part, F.lit(s.max_source_chars)).alias("part"))
-    )
     # Each part is at least "[page 1]\n" long, so this many fill the limit.
     most = s.max_source_chars // len("[page 1]\n") + 1
     first = Window.partitionBy("id").orderBy("ordinal", "chunk_id")
-    rows = rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most)
+    before = F.sum("__chars").over(first.rowsBetween(Window.unboundedPreceding, -1))
+    # Which parts fill the limit is told by their lengths; only theirs are read again.
+    narrow = chunks.select(
+        "manual_id", "page_from", "ordinal", "chunk_id", "applies_to", F.length("content").alias("__length")
+    )
+    filling = (
+        narrow.join(places, ["manual_id", "page_from"])
+        .where(applies)
+        .select(*places.columns, "ordinal", "chunk_id", F.coalesce(F.length(mark) + F.col("__length"), F.lit(0)).alias("__chars"))
+        .withColumn("__n", F.row_number().over(first))
+        .where(F.col("__n") <= most)
+        .withColumn("__before", F.coalesce(before, F.lit(0)))
+        .where(F.col("__before") < s.max_source_chars)
+    )
+    kept = settle(
+        filling.select(*places.columns, F.col("ordinal").alias("__ordinal"), F.col("chunk_id").alias("__chunk")).distinct()
+    )
+    rows = (
+        chunks.select("manual_id", "page_from", "ordinal", "chunk_id", "content", "applies_to")
+        .join(kept, ["manual_id", "page_from"])
+        .where(applies & F.col("chunk_id").eqNullSafe(F.col("__chunk")) & F.col("ordinal").eqNullSafe(F.col("__ordinal")))
+        .select("id", "ordinal", "chunk_id", F.left(F.concat(mark, "content"), F.lit(s.max_source_chars)).alias("part"))
+        .withColumn("__n", F.row_number().over(first))
+        .where(F.col("__n") <= most)
+    )
     parts = F.sort_array(F.collect_list(F.struct("__n", "part")))
     return rows.groupBy("id").agg(
         F.left(F.concat_ws("\n\n", parts["part"]), F.lit(s.max_source_chars)).alias("source")
