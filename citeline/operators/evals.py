@@ -1,5 +1,8 @@
 """Golden-set evaluation: per-case measures, summary, comparison, consistency."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,13 +94,16 @@ def source_texts(
         .withColumn("__before", F.coalesce(before, F.lit(0)))
         .where(F.col("__before") < s.max_source_chars)
     )
-    kept = settle(
-        filling.select(*places.columns, F.col("ordinal").alias("__ordinal"), F.col("chunk_id").alias("__chunk")).distinct()
-    )
+    kept = settle(filling.select("id", "manual_id", "page_from", "ordinal", "chunk_id").distinct())
+    place = ["manual_id", "page_from", "ordinal", "chunk_id"]
+
+    def filled(rows: DataFrame, by: list[str]) -> DataFrame:
+        wanted = kept.select(*[F.col(c).alias(f"__{c}") for c in by]).distinct()
+        return rows.join(wanted, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]), "left_semi")
+
+    held = chunks.select("manual_id", "page_from", "ordinal", "chunk_id", "content", "applies_to")
     rows = (
-        chunks.select("manual_id", "page_from", "ordinal", "chunk_id", "content", "applies_to")
-        .join(kept, ["manual_id", "page_from"])
-        .where(applies & F.col("chunk_id").eqNullSafe(F.col("__chunk")) & F.col("ordinal").eqNullSafe(F.col("__ordinal")))
+        filled(filled(held, place).join(places, ["manual_id", "page_from"]).where(applies), ["id", *place])
         .select("id", "ordinal", "chunk_id", F.left(F.concat(mark, "content"), F.lit(s.max_source_chars)).alias("part"))
         .withColumn("__n", F.row_number().over(first))
         .where(F.col("__n") <= most)

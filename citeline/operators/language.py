@@ -94,7 +94,7 @@ def detect_by_weights(
     """(key, language): the likeliest language of each text; among equals the first
     by name. A text without trigrams, null included, gets the most frequent language.
 
-    ``key`` must be unique. The languages, one row each, are collected; where none is
+    ``key`` should be unique: texts of one key count as one. The languages, one row each, are collected; where none is
     known, no text has one. A trigram's gains are one row with a column per language.
     Up to ``SENT`` such rows are sent to the tasks, so that the trigrams of a text meet
     them where they are cut, and a text is one row before it is shuffled. More of them
@@ -125,4 +125,4 @@ def detect_by_weights(
     ]
     # the least cost, among equals the first by name
     best = F.array_min(F.array(*costs))["language"]
-    return df.select(key).join(held, key, "left").select(key, best.alias("language"))
+    return df.select(key).distinct().join(held, key, "left").select(key, best.alias("language"))

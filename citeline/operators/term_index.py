@@ -129,7 +129,7 @@ def write_index(
         .join(levels, ["term", "level"])
         .select(_part(F.col("term")).alias("part"), "term", "level", number.alias("number"), "chunk_id", "tf", "length")
         .repartition("part", "level", F.floor(F.col("number") / RUN))
-        .sortWithinPartitions(F.xxhash64("term", "level", "number"), *place)
+        .sortWithinPartitions(*place)
     )
     schema = T._parse_datatype_string(
         "term string, level int, number long, most_tf int, least_length int, n long,"
@@ -239,7 +239,12 @@ def ranked(index: TermIndex, questions: DataFrame, k: int = 20, score=None) -> D
     place = ["part", "term", "level", "number"]
     parts = [r["part"] for r in wanted.select("part").distinct().collect()]
     blocks = index.blocks(questions.sparkSession).where(F.col("part").isin(parts))
-    terms = settle(wanted.select("question_id", "term", "df", "n_terms").distinct())
+    # a question that is repeated counts as often
+    terms = settle(
+        asked.join(index.terms, "term")
+        .select("question_id", "term", "df", F.col("n").alias("n_terms"))
+        .join(wanted.select("question_id", "term").distinct(), ["question_id", "term"], "left_semi")
+    )
     many = terms.select("question_id").distinct().count()
     tasks = max(questions.sparkSession.sparkContext.defaultParallelism, -(-index.chunks * many // SUMS))
     postings = (

@@ -195,6 +195,24 @@ def test_summaries_that_merge_take_no_round_per_segment(spark):
     assert len(calls) == 1
 
 
+def test_source_texts_are_chosen_by_length(spark):
+    """Only the chunks that fill the limit are read with their text, whatever else shares the page."""
+    rows = [(i, "m", i // 2, 3, None if i == 4 else "" if i == 5 else f"{i} " + "x" * (i % 40), None if i % 5 else [7]) for i in range(300)]
+    chunks = spark.createDataFrame(
+        [*rows, rows[2]], "chunk_id int, manual_id string, ordinal int, page_from int, content string, applies_to array<long>"
+    )
+    links = spark.createDataFrame([("m", 7), ("m", 8), ("m", 8)], "manual_id string, product_id long")
+    wanted = spark.createDataFrame([(1, 7, [3, 3]), (2, 8, [3]), (2, 8, [3]), (3, 8, [9])], "id int, product_id long, pages array<long>")
+    s = Settings(max_source_chars=400)
+    found = evals.source_texts(wanted, chunks, links, s)
+    want = {}
+    for case, product, times in ((1, 7, 1), (2, 8, 2)):
+        mine = sorted((r for r in [*rows, rows[2]] for _ in range(times) if r[5] is None or product in r[5]), key=lambda r: (r[2], r[0]))
+        want[case] = "\n\n".join(f"[page 3]\n{r[4]}" for r in mine if r[4] is not None)[:400]
+    assert {r.id: r.source for r in found.collect()} == want
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_requests(spark):
     products = spark.createDataFrame([(1, "tok")], "product_id int, public_token string")
     threads = spark.createDataFrame([(5, 1), (6, None)], "conversation_id int, product_id int")

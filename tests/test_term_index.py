@@ -82,3 +82,25 @@ def test_an_empty_corpus(spark, folder):
     questions = spark.createDataFrame(asked(), "question_id long, question string")
     assert index.chunks == 0 and index.terms.count() == 0
     assert I.ranked(index, questions).count() == 0
+
+
+def test_postings_are_dealt_by_chunk_once(spark, folder):
+    """No shuffle holds a row per question and posting; a repeated question counts as often."""
+    chunks = spark.createDataFrame(corpus(), "chunk_id long, content string")
+    twice = spark.createDataFrame([(1, "common oven"), (1, "common oven"), (2, "common oven"), (None, "oven")], "question_id long, question string")
+    found = I.ranked(I.write_index(chunks, f"{folder}/terms", 8), twice, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(chunk_id", plan) and not re.search(r"hashpartitioning\(question_id#\d+L?, chunk_id", plan)
+    rows = {(r.question_id, r["rank"]): (r.chunk_id, r.score) for r in found.collect()}
+    assert set(rows) == {(q, n) for q in (1, 2) for n in (1, 2, 3)}
+    for n in (1, 2, 3):
+        assert rows[1, n][0] == rows[2, n][0] and rows[1, n][1] == pytest.approx(2 * rows[2, n][1])
+
+
+def test_frequencies_beyond_the_listed_ones(spark, folder, monkeypatch):
+    monkeypatch.setattr(I, "LISTED", 3)
+    rows = [(i, "hot " * i) for i in range(1, 9)]
+    index = I.write_index(spark.createDataFrame(rows, "chunk_id long, content string"), f"{folder}/terms")
+    asked_once = spark.createDataFrame([(1, "hot")], "question_id long, question string")
+    found = {r.chunk_id: r.score for r in I.ranked(index, asked_once).collect()}
+    assert found == {i: pytest.approx(sum(1 / j**2 for j in range(1, i + 1))) for i, _ in rows}
