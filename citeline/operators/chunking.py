@@ -12,12 +12,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from citeline.config import DEFAULTS
 from citeline.functions import text as fx
+from citeline.functions.arrow import pieces
 from citeline.operators.ordered import number_rows, running_sums
 from citeline.operators.splitting import SEPARATORS, packing, split_spans
 from citeline.session import settle
@@ -68,31 +71,40 @@ def _with_pieces(pages: DataFrame, s) -> DataFrame:
     return whole.unionByName(cut.drop("__sizes", "__before"))
 
 
-def _spans_udf(size: int, overlap: int):
+def _added(rows: DataFrame, text: str, name: str, kind: str, work) -> DataFrame:
+    """``rows`` with a column that ``work`` makes of each row's text and lists,
+    in place of the text. Few texts are taken out of a batch at a time."""
+    kept = [f for f in rows.schema.fields if f.name != text]
+    made = T.StructField(name, T._parse_datatype_string(kind))
+    arrow = to_arrow_type(made.dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, text)):
+            columns = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(work(batch), arrow)], names=[*(f.name for f in kept), name]
+            )
+
+    return rows.mapInArrow(run, T.StructType([*kept, made]))
+
+
+def _spans(size: int, overlap: int):
     """Chunks of a paragraph. The text comes back with its place: cutting it
     by position in the JVM would walk from the paragraph's start each time."""
 
-    @F.pandas_udf("array<struct<start:long,content:string>>")
-    def spans(paragraphs: pd.Series) -> pd.Series:
-        return paragraphs.map(
-            lambda p: [
-                {"start": a, "content": p[a:b]}
-                for a, b in split_spans(p, size, overlap, SEPARATORS[1:])
-            ]
-        )
+    def work(batch: pa.RecordBatch) -> list:
+        return [
+            [{"start": a, "content": p[a:b]} for a, b in split_spans(p, size, overlap, SEPARATORS[1:])]
+            for p in batch.column("body").to_pylist()
+        ]
 
-    return spans
+    return work
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _slices(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+def _slices(batch: pa.RecordBatch) -> list[list[str]]:
     """The parts of each text between the given positions, in one walk."""
-    return pd.Series(
-        [
-            [text[a:b] for a, b in zip(begin, end, strict=True)]
-            for text, begin, end in zip(texts, begins, ends, strict=True)
-        ]
-    )
+    given = (batch.column(c).to_pylist() for c in ("text", "begins", "ends"))
+    return [[text[a:b] for a, b in zip(begin, end, strict=True)] for text, begin, end in zip(*given, strict=True)]
 
 
 def _long_chunks(pages: DataFrame, s) -> DataFrame:
@@ -110,8 +122,8 @@ def _long_chunks(pages: DataFrame, s) -> DataFrame:
         .withColumn("body", F.concat(F.when(skip > 0, s.page_join).otherwise(""), body))
         .select("doc_id", "block", "page", start.alias("base"), "body")
     )
-    spans = _spans_udf(s.chunk_size, s.chunk_overlap)
-    return rows.withColumn("span", F.explode(spans("body"))).select(
+    cut = _added(rows, "body", "spans", "array<struct<start:long,content:string>>", _spans(s.chunk_size, s.chunk_overlap))
+    return cut.withColumn("span", F.explode("spans")).select(
         "doc_id",
         "block",
         F.col("page").alias("page_from"),
@@ -299,7 +311,10 @@ def _short_chunks(pages: DataFrame, pieces: DataFrame, s) -> DataFrame:
 
     begins = F.transform("spans", lambda x: inside(x["start"]))
     ends = F.transform("spans", lambda x: inside(x["end"]))
-    cut = text.join(wanted, ["doc_id", "page"]).withColumn("cut", _slices("text", begins, ends))
+    placed = text.join(wanted, ["doc_id", "page"]).select(
+        "doc_id", "page", "spans", "text", begins.alias("begins"), ends.alias("ends")
+    )
+    cut = _added(placed, "text", "cut", "array<string>", _slices)
     parts = cut.select(
         "doc_id", "page", F.explode(F.arrays_zip("spans", "cut")).alias("x")
     ).select(
