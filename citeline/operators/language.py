@@ -1,48 +1,107 @@
 """Language detection: character trigrams and naive Bayes, from MLlib or as a table
 of weights that is fitted and applied by joins and aggregates."""
 
-from pyspark.ml import PipelineModel, Transformer
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeline.config import DEFAULTS
+from citeline.functions.arrow import bounded_batches, pieces
+from citeline.functions.trigrams import FEATURES, hashed_trigrams
 from citeline.session import settle
 
-FEATURES = 1 << 14
-
+# Bytes of text whose trigrams are taken at a time, by eight.
+_TEXTS = 125_000
+
+
+@dataclass(frozen=True)
+class Detector:
+    """A fitted naive Bayes model: one weight per language and feature."""
+
+    languages: list[str]
+    prior: np.ndarray
+    weights: np.ndarray
+
+    def best(self, texts: pa.Array) -> np.ndarray:
+        """Number of the likeliest language of each lower-cased text; the first of equals."""
+        scores = np.repeat(self.prior[:, None], len(texts), axis=1)
+        for rows, feature in hashed_trigrams(texts):
+            for own, weights in zip(scores, self.weights, strict=True):
+                own += np.bincount(rows, weights=weights[feature], minlength=len(texts))
+        return scores.argmax(axis=0)
+
+
+def _counted(labelled: DataFrame, languages: int) -> DataFrame:
+    """(label, feature, n): how often the texts of a label show each feature; the
+    feature behind the last one counts the texts. A task sends one row for each."""
+    width = FEATURES + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(languages * width, dtype=np.int64)
+        for batch in (piece for whole in batches for piece in pieces(whole, "__text", _TEXTS)):
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+            np.add.at(held, label * width + FEATURES, 1)
+            for rows, feature in hashed_trigrams(batch.column("__text")):
+                cells, n = np.unique(label[rows] * width + feature, return_counts=True)
+                held[cells] += n
+        cells = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cells // width), pa.array(cells % width), pa.array(held[cells])], names=["label", "feature", "n"]
+        )
 
-def _features() -> list[Transformer]:
-    return [
-        RegexTokenizer(inputCol="__text", outputCol="__chars", pattern="", minTokenLength=1),
-        NGram(n=3, inputCol="__chars", outputCol="__grams"),
-        HashingTF(numFeatures=FEATURES, inputCol="__grams", outputCol="__features"),
-    ]
+    found = bounded_batches(labelled).mapInArrow(count, "label long, feature long, n long")
+    return found.groupBy("label", "feature").agg(F.sum("n").alias("n"))
 
 
-def train_detector(texts: DataFrame, text: str = "text", language: str = "language") -> PipelineModel:
+def train_detector(texts: DataFrame, text: str = "text", language: str = "language") -> Detector:
     """Fit a detector on texts of known language. The model holds one weight
-    per language and feature, whatever the size of the corpus."""
-    rows = texts.select(F.col(text).alias("__text"), F.col(language).alias("__known"))
+    per language and feature, whatever the size of the corpus.
+
+    Naive Bayes needs no more of the texts than their number and the sums of their
+    features, by language: these are counted in one pass and stand for the texts.
+    """
+    rows = texts.select(F.lower(F.col(text)).alias("__text"), F.col(language).alias("__known"))
     labels = StringIndexer(inputCol="__known", outputCol="label").fit(rows)
-    stages = [labels, *_features()]
-    for stage in stages:
-        rows = stage.transform(rows)
-    bayes = NaiveBayes(featuresCol="__features", labelCol="label", predictionCol="__best").fit(
-        rows.select("label", "__features")
-    )
-    names = IndexToString(inputCol="__best", outputCol="language", labels=labels.labels)
-    return PipelineModel(stages=[*_features(), bayes, names])
+    known = labels.transform(rows).select("label", "__text")
+    counts: dict[int, dict[int, int]] = {}
+    for r in _counted(known, len(labels.labels)).collect():
+        counts.setdefault(r["label"], {})[r["feature"]] = r["n"]
+    sums = []
+    for label, shown in sorted(counts.items()):
+        # one row with all features, the others of the label without any
+        number = shown.pop(FEATURES)
+        sums.append((float(label), 1.0, Vectors.sparse(FEATURES, {f: float(n) for f, n in shown.items()})))
+        if number > 1:
+            sums.append((float(label), float(number - 1), Vectors.sparse(FEATURES, {})))
+    fields = [T.StructField(n, T.DoubleType()) for n in ("label", "weight")]
+    held = texts.sparkSession.createDataFrame(sums, T.StructType([*fields, T.StructField("features", VectorUDT())]))
+    bayes = NaiveBayes(featuresCol="features", labelCol="label", weightCol="weight").fit(held)
+    return Detector(list(labels.labels), bayes.pi.toArray(), bayes.theta.toArray())
 
 
 def detect(
-    df: DataFrame, model: PipelineModel, text: str = "text", s=DEFAULTS
+    df: DataFrame, model: Detector, text: str = "text", s=DEFAULTS
 ) -> DataFrame:
     """Add ``language``, judged by the first characters of the text, which are
     plenty and keep long pages cheap."""
-    head = df.withColumn("__text", F.left(F.col(text), F.lit(s.detection_chars)))
-    return model.transform(head).select(*df.columns, "language")
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts: pa.Array) -> pa.Array:
+        languages = pa.array(sent.value.languages, pa.string())
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        found = [sent.value.best(piece.column("text")) for piece in pieces(batch, "text", _TEXTS)]
+        return languages.take(pa.array(np.concatenate(found)))
+
+    head = F.lower(F.left(F.col(text), F.lit(s.detection_chars)))
+    return bounded_batches(df).withColumn("language", F.arrow_udf(judge, "string")(head))
 
 
 #: Trigrams whose weights are sent to every task; they are tens of thousands in

@@ -75,3 +75,59 @@ def test_a_text_is_one_row_before_it_is_shuffled(spark):
     assert {r.id: r.language for r in found.collect()} == {0: "x", 1: "x", 2: "y", 3: "y"}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan and "gram#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+WIDE = [
+    "", "a", "ab", "The cat\tsat", "Straße über ÄÖÜ", "İstanbul ΣΑΣ", "日本語のテキスト", "x😀y 😀😀", "a\nb\x00c", "ñandú — «où»", None,
+]
+
+
+def mllib_features(spark, texts):
+    """The features by MLlib's own stages."""
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+
+    rows = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "id long, text string")
+    for stage in (
+        RegexTokenizer(inputCol="text", outputCol="chars", pattern="", minTokenLength=1),
+        NGram(n=3, inputCol="chars", outputCol="grams"),
+        HashingTF(numFeatures=language.FEATURES, inputCol="grams", outputCol="features"),
+    ):
+        rows = stage.transform(rows)
+    return rows
+
+
+def test_hashed_trigrams_are_those_of_mllib(spark, monkeypatch):
+    import pyarrow as pa
+
+    from citeline.functions import trigrams
+
+    monkeypatch.setattr(trigrams, "PART", 5)
+    lower = [r.t for r in spark.createDataFrame([(t,) for t in WIDE], "t string").selectExpr("lower(t) AS t").collect()]
+    counted = [Counter() for _ in WIDE]
+    for rows, features in trigrams.hashed_trigrams(pa.array(lower, pa.string())):
+        for row, feature in zip(rows.tolist(), features.tolist(), strict=True):
+            counted[row][feature] += 1
+    wanted = mllib_features(spark, WIDE).orderBy("id").collect()
+    assert counted == [Counter({int(i): int(v) for i, v in zip(r.features.indices, r.features.values)}) for r in wanted]
+
+
+def test_detector_is_the_naive_bayes_model_of_all_texts(spark):
+    """Fitted on counts, it equals MLlib's model of every text, and judges alike."""
+    import numpy as np
+    from pyspark.ml.classification import NaiveBayes
+
+    rows = [(t, l or "en") for _, t, l in TEXTS if t is not None] + [("日本語のテキスト", "ja"), ("ab", "ja")]
+    texts = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    model = language.train_detector(texts, "text", "lang")
+    number = {name: float(i) for i, name in enumerate(model.languages)}
+    labels = spark.createDataFrame([(i, number[l]) for i, (_, l) in enumerate(rows)], "id long, label double")
+    whole = mllib_features(spark, [t for t, _ in rows]).join(labels, "id")
+    bayes = NaiveBayes(featuresCol="features").fit(whole)
+    assert np.allclose(model.prior, bayes.pi.toArray(), rtol=0, atol=1e-12)
+    assert np.allclose(model.weights, bayes.theta.toArray(), rtol=0, atol=1e-12)
+    wanted = {r.id: model.languages[int(r.prediction)] for r in bayes.transform(whole).collect()}
+    asked = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id long, text string")
+    found = language.detect(asked, model)
+    assert found.columns == ["id", "text", "language"]
+    assert {r.id: r.language for r in found.collect()} == wanted
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
