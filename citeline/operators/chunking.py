@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from citeline.config import DEFAULTS
 from citeline.functions import text as fx
-from citeline.functions.arrow import pieces
+from citeline.functions.arrow import bounded_batches, pieces
 from citeline.operators.ordered import number_rows, running_sums
 from citeline.operators.splitting import SEPARATORS, packing, split_spans
 from citeline.session import settle
@@ -85,7 +85,7 @@ def _added(rows: DataFrame, text: str, name: str, kind: str, work) -> DataFrame:
                 [*columns, pa.array(work(batch), arrow)], names=[*(f.name for f in kept), name]
             )
 
-    return rows.mapInArrow(run, T.StructType([*kept, made]))
+    return bounded_batches(rows).mapInArrow(run, T.StructType([*kept, made]))
 
 
 def _spans(size: int, overlap: int):

@@ -16,7 +16,8 @@ VECTOR, LEXICAL, TRANSLATED = 0, 1, 2
 # Scores are compared on nine decimals, so that a difference in the last bits
 # of a sum never decides a tie; the chunk id does.
 DECIMALS = 9
-_CELLS = 4_000_000
+# Cells of a row x question table, or term matches, that one numpy pass works on.
+_CELLS = 1_000_000
 
 
 @dataclass

@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from citeline.config import DEFAULTS
 from citeline.functions import text as fx
-from citeline.functions.arrow import pieces
+from citeline.functions.arrow import bounded_batches, pieces
 from citeline.operators.scoring import (
     DECIMALS,
     LEXICAL,
@@ -187,7 +187,7 @@ def rank_candidates(
                 for block, best in zip(shared.value, held):
                     yield score_chunks(batch, block, rankings, k, arrow, best, words)
 
-        best = wide.mapInArrow(scan, fields)
+        best = bounded_batches(wide).mapInArrow(scan, fields)
         best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if len(scans) > 1:
             best = settle(best)
