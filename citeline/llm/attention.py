@@ -28,7 +28,11 @@ BATCH, MICRO, RATE = 1024, 64, 0.04
 SEEN = 1 << 23
 _NEAR, _COMPANY = 8, 256
 _SMOOTH = 0.1
-_AT_ONCE = 1 << 14
+_AT_ONCE = 1 << 15
+#: Pairs of company that are counted at a time, about.
+_CELLS = 1 << 22
+#: Tokens, sorted by leaf, whose way through the tree is worked out at a time.
+_SORTED = 1 << 11
 #: Exponents within these bounds need no scaling in single precision.
 _FAR = 60
 _OWN = np.arange(SCORED)
@@ -76,18 +80,21 @@ def company_of(counts: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     texts (ids, with their end marks). Sums over parts of a corpus are that of
     the corpus."""
     top, place = _places(counts)
-    found = np.zeros((len(top), _COMPANY))
     gap = np.full(_NEAR, -1)  # keeps texts apart
     at = np.concatenate([gap, *(x for t in texts for x in (place[t], gap))])
+    # row 0 of the sums is for what is not frequent, and is left out
+    row = ((at + 1) * _COMPANY).astype(np.int32)
     common = np.flatnonzero((at >= 0) & (at < _COMPANY))
-    column = at[common]
-    for step in range(1, _NEAR + 1):
-        for to in (-step, step):
-            near = at[common + to]
-            good = near >= 0
-            flat = near[good] * _COMPANY + column[good]
-            found += np.bincount(flat, minlength=found.size).reshape(found.shape)
-    return found
+    found, cells = np.zeros((len(top) + 1) * _COMPANY), []
+    for i in range(0, len(common), _CELLS // 8):
+        places = common[i : i + _CELLS // 8]
+        column = at[places].astype(np.int32)
+        for step in range(1, _NEAR + 1):
+            cells += [row[places - step] + column, row[places + step] + column]
+            if len(cells) * len(places) >= _CELLS or step == _NEAR:
+                found += np.bincount(np.concatenate(cells), minlength=len(found))
+                cells = []
+    return found.reshape(-1, _COMPANY)[1:]
 
 
 def build_codes(counts: np.ndarray, tokens: np.ndarray) -> Codes:
@@ -130,13 +137,21 @@ def one_thread() -> None:
                 getattr(library, name)(1)
 
 
-def _softmax(x: np.ndarray) -> None:
+def _top(x: np.ndarray) -> np.ndarray:
+    """The largest of each row; rows are of a power of two of numbers."""
+    while x.shape[-1] > 1:
+        half = x.shape[-1] // 2
+        x = np.maximum(x[..., :half], x[..., half:])
+    return x
+
+
+def _softmax(x: np.ndarray, own: np.ndarray | None = None) -> None:
     """In place, over the last axis. Rows need no scaling by their largest value
-    where all of them keep within bounds."""
+    where all of them keep within bounds; ``own`` are values of which each row has
+    one, in place of all that may be far below."""
     rows = x.reshape(-1, x.shape[-1])
-    top = rows.max()
-    if top > _FAR or top < -_FAR or (rows.min() < -_FAR and rows.max(axis=1).min() < -_FAR):
-        rows -= rows.max(axis=1)[:, None]
+    if rows.max() > _FAR or (rows if own is None else own).min() < -_FAR:
+        rows -= _top(rows)
     np.exp(rows, out=rows)
     rows /= (rows @ np.ones(rows.shape[1], dtype=rows.dtype))[:, None]
 
@@ -173,70 +188,130 @@ def _steps(code: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     ]
 
 
+#: By leaf: the places of its branches among the choices of its way.
+_TAKEN = np.stack([level * BRANCH + branch for level, (_, branch) in enumerate(_steps(np.arange(LEAVES)))], axis=1)
 _AGO = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
+_EACH = np.arange(WINDOW)
+
+
+def _wide(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The products for queries, keys and values beside each other."""
+    return np.concatenate([w["query"] * np.float32(1 / np.sqrt(WIDTH)), w["key"], w["value"]], axis=1)
 
 
-def _attend(w: dict[str, np.ndarray], given: np.ndarray, end: int) -> tuple[np.ndarray, ...]:
-    """(x, q, k, v, a): inputs, queries, keys, values and attention of windows."""
-    x = w["embed"][given]
-    rows = x.reshape(-1, WIDTH)
-    q, k, v = (
-        (rows @ m).reshape(x.shape) for m in (w["query"] * np.float32(1 / np.sqrt(WIDTH)), w["key"], w["value"])
-    )
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(_AGO >= 0, w["distance"][np.maximum(_AGO, 0)], np.float32(-1e9))
+def _attend(
+    x: np.ndarray, wide: np.ndarray, distance: np.ndarray, given: np.ndarray, end: int
+) -> tuple[np.ndarray, ...]:
+    """(qkv, a): queries, keys and values beside each other, and attention, of
+    windows of inputs ``x``."""
+    qkv = (x.reshape(-1, WIDTH) @ wide).reshape(*given.shape, 3 * WIDTH)
+    a = qkv[..., :WIDTH] @ qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+    a += distance
     marks = given == end
     for i in np.flatnonzero(marks[:, 1:].any(axis=1)).tolist():  # windows with parts of several texts
         text = np.cumsum(marks[i])
         a[i][text[:, None] != text] = -1e9
-    _softmax(a)
-    return x, q, k, v, a
-
-
-def _tree(w: dict[str, np.ndarray], h: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray, dict]:
-    """(loss, gradient by ``h``, gradients of the tree) of the ways to ``wanted``."""
-    order = np.argsort(wanted.astype(np.uint16), kind="stable")  # by leaf, so by node at every level
-    sorted_h = np.ones((len(order), HIDDEN + 1), dtype=h.dtype)
-    np.take(h, order, axis=0, out=sorted_h[:, :-1])
-    rows, loss, out = np.arange(len(order)), 0.0, {}
-    back, p = np.zeros_like(sorted_h), np.empty((len(order), BRANCH), dtype=h.dtype)
-    part = np.empty_like(back)
-    for level, (node, branch) in enumerate(_steps(wanted[order])):
-        weights = w[f"level{level}"]
-        turned = np.ascontiguousarray(weights.transpose(0, 2, 1))
-        heads = np.flatnonzero(np.diff(node, prepend=-1))
-        groups = list(zip(heads.tolist(), np.append(heads[1:], len(node)).tolist(), node[heads].tolist(), strict=True))
-        for i, j, m in groups:
-            np.matmul(sorted_h[i:j], weights[m], out=p[i:j])
-        _softmax(p)
-        loss -= np.log(p[rows, branch] + 1e-12).sum()
-        p[rows, branch] -= 1
-        grads = np.zeros_like(weights)
-        for i, j, m in groups:
-            np.matmul(p[i:j], turned[m], out=part[i:j])
-            np.matmul(sorted_h[i:j].T, p[i:j], out=grads[m])
-        back += part
-        out[f"level{level}"] = grads
-    dh = np.empty_like(h)
-    dh[order] = back[:, :-1]
-    return float(loss), dh, out
-
-
-def _back(w: dict[str, np.ndarray], held: tuple[np.ndarray, ...], dz: np.ndarray, out: dict, ago: np.ndarray) -> np.ndarray:
+    _softmax(a, a[:, _EACH, _EACH])  # every row sees its own token
+    return qkv, a
+
+
+def _ways(w: dict[str, np.ndarray]) -> np.ndarray:
+    """By node of the last level: the weights of all choices on the way there,
+    beside each other."""
+    last = BRANCH ** (LEVELS - 1)
+    return np.concatenate([np.repeat(x, last // len(x), axis=0) for x in _levels(w)], axis=2)
+
+
+def _and_one(x: np.ndarray, value: float) -> np.ndarray:
+    """``x`` with one more column: 0 in the products and 1 in what is added to
+    them make the constant input of the tree."""
+    return np.concatenate([x, np.full_like(x[..., :1], value)], axis=-1)
+
+
+def _levels(w: dict[str, np.ndarray]) -> list[np.ndarray]:
+    return [w[f"level{level}"] for level in range(LEVELS)]
+
+
+def _by_way(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]:
+    """(order by leaf; for each in order the places of its branches among the
+    choices of its way; blocks of about ``_SORTED`` in order, as runs first ..
+    last with the same node of the last level)."""
+    order = np.argsort(wanted.astype(np.uint16), kind="stable")
+    leaf = wanted[order]
+    taken = np.take(_TAKEN, leaf, axis=0)
+    node = leaf // BRANCH
+    heads = np.flatnonzero(np.diff(node, prepend=-1))
+    blocks, begin = [[]], 0
+    for run in zip(heads.tolist(), np.append(heads[1:], len(node)).tolist(), node[heads].tolist(), strict=True):
+        if run[0] - begin >= _SORTED:
+            blocks.append([])
+            begin = run[0]
+        blocks[-1].append(run)
+    return order, taken, blocks
+
+
+def _tree(
+    w: dict[str, np.ndarray], z: np.ndarray, wanted: np.ndarray, out: dict[str, np.ndarray]
+) -> tuple[float, np.ndarray]:
+    """(loss, gradient by ``z``) of the ways to ``wanted`` from what the attention
+    gives; the gradients of the weights are put in ``out``."""
+    order, taken, blocks = _by_way(wanted)
+    ways, mix, turned = _ways(w), _and_one(w["mix"], 0), w["mix"].T
+    bias = _and_one(w["mix_bias"], 1)
+    grads, dz, loss = np.zeros_like(ways), np.empty_like(z), 0.0  # dz: in order
+    back = ways[:, :-1].transpose(0, 2, 1)  # the last row goes with a constant
+    out["mix"], out["mix_bias"] = np.zeros_like(w["mix"]), np.zeros_like(w["mix_bias"])
+    for runs in blocks if len(order) else ():
+        first, last = runs[0][0], runs[-1][1]
+        own, n = order[first:last], last - first
+        x = np.take(z, own, axis=0)
+        h = x @ mix
+        h += bias
+        np.maximum(h, 0, out=h)
+        p, dh = np.empty((n, LEVELS * BRANCH), dtype=z.dtype), np.empty((n, HIDDEN), dtype=z.dtype)
+        for i, j, m in runs:
+            np.matmul(h[i - first : j - first], ways[m], out=p[i - first : j - first])
+        _softmax(p.reshape(-1, BRANCH))
+        flat, at = p.reshape(-1), (taken[first:last] + (np.arange(n) * LEVELS * BRANCH)[:, None]).reshape(-1)
+        held = flat[at]
+        loss -= np.log(held + 1e-12).sum()
+        flat[at] = held - 1
+        for i, j, m in runs:
+            part = p[i - first : j - first]
+            np.matmul(part, back[m], out=dh[i - first : j - first])
+            np.matmul(h[i - first : j - first].T, part, out=grads[m])
+        dh *= h[:, :-1] > 0
+        out["mix"] += x.T @ dh
+        out["mix_bias"] += np.ones(n, dtype=dh.dtype) @ dh
+        np.matmul(dh, turned, out=dz[first:last])
+    for level, x in enumerate(_levels(w)):
+        part = grads[:, :, level * BRANCH : (level + 1) * BRANCH]
+        out[f"level{level}"] = part.reshape(len(x), -1, *x.shape[1:]).sum(axis=1)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return float(loss), np.take(dz, place, axis=0)
+
+
+def _back(
+    x: np.ndarray, wide: np.ndarray, held: tuple[np.ndarray, ...], dz: np.ndarray, dwide: np.ndarray, ago: np.ndarray
+) -> np.ndarray:
     """Gradient by the inputs of some windows; those of their weights are added."""
-    x, q, k, v, a = held
-    dc = np.ascontiguousarray(dz[:, :, WIDTH:])
+    qkv, a = held
+    q, k, v = (qkv[..., i : i + WIDTH] for i in (0, WIDTH, 2 * WIDTH))
+    own, dc = dz[:, :, :WIDTH], dz[:, :, WIDTH:]
     ds = dc @ v.transpose(0, 2, 1)
-    ds -= ((a * ds).reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=ds.dtype)).reshape(*ds.shape[:2], 1)
     ds *= a
+    ds -= a * (ds.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=ds.dtype)).reshape(*ds.shape[:2], 1)
     ago += np.ones(len(ds), dtype=ds.dtype) @ ds.reshape(len(ds), -1)
-    own, rows = dz[:, :, :WIDTH].reshape(-1, WIDTH), x.reshape(-1, WIDTH)
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    for name, d in (("query", (ds @ k) * scale), ("key", ds.transpose(0, 2, 1) @ q), ("value", a.transpose(0, 2, 1) @ dc)):
-        d = d.reshape(-1, WIDTH)
-        out[name] += rows.T @ d
-        own = own + d @ w[name].T
-    return own
+    d = np.empty_like(qkv)
+    np.matmul(ds, k, out=d[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[..., WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dc, out=d[..., 2 * WIDTH :])
+    d = d.reshape(-1, 3 * WIDTH)
+    dwide += x.reshape(-1, WIDTH).T @ d
+    dx = d @ wide.T
+    dx += own.reshape(-1, WIDTH)
+    return dx
 
 
 def _summed_rows(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -253,22 +328,21 @@ def _gradients(w: dict[str, np.ndarray], tokens: np.ndarray, end: int) -> tuple[
     """Mean loss and gradients over windows of WINDOW + 1 codes."""
     given, wanted = tokens[:, :-1], tokens[:, 1:].reshape(-1)
     parts = [slice(i, i + MICRO) for i in range(0, len(given), MICRO)]
-    held = [_attend(w, given[p], end) for p in parts]
+    wide, distance = _wide(w), np.where(_AGO >= 0, w["distance"][np.maximum(_AGO, 0)], np.float32(-1e9))
+    x, held = np.take(w["embed"], given, axis=0), []
     z = np.empty((*given.shape, 2 * WIDTH), dtype=w["embed"].dtype)
-    for p, (x, _, _, v, a) in zip(parts, held, strict=True):
-        z[p, :, :WIDTH] = x
-        np.matmul(a, v, out=z[p, :, WIDTH:])
-    flat = z.reshape(-1, 2 * WIDTH)
-    h = flat @ w["mix"]
-    h += w["mix_bias"]
-    np.maximum(h, 0, out=h)
-    loss, dh, out = _tree(w, h, wanted)
-    dh *= h > 0
-    out["mix"], out["mix_bias"] = flat.T @ dh, np.ones(len(dh), dtype=dh.dtype) @ dh
-    dz = (dh @ w["mix"].T).reshape(z.shape)
-    ago = np.zeros(WINDOW * WINDOW, dtype=z.dtype)
-    out |= {name: np.zeros_like(w[name]) for name in ("query", "key", "value")}
-    dx = np.concatenate([_back(w, x, dz[p], out, ago) for p, x in zip(parts, held, strict=True)])
+    z[..., :WIDTH] = x
+    for p in parts:
+        qkv, a = _attend(x[p], wide, distance, given[p], end)
+        np.matmul(a, qkv[..., 2 * WIDTH :], out=z[p, :, WIDTH:])
+        held.append((qkv, a))
+    out: dict[str, np.ndarray] = {}
+    loss, dz = _tree(w, z.reshape(-1, 2 * WIDTH), wanted, out)
+    dz = dz.reshape(z.shape)
+    ago, dwide = np.zeros(WINDOW * WINDOW, dtype=z.dtype), np.zeros_like(wide)
+    dx = np.concatenate([_back(x[p], wide, h, dz[p], dwide, ago) for p, h in zip(parts, held, strict=True)])
+    out["query"], out["key"], out["value"] = np.split(dwide, 3, axis=1)
+    out["query"] = out["query"] * np.float32(1 / np.sqrt(WIDTH))
     out["distance"] = np.bincount(np.maximum(_AGO, 0).reshape(-1), ago, minlength=WINDOW).astype(z.dtype)
     out["embed"] = _summed_rows(LEAVES, given.reshape(-1), dx)
     return loss / len(wanted), {name: g / np.float32(len(wanted)) for name, g in out.items()}
@@ -348,86 +422,89 @@ class Scorer:
         scale = np.float32(1 / np.sqrt(WIDTH))
         self.query = w["embed"] @ w["query"] * scale  # by code, made once
         self.key, self.value = w["embed"] @ w["key"], w["embed"] @ w["value"]
-        self.direct = w["embed"] @ w["mix"][:WIDTH] + w["mix_bias"]
+        self.mix = _and_one(w["mix"], 0)
+        self.direct = w["embed"] @ self.mix[:WIDTH] + _and_one(w["mix_bias"], 1)
+        self.ways = _ways(w)
         ago = (WINDOW - SCORED + np.arange(SCORED))[:, None] - np.arange(WINDOW)
         self.bias = np.where(ago >= 0, w["distance"][np.maximum(ago, 0)], np.float32(-1e9)).astype(np.float32)
 
     def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of each text ids[first[i]:first[i + 1]] and
         its end. Every token is scored once, in the window that ends with it and
-        at most SCORED - 1 others; what stands further back gives context."""
+        at most SCORED - 1 others; what stands further back gives context.
+
+        The texts are laid out in blocks of SCORED tokens, each text from a new
+        block on: a window is a block, with what stands before it."""
         one_thread()
-        size = np.diff(first) + 1
-        begin = np.concatenate([[0], np.cumsum(size)])
-        stream = np.full(begin[-1] + 1, self.codes.end, dtype=np.int64)
-        body = np.ones(len(stream), dtype=bool)
-        body[begin] = False
-        stream[body] = ids
-        given, wanted = self.codes.code[stream[:-1]], stream[1:].copy()
-        wanted[begin[1:] - 1] = self.codes.end
-        windows = -(-size // SCORED)
-        number = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        low, high = np.repeat(begin[:-1], windows), np.repeat(begin[1:], windows)
-        at = low + number * SCORED
-        out = np.empty(len(wanted), dtype=np.float32)
+        size = np.diff(first)
+        blocks = size // SCORED + 1
+        begin = np.concatenate([[0], np.cumsum(blocks)])
+        at = np.repeat(begin[:-1] * SCORED - first[:-1] + first[0], size) + np.arange(first[-1] - first[0])
+        n = int(begin[-1]) * SCORED
+        given = np.full(WINDOW - SCORED + n, self.codes.code[self.codes.end], dtype=np.int64)
+        body = ids[first[0] : first[-1]]
+        given[WINDOW - SCORED + 1 + at] = self.codes.code[body]  # each text is begun by the end mark
+        wanted = np.full(n, self.codes.end, dtype=np.int64)
+        wanted[at] = body
+        live = np.zeros(n, dtype=bool)
+        live[at] = True
+        live[begin[:-1] * SCORED + size] = True
+        out = np.zeros(n, dtype=np.float32)
         step = max(1, _AT_ONCE // SCORED)
-        for i in range(0, len(at), step):
-            part = slice(i, i + step)
-            self._windows(given, wanted, at[part], low[part], high[part], out)
-        out += self.codes.share[wanted]
+        for i in range(0, int(begin[-1]), step):
+            j = min(i + step, int(begin[-1]))
+            heads = begin[np.searchsorted(begin, i) : np.searchsorted(begin, j)] - i
+            part = slice(i * SCORED, j * SCORED)
+            goal = np.flatnonzero(live[part])
+            want = wanted[part][goal]
+            logs = self._windows(given[i * SCORED : j * SCORED + WINDOW - SCORED], heads, goal, self.codes.code[want])
+            out[part][goal] = logs + self.codes.share[want]
         sums = np.concatenate([[0.0], np.cumsum(out, dtype=np.float64)])
-        return sums[begin[1:]] - sums[begin[:-1]]
-
-    def _windows(self, given, wanted, at, low, high, out) -> None:
-        w = self.w
-        places = at[:, None] + np.arange(WINDOW - SCORED) - (WINDOW - SCORED)
-        scored = at[:, None] + np.arange(SCORED)
-        live = scored < high[:, None]
-        keys = np.concatenate([places, scored], axis=1)
-        code = given[np.clip(keys, 0, len(given) - 1)]
-        a = self.query[code[:, WINDOW - SCORED :]] @ self.key[code].transpose(0, 2, 1)
+        return sums[begin[1:] * SCORED] - sums[begin[:-1] * SCORED]
+
+    def _windows(self, code: np.ndarray, heads: np.ndarray, at: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Log probability of the codes ``goal`` after the places ``at`` of blocks
+        of running codes, begun by what stands before; ``heads`` begin a text."""
+        key, value = (
+            np.lib.stride_tricks.sliding_window_view(np.take(x, code, axis=0), WINDOW, axis=0)[::SCORED]
+            for x in (self.key, self.value)
+        )  # by block: number by place
+        code = code[WINDOW - SCORED :]
+        a = np.take(self.query, code, axis=0).reshape(-1, SCORED, WIDTH) @ key
         a += self.bias
-        # only windows at the ends of a text reach beyond it
-        edge = np.flatnonzero((keys[:, 0] < low) | (keys[:, -1] >= high))
-        seen = (keys[edge] >= low[edge, None]) & (keys[edge] < high[edge, None])
-        a[edge] += np.where(seen, np.float32(0), np.float32(-1e9))[:, None, :]
+        a[heads, :, : WINDOW - SCORED] = -1e9  # there stands another text
         # every row sees its own token: where that keeps within bounds, the
         # exponentials need no scaling by the largest value of the row
-        own = a[:, _OWN, _OWN + WINDOW - SCORED]
-        if a.max() > _FAR or own.min() < -_FAR:
-            a -= a.max(axis=-1, keepdims=True)
+        if a.max() > _FAR or a[:, _OWN, _OWN + WINDOW - SCORED].min() < -_FAR:
+            a -= _top(a)
         np.exp(a, out=a)
         total = a @ np.ones(WINDOW, dtype=np.float32)
-        context = a @ self.value[code]
+        context = a @ value.transpose(0, 2, 1)
         context /= total[:, :, None]
-        whole = live.all()
-        h = (context.reshape(-1, WIDTH) if whole else context[live]) @ w["mix"][WIDTH:]
-        given = code[:, WINDOW - SCORED :]
-        h += self.direct[given.reshape(-1) if whole else given[live]]
-        np.maximum(h, 0, out=h)
-        scored = scored[live]
-        goal = self.codes.code[wanted[scored]]
-        order = np.argsort(goal.astype(np.uint16), kind="stable")  # by node at every level
-        rows = np.arange(len(order))
-        sorted_h = np.ones((len(order), HIDDEN + 1), dtype=np.float32)
-        np.take(h, order, axis=0, out=sorted_h[:, :-1])
-        total, logits = np.zeros(len(order), dtype=np.float32), np.empty((len(order), BRANCH), dtype=np.float32)
-        for level, (node, branch) in enumerate(_steps(goal[order])):
-            weights = w[f"level{level}"]
-            heads = np.flatnonzero(np.diff(node, prepend=-1))
-            ends = np.append(heads[1:], len(node)).tolist()
-            for i, j, n in zip(heads.tolist(), ends, node[heads].tolist(), strict=True):
-                np.matmul(sorted_h[i:j], weights[n], out=logits[i:j])
-            total += logits[rows, branch]
-            total -= _log_sum(logits)
-        out[scored[order]] = total
+        context, mix = context.reshape(-1, WIDTH), self.mix[WIDTH:]
+        order, taken, blocks = _by_way(goal)
+        out = np.empty(len(goal), dtype=np.float32)
+        for runs in blocks if len(order) else ():
+            first, last = runs[0][0], runs[-1][1]
+            own, n = at[order[first:last]], last - first
+            h = np.take(context, own, axis=0) @ mix
+            h += np.take(self.direct, code[own], axis=0)
+            np.maximum(h, 0, out=h)
+            logits = np.empty((n, LEVELS * BRANCH), dtype=np.float32)
+            for i, j, m in runs:
+                np.matmul(h[i - first : j - first], self.ways[m], out=logits[i - first : j - first])
+            chosen = logits.reshape(-1)[taken[first:last] + (np.arange(n) * LEVELS * BRANCH)[:, None]]
+            chosen -= _log_sum(logits.reshape(-1, BRANCH)).reshape(n, LEVELS)
+            out[order[first:last]] = chosen @ np.ones(LEVELS, dtype=np.float32)
+        return out
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Log of the sum of exponentials by row; ``x`` is used up."""
     ones, top = np.ones(x.shape[1], dtype=x.dtype), 0
     if x.max() > _FAR or x.min() < -_FAR:
-        top = x.max(axis=1)
-        x -= top[:, None]
+        top = _top(x)
+        x -= top
+        top = top[:, 0]
     np.exp(x, out=x)
     return np.log(x @ ones) + top

@@ -1,15 +1,14 @@
 """Scoring of whole texts by a language model learned from the corpus.
 
-Three passes. The first counts the words of all training texts; every distinct
-word is then cut into subword ids once, which gives the corpus counts of all
-ids. The second writes all training texts as ids; the attention model takes its
-codes from the company that ids keep in all of them, its starting probabilities
-from the counts, and its weights are fitted on every token, in rounds: parts of
-the corpus go on from the same weights, and the mean of theirs begins the next.
-The last pass scores every text: words that are frequent in the corpus (at most
-``FREQUENT``) have their counts and ids in a table that is sent to the workers;
-for all other words the counts are joined, so the base score is exact whatever
-the size of the vocabulary.
+Three passes. The first counts the words of all training texts. The second writes
+every text as subword ids, with its base score; ids are counted there. Words that are
+frequent in the corpus (at most ``FREQUENT``) have their counts and ids in a table
+that is sent to the workers; for all other words the counts are joined, so the
+base score is exact whatever the size of the vocabulary. The attention model takes
+its codes from the company that ids keep in all training texts, its starting
+probabilities from the counts, and its weights are fitted on every token, in
+rounds: parts of the corpus go on from the same weights, and the mean of theirs
+begins the next. The last pass scores the ids of every text.
 """
 
 import os
@@ -19,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeline.llm import attention, columns
 from citeline.llm import words as W
@@ -27,16 +27,19 @@ from citeline.llm.token_counts import file_path
 
 #: Words whose counts and ids are sent to every worker, at most.
 FREQUENT = 1 << 19
+#: Bytes of text whose words are told apart at a time.
+AT_ONCE = 1 << 21
 #: Rounds that the way over the training texts is taken in.
 ROUNDS = 4
+#: Tokens of a part for one that it is to see: parts are dealt by hashes, which
+#: leaves some a little short, and a short part is gone through twice.
+ROOM = 1.125
 #: Numbers of a vector that are summed in one row.
 BLOCK = 1 << 12
 FOLDS = 10
 TOKENIZER = "byte_bpe_50k.json"
 SMOOTH = 0.1
 
-RESULT = "struct<n_tokens:bigint,n_known:bigint,logs:double,model:double,rest:array<string>>"
-
 
 def held_out(doc_id: str) -> Column:
     """crc32 of the id as text, mod 10, is 0. A null id is never learned from."""
@@ -74,7 +77,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets in W.units(batch, text):
+            for _, data, offsets in W.units(batch, text, AT_ONCE):
                 words = W.split(data, offsets, W.SPACED_LOWER)
                 number, distinct = words.codes
                 yield pa.RecordBatch.from_arrays(
@@ -107,20 +110,22 @@ def _with_pieces(counted: DataFrame, tokenizer: str) -> DataFrame:
     )
 
 
-def _id_counts(cut: DataFrame, size: int) -> np.ndarray:
-    """Corpus counts of all subword ids: one row per id reaches the driver."""
+def _id_counts(cut: DataFrame, size: int, kind: type = np.int32) -> np.ndarray:
+    """Corpus counts of all subword ids of words that occur ``c`` times, or of whole
+    texts: one row per id reaches the driver."""
+    each = "c" in cut.columns
 
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
             data, offsets = W.buffers(batch.column("ids"))
-            c = batch.column("c").to_numpy(zero_copy_only=False)
-            ids = data.view(np.int32) if len(data) else np.empty(0, dtype=np.int32)
-            total += np.bincount(ids, np.repeat(c, np.diff(offsets) // 4), minlength=size)
+            ids = np.frombuffer(data.tobytes(), dtype=kind)
+            c = np.repeat(batch.column("c").to_numpy(zero_copy_only=False), np.diff(offsets) // ids.itemsize) if each else None
+            total += np.bincount(ids, c, minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "c"])
 
-    summed = cut.select("c", "ids").mapInArrow(run, "id bigint, c double").groupBy("id").agg(F.sum("c").alias("c"))
+    summed = W.bounded_batches(cut.select(*["c"] * each, "ids")).mapInArrow(run, "id bigint, c double").groupBy("id").agg(F.sum("c").alias("c"))
     out = np.zeros(size)
     for r in summed.collect():
         out[r["id"]] = r["c"]
@@ -159,6 +164,23 @@ class Frequent:
         return Cut(ids, first, index, place, known, rare, raw)
 
 
+    def base(self, words: W.Words, cut: "Cut") -> list[pa.Array]:
+        """By text: words and end; words that are in the table; the sum of the logs
+        of their smoothed counts; and the words that are not."""
+        c = self.counts[cut.place] if len(self.hashes) else np.zeros(len(cut.known))
+        held = cut.known[cut.index]
+        logs = np.where(cut.known, np.log10(c + SMOOTH), 0.0)[cut.index]
+        name = np.zeros(len(cut.known), dtype=np.int64)
+        name[cut.rare] = np.arange(len(cut.rare))
+        rest = pa.array(cut.raw, pa.binary()).cast(pa.string()).take(pa.array(name[cut.index[~held]]))
+        return [
+            pa.array(np.diff(words.first) + 1),
+            pa.array(W.per_text(held, words.first)),
+            pa.array(W.per_text(logs, words.first, np.float64)),
+            columns.lists(rest, W.per_text(~held, words.first)),
+        ]
+
+
 @dataclass
 class Cut:
     """Ids of some texts, those of text i at first[i] .. first[i + 1]; and for
@@ -174,17 +196,21 @@ class Cut:
     raw: list[bytes]
 
 
-def _frequent(cut: DataFrame, most: int) -> tuple[Frequent, int]:
-    """The words from the least count with which there are at most ``most``."""
+def _frequent(counted: DataFrame, most: int, tokenizer: str = TOKENIZER) -> tuple[Frequent, int]:
+    """The words from the least count with which there are at most ``most``. Words
+    without ids are cut here."""
     sizes = sorted(
-        (r["c"], r["count"]) for r in cut.groupBy(F.least("c", F.lit(1 << 20)).alias("c")).count().collect()
+        (r["c"], r["count"]) for r in counted.groupBy(F.least("c", F.lit(1 << 20)).alias("c")).count().collect()
     )
     least, held = (1 << 20) + 1, 0
     for c, n in reversed(sizes):
         if held + n > most:
             break
         least, held = c, held + n
-    table = cut.where(F.col("c") >= least).select("hash", "c", "ids").toArrow().combine_chunks()
+    chosen = counted.where(F.col("c") >= least)
+    if "ids" not in counted.columns:
+        chosen = _with_pieces(chosen, tokenizer)
+    table = chosen.select("hash", "c", "ids").toArrow().combine_chunks()
     hashes = table["hash"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     data, offsets = W.buffers(table["ids"].take(pa.array(order)))
@@ -198,31 +224,47 @@ def _kind(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-def _running(training: DataFrame, doc_id: str, text: str, frequent: Frequent, tokenizer: str) -> DataFrame:
-    """(h, ids): every training text, whole, as the bytes of its ids, and a
-    number by which it is dealt out."""
-    sent = training.sparkSession.sparkContext.broadcast(frequent)
+def _running(docs: DataFrame, doc_id: str, text: str, frequent: Frequent, tokenizer: str) -> DataFrame:
+    """(doc_id, h, ids, n_tokens, n_known, logs, rest): every text, whole, as the
+    bytes of its ids, and a number by which it is dealt out; its words and end;
+    how many words the table has, and the sum of the logs of their smoothed
+    counts; and all other words."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
     kind = _kind(pieces(tokenizer).size)
+    names = ["doc_id", "h", "ids", "n_tokens", "n_known", "logs", "rest"]
 
     def run(batches):
         for batch in batches:
-            for rows, data, offsets in W.units(batch, "text"):
-                cut = sent.value.cut(W.split(data, offsets, W.SPACED_LOWER), tokenizer)
+            for rows, data, offsets in W.units(batch, "text", AT_ONCE):
+                words = W.split(data, offsets, W.SPACED_LOWER)
+                cut = sent.value.cut(words, tokenizer)
                 raw = cut.ids.astype(kind)
                 packed = [raw[a:b].tobytes() for a, b in zip(cut.first[:-1].tolist(), cut.first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("h"), pa.array(packed, pa.binary())], names=["h", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("h"), pa.array(packed, pa.binary()), *sent.value.base(words, cut)],
+                    names=names,
+                )
+
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("text"))
+    kinds = [T.BinaryType(), T.LongType(), T.LongType(), T.DoubleType(), T.ArrayType(T.StringType())]
+    schema = keyed.select("doc_id", "h").schema
+    for name, own in zip(names[2:], kinds, strict=True):
+        schema.add(name, own)
+    return W.bounded_batches(keyed).mapInArrow(run, schema)
 
-    keyed = training.select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("text"))
-    return W.bounded_batches(keyed).mapInArrow(run, "h bigint, ids binary")
+
+def _ids(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first): the ids of some rows of ``_running`` from their bytes."""
+    kind = np.dtype(_kind(size))
+    return np.frombuffer(data.tobytes(), dtype=kind), offsets // kind.itemsize
 
 
 def _marked(batch: pa.RecordBatch, end: int) -> list[np.ndarray]:
     """The texts of a batch of ``_running``, each begun by the end mark."""
-    data, offsets = W.buffers(batch.column("ids"))
-    kind = np.dtype(_kind(end))
-    ids = data.view(kind).astype(np.int64) if len(data) else np.empty(0, dtype=np.int64)
-    at = (offsets // kind.itemsize).tolist()
-    return [np.concatenate([[end], ids[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    ids, first = _ids(*W.buffers(batch.column("ids")), end)
+    ids, at = ids.astype(np.int32), first.tolist()
+    mark = np.array([end], dtype=np.int32)
+    return [np.concatenate([mark, ids[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _BLOCK = "block int, values binary, n double, part int"
@@ -292,11 +334,16 @@ def _company(running: DataFrame, ids: np.ndarray) -> np.ndarray:
     return _summed(rows, shape[0] * shape[1])[0].reshape(shape)
 
 
+def parts_of(tokens: int, least: int) -> int:
+    """Into how many parts a corpus is dealt."""
+    return max(1, int(tokens / (ROOM * least)))
+
+
 def _fit(running: DataFrame, ids: np.ndarray, least: int) -> attention.Scorer:
     """The model fitted on all training texts, every token of which some part is
     to tell from those before it.
 
-    The corpus is dealt by hashes of its rows to parts of about ``least`` tokens.
+    The corpus is dealt by hashes of its rows to parts of somewhat over ``least`` tokens.
     A part's way leads over all its windows, shuffled, again and again until it has
     seen ``least`` tokens. It is taken in ``ROUNDS``: in each, every part goes on
     from the same weights, and the mean of the parts' weights begins the next. What
@@ -307,7 +354,7 @@ def _fit(running: DataFrame, ids: np.ndarray, least: int) -> attention.Scorer:
     tokens, end = int(ids.sum()), int(codes.code[codes.end])
     if tokens < attention.WINDOW + 2:
         return attention.Scorer(codes, attention.blank_weights(codes))
-    w, parts = attention.start_weights(codes), max(1, tokens // least)
+    w, parts = attention.start_weights(codes), parts_of(tokens, least)
     shapes, cuts = {name: x.shape for name, x in w.items()}, np.cumsum([x.size for x in w.values()])
     dealt = running.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).select("part", "h", "ids")
     for turn in range(ROUNDS):
@@ -315,10 +362,11 @@ def _fit(running: DataFrame, ids: np.ndarray, least: int) -> attention.Scorer:
 
         def run(batches, sent=sent, turn=turn):
             codes, start = sent.value
+            code = codes.code.astype(np.uint16)  # a part is held whole
 
             def fitted(part, texts):
                 """Blocks of the weights of one part."""
-                stream = np.append(codes.code[np.concatenate(texts)], end)
+                stream = np.concatenate([*texts, code[-1:]])
                 fitter = attention.Fitter(start, end, (13, part))
                 passes = attention.passes_over(len(stream), least)
                 fitter.walk(stream, attention.rate_after, passes, turn, ROUNDS)
@@ -332,7 +380,7 @@ def _fit(running: DataFrame, ids: np.ndarray, least: int) -> attention.Scorer:
                         if held:
                             yield from fitted(now, held)
                         held, now = [], part
-                    held.append(text)
+                    held.append(code[text])
             if held:
                 yield from fitted(now, held)
 
@@ -347,40 +395,17 @@ def _fit(running: DataFrame, ids: np.ndarray, least: int) -> attention.Scorer:
 
 @dataclass
 class Model:
-    frequent: Frequent
+    """The fitted scorer, and what the base score takes from all training texts:
+    their tokens, different words and ends."""
+
     scorer: attention.Scorer
     total: int
     distinct: int
     ends: int
-    tokenizer: str
-
-    def log10(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-        words = W.split(data, offsets, W.SPACED_LOWER)
-        table = self.frequent
-        cut = table.cut(words, self.tokenizer)
-        index, place, known, rare, raw = cut.index, cut.place, cut.known, cut.rare, cut.raw
-        model = self.scorer.score(cut.ids, cut.first) / np.log(10)
-        c = np.where(known, table.counts[place] if len(table.hashes) else 0, 0)
-        logs = np.where(known, self.log10(c), 0.0)[index]
-        held = known[index]
-        texts = np.diff(words.first)
-        others = np.flatnonzero(~held)
-        name = np.zeros(len(known), dtype=np.int64)
-        name[rare] = np.arange(len(rare))
-        rest = pa.array(raw, pa.binary()).cast(pa.string()).take(pa.array(name[index[others]]))
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(texts + 1),
-                pa.array(W.per_text(held, words.first) + int(self.ends > 0)),
-                pa.array(W.per_text(logs, words.first, np.float64) + float(self.log10(np.float64(self.ends)))),
-                pa.array(model),
-                columns.lists(rest, W.per_text(~held, words.first)),
-            ],
-            names=["n_tokens", "n_known", "logs", "model", "rest"],
-        )
+
+    @property
+    def scale(self) -> float:
+        return self.total + SMOOTH * (self.distinct + 1)
 
 
 def learn(
@@ -390,19 +415,40 @@ def learn(
     tokenizer: str = TOKENIZER,
     frequent: int = FREQUENT,
     least: int = attention.SEEN,
-) -> tuple[Model, DataFrame]:
-    """The model of the rows that are not held out, and the table (word, c) of
-    all their words."""
+) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the rows that are not held out, the table (word, c) of all
+    their words, and all rows, held out or not, as ``_running`` has them, with a
+    number ``row``. Texts are cut into ids once, for fitting and for scoring."""
     training = docs.where(~held_out(doc_id)).select(doc_id, text)
     sizes = training.agg(F.count("*").alias("n")).first()
-    counted = store(_with_pieces(count_words(training, text), tokenizer))
+    counted = store(count_words(training, text))
     sums = counted.agg(F.count("*").alias("n"), F.sum("c").alias("c")).first()
-    cut = pieces(tokenizer)
-    ids = np.append(_id_counts(counted, cut.size), float(sizes["n"]))
-    table, _ = _frequent(counted, frequent)
-    scorer = _fit(store(_running(training, doc_id, text, table, tokenizer)), ids, least)
+    table, _ = _frequent(counted, frequent, tokenizer)
+    running = store(_running(docs, doc_id, text, table, tokenizer).withColumn("row", F.monotonically_increasing_id()))
+    fitted, size = running.where(~held_out("doc_id")).select("h", "ids"), pieces(tokenizer).size
+    ids = np.append(_id_counts(fitted.select("ids"), size, _kind(size)), float(sizes["n"]))
+    scorer = _fit(fitted, ids, least)
     total, distinct = (sums["c"] or 0) + sizes["n"], sums["n"] + int(sizes["n"] > 0)
-    return Model(table, scorer, total, distinct, sizes["n"], tokenizer), counted.select("word", "c")
+    return Model(scorer, total, distinct, sizes["n"]), counted.select("word", "c"), running
+
+
+def _scored(running: DataFrame, scorer: attention.Scorer) -> DataFrame:
+    """(row, doc_id, n_tokens, n_known, logs, model): the model's log10
+    probabilities of texts that are cut into ids."""
+    sent = running.sparkSession.sparkContext.broadcast(scorer)
+    names = ["row", "doc_id", "n_tokens", "n_known", "logs"]
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in W.units(batch, "ids"):
+                logs = sent.value.score(*_ids(data, offsets, sent.value.codes.end)) / np.log(10)
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(n) for n in names), pa.array(logs)], names=[*names, "model"]
+                )
+
+    return W.bounded_batches(running.select(*names, "ids")).mapInArrow(
+        run, running.select(*names).schema.add("model", T.DoubleType())
+    )
 
 
 def score_texts(
@@ -421,33 +467,28 @@ def score_texts(
     itself. Without training rows all words are unknown and the model is uniform
     but for its random start; an empty table gives no rows.
     """
-    model, counts = learn(docs, doc_id, text, tokenizer, frequent, least)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    scored = columns.add_struct(docs.select(doc_id, text), text, "lm", RESULT, lambda: sent.value)
-    held = store(
-        scored.select(F.col(doc_id).alias("doc_id"), "lm.*").withColumn("row", F.monotonically_increasing_id())
-    )
-    each = held.select("row", F.explode("rest").alias("word"))
-    scale = model.total + SMOOTH * (model.distinct + 1)
+    model, counts, running = learn(docs, doc_id, text, tokenizer, frequent, least)
+    each = running.select("row", F.explode("rest").alias("word"))
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = (
         each.join(counts, "word", "left")
         .groupBy("row")
         .agg(
             F.sum((c > 0).cast("long")).alias("more_known"),
-            F.sum(F.log10((c + F.lit(SMOOTH)) / F.lit(float(scale)))).alias("more_logs"),
+            F.sum(F.log10(c + F.lit(SMOOTH))).alias("more_logs"),
         )
     )
+    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(float(np.log10(model.ends + SMOOTH)))
     return (
-        held.drop("rest")
+        _scored(running, model.scorer)
         .join(rest, "row", "left")
         .select(
             F.col("doc_id").alias(doc_id),
             held_out("doc_id").alias("held_out"),
             "n_tokens",
-            (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+            (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(model.ends > 0))).alias("n_known"),
             F.lit(model.total).cast("long").alias("train_tokens"),
-            (F.col("logs") + F.coalesce("more_logs", F.lit(0.0))).alias("base_score"),
+            (logs - F.col("n_tokens") * F.lit(float(np.log10(model.scale)))).alias("base_score"),
             F.col("model").alias("score"),
         )
     )

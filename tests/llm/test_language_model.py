@@ -230,3 +230,50 @@ def test_words_that_simple_hashes_confuse(spark):
     scale = 7 + 0.1 * 4
     assert found[free[0]]["base_score"] == pytest.approx(math.log10(3.1 / scale) + math.log10(3.1 / scale))
     assert found[free[2]]["base_score"] == pytest.approx(math.log10(1.1 / scale) + math.log10(3.1 / scale))
+
+
+def test_parts_are_gone_through_once():
+    """Hashes deal unevenly: no part may fall short of what it is to see."""
+    rng = np.random.default_rng(3)
+    sizes = rng.lognormal(7, 0.7, 40_000).astype(int)
+    tokens = int(sizes.sum())
+    for k in (4, 7, 15):
+        least = int(tokens / (k + 0.02))  # nearly so many parts as there is room for
+        parts = L.parts_of(tokens, least)
+        dealt = np.bincount(rng.integers(0, parts, len(sizes)), sizes, minlength=parts).astype(int)
+        assert [A.passes_over(n, least) for n in dealt] == [1] * parts
+        assert parts > tokens / least / 1.5
+    assert L.parts_of(0, 10) == L.parts_of(19, 10) == 1
+
+
+def test_texts_are_cut_once_for_fitting_and_scoring(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(i % 60)), "x") for i in range(200)]
+    model, counts, running = L.learn(table(spark, [*rows, (None, None, "x")], DOCS), least=4_000)
+    assert counts.columns == ["word", "c"] and running.count() == len(rows) + 1
+    size = L.pieces(L.TOKENIZER).size
+    fitted = running.where(~L.held_out("doc_id"))
+    cut = L._with_pieces(L.count_words(table(spark, rows, DOCS).where(~L.held_out("doc_id")), "text"), L.TOKENIZER)
+    assert np.array_equal(L._id_counts(fitted.select("ids"), size, L._kind(size)), L._id_counts(cut, size))
+    found = {r["doc_id"]: r["model"] for r in L._scored(running, model.scorer).collect()}
+    for doc, text, _ in rows[::17]:
+        ids = np.array([i for x in L.pieces(L.TOKENIZER)(text.encode().split()) for i in x], dtype=int)
+        own = model.scorer.score(ids, np.array([0, len(ids)]))[0] / np.log(10)
+        assert found[doc] == pytest.approx(own, rel=1e-4)
+
+
+def test_pieces_of_the_work_do_not_change_it(monkeypatch):
+    tokens, counts, codes, weights = trained()
+    scorer, end = A.Scorer(codes, weights), int(codes.code[codes.end])
+    windows = codes.code[tokens][np.arange(40)[:, None] * 37 + np.arange(A.WINDOW + 1)]
+    first = np.array([0, 3, 3, 60, 61, 400])
+    loss, grads = A._gradients(weights, windows, end)
+    company, scores = A.company_of(counts, [tokens[:900], tokens[900:2000]]), scorer.score(tokens[:400] % end, first)
+    assert np.allclose(scorer.score(tokens[:400] % end, first[2:]), scores[2:], rtol=1e-4)
+    monkeypatch.setattr(A, "_SORTED", 8)
+    monkeypatch.setattr(A, "_CELLS", 64)
+    monkeypatch.setattr(A, "_AT_ONCE", 16)
+    again, others = A._gradients(weights, windows, end)
+    assert again == pytest.approx(loss, rel=1e-5)
+    assert all(np.allclose(others[k], grads[k], rtol=1e-3, atol=1e-6) for k in grads)
+    assert np.array_equal(A.company_of(counts, [tokens[:900], tokens[900:2000]]), company)
+    assert np.allclose(scorer.score(tokens[:400] % end, first), scores, rtol=1e-4)
