@@ -7,7 +7,7 @@ from checks.retrieval import NEAR, rank_sql
 from citeline.functions import lexemes as lx
 from citeline.operators import term_index
 from citeline.session import shared_path
-from citeline.sources.tables import benchmark_questions, document_chunks, spread
+from citeline.sources.tables import benchmark_questions, document_texts, spread
 
 
 def tokens_sql(text: str) -> str:
@@ -71,9 +71,8 @@ FROM ({rank_sql("scores", NEAR, 20, 1)})""",
 )
 def lexeme_topk(spark, folder):
     """BM25 from a term index that was cut by these tokens."""
-    chunks = document_chunks(spark, folder).select("chunk_id", "content")
     index = term_index.write_index(
-        chunks, shared_path(spark, "lexemes"), cut=lx.lexemes, cut_question=lx.query_lexemes
+        document_texts(spark, folder), shared_path(spark, "lexemes"), cut=lx.lexemes, cut_question=lx.query_lexemes
     )
     asked = benchmark_questions(spark, folder).select("question_id", "question")
     found = term_index.ranked(index, asked, score=term_index.bm25)

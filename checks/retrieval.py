@@ -12,6 +12,7 @@ from citeline.session import settle, shared_path
 from citeline.sources.tables import (
     benchmark_questions,
     document_chunks,
+    document_texts,
     product_links,
     spread,
     table,
@@ -229,7 +230,7 @@ SELECT question_id, chunk_id, rank, round(similarity, 6) AS score FROM ({rank_sq
 
 def term_index_of(spark, folder):
     path = shared_path(spark, "terms")
-    return term_index.write_index(document_chunks(spark, folder).select("chunk_id", "content"), path)
+    return term_index.write_index(document_texts(spark, folder), path)
 
 
 @check("indexed_topk", INDEXED_SQL)

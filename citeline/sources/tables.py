@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from citeline import ports
 from citeline.functions import text as fx
+from citeline.session import settle
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +59,19 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks
 
 
+def document_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_id and content of ``document_chunks``, in as many rows, without the join
+    to the labels, which shuffles the texts where those are many. Only documents with
+    several labels, which have a row for each, are looked up."""
+    docs = spread(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    labels = table(spark, folder, "embeddings").groupBy(F.col("vec_id").alias("chunk_id"))
+    several = settle(labels.agg(F.count("*").alias("labels")).where("labels > 1"))
+    if several.isEmpty():
+        return docs
+    rows = F.explode(F.sequence(F.lit(1), F.coalesce("labels", F.lit(1)))).alias("row")
+    return docs.join(several, "chunk_id", "left").select("chunk_id", "content", rows).drop("row")
+
+
 def product_links(spark: SparkSession, folder: str) -> DataFrame:
     """Which products (vector labels) a manual covers."""
     docs = table(spark, folder, "documents")

@@ -5,7 +5,9 @@ import re
 
 import pytest
 
+from citeline.functions import text as fx
 from citeline.operators import term_index as I
+from citeline.sources.tables import document_chunks, document_texts
 
 
 def corpus(n=300):
@@ -104,3 +106,73 @@ def test_frequencies_beyond_the_listed_ones(spark, folder, monkeypatch):
     asked_once = spark.createDataFrame([(1, "hot")], "question_id long, question string")
     found = {r.chunk_id: r.score for r in I.ranked(index, asked_once).collect()}
     assert found == {i: pytest.approx(sum(1 / j**2 for j in range(1, i + 1))) for i, _ in rows}
+
+
+def test_neither_texts_nor_postings_are_shuffled_or_kept(spark, folder, monkeypatch):
+    """Blocks are made where the chunks lie; nothing is written besides but repeated ids."""
+    kept = []
+    settle = I.settle
+    monkeypatch.setattr(I, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    chunks = spark.createDataFrame(corpus(), "chunk_id long, content string")
+    I.write_index(chunks, f"{folder}/terms")
+    assert sum(df.count() for df in kept) == 0
+    plan = I._blocks(chunks, 8, fx.tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_postings_meet_wanted_blocks_without_a_shuffle(spark, folder):
+    """Also where wanted blocks are too many to be broadcast."""
+    index = I.write_index(spark.createDataFrame(corpus(), "chunk_id long, content string"), f"{folder}/terms", 8)
+    questions = spark.createDataFrame(asked(), "question_id long, question string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for score in (None, I.bm25):
+            found = I.ranked(index, questions, 3, score)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\([^)]*number#", plan) and "postings" in plan
+            rows = sorted((r.question_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in found.collect())
+            assert rows == brute(corpus(), asked(), 3, score is not None)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("bm25", [False, True])
+def test_a_task_of_many_segments(spark, folder, monkeypatch, bm25):
+    monkeypatch.setattr(I, "SEGMENT", 50)
+    chunks = spark.createDataFrame(corpus(), "chunk_id long, content string").repartition(60).coalesce(2)
+    monkeypatch.setattr(I, "bounded_batches", lambda df: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20") or df)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        index = I.write_index(chunks, f"{folder}/terms", 8)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    places = index.blocks(spark).select(*I.PLACE)
+    assert places.distinct().count() == places.count()
+    assert places.selectExpr("number >> 24").distinct().count() > 2
+    questions = spark.createDataFrame(asked(), "question_id long, question string")
+    found = I.ranked(index, questions, 5, I.bm25 if bm25 else None).collect()
+    assert sorted((r.question_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in found) == brute(corpus(), asked(), 5, bm25)
+
+
+def test_rows_of_one_id_are_one_chunk(spark, folder):
+    rows = [(1, "oven oven"), (1, "oven oven"), (2, "oven oven oven"), (None, "oven"), (None, "oven"), (3, "filter")]
+    index = I.write_index(spark.createDataFrame(rows, "chunk_id long, content string").repartition(4), f"{folder}/terms")
+    questions = spark.createDataFrame([(1, "oven")], "question_id long, question string")
+    held = [(p.chunk_id, p.tf, p.length) for r in index.blocks(spark).where("term = 'oven'").collect() for p in r.postings]
+    assert sorted(held, key=str) == [(1, 4, 2), (2, 3, 3), (None, 2, 1)]
+    assert {(r.term, r.df) for r in index.terms.collect()} == {("oven", 3), ("filter", 1)}
+    assert index.chunks == 6 and index.mean_length == pytest.approx(10 / 6)
+    found = [(r.chunk_id, r["rank"]) for r in I.ranked(index, questions).orderBy("rank").collect()]
+    assert found == [(1, 1), (2, 2), (None, 3)]
+
+
+def test_texts_have_the_rows_of_the_chunk_table(spark, folder):
+    docs = [(i, f"text {i}", "en", "web", 6) for i in (1, 2, 2, 3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    for name, labels in (("once", [1, 3, 9]), ("several", [1, 2, 2, 3, 3, 3, None, None])):
+        there = f"{folder}/{name}"
+        spark.read.parquet(f"{folder}/documents.parquet").write.parquet(f"{there}/documents.parquet")
+        spark.createDataFrame([(i, 0) for i in labels], "vec_id long, label int").write.parquet(f"{there}/embeddings.parquet")
+        want = sorted(map(tuple, document_chunks(spark, there).select("chunk_id", "content").collect()), key=str)
+        assert sorted(map(tuple, document_texts(spark, there).collect()), key=str) == want
