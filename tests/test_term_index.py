@@ -176,3 +176,12 @@ def test_texts_have_the_rows_of_the_chunk_table(spark, folder):
         spark.createDataFrame([(i, 0) for i in labels], "vec_id long, label int").write.parquet(f"{there}/embeddings.parquet")
         want = sorted(map(tuple, document_chunks(spark, there).select("chunk_id", "content").collect()), key=str)
         assert sorted(map(tuple, document_texts(spark, there).collect()), key=str) == want
+
+
+def test_bounds_of_a_repeated_question_count_as_often(spark, folder):
+    """The best chunk has neither term's best block, and a bound of one listing alone would drop it."""
+    rows = [(1, "oven " * 9), (2, "filter " * 9), (3, "oven filter " * 2)]
+    index = I.write_index(spark.createDataFrame(rows, "chunk_id long, content string"), f"{folder}/terms", 1)
+    twice = spark.createDataFrame([(1, "oven filter")] * 2, "question_id long, question string")
+    found = [(r.chunk_id, r["rank"], r.score) for r in I.ranked(index, twice, 2).orderBy("rank").collect()]
+    assert found == [(3, 1, pytest.approx(2.5)), (1, 2, pytest.approx(sum(1 / i**2 for i in range(1, 10))))]
